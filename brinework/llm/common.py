@@ -71,12 +71,12 @@ def hash_spans(a: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     return mix(h + (ends - starts).astype(np.uint64))
 
 
-def hashed_words(texts: list[bytes | None], word_bytes: np.ndarray = SPACED) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def hashed_words(texts: list[bytes | None], word_bytes: np.ndarray = SPACED, group_bytes: int = GROUP_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first, last, hashes, bounds) for runs texts[first:last]; document i's words are hashes[bounds[i - first]:bounds[i - first + 1]]. Null counts as empty."""
     first = 0
     while first < len(texts):
         last, size = first, 0
-        while last < len(texts) and (last == first or size + len(texts[last] or b"") <= GROUP_BYTES):
+        while last < len(texts) and (last == first or size + len(texts[last] or b"") <= group_bytes):
             size += len(texts[last] or b"")
             last += 1
         run = [t or b"" for t in texts[first:last]]

@@ -16,8 +16,15 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
+def op8_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brinework.llm.suffix_array import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op8_suffix_array_decontamination": op8_suffix_array_decontamination,
 }
 
 ORACLE: dict[str, str] = {}
