@@ -22,7 +22,21 @@ def op8_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataFr
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
 
 
+def vocabulary(name: str) -> str:
+    """Where a public tokenizer's file is."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brinework.llm.separator_scan import document_token_counts
+
+    return document_token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_separator_scan": op2_separator_scan,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op8_suffix_array_decontamination": op8_suffix_array_decontamination,
 }
