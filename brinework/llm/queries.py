@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from brinework.llm.common import table
 
 
+def op3_context_mixing_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brinework.llm.range_coder import coded_documents
+
+    return coded_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end=2)
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from brinework.llm.hamming_join import near_duplicates
 
@@ -37,6 +43,7 @@ def op2_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_separator_scan": op2_separator_scan,
+    "op3_context_mixing_coder": op3_context_mixing_coder,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op8_suffix_array_decontamination": op8_suffix_array_decontamination,
 }
