@@ -22,6 +22,12 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
+def op7_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brinework.llm.fourier_quality import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def op8_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from brinework.llm.suffix_array import contamination
 
@@ -45,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_separator_scan": op2_separator_scan,
     "op3_context_mixing_coder": op3_context_mixing_coder,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op7_fourier_quality": op7_fourier_quality,
     "op8_suffix_array_decontamination": op8_suffix_array_decontamination,
 }
 
