@@ -47,12 +47,19 @@ def op2_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op10_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brinework.llm.piece_sampling import sampled_digest
+
+    return sampled_digest(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_separator_scan": op2_separator_scan,
     "op3_context_mixing_coder": op3_context_mixing_coder,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op7_fourier_quality": op7_fourier_quality,
     "op8_suffix_array_decontamination": op8_suffix_array_decontamination,
+    "op10_piece_sampling": op10_piece_sampling,
 }
 
 ORACLE: dict[str, str] = {}
