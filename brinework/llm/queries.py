@@ -47,6 +47,12 @@ def op2_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op9_host_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brinework.llm.host_paths import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op10_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from brinework.llm.piece_sampling import sampled_digest
 
@@ -59,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op7_fourier_quality": op7_fourier_quality,
     "op8_suffix_array_decontamination": op8_suffix_array_decontamination,
+    "op9_host_paths": op9_host_paths,
     "op10_piece_sampling": op10_piece_sampling,
 }
 
