@@ -8,7 +8,8 @@ Candidates within the radius are confirmed on the full sets.
 
 Scale: documents with equal sets become one class before any join. A key's members hang on its smallest member (partial
 minima), first inside each task and then across tasks, so a group of n near copies makes about n candidates. Only keys that
-still hold several components after that are expanded, block by block, and only pairs across components are compared.
+still hold several components after that are expanded: blocks of their members meet with their full sets, compare the pairs
+across components, and give back only links that join components.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from brinework.llm.components import components
 
 K, CHUNKS, RADIUS = 48, 11, 21
 #: Members of a mixed key that one task compares with as many others.
-BLOCK = 1024
+BLOCK = 512
 
 _rng = np.random.default_rng(7)
 _A = _rng.integers(0, 2**31, 256, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -94,6 +95,17 @@ def _masks(k: int, chunks: int, radius: int) -> list[list[int]]:
     return out
 
 
+def _mask_keys(sig: np.ndarray, masks: list[list[int]]) -> np.ndarray:
+    """For each mask, the key of each signature (symbols as 64-bit integers)."""
+    out = np.empty((len(masks), len(sig)), np.uint64)
+    for number, mask in enumerate(masks):
+        h = np.full(len(sig), number + 1, np.uint64)
+        for i in mask:
+            h = common.mix(h * _STEP[1] + sig[:, i] + np.uint64(1))
+        out[number] = h
+    return out
+
+
 def _keys(k: int, chunks: int, radius: int, again: bool):
     """Rows (key, cls). A key that a batch holds several times is sent on once (again: its members are given instead)."""
     masks = _masks(k, chunks, radius)
@@ -107,10 +119,7 @@ def _keys(k: int, chunks: int, radius: int, again: bool):
             sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(batch.num_rows, k).astype(np.uint64)
             rank = np.empty(len(cls), np.int64)
             rank[np.argsort(cls)] = np.arange(len(cls))
-            for number, mask in enumerate(masks):
-                h = np.full(len(cls), number + 1, np.uint64)
-                for i in mask:
-                    h = common.mix(h * _STEP[1] + sig[:, i] + np.uint64(1))
+            for h in _mask_keys(sig, masks):
                 order = np.lexsort((rank, h))
                 s = h[order]
                 new = np.concatenate(([True], s[1:] != s[:-1]))
@@ -158,6 +167,12 @@ def _sets(shingle: int):
     return run
 
 
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether 100 * intersection >= percent * union, for sorted distinct hashes."""
+    both = int(np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _confirm(percent: int):
     """Of rows (a, b, ia, ib), the pairs whose full sets are similar enough."""
     schema = pa.schema([("u", pa.binary()), ("v", pa.binary())])
@@ -166,44 +181,106 @@ def _confirm(percent: int):
         for batch in batches:
             keep, (ia, ib) = [], (batch.column(c) for c in (2, 3))
             for i in range(batch.num_rows):
-                x, y = (np.frombuffer(c[i].as_buffer(), np.uint64) for c in (ia, ib))
-                both = int(np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+                keep.append(_similar(*(np.frombuffer(c[i].as_buffer(), np.uint64) for c in (ia, ib)), percent))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], schema=schema)
 
     return run
 
 
-def _cross(radius: int, percent: int):
-    """For each (key, bi, bj) group of a mixed key, the pairs across components that are within the radius."""
-    import pandas as pd
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        sig = np.frombuffer(b"".join(rows["sig"]), np.uint16).reshape(len(rows), -1)
-        n, cls = rows["n"].to_numpy(), rows["cls"].to_numpy()
-        root, side = pd.factorize(rows["root"])[0], rows["side"].to_numpy()
-        same = rows["bi"].iloc[0] == rows["bj"].iloc[0]
-        left, right = (np.arange(len(rows)),) * 2 if same else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
-        a, b = [], []
-        for i in left:
-            near = right[right > i] if same else right
-            near = near[(root[near] != root[i]) & (100 * np.minimum(n[near], n[i]) >= percent * np.maximum(n[near], n[i]))]
-            near = near[(sig[near] != sig[i]).sum(axis=1) <= radius]
-            a += [cls[i]] * len(near)
-            b += cls[near].tolist()
-        return pd.DataFrame({"a": a, "b": b})
+class _Group:
+    """The members of one block pair of a mixed key, and the pairs in it that are still to be compared: across components, within
+    the radius, of a size that allows the similarity, and sharing no earlier key (so that no pair is compared under two keys)."""
+
+    def __init__(self, rows, k: int, chunks: int, radius: int, percent: int):
+        import pandas as pd
+
+        masks = _masks(k, chunks, radius)
+        self.sig = np.frombuffer(b"".join(rows["sig"]), np.uint16).reshape(len(rows), k)
+        self.n, self.side = rows["n"].to_numpy(), rows["side"].to_numpy()
+        self.root = pd.factorize(rows["root"])[0]
+        self.same = bool(rows["bi"].iloc[0] == rows["bj"].iloc[0])
+        self.percent, self.radius = percent, radius
+        own = _mask_keys(self.sig[:1].astype(np.uint64), masks)[:, 0].view(np.int64)
+        self.earlier = np.zeros((k, int(np.flatnonzero(own == rows["key"].iloc[0])[0])), np.float32)
+        for number in range(self.earlier.shape[1]):
+            self.earlier[masks[number], number] = 1
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        index = np.arange(len(self.n))
+        left, right = (index, index) if self.same else (index[self.side == 0], index[self.side == 1])
+        for s in range(0, len(left), 64):
+            i = left[s : s + 64, None]
+            near = (self.root[i] != self.root[right]) & (100 * np.minimum(self.n[i], self.n[right]) >= self.percent * np.maximum(self.n[i], self.n[right]))
+            if self.same:
+                near &= i < right
+            a, b = np.nonzero(near)
+            a, b = i[a, 0], right[b]
+            for t in range(0, len(a), 1 << 16):
+                x, y = a[t : t + (1 << 16)], b[t : t + (1 << 16)]
+                agree = self.sig[x] == self.sig[y]
+                keep = agree.shape[1] - agree.sum(axis=1) <= self.radius
+                x, y, agree = x[keep], y[keep], agree[keep]
+                if self.earlier.shape[1] and len(x):
+                    first = ~(agree.astype(np.float32) @ self.earlier == self.earlier.sum(axis=0)).any(axis=1)
+                    x, y = x[first], y[first]
+                if len(x):
+                    yield x, y
+
+
+def _needed(k: int, chunks: int, radius: int, percent: int):
+    """The members of a (key, bi, bj) group that have something to be compared with."""
+
+    def run(rows):
+        use = np.zeros(len(rows), bool)
+        for x, y in _Group(rows, k, chunks, radius, percent).pairs():
+            use[x] = use[y] = True
+        return rows.loc[use]
 
     return run
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Links (u, v): the pairs (a, b) that hold on the full sets of the classes' first documents."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+def _inside(k: int, chunks: int, radius: int, percent: int):
+    """Links that join the components of a (key, bi, bj) group, by its pairs' full sets: fewer than its members."""
+
+    def run(rows):
+        import pandas as pd
+
+        group, sets = _Group(rows, k, chunks, radius, percent), [np.frombuffer(x, np.uint64) for x in rows["items"]]
+        cls, parent, u, v = rows["cls"].to_numpy(), list(range(len(rows))), [], []
+
+        def top(i: int) -> int:
+            while parent[i] != i:
+                parent[i] = parent[parent[i]]
+                i = parent[i]
+            return i
+
+        first = {}
+        for i, r in enumerate(group.root.tolist()):
+            parent[i] = first.setdefault(r, i)
+        for xs, ys in group.pairs():
+            for x, y in zip(xs.tolist(), ys.tolist(), strict=True):
+                if (i := top(x)) != (j := top(y)) and _similar(sets[x], sets[y], percent):
+                    parent[i] = j
+                    u.append(cls[x])
+                    v.append(cls[y])
+        return pd.DataFrame({"u": u, "v": v})
+
+    return run
+
+
+def _class_sets(needed: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """(cls, items): the full sets of the needed classes, from the texts of their first documents."""
     first = classes.join(needed, "cls", "left_semi").select("cls", F.col("first").alias("row_key"))
     texts = docs.join(first.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(first["row_key"])).select("cls", "text")
     sets = texts.mapInArrow(_sets(shingle), "cls binary, items binary")
-    sets = common.written(sets, "near-sets").dropDuplicates(["cls"])
+    return common.written(sets, "near-sets").dropDuplicates(["cls"])
+
+
+def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links (u, v): the pairs (a, b) that hold on the full sets of the classes' first documents."""
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    sets = _class_sets(needed, classes, docs, shingle)
     x = pairs.join(sets.select(F.col("cls").alias("b"), F.col("items").alias("ib")), "b")
     x = x.join(sets.select(F.col("cls").alias("a"), F.col("items").alias("ia")), "a").select("a", "b", "ia", "ib")
     return x.mapInArrow(_confirm(percent), "u binary, v binary").distinct()
@@ -249,11 +326,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
     own = F.pmod(F.xxhash64("cls"), blocks).cast("int")
     rest = rest.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rest = rest.select("key", "cls", "root", "n", "sig", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"))
-    more = rest.groupBy("key", "bi", "bj").applyInPandas(_cross(radius, percent), "a binary, b binary")
-    more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    more = common.written(more, "near-more")
-    if not more.isEmpty():
-        links = common.written(links.union(_confirmed(more, classes, docs, shingle, percent)), "near-links")
+    group, shape = ["key", "bi", "bj"], "key long, cls binary, root binary, n long, sig binary, bi int, bj int, side int"
+    rest = rest.repartition(common.partitions(spark), *group).groupBy(*group)
+    needed = common.written(rest.applyInPandas(_needed(k, chunks, radius, percent), shape), "near-mixed")
+    if not needed.isEmpty():
+        sets = _class_sets(needed.select("cls").distinct(), classes, docs, shingle)
+        more = needed.join(sets, "cls").repartition(common.partitions(spark), *group).groupBy(*group)
+        more = more.applyInPandas(_inside(k, chunks, radius, percent), "u binary, v binary")
+        links = common.written(links.union(more).distinct(), "near-links")
         roots = common.checkpointed(components(links))
 
     named = classes.join(roots, classes["cls"] == roots["node"], "left").select("cls", "first", F.coalesce("root", "cls").alias("root"))
