@@ -22,6 +22,12 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
+def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brinework.llm.surrogates import pseudonymised
+
+    return pseudonymised(table(spark, sf_dir, "documents"), key=SURROGATE_KEY)
+
+
 def op7_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from brinework.llm.fourier_quality import quality_scores
 
@@ -34,6 +40,10 @@ def op8_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataFr
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
 
 
+#: Production keeps its key elsewhere; with this one the queries' results can be compared.
+SURROGATE_KEY = "brinework"
+
+
 def vocabulary(name: str) -> str:
     """Where a public tokenizer's file is."""
     import public_tokenizers
@@ -63,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_separator_scan": op2_separator_scan,
     "op3_context_mixing_coder": op3_context_mixing_coder,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op6_surrogates": op6_surrogates,
     "op7_fourier_quality": op7_fourier_quality,
     "op8_suffix_array_decontamination": op8_suffix_array_decontamination,
     "op9_host_paths": op9_host_paths,
