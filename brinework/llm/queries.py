@@ -22,6 +22,12 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
+def op5_lattice_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brinework.llm.lattice import embedding_links
+
+    return embedding_links(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from brinework.llm.surrogates import pseudonymised
 
@@ -73,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_separator_scan": op2_separator_scan,
     "op3_context_mixing_coder": op3_context_mixing_coder,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op5_lattice_hashing": op5_lattice_hashing,
     "op6_surrogates": op6_surrogates,
     "op7_fourier_quality": op7_fourier_quality,
     "op8_suffix_array_decontamination": op8_suffix_array_decontamination,
