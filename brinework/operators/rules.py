@@ -149,7 +149,7 @@ def assess_inputs(state: DataFrame) -> DataFrame:
     ]
     found = F.array(*[F.when(test, F.struct(F.lit(rule).alias("rule"), F.lit(level).alias("severity"))) for rule, level, test in rules])
     x = state.withColumn("findings", F.filter(found, lambda f: f.isNotNull()))
-    is_high, is_medium = (F.exists("findings", lambda f, s=s: f["severity"] == s) for s in ("high", "medium"))
+    is_high, is_medium = F.exists("findings", lambda f: f["severity"] == "high"), F.exists("findings", lambda f: f["severity"] == "medium")
     verdict = F.when(c("n_rows") <= 0, "INCONCLUSIVE").when(is_high, "DATA_ARTIFACT").when(is_medium, "INCONCLUSIVE").otherwise("REAL_SIGNAL")
     first = F.coalesce(F.get(F.filter("findings", lambda f: f["severity"] == "high"), F.lit(0)), F.get("findings", F.lit(0)))
     return x.withColumn("verdict", verdict).withColumn("summary", first["rule"]).withColumn("actionable", c("verdict") == "REAL_SIGNAL")

@@ -418,7 +418,7 @@ def _(spark, sf_dir):
 
 
 @query("k02_fixed_chunks", """select doc_id, chunk, chunks_in_doc, piece from (select doc_id, cast(unnest(range(len(pieces))) as int) chunk, cast(len(pieces) as int) chunks_in_doc, unnest(pieces) piece from
- (select doc_id, list_filter(list_transform(range(1, length(text) + 1, 200), i -> trim(substring(text, i, 200), ' ')), p -> p <> '') pieces from documents where length(text) > 0))""")
+ (select doc_id, list_filter(list_transform(range(1, length(text) + 1, 200), lambda i: trim(substring(text, i, 200), ' ')), lambda p: p <> '') pieces from documents where length(text) > 0))""")
 def _(spark, sf_dir):
     return text.split_fixed(_documents(spark, sf_dir))
 
@@ -433,7 +433,7 @@ def _(spark, sf_dir):
     return text.chunked(_documents(spark, sf_dir), "paragraphs")
 
 
-@query("k07_boundary_quality", """with pieces as (select unnest(list_filter(list_transform(range(1, length(text) + 1, 200), i -> trim(substring(text, i, 200), ' ')), p -> p <> '')) piece from documents where length(text) > 0)
+@query("k07_boundary_quality", """with pieces as (select unnest(list_filter(list_transform(range(1, length(text) + 1, 200), lambda i: trim(substring(text, i, 200), ' ')), lambda p: p <> '')) piece from documents where length(text) > 0)
 select count(*) chunks, round(avg(case when regexp_matches(piece, '[.!?:]$') then 1.0 else 0.0 end), 2) ends_on_sentence, min(length(piece)) "min", max(length(piece)) "max", cast(round(avg(length(piece))) as bigint) "avg" from pieces""")
 def _(spark, sf_dir):
     return text.boundary_quality(text.split_fixed(_documents(spark, sf_dir)))
