@@ -57,6 +57,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brinework.llm.pitman_yor import document_scores
+
+    return document_scores(table(spark, sf_dir, "documents"))
+
+
 def op2_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from brinework.llm.separator_scan import document_token_counts
 
@@ -76,6 +82,7 @@ def op10_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pitman_yor": op1_pitman_yor,
     "op2_separator_scan": op2_separator_scan,
     "op3_context_mixing_coder": op3_context_mixing_coder,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
