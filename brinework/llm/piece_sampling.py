@@ -29,9 +29,9 @@ TEMPERATURE = 1e-4
 #: Log weight of a byte's piece, used only for characters without a piece.
 BYTE_WEIGHT = -12.0
 #: Words that a worker remembers, the latest ones.
-REMEMBERED = 600_000
+REMEMBERED = 900_000
 _SPACE = "▁".encode()
-_EDGE = np.dtype([("cdf", "<f8"), ("id", "<i4"), ("back", "<i4"), ("node", "<i4")])
+_EDGE = np.dtype([("cdf", "<f4"), ("id", "<i4"), ("back", "<i4"), ("node", "<i4")])
 #: Bytes of a character by its first byte.
 _UTF8 = [1] * 0xC0 + [2] * 0x20 + [3] * 0x10 + [4] * 0x10
 
@@ -70,6 +70,8 @@ class Pieces:
     def lattices(self, words: list[str]) -> list[bytes]:
         """Each word's forward filter, with a space before it: edges in order of the byte where they end, with the cumulated
         probability among those that end there, piece, length in bytes, and that place."""
+        if not words:
+            return []
         chances: list[float] = []
         ids: list[int] = []
         begins: list[int] = []
