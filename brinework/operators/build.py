@@ -47,27 +47,29 @@ def pvt_windows(pvt: DataFrame) -> DataFrame:
     return tests.select("id_completion", "test_date", "points", F.when(F.lag("test_date").over(by).isNotNull(), F.col("test_date")).alias("from_date"), F.lead("test_date").over(by).alias("to_date"))
 
 
-def pvt_lookup(points: Column, pressure: Column) -> Column:
-    """struct(method, properties) at a pressure from points sorted by it: exact, interpolated between neighbours, extrapolated from
-    the two nearest on one side, closest (one point, or no pressure: the highest point), none. bg is rounded to 5 places."""
-    below = F.filter(points, lambda p: p["pressure"] < pressure)
-    above = F.filter(points, lambda p: p["pressure"] > pressure)
-    same = F.filter(points, lambda p: p["pressure"] == pressure)
-    n, m = F.size(below), F.size(above)
+def pvt_lookup(needs: DataFrame) -> DataFrame:
+    """needs (points sorted by pressure, pressure, any keys) with pvt_method and the properties at the pressure: exact, interpolated
+    between neighbours, extrapolated from the two nearest on one side, closest (one point, or no pressure: the highest point),
+    none. bg is rounded to 5 places."""
+    c, t = F.col, F.col("pressure")
+    x = needs.withColumns({"_lo": F.filter("points", lambda p: p["pressure"] < t), "_up": F.filter("points", lambda p: p["pressure"] > t), "_same": F.filter("points", lambda p: p["pressure"] == t)})
+    n, m, exact = F.size("_lo"), F.size("_up"), F.size("_same") > 0
     method = (
-        F.when(points.isNull() | (F.size(points) == 0), "none").when(pressure.isNull(), "closest").when(F.size(same) > 0, "exact")
+        F.when(c("points").isNull() | (F.size("points") == 0), "none").when(t.isNull(), "closest").when(exact, "exact")
         .when((n > 0) & (m > 0), "interpolated").when((n > 1) | (m > 1), "extrapolated").otherwise("closest")
     )
-    a = F.when(pressure.isNull(), F.get(points, F.size(points) - 1)).when(F.size(same) > 0, F.get(same, F.lit(0))).when(n > 0, F.get(below, n - 1)).otherwise(F.get(above, F.lit(0)))
-    b = F.when((n > 0) & (m > 0), F.get(above, F.lit(0))).when(n > 1, F.get(below, n - 2)).when(m > 1, F.get(above, F.lit(1)))
+    first = F.when(t.isNull(), F.get("points", F.size("points") - 1)).when(exact, F.get("_same", F.lit(0))).when(n > 0, F.get("_lo", n - 1)).otherwise(F.get("_up", F.lit(0)))
+    second = F.when((n > 0) & (m > 0), F.get("_up", F.lit(0))).when(n > 1, F.get("_lo", n - 2)).when(m > 1, F.get("_up", F.lit(1)))
+    x = x.withColumns({"pvt_method": method, "_a": first, "_b": second}).drop("_lo", "_up", "_same", "points")
+    alone = c("pvt_method").isin("exact", "closest") | (c("_a.pressure") == c("_b.pressure"))
+    share = (t - c("_a.pressure")) / F.nullif(c("_b.pressure") - c("_a.pressure"), F.lit(0.0))
+    x = x.withColumn("_t", F.when(~alone, share))
 
     def at(name: str) -> Column:
-        lone = method.isin("exact", "closest") | (a["pressure"] == b["pressure"])
-        share = (pressure - a["pressure"]) / F.nullif(b["pressure"] - a["pressure"], F.lit(0.0))
-        value = F.when(lone, a[name]).otherwise(a[name] + share * (b[name] - a[name]))
-        return F.when(method != "none", F.round(value, 5) if name == "bg" else value).alias(name)
+        value = F.when(c("_t").isNull(), c(f"_a.{name}")).otherwise(c(f"_a.{name}") + c("_t") * (c(f"_b.{name}") - c(f"_a.{name}")))
+        return F.when(c("pvt_method") != "none", F.round(value, 5) if name == "bg" else value)
 
-    return F.struct(method.alias("method"), *map(at, PROPERTIES))
+    return x.withColumns({p: at(p) for p in PROPERTIES}).drop("_a", "_b", "_t")
 
 
 def reservoir_terms(gas_multiplier: Column | None = None) -> dict[str, Column]:
@@ -94,9 +96,15 @@ def completion_contrib(volumes: DataFrame, factors: DataFrame, patterns: DataFra
     x = volume_context(volumes, factors, patterns, pressures)
     w = pvt_windows(pvt).withColumnRenamed("id_completion", "w_completion")
     applies = (F.col("from_date").isNull() | (x["vrr_date"] >= F.col("from_date"))) & (F.col("to_date").isNull() | (x["vrr_date"] < F.col("to_date")))
-    x = x.join(w, (x["id_completion"] == w["w_completion"]) & applies, "left").withColumn("look", pvt_lookup(F.col("points"), F.col("pressure")))
+    x = x.join(w.drop("points"), (x["id_completion"] == w["w_completion"]) & applies, "left").drop("w_completion", "from_date", "to_date")
+    # the lookup runs once for each distinct (completion, test, pressure), far fewer than rows
+    needs = x.select(F.col("id_completion").alias("_c"), F.col("test_date").alias("_d"), "pressure").distinct()
+    points = w.select("w_completion", F.col("test_date").alias("w_date"), "points")
+    needs = needs.join(points, (needs["_c"] == points["w_completion"]) & (needs["_d"] == points["w_date"]), "left").drop("w_completion", "w_date")
+    look = pvt_lookup(needs).withColumnRenamed("pressure", "_p")
+    x = x.join(look, (x["id_completion"] == look["_c"]) & x["test_date"].eqNullSafe(look["_d"]) & x["pressure"].eqNullSafe(look["_p"]))
     mult = unit_multiplier(F.col("uom")) if "uom" in volumes.columns else None
-    x = x.select("id_pattern", "pattern_name", "id_completion", "vrr_date", "amount_type", "factor", "factor_effect_date", "pressure", *VOLUME_COLUMNS, F.col("look.method").alias("pvt_method"), F.col("test_date").alias("pvt_test_date"), *[F.col(f"look.{p}").alias(p) for p in PROPERTIES], *(["uom"] if mult is not None else []))
+    x = x.select("id_pattern", "pattern_name", "id_completion", "vrr_date", "amount_type", "factor", "factor_effect_date", "pressure", *VOLUME_COLUMNS, "pvt_method", F.col("test_date").alias("pvt_test_date"), *PROPERTIES, *(["uom"] if mult is not None else []))
     return x.withColumns(reservoir_terms(mult))
 
 
