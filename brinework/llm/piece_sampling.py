@@ -167,9 +167,12 @@ class Pieces:
                 for e, piece, w in self._steps(data, s):
                     into[e].append((here + w, piece, s))
 
-    def sample(self, texts: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def forget(self) -> None:
+        self.young, self.old = {}, {}
+
+    def sample(self, texts: list[str], keys: np.ndarray, remembered: int = REMEMBERED) -> tuple[np.ndarray, np.ndarray]:
         """ids of all texts, and the bounds of each text's; keys (64-bit) seed the rows."""
-        if len(self.young) > REMEMBERED // 2:
+        if len(self.young) > remembered // 2:
             self.old, self.young = self.young, {}
         local: dict[str, int] = {}
         index, counts = [], []
@@ -231,7 +234,7 @@ def row_keys(ids: pa.Array, seed: int) -> np.ndarray:
     return common.mix(x * np.uint64(0xD1B54A32D192ED03) + np.uint64(seed))
 
 
-def _runs(batch: pa.RecordBatch, text_at: int, key_at: int, seed: int, model: Pieces) -> Iterator[tuple[int, list, np.ndarray, np.ndarray]]:
+def _runs(batch: pa.RecordBatch, text_at: int, key_at: int, seed: int, model: Pieces, remembered: int = REMEMBERED) -> Iterator[tuple[int, list, np.ndarray, np.ndarray]]:
     texts, keys = batch.column(text_at).to_pylist(), row_keys(batch.column(key_at), seed)
     s = 0
     while s < len(texts):
@@ -239,13 +242,14 @@ def _runs(batch: pa.RecordBatch, text_at: int, key_at: int, seed: int, model: Pi
         while e < len(texts) and (e == s or size + len(texts[e] or "") < 1 << 19):
             size += len(texts[e] or "")
             e += 1
-        yield s, texts[s:e], *model.sample([t or "" for t in texts[s:e]], keys[s:e])
+        yield s, texts[s:e], *model.sample([t or "" for t in texts[s:e]], keys[s:e], remembered)
         s = e
 
 
-def sampled_pieces(docs: DataFrame, path: str, seed: int = 0, temperature: float = TEMPERATURE) -> DataFrame:
+def sampled_pieces(docs: DataFrame, path: str, seed: int = 0, temperature: float = TEMPERATURE, remembered: int = REMEMBERED) -> DataFrame:
     """docs (all columns; doc_id and text are used) with `pieces`, an array of piece ids. Null texts have null pieces; the empty
-    text has the one piece of its leading space. A column named pieces is replaced."""
+    text has the one piece of its leading space. A column named pieces is replaced. A task remembers the lattices of so many
+    words at most, and forgets them when it ends: workers go on to other stages."""
     docs = docs.drop("pieces")
     schema = docs.selectExpr("*", "cast(null as array<int>) as pieces").schema
     text_at, key_at = docs.columns.index("text"), docs.columns.index("doc_id")
@@ -253,11 +257,12 @@ def sampled_pieces(docs: DataFrame, path: str, seed: int = 0, temperature: float
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path, temperature)
         for batch in batches:
-            for s, texts, ids, bounds in _runs(batch, text_at, key_at, seed, model):
+            for s, texts, ids, bounds in _runs(batch, text_at, key_at, seed, model, remembered):
                 null = pa.array([t is None for t in texts])
                 part, lists = batch.slice(s, len(texts)), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
                 lists = pa.compute.if_else(null, pa.scalar(None, pa.list_(pa.int32())), lists)
                 yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, "pieces"])
+        model.forget()
 
     import pyarrow.compute  # noqa: F401
 

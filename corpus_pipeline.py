@@ -49,7 +49,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with the piece ids of a sampled segmentation, which decode to its text."""
-    return sampled_pieces(docs, vocabulary("piece_bpe_32k.model"))
+    return sampled_pieces(docs, vocabulary("piece_bpe_32k.model"), remembered=300_000)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
