@@ -401,6 +401,11 @@ def _(spark, sf_dir):
     return _documents(spark, sf_dir).where("not text rlike '\\\\n[^\\\\n]\\\\n'").select("doc_id", text.normalized(F.col("text")).alias("normalized"))
 
 
+@query("k01_normalized_all_documents")
+def _(spark, sf_dir):
+    return _documents(spark, sf_dir).select("doc_id", text.normalized(F.col("text")).alias("normalized"))
+
+
 @query("r19_redacted_emails", r"""select doc_id, regexp_replace(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b', '[REDACTED:email]', 'g') clean from documents where regexp_matches(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b')""")
 def _(spark, sf_dir):
     docs = _documents(spark, sf_dir).where(F.col("text").rlike(text.PII["email"]))
