@@ -32,7 +32,21 @@ def retrieval_quality(found: DataFrame, relevant: DataFrame, k: int = 3) -> Data
     """One row: queries, the share with a relevant vector among the first k, and the mean reciprocal rank of the first one.
     relevant: (query_id, vec_id)."""
     first = found.join(relevant, ["query_id", "vec_id"]).groupBy("query_id").agg(F.min("rank").alias("rank"))
-    every = relevant.select("query_id").distinct().join(first, "query_id", "left")
+    return _quality(relevant.select("query_id").distinct(), first, k)
+
+
+def labelled_quality(found: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
+    """retrieval_quality where vectors (vec_id, label) with the label of a query (query_id, label) are relevant to it, itself apart.
+    The relevant pairs, whose number grows with the square of the rows, are not made: only what was found is compared."""
+    wanted = queries.select("query_id", F.col("label").alias("wanted"))
+    hits = found.join(wanted, "query_id").join(vectors.select("vec_id", "label"), "vec_id").where((F.col("label") == F.col("wanted")) & (F.col("vec_id") != F.col("query_id")))
+    others = vectors.groupBy(F.col("label").alias("wanted")).agg(F.min("vec_id").alias("low"), F.max("vec_id").alias("high"))
+    every = wanted.join(others, "wanted").where("low != query_id or high != query_id").select("query_id").distinct()
+    return _quality(every, hits.groupBy("query_id").agg(F.min("rank").alias("rank")), k)
+
+
+def _quality(every: DataFrame, first: DataFrame, k: int) -> DataFrame:
+    every = every.join(first, "query_id", "left")
     return every.agg(F.count("*").alias("queries"), F.avg(F.when(F.col("rank") <= k, 1.0).otherwise(0.0)).alias("recall_at_k"), F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))).alias("mrr"))
 
 

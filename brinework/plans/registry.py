@@ -482,6 +482,25 @@ def _(spark, sf_dir):
     return x.select("queries", r4("recall_at_k"), r4("mrr"))
 
 
+def _every_50th(vectors: DataFrame) -> DataFrame:
+    return vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), "label")
+
+
+@query("k05_vector_search_every_50th")
+def _(spark, sf_dir):
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    found = search.search(vectors, _every_50th(vectors).select("query_id", "query"), 3, 0.2)
+    return found.select("query_id", "vec_id", r4("similarity"), "rank")
+
+
+@query("k08_retrieval_quality_every_50th")
+def _(spark, sf_dir):
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    queries = _every_50th(vectors)
+    found = search.search(vectors, queries.select("query_id", "query"), 10, -1.0)
+    return search.labelled_quality(found, vectors, queries, 3).select("queries", r4("recall_at_k"), r4("mrr"))
+
+
 @query("q04_recent_turns", "select conv_id, turn, role, text from (select *, row_number() over (partition by conv_id order by turn desc, role, text) rn from conversations) where rn <= 3")
 def _(spark, sf_dir):
     return workflow.recent_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"), 3).select("conv_id", "turn", "role", "text")

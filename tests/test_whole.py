@@ -2,6 +2,10 @@
 
 import re
 
+import numpy as np
+import pytest
+
+from brinework.operators import search
 from brinework.plans import registry
 
 
@@ -16,3 +20,27 @@ def test_all_documents_are_normalized(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.normalized for r in registry.QUERIES["k01_normalized_all_documents"](spark, str(tmp_path)).collect()}
     assert got == {i: by_hand(t) for i, t in enumerate(texts)}
+
+
+def neighbours(x, q, k, floor):
+    """(row, similarity) of the k nearest, ties by row."""
+    near = x @ x[q] / np.linalg.norm(x, axis=1) / np.linalg.norm(x[q])
+    return sorted(((i, s) for i, s in enumerate(near) if s >= floor), key=lambda r: (-round(r[1], 12), r[0]))[:k]
+
+
+@pytest.mark.parametrize("block", [2, 1000])
+def test_every_50th_vector_is_asked(spark, tmp_path, monkeypatch, block):
+    monkeypatch.setattr(search, "QUERY_BLOCK", block)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(320, 8)).astype(np.float32).astype(float)
+    x[7], x[201] = x[50], x[50]  # ties
+    labels = [int(v) for v in rng.integers(0, 6, 320)]
+    labels[100] = 99  # nothing else is relevant
+    spark.createDataFrame([(i, v.tolist(), labels[i]) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r.query_id, r.rank): (r.vec_id, r.similarity) for r in registry.QUERIES["k05_vector_search_every_50th"](spark, str(tmp_path)).collect()}
+    want = {(q, n): r for q in range(0, 320, 50) for n, r in enumerate(neighbours(x, q, 3, 0.2), 1)}
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-3 for k in want)
+    first = [next((n for n, (i, _) in enumerate(neighbours(x, q, 10, -1.0), 1) if i != q and labels[i] == labels[q]), None) for q in range(0, 320, 50) if q != 100]
+    r = registry.QUERIES["k08_retrieval_quality_every_50th"](spark, str(tmp_path)).first()
+    assert r.queries == 6
+    assert abs(r.recall_at_k - np.mean([n is not None and n <= 3 for n in first])) < 1e-3 and abs(r.mrr - np.mean([1 / n if n else 0 for n in first])) < 1e-3
