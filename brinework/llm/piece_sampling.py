@@ -1,7 +1,8 @@
 """Sampled segmentations over the lattice of a sentence-piece model, by forward filtering and backward sampling.
 
-A text, with a space before it, is cut before every space; no piece of the model reaches across such a place, so the lattice of
-the text is the chain of its words' lattices. A word's forward filter (for each place, the weights of the pieces that end
+A text, with a space before it, is cut where a space follows something else. Pieces reach across several spaces only if they are
+runs of spaces, and none goes on from another character to a space, so no piece reaches across a cut: the lattice of the text is
+the chain of its words' lattices, where a word has all the spaces before it, one or more. A word's forward filter (for each place, the weights of the pieces that end
 there) is made once and remembered. Backward sampling then runs for all words of a run of texts side by side, in numpy. Each
 draw's random number is a hash of the seed, the row's key, the word's place and the step, so a row is cut alike wherever it
 is processed. A segmentation has probability in proportion to exp(sum of temperature * piece score).
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import functools
 import math
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -31,6 +33,8 @@ BYTE_WEIGHT = -12.0
 #: Words that a worker remembers, the latest ones.
 REMEMBERED = 900_000
 _SPACE = "▁".encode()
+#: A word with the spaces before it.
+_WORD = re.compile(" +[^ ]*")
 _EDGE = np.dtype([("cdf", "<f4"), ("id", "<i4"), ("back", "<i4"), ("node", "<i4")])
 #: Bytes of a character by its first byte.
 _UTF8 = [1] * 0xC0 + [2] * 0x20 + [3] * 0x10 + [4] * 0x10
@@ -51,11 +55,16 @@ class Pieces:
                 self.surface.append(bytes([int(piece[3:5], 16)]))
                 continue
             self.surface.append(piece.encode().replace(_SPACE, b" "))
-            if not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)) and score > -1e8:
-                if _SPACE in piece.encode()[1:]:
-                    continue  # reaches across a space
-                self.weights[piece.encode()] = (i, temperature * score)
-        # a lone space's piece has no rank of its own in some models; it then counts as the last
+            if model.is_control(i) or model.is_unknown(i) or model.is_unused(i):
+                continue
+            if "▁" in piece.lstrip("▁"):
+                raise ValueError(f"piece {i} has a space after another character")
+            if "▁▁" in piece and piece.strip("▁"):
+                raise ValueError(f"piece {i} joins several spaces to other characters")
+            # pieces of spaces alone have no rank of their own in some models; they then count as the last
+            ranked = score > -1e8
+            if ranked or not piece.strip("▁"):
+                self.weights[piece.encode()] = (i, temperature * score if ranked else -temperature * model.get_piece_size())
         self.weights.setdefault(_SPACE, (model.piece_to_id("▁"), -temperature * model.get_piece_size()))
         self.prefixes = {p[:k] for p in self.weights for k in range(1, len(p))}
         #: Every piece and every beginning of one, with the weight of a piece and 0 for the rest.
@@ -68,7 +77,7 @@ class Pieces:
         self.old: dict[str, bytes] = {}
 
     def lattices(self, words: list[str]) -> list[bytes]:
-        """Each word's forward filter, with a space before it: edges in order of the byte where they end, with the cumulated
+        """Each word's forward filter, with a space before it besides those that it begins with: edges in order of the byte where they end, with the cumulated
         probability among those that end there, piece, length in bytes, and that place."""
         if not words:
             return []
@@ -79,8 +88,10 @@ class Pieces:
         counts = []
         for word in words:
             before = len(ids)
-            data = _SPACE + word.encode()
-            (self._short if len(data) <= 64 else self._long)(data, chances, ids, begins, ends)
+            bare = word.lstrip(" ")
+            spaces = len(word) - len(bare) + 1
+            data = _SPACE * spaces + bare.encode()
+            (self._short if len(data) <= 64 else self._long)(data, chances, ids, begins, ends, spaces)
             counts.append(len(ids) - before)
         edges = np.zeros(len(ids), _EDGE)
         end = np.array(ends, np.int64)
@@ -96,14 +107,16 @@ class Pieces:
         cuts = np.cumsum([0, *counts]).tolist()
         return [edges[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
-    def _steps(self, data: bytes, s: int) -> list[tuple[int, int, float]]:
-        """(end, piece, log weight) of what may follow at byte s."""
-        lead, out = data[s], []
+    def _steps(self, data: bytes, s: int, spaces: int = 1) -> list[tuple[int, int, float]]:
+        """(end, piece, log weight) of what may follow at byte s; data begins with so many spaces, a later U+2581 is itself."""
+        lead, out, blank = data[s], [], len(_SPACE) * spaces
         if s and lead & 0xC0 == 0x80:  # inside a character that has no piece
             return [(s + 1, self.byte_ids[lead], BYTE_WEIGHT)]
-        literal = s > 0 and data.startswith(_SPACE, s)
+        literal = s >= blank and data.startswith(_SPACE, s)
         if not literal:
             for e in range(s + 1, len(data) + 1):
+                if e > blank and data.endswith(_SPACE, s, e) and s < blank:
+                    break  # a U+2581 behind spaces
                 got = self.weights.get(data[s:e])
                 if got is not None:
                     out.append((e, *got))
@@ -113,19 +126,19 @@ class Pieces:
             out.append((s + 1, self.byte_ids[lead], BYTE_WEIGHT))
         return out
 
-    def _short(self, data: bytes, chances: list, ids: list, begins: list, ends: list) -> None:
+    def _short(self, data: bytes, chances: list, ids: list, begins: list, ends: list, spaces: int = 1) -> None:
         """Sums of weights themselves: in so few bytes they neither overflow nor vanish."""
         n, table = len(data), self.table
         alpha = [0.0] * (n + 1)
         alpha[0] = 1.0
-        plain = self.hard.isdisjoint(data[3:])
+        plain = self.hard.isdisjoint(data[len(_SPACE) * spaces :])
         first = len(ids)
         for s in range(n):
             a = alpha[s]
             if not a:
                 continue
-            if not plain and s:
-                for e, piece, w in self._steps(data, s):
+            if not plain:
+                for e, piece, w in self._steps(data, s, spaces):
                     p = a * math.exp(w)
                     alpha[e] += p
                     chances.append(p)
@@ -146,7 +159,7 @@ class Pieces:
                     ends.append(e)
         chances[first:] = [p / alpha[e] for p, e in zip(chances[first:], ends[first:], strict=True)]
 
-    def _long(self, data: bytes, chances: list, ids: list, begins: list, ends: list) -> None:
+    def _long(self, data: bytes, chances: list, ids: list, begins: list, ends: list, spaces: int = 1) -> None:
         """The same with logarithms."""
         n = len(data)
         into: list[list[tuple[float, int, int]]] = [[] for _ in range(n + 1)]
@@ -164,7 +177,7 @@ class Pieces:
                     begins.append(begin)
                     ends.append(s)
             if s < n:
-                for e, piece, w in self._steps(data, s):
+                for e, piece, w in self._steps(data, s, spaces):
                     into[e].append((here + w, piece, s))
 
     def forget(self) -> None:
@@ -177,7 +190,8 @@ class Pieces:
         local: dict[str, int] = {}
         index, counts = [], []
         for text in texts:
-            words = text.split(" ")
+            # the first space before a word is left out
+            words = [w[1:] for w in _WORD.findall(" " + text)] if "  " in text or text.startswith(" ") else text.split(" ")
             counts.append(len(words))
             index += [local.setdefault(w, len(local)) for w in words]
         young, old = self.young, self.old
