@@ -1,9 +1,9 @@
 """Main text of web pages by consensus host paths.
 
 Every page's containers are scored by the text of their paragraphs without links. Its best container votes, by its generalised
-tag-class path, in the page's host; Spark sums the votes (partial sums first, so a host with a third of the pages is no
+tag-class path, in the page's host, or what is around it where it is only a part of the article; Spark sums the votes (partial sums first, so a host with a third of the pages is no
 hot group) and takes each host's winning path. Pages are then extracted from the elements at their host's path, or from
-their own best container where the page has no such element.
+their own best container where the page has no such element or these hold less than half of its text.
 """
 
 from __future__ import annotations
@@ -93,7 +93,9 @@ class Page:
             links += tag == "a"
 
     def best(self) -> int:
-        """The container whose paragraphs hold most text outside links; half counts for the container around it too."""
+        """The container whose paragraphs hold most text outside links (half counts for the container around it too), or what is
+        around it where that holds more of the article: the outermost article or main, else the innermost container of all text
+        outside links that is not left out."""
         score: dict[int, float] = {}
         for node, text, link in self.pieces:
             if text and not link and not self.nodes[node][2]:
@@ -105,16 +107,55 @@ class Page:
                         break
                     score[node] = score.get(node, 0.0) + size
                     node, size = self.nodes[node][0], size / 2
-        return max(score, key=lambda k: (score[k], -k), default=0)
+        node = max(score, key=lambda k: (score[k], -k), default=0)
+        around, k = node, node
+        while k >= 0:
+            if self._tag(k) in ("article", "main"):
+                around = k
+            k = self.nodes[k][0]
+        if around != node or self._tag(node) in ("article", "main"):
+            return around
+        held = self._sizes()
+        top, k = node, self.nodes[node][0]
+        while k >= 0:
+            if self.nodes[k][3] and held[k] > held[top]:
+                top = k
+            k = self.nodes[k][0]
+        return top
+
+    def _tag(self, node: int) -> str:
+        return self.nodes[node][1].rpartition(">")[2].partition(".")[0]
+
+    def _own_sizes(self) -> list[int]:
+        """Characters outside links of each element itself, without what is left out."""
+        held = [0] * len(self.nodes)
+        for node, text, link in self.pieces:
+            if text and not link and not self.nodes[node][2]:
+                held[node] += len("".join(text.split()))
+        return held
+
+    def _sizes(self) -> list[int]:
+        """Characters outside links in each element and what it holds."""
+        held = self._own_sizes()
+        for k in range(len(held) - 1, 0, -1):
+            held[self.nodes[k][0]] += held[k]
+        return held
+
+    def _inside(self, chosen: set[int]) -> list[bool]:
+        inside: list[bool] = []
+        for k, (parent, _, out, _) in enumerate(self.nodes):
+            inside.append(not out and (k in chosen or parent >= 0 and inside[parent]))
+        return inside
 
     def text(self, path: str | None) -> str:
-        """The text of the elements at the path, or of the best container if there is none."""
+        """The text of the elements at the path, or of the best container if there is none or they hold less than half as much."""
         chosen = {k for k, x in enumerate(self.nodes) if x[1] == path and x[3] and not x[2]} if path is not None else set()
-        if not chosen:
-            chosen = {self.best()}
-        inside = []
-        for k, (parent, _, out, _) in enumerate(self.nodes):
-            inside.append(not out and (k in chosen or parent >= 0 and inside[parent]))
+        own = self.best()
+        inside = self._inside(chosen)
+        if own not in chosen:
+            held, other = self._own_sizes(), self._inside({own})
+            if not chosen or 2 * sum(n for n, x in zip(held, inside, strict=True) if x) < sum(n for n, x in zip(held, other, strict=True) if x):
+                inside = other
         return " ".join("".join(" " if t is None else t for node, t, _ in self.pieces if inside[node]).split())
 
 
