@@ -5,6 +5,11 @@ and value, so an entity has the same surrogate wherever it occurs (coreference).
 stay digits, letters letters of their case, card numbers keep their check digit, addresses stay in range, e-mail addresses
 keep their top-level domain; parts of names keep gender and script.
 
+Names are found after a form of address of the lists below, or as one of the 40 given names below and the capitalised word behind
+it. Other names are not found and stay: given names not listed without a form of address, a surname or given name alone, names
+in other cases of the letters (JOHN SMITH) or scripts, and what follows the second word of a name. Telephone numbers of fewer
+than 8 digits are found only in three groups, and those with neither a plus sign nor a leading 0 only in such groups.
+
 Collision check: over the distinct entities of the whole corpus, two values with one surrogate, or a surrogate that is itself
 some entity's value, are drawn anew until none is left.
 """
@@ -36,11 +41,20 @@ KINDS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
-    "card": r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])",
+    # not a telephone number that begins with 00 and a country code
+    "card": r"(?<![\w.-])(?!00[1-9](?:[ ./()-]{0,2}\d){5,12}(?![ -]?\d\d))\d(?:[ -]?\d){12,18}(?![\w-])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\w)|(?<![\w+])\+\d{8,15}(?!\w)",
+    # a North American number, any other with a country code or a leading 0 (8 to 15 digits; not a date), and the older forms
+    "phone": r"(?<![\w+])\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\w)"
+    r"|(?<![\w+])\+(?=\d(?:[ ./()-]{0,2}\d){7})\d{1,3}(?:[ ./()-]{1,2}\d)?(?:\d|[ ./()-]{1,2}(?=\d\d)\d){4,11}(?!\w)"
+    r"|(?<![\w+.,/-])\(?0(?!\d[./-]\d{1,2}[./-](?:\d{4}(?!\d)|\d{2}(?![./-]?\d)))\d(?:\d|[ ./()-]{1,2}(?=\d\d)\d){6,13}(?!\w)"
+    r"|(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\w)|(?<![\w+])\+\d{8,15}(?!\w)",
     "name": rf"{_TITLE}\.? {_NAME}(?: {_NAME})?|(?:{'|'.join(FEMALE_NAMES + MALE_NAMES)}) {_NAME}",
 }
+#: Kinds whose values are told apart without their separators, which stay where they are.
+_GROUPED = ("iban", "card", "ssn", "phone")
+#: Country codes of telephone numbers.
+_COUNTRY = r"(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 #: No entity begins inside a word, so the alternatives are tried at few places.
 ENTITY = r"(?<![\p{L}\p{N}])(?:" + "|".join(f"(?:{p})" for p in KINDS.values()) + ")"
 _SECRET_VALUE = r"[A-Za-z0-9_+/=.-]{8,}$"
@@ -60,7 +74,7 @@ def _kind(entity: Column) -> Column:
 
 def parts(entity: Column) -> Column:
     """What of an entity is replaced on its own: array of (kind, value). Words of names are apart, so they keep their surrogates
-    in other combinations; of a secret it is the value."""
+    in other combinations; of a secret it is the value; numbers are without separators, so each format has the same surrogate."""
     script = lambda w: F.when(w.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
     words = F.split(entity, " ")
     title = F.regexp_replace(words[0], r"\.$", "")
@@ -70,7 +84,7 @@ def parts(entity: Column) -> Column:
     named = F.filter(words, lambda w, i: ~led | (i > 0))
     name = F.transform(named, lambda w, i: F.struct(F.concat_ws("-", script(w), F.when(i == F.size(named) - 1, "surname").otherwise(gender(w))).alias("kind"), w.alias("value")))
     kind = _kind(entity)
-    value = F.when(kind == "secret", F.regexp_extract(entity, _SECRET_VALUE, 0)).when(kind == "email", F.lower(entity)).otherwise(entity)
+    value = F.when(kind == "secret", F.regexp_extract(entity, _SECRET_VALUE, 0)).when(kind == "email", F.lower(entity)).when(kind.isin(*_GROUPED), F.regexp_replace(entity, "[^0-9A-Z+]", "")).otherwise(entity)
     return F.when(kind == "name", name).otherwise(F.array(F.struct(kind.alias("kind"), value.alias("value"))))
 
 
@@ -93,8 +107,8 @@ def drawn(values: DataFrame, key: str) -> DataFrame:
     kind, value, attempt = F.col("kind"), F.col("value"), F.col("attempt")
     byte = lambda i: F.conv(F.substr(F.col("h"), (i * 2) % 128 + 1, F.lit(2)), 16, 10).cast("int")
     pick = lambda chars, i: F.substr(F.lit(chars), byte(i) % len(chars) + 1, F.lit(1))
-    # what stays in front: a country code, a country, a card's first digit; and behind: a top-level domain
-    front = F.when(kind == "phone", F.regexp_extract(value, r"^\+\d{1,2}(?!\d{7})", 0)).when(kind == "iban", F.substring(value, 1, 2)).when(kind == "card", F.substring(value, 1, 1)).otherwise("")
+    # what stays in front: a country code or leading 0, a country, a card's first digit; and behind: a top-level domain
+    front = F.when(kind == "phone", F.regexp_extract(value, rf"^(?:\+|00){_COUNTRY}|^0", 0)).when(kind == "iban", F.substring(value, 1, 2)).when(kind == "card", F.substring(value, 1, 1)).otherwise("")
     back = F.when(kind == "email", F.regexp_extract(value, r"\.[^.]*$", 0)).otherwise("")
     rows = rows.withColumn("front", front).withColumn("back", back)
     inner = F.substr(value, F.length("front") + 1, F.length(value) - F.length("front") - F.length("back"))
@@ -140,13 +154,21 @@ def _name_of(part: Column) -> Column:
     return F.concat_ws("\x1f", part["kind"], part["value"])
 
 
+def _formatted(entity: Column, new: Column) -> Column:
+    """The entity with its letters, digits and plus sign taken from new in turn."""
+    start = F.struct(F.lit("").alias("out"), new.alias("rest"))
+    keeps = lambda c: c.rlike("[0-9A-Z+]")
+    step = lambda a, c: F.struct(F.concat(a["out"], F.when(keeps(c), F.substring(a["rest"], 1, 1)).otherwise(c)).alias("out"), F.when(keeps(c), F.substr(a["rest"], F.lit(2))).otherwise(a["rest"]).alias("rest"))
+    return F.aggregate(_chars(entity), start, step, lambda a: a["out"])
+
+
 def _rebuilt(text: Column, found: Column, new: Column) -> Column:
     """The text with each entity's parts replaced; new maps a part's name to its surrogate."""
 
     def one(entity: Column) -> Column:
         own = F.array_join(F.transform(parts(entity), lambda p: F.element_at(new, _name_of(p))), " ")
         title = F.when(F.size(F.split(entity, " ")) > F.size(parts(entity)), F.concat(F.split(entity, " ")[0], F.lit(" "))).otherwise("")
-        return F.when(_kind(entity) == "secret", F.concat(F.regexp_replace(entity, _SECRET_VALUE, ""), own)).when(_kind(entity) == "name", F.concat(title, own)).otherwise(own)
+        return F.when(_kind(entity) == "secret", F.concat(F.regexp_replace(entity, _SECRET_VALUE, ""), own)).when(_kind(entity) == "name", F.concat(title, own)).when(_kind(entity).isin(*_GROUPED), _formatted(entity, own)).otherwise(own)
 
     between = F.split(text, ENTITY, -1)
     return F.concat(F.array_join(F.zip_with(F.slice(between, 1, F.size(found)), F.transform(found, one), lambda a, b: F.concat(a, b)), ""), F.element_at(between, -1))
