@@ -422,6 +422,11 @@ def _(spark, sf_dir):
     return text.detected(_documents(spark, sf_dir)).where("kind in ('email', 'ssn')")
 
 
+@query("r18_detected_all_kinds")
+def _(spark, sf_dir):
+    return text.detected(_documents(spark, sf_dir))
+
+
 @query("k02_fixed_chunks", """select doc_id, chunk, chunks_in_doc, piece from (select doc_id, cast(unnest(range(len(pieces))) as int) chunk, cast(len(pieces) as int) chunks_in_doc, unnest(pieces) piece from
  (select doc_id, list_filter(list_transform(range(1, length(text) + 1, 200), lambda i: trim(substring(text, i, 200), ' ')), lambda p: p <> '') pieces from documents where length(text) > 0))""")
 def _(spark, sf_dir):

@@ -5,14 +5,14 @@ import re
 import numpy as np
 import pytest
 
-from brinework.operators import search
+from brinework.operators import search, text
 from brinework.plans import registry
 
 
-def by_hand(text):
-    text = (text or "").replace("\r\n", "\n").replace("\xa0", " ")
-    text = re.sub(r"(?<!\n)\n(?!\n)", " ", re.sub(r"[ \t]+", " ", text))
-    return re.sub(r"\n{3,}", "\n\n", text).strip()
+def by_hand(raw):
+    out = (raw or "").replace("\r\n", "\n").replace("\xa0", " ")
+    out = re.sub(r"(?<!\n)\n(?!\n)", " ", re.sub(r"[ \t]+", " ", out))
+    return re.sub(r"\n{3,}", "\n\n", out).strip()
 
 
 def test_all_documents_are_normalized(spark, tmp_path):
@@ -44,3 +44,15 @@ def test_every_50th_vector_is_asked(spark, tmp_path, monkeypatch, block):
     r = registry.QUERIES["k08_retrieval_quality_every_50th"](spark, str(tmp_path)).first()
     assert r.queries == 6
     assert abs(r.recall_at_k - np.mean([n is not None and n <= 3 for n in first])) < 1e-3 and abs(r.mrr - np.mean([1 / n if n else 0 for n in first])) < 1e-3
+
+
+def test_all_kinds_are_detected(spark, tmp_path):
+    texts = [
+        "a@b.org, a@b.org and 123-45-6789; Password: hunter2 api_key=xyz",
+        "card 4111 1111 1111 1111, call (743) 555-3824 or +1 743-555-3824",
+        None, "", "nothing, 12 of them", "token = t0 secret:s1 c.d@e.net",
+    ]
+    want = {(i, kind, m[0]) for i, t in enumerate(texts) for kind, p in text.PII.items() for m in re.finditer(p, t or "")}
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in registry.QUERIES["r18_detected_all_kinds"](spark, str(tmp_path)).collect()]
+    assert {k for _, k, _ in got} == set(text.PII) and len(got) == len(set(got)) and set(got) == want
