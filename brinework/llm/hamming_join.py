@@ -71,7 +71,7 @@ def signature(shingles: np.ndarray, k: int = K) -> bytes:
 
 
 def _sketch(shingle: int, k: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.binary()), ("sig", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("cls", pa.binary()), ("sig", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,7 +81,7 @@ def _sketch(shingle: int, k: int):
                     n.append(len(x))
                     cls.append(set_name(x))
                     sig.append(signature(x, k) if len(x) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(sig, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(sig, pa.binary())], schema=schema)
 
     return run
 
@@ -293,9 +293,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
     link with nothing; equal texts are one class. Repeated rows each get a row. A null doc_id never is a component's name
     unless all of the component is null, and is then kept as its own. Empty tables give empty tables.
     """
+    return marked_duplicates(docs, shingle, percent, k, chunks, radius).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def mark(text) -> F.Column:
+    """Tells the texts of one doc_id apart."""
+    return F.xxhash64(text)
+
+
+def marked_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int = K, chunks: int = CHUNKS, radius: int = RADIUS) -> DataFrame:
+    """near_duplicates with the text's mark and `root`, which names the component where its doc_id does not: a doc_id may occur with
+    several texts. root is null for texts without shingles."""
     docs = docs.select("doc_id", "text")
     spark = docs.sparkSession
-    sketch = common.written(docs.mapInArrow(_sketch(shingle, k), "doc_id long, n long, cls binary, sig binary"), "near-sketch")
+    sketch = common.written(docs.select("doc_id", "text", mark(F.col("text")).alias("mark")).mapInArrow(_sketch(shingle, k), "doc_id long, mark long, n long, cls binary, sig binary"), "near-sketch")
     classes = sketch.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first"), F.min("n").alias("n"), F.first("sig").alias("sig"))
     classes = common.written(classes, "near-classes")
 
@@ -338,7 +349,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
 
     named = classes.join(roots, classes["cls"] == roots["node"], "left").select("cls", "first", F.coalesce("root", "cls").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_class = named.join(least, "root").select("cls", "component_id")
-    out = sketch.select("doc_id", "n", "cls").join(by_class, "cls", "left")
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    by_class = named.join(least, "root").select("cls", "root", "component_id")
+    out = sketch.select("doc_id", "mark", "n", "cls").join(by_class, "cls", "left")
+    out = out.select("doc_id", "mark", "root", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

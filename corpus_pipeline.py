@@ -7,12 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brinework.llm import common
 from brinework.llm.fourier_quality import accepted
-from brinework.llm.hamming_join import near_duplicates
+from brinework.llm.hamming_join import mark, marked_duplicates
 from brinework.llm.piece_sampling import sampled_pieces
 from brinework.llm.queries import SURROGATE_KEY, vocabulary
 from brinework.llm.suffix_array import decontaminated
@@ -26,14 +26,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, similarity of 0.8 or more): the smallest doc_id.
-    Documents that link with nothing, those without words among them, stay. Of repeated rows with the kept doc_id one stays."""
-    found = near_duplicates(docs, shingle=5, percent=80).select("doc_id", "kept").where("not kept").distinct()
-    rest = docs.join(found.withColumnRenamed("doc_id", "_d").hint("shuffle_hash"), F.col("doc_id") == F.col("_d"), "left_anti")
+    Documents that link with nothing, those without words among them, stay. Of repeated rows with the kept doc_id one stays; where a
+    doc_id has texts of several groups, each text is kept or not by its own group."""
+    found = marked_duplicates(docs, shingle=5, percent=80).select(F.col("doc_id").alias("_d"), F.col("mark").alias("_m"), F.col("root").alias("_root"), F.col("kept").alias("_kept"))
+    gone = found.where("not _kept").select("_d", "_m").distinct()
+    rest = docs.join(gone.hint("shuffle_hash"), (F.col("doc_id") == F.col("_d")) & (mark(F.col("text")) == F.col("_m")), "left_anti")
     again = rest.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias("_d"))
     again = common.written(again, "repeated")
     if again.isEmpty():
         return rest
     many = rest.join(again, F.col("doc_id") == F.col("_d"), "left_semi").dropDuplicates(["doc_id", "text"])
+    roots = found.where("_kept and _root is not null").join(again, "_d").select("_d", "_m", "_root").distinct()
+    many = many.join(roots, (F.col("doc_id") == F.col("_d")) & (mark(F.col("text")) == F.col("_m")), "left")
+    own = Window.partitionBy("doc_id", F.coalesce(F.col("_root"), F.col("text").cast("binary"))).orderBy("text")
+    many = many.withColumn("_n", F.row_number().over(own)).where("_n = 1").select(*docs.columns)
     return rest.join(again, F.col("doc_id") == F.col("_d"), "left_anti").unionByName(many)
 
 
