@@ -14,7 +14,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         pairs = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         pairs = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    # written before the join, so that Spark can split a node with very many neighbours between tasks
+    least = checkpointed(pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
     hung = pairs.join(least, "u")
     if large:
         out = hung.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -6,10 +6,12 @@ differ in at most `radius` symbols differ in at most floor(radius / k_chunks) sy
 enumerating the symbols that may be wrong in each chunk, and joining on the rest, finds every pair within the radius.
 Candidates within the radius are confirmed on the full sets.
 
-Scale: documents with equal sets become one class before any join. A key's members hang on its smallest member (partial
-minima), first inside each task and then across tasks, so a group of n near copies makes about n candidates. Only keys that
-still hold several components after that are expanded: blocks of their members meet with their full sets, compare the pairs
-across components, and give back only links that join components.
+Scale: documents with equal sets become one class before any join. A key's members hang on its most popular member, the one
+whose keys hold most members in all, which in a group of near copies is the one that they were made from; so a group of n near
+copies makes about n candidates. Only keys that still hold several components after that are expanded. There the largest
+component's members meet the rest, and the rest each other, in blocks of bounded size; members of one component are not
+compared, so a key with n members of one component and r others moves about n + r rows, not n * n. Joins that a hot key could
+slow down read both sides from written tables, so that Spark splits the key between tasks.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ from brinework.llm import common
 from brinework.llm.components import components
 
 K, CHUNKS, RADIUS = 48, 11, 21
-#: Members of a mixed key that one task compares with as many others.
-BLOCK = 512
+#: Members of a mixed key, and shingles in their sets, that one task compares with as many others.
+BLOCK, BLOCK_SHINGLES = 4096, 1 << 21
 
 _rng = np.random.default_rng(7)
 _A = _rng.integers(0, 2**31, 256, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -274,18 +276,47 @@ def _class_sets(needed: DataFrame, classes: DataFrame, docs: DataFrame, shingle:
     first = classes.join(needed, "cls", "left_semi").select("cls", F.col("first").alias("row_key"))
     texts = docs.join(first.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(first["row_key"])).select("cls", "text")
     sets = texts.mapInArrow(_sets(shingle), "cls binary, items binary")
-    return common.written(sets, "near-sets").dropDuplicates(["cls"])
+    return common.written(sets.dropDuplicates(["cls"]), "near-sets")
 
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Links (u, v): the pairs (a, b) that hold on the full sets of the classes' first documents."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    needed = common.written(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "near-needed")
     sets = _class_sets(needed, classes, docs, shingle)
     x = pairs.join(sets.select(F.col("cls").alias("b"), F.col("items").alias("ib")), "b")
     x = x.join(sets.select(F.col("cls").alias("a"), F.col("items").alias("ia")), "a").select("a", "b", "ia", "ib")
     return x.mapInArrow(_confirm(percent), "u binary, v binary").distinct()
 
 
+def _leaders(members: DataFrame) -> DataFrame:
+    """(key, a): each key's most popular member (ties: the smallest)."""
+    sizes = common.written(members.groupBy("key").agg(F.count("*").alias("c")), "near-sizes")
+    popular = common.written(members.join(sizes, "key").groupBy("cls").agg(F.sum("c").alias("popular")), "near-popular")
+    ranked = members.join(popular, "cls").select("key", F.struct((-F.col("popular")).alias("p"), F.col("cls")).alias("rank"))
+    return common.written(ranked.groupBy("key").agg(F.min("rank").alias("top")).select("key", F.col("top.cls").alias("a")), "near-leaders")
+
+
+def _block_pairs(labelled: DataFrame, side: DataFrame) -> DataFrame:
+    """The members of keys that hold several components, once for each pair of blocks in which they are compared: blocks of the
+    rest with blocks of the key's largest component (bj below 0 names those) and with each other."""
+    side = side.select("cls", "n", "sig")
+    parts = labelled.join(side.select("cls", "n"), "cls").groupBy("key", "root").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
+    parts = common.written(parts, "near-parts")
+    top = F.max(F.struct("c", "root"))
+    mixed = parts.groupBy("key").agg(F.count("*").alias("roots"), F.sum("c").alias("c"), F.sum("n").alias("n"), top.alias("top"), F.max_by("n", F.struct("c", "root")).alias("top_n")).where("roots > 1 and c > 2")
+    blocks = lambda c, n: F.ceil(F.greatest(c / F.lit(BLOCK), n / F.lit(BLOCK_SHINGLES))).cast("int")
+    mixed = mixed.select("key", F.col("top.root").alias("main"), blocks(F.col("top.c"), F.col("top_n")).alias("mains"), blocks(F.col("c") - F.col("top.c"), F.col("n") - F.col("top_n")).alias("rests"))
+    x = labelled.join(common.written(mixed, "near-mixed-keys"), "key").join(side, "cls")
+    is_main = F.col("root") == F.col("main")
+    x = x.withColumn("own", F.pmod(F.xxhash64("cls"), F.when(is_main, F.col("mains")).otherwise(F.col("rests"))).cast("int"))
+    pair = lambda i, j, s: F.struct(i.alias("bi"), j.cast("int").alias("bj"), s.alias("side"))
+    of_main = F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda i: pair(i, -1 - F.col("own"), F.lit(1)))
+    with_main = F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda j: pair(F.col("own"), -1 - j, F.lit(0)))
+    with_rest = F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda k: pair(F.least("own", k), F.greatest("own", k), F.when(F.col("own") <= k, 0).otherwise(1)))
+    met = F.when(is_main, of_main).otherwise(F.concat(with_main, with_rest))
+    return x.select("key", "cls", "root", "n", "sig", F.inline(met))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int = K, chunks: int = CHUNKS, radius: int = RADIUS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for documents linked at 100 * intersection >= percent * union.
 
@@ -316,32 +347,25 @@ def marked_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: i
     shared = alone.withColumn("c", F.count("*").over(Window.partitionBy("key"))).where("c > 1").select("key", "cls")
     members = common.written(shared.union(inside).distinct(), "near-members")
 
-    lead = members.groupBy("key").agg(F.min("cls").alias("a"))
-    pairs = members.join(lead, "key").where("cls != a").select("a", F.col("cls").alias("b")).distinct()
+    pairs = members.join(_leaders(members), "key").where("cls != a").select("a", F.col("cls").alias("b")).distinct()
     side = classes.select("cls", "n", "sig")
 
     def within(pairs: DataFrame) -> DataFrame:
         x = pairs.join(side.toDF("b", "nb", "sigb"), "b").join(side.toDF("a", "na", "siga"), "a")
         return x.select("a", "b", "na", "nb", "siga", "sigb").mapInArrow(_near(radius, percent), "a binary, b binary")
 
-    tested = common.written(within(pairs), "near-pairs")
+    tested = common.written(within(common.written(pairs, "near-candidates")), "near-pairs")
     links = common.written(_confirmed(tested, classes, docs, shingle, percent), "near-links")
     roots = common.checkpointed(components(links))
 
     # keys that still hold several components: all pairs across those, in blocks
     labelled = members.join(roots, members["cls"] == roots["node"], "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
-    labelled = common.written(labelled, "near-labelled")
-    mixed = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c")).where("lo != hi and c > 2")
-    rest = labelled.join(mixed.select("key", "c"), "key").join(side, "cls")
-    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("cls"), blocks).cast("int")
-    rest = rest.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rest = rest.select("key", "cls", "root", "n", "sig", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"))
+    rest = _block_pairs(common.written(labelled, "near-labelled"), side)
     group, shape = ["key", "bi", "bj"], "key long, cls binary, root binary, n long, sig binary, bi int, bj int, side int"
     rest = rest.repartition(common.partitions(spark), *group).groupBy(*group)
     needed = common.written(rest.applyInPandas(_needed(k, chunks, radius, percent), shape), "near-mixed")
     if not needed.isEmpty():
-        sets = _class_sets(needed.select("cls").distinct(), classes, docs, shingle)
+        sets = _class_sets(common.written(needed.select("cls").distinct(), "near-needed"), classes, docs, shingle)
         more = needed.join(sets, "cls").repartition(common.partitions(spark), *group).groupBy(*group)
         more = more.applyInPandas(_inside(k, chunks, radius, percent), "u binary, v binary")
         links = common.written(links.union(more).distinct(), "near-links")

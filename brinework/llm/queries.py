@@ -94,4 +94,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_piece_sampling": op10_piece_sampling,
 }
 
-ORACLE: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: From links (u, v), both ways: reach (u, v) holds every document of each one's component.
+_REACH = "reach as (select u, v from links union select r.u, l.v from reach r join links l on l.u = r.v)"
+
+NEAR_DUPLICATES = f"""with recursive w as (select doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') w from documents),
+g as (select distinct doc_id, unnest(case when len(w) >= 4 then list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) s from w),
+n as (select doc_id, count(*) n from g group by doc_id),
+met as (select a.doc_id u, b.doc_id v, count(*) c from g a join g b on a.s = b.s and a.doc_id <> b.doc_id group by all),
+links as (select u, v from met join n x on x.doc_id = u join n y on y.doc_id = v where 100 * c >= 80 * (x.n + y.n - c)),
+{_REACH},
+least as (select u, least(u, min(v)) m from reach group by u)
+select d.doc_id, coalesce(n.n, 0) n_shingles, coalesce(m, d.doc_id) component_id, d.doc_id = coalesce(m, d.doc_id) kept from documents d left join n using (doc_id) left join least on u = d.doc_id"""
+
+EMBEDDING_LINKS = f"""with recursive e as (select vec_id, cast(embedding as double[]) x from embeddings),
+ok as (select * from e where x is not null and len(x) > 0 and len(list_filter(x, lambda c: c is null or not isfinite(c))) = 0 and list_max(list_transform(x, lambda c: abs(c))) > 0),
+links as (select a.vec_id u, b.vec_id v from ok a join ok b on a.vec_id <> b.vec_id and len(a.x) = len(b.x) and list_cosine_similarity(a.x, b.x) >= 0.9),
+n as (select u, count(*) n from links group by u), {_REACH},
+least as (select u, least(u, min(v)) m from reach group by u)
+select e.vec_id, coalesce(n.n, 0) n_links, coalesce(m, e.vec_id) component_id, e.vec_id = coalesce(m, e.vec_id) kept from e left join n on n.u = e.vec_id left join least l on l.u = e.vec_id"""
+
+_ALNUM = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+CONTAMINATION = f"""with d as (select doc_id, regexp_extract_all({_LOWER}, '{_ALNUM}') w from documents), b as (select item_id, regexp_extract_all({_LOWER}, '{_ALNUM}') w from benchmark),
+grams as (select distinct item_id, least(10, len(w)) k, unnest(list_transform(range(1, greatest(len(w) - 8, 2)), lambda i: array_to_string(w[i:i + 9], ' '))) s from b where len(w) > 0),
+sizes as (select distinct k from grams), starts as (select doc_id, k, w, unnest(range(1, len(w) - k + 2)) p from d cross join sizes where len(w) >= k),
+found as (select t.doc_id, t.p, t.k, g.item_id from (select doc_id, k, p, array_to_string(w[p:p + k - 1], ' ') s from starts) t join grams g on g.k = t.k and g.s = t.s),
+hit as (select doc_id, count(distinct q) n from (select doc_id, unnest(range(p, p + k)) q from found) group by doc_id),
+items as (select doc_id, count(*) n, string_agg(i, ',' order by i) names from (select distinct doc_id, cast(item_id as varchar) i from found) group by doc_id)
+select d.doc_id, len(w) n_words, coalesce(hit.n, 0) n_hit, coalesce(items.n, 0) n_items, sha256(coalesce(names, '')) items_sha256, coalesce(hit.n, 0) > 0 contaminated from d left join hit using (doc_id) left join items using (doc_id)"""
+
+#: The others have no SQL form (sampling, learned models, coders, tokenizers); tests hold them against brute force, exact round trips or held-out rows.
+ORACLE: dict[str, str] = {
+    "op4_minhash_near_dedup": NEAR_DUPLICATES,
+    "op5_lattice_hashing": EMBEDDING_LINKS,
+    "op8_suffix_array_decontamination": CONTAMINATION,
+}
