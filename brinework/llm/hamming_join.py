@@ -16,6 +16,7 @@ slow down read both sides from written tables, so that Spark splits the key betw
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Iterator
 
@@ -108,6 +109,30 @@ def _mask_keys(sig: np.ndarray, masks: list[list[int]]) -> np.ndarray:
     return out
 
 
+@functools.cache
+def _mask_tables(k: int, chunks: int, radius: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Which symbols each mask holds (k by masks), and the masks of each length: their numbers and symbols."""
+    masks = _masks(k, chunks, radius)
+    held = np.zeros((k, len(masks)), np.float32)
+    by_length: dict[int, list[int]] = {}
+    for number, mask in enumerate(masks):
+        held[mask, number] = 1
+        by_length.setdefault(len(mask), []).append(number)
+    return held, [(np.array(numbers), np.array([masks[n] for n in numbers])) for numbers in by_length.values()]
+
+
+def _number_of(key: int, sig: np.ndarray, tables: list[tuple[np.ndarray, np.ndarray]]) -> int:
+    """The mask under which one signature has the key."""
+    for numbers, symbols in tables:
+        h = (numbers + 1).astype(np.uint64)
+        for j in range(symbols.shape[1]):
+            h = common.mix(h * _STEP[1] + sig[symbols[:, j]] + np.uint64(1))
+        at = np.flatnonzero(h.view(np.int64) == key)
+        if len(at):
+            return int(numbers[at[0]])
+    raise ValueError("a signature lacks its key")
+
+
 def _keys(k: int, chunks: int, radius: int, again: bool):
     """Rows (key, cls). A key that a batch holds several times is sent on once (again: its members are given instead)."""
     masks = _masks(k, chunks, radius)
@@ -197,16 +222,13 @@ class _Group:
     def __init__(self, rows, k: int, chunks: int, radius: int, percent: int):
         import pandas as pd
 
-        masks = _masks(k, chunks, radius)
+        held, tables = _mask_tables(k, chunks, radius)
         self.sig = np.frombuffer(b"".join(rows["sig"]), np.uint16).reshape(len(rows), k)
         self.n, self.side = rows["n"].to_numpy(), rows["side"].to_numpy()
         self.root = pd.factorize(rows["root"])[0]
         self.same = bool(rows["bi"].iloc[0] == rows["bj"].iloc[0])
         self.percent, self.radius = percent, radius
-        own = _mask_keys(self.sig[:1].astype(np.uint64), masks)[:, 0].view(np.int64)
-        self.earlier = np.zeros((k, int(np.flatnonzero(own == rows["key"].iloc[0])[0])), np.float32)
-        for number in range(self.earlier.shape[1]):
-            self.earlier[masks[number], number] = 1
+        self.earlier = held[:, : _number_of(int(rows["key"].iloc[0]), self.sig[0].astype(np.uint64), tables)]
 
     def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         index = np.arange(len(self.n))
