@@ -2,10 +2,15 @@
 
 A text, with a space before it, is cut where a space follows something else. Pieces reach across several spaces only if they are
 runs of spaces, and none goes on from another character to a space, so no piece reaches across a cut: the lattice of the text is
-the chain of its words' lattices, where a word has all the spaces before it, one or more. A word's forward filter (for each place, the weights of the pieces that end
-there) is made once and remembered. Backward sampling then runs for all words of a run of texts side by side, in numpy. Each
-draw's random number is a hash of the seed, the row's key, the word's place and the step, so a row is cut alike wherever it
-is processed. A segmentation has probability in proportion to exp(sum of temperature * piece score).
+the chain of its words' lattices, where a word has all the spaces before it, one or more. The distinct words of a run of texts
+are filtered side by side in numpy: all places walk down the trie of pieces together, and a word's forward filter (for each place,
+the weights of the pieces that end there) goes on byte by byte for all words at once. Backward sampling then runs for all words
+of the texts side by side. Each draw's random number is a hash of the seed, the row's key, the word's place and the step, so a
+row is cut alike wherever it is processed.
+
+A segmentation has probability in proportion to exp(temperature * sum of log weights). Scores of unigram models are log
+probabilities; those of BPE models are minus the rank of the piece's merge, and the log weight is then that of Zipf's law,
+-log(rank + 1): a frequent long piece outweighs the many short ones that it is made of.
 
 Characters without a piece become their UTF-8 bytes' pieces, and so does a literal U+2581, which marks spaces in pieces:
 decoding gives back every text exactly.
@@ -26,18 +31,19 @@ from pyspark.sql import functions as F
 
 from brinework.llm import common
 
-#: Weight of a piece is exp(TEMPERATURE * score); scores of the public model are minus the rank of its merge.
-TEMPERATURE = 1e-4
+#: Log weights are multiplied by this: below 1 the segmentations vary more.
+TEMPERATURE = 0.5
 #: Log weight of a byte's piece, used only for characters without a piece.
 BYTE_WEIGHT = -12.0
-#: Words that a worker remembers, the latest ones.
-REMEMBERED = 900_000
+#: Characters of texts whose words are filtered together.
+RUN = 1 << 20
 _SPACE = "▁".encode()
 #: A word with the spaces before it.
 _WORD = re.compile(" +[^ ]*")
-_EDGE = np.dtype([("cdf", "<f4"), ("id", "<i4"), ("back", "<i4"), ("node", "<i4")])
-#: Bytes of a character by its first byte.
-_UTF8 = [1] * 0xC0 + [2] * 0x20 + [3] * 0x10 + [4] * 0x10
+#: Words of up to so many bytes are filtered with plain weights, tilted against vanishing; longer ones with logarithms.
+_SHORT, _TILT = 64, 4.0
+#: Bytes of a character by its first byte; 0 for bytes inside one.
+_UTF8 = np.array([1] * 0x80 + [0] * 0x40 + [2] * 0x20 + [3] * 0x10 + [4] * 0x10, np.int64)
 
 
 class Pieces:
@@ -45,148 +51,163 @@ class Pieces:
         from sentencepiece import SentencePieceProcessor
 
         model = SentencePieceProcessor(model_file=path)
+        size = model.get_piece_size()
+        scores = [model.get_score(i) for i in range(size)]
+        normal = [i for i in range(size) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
+        ranked = [i for i in normal if scores[i] > -1e8]
+        by_rank = all(scores[i] <= 0 and scores[i] == int(scores[i]) for i in ranked)
+        last = max((-scores[i] for i in ranked), default=0.0)
+
+        def log_weight(i: int) -> float:
+            score = scores[i] if scores[i] > -1e8 else -last  # pieces of spaces alone have no score in some models
+            return temperature * (-math.log(1 - score) if by_rank else score)
+
         self.surface: list[bytes] = []
+        #: (id, log weight) of each piece.
         self.weights: dict[bytes, tuple[int, float]] = {}
-        self.byte_ids = [0] * 256
-        for i in range(model.get_piece_size()):
-            piece, score = model.id_to_piece(i), model.get_score(i)
+        self.byte_ids = np.zeros(256, np.int32)
+        use = set(normal)
+        for i in range(size):
+            piece = model.id_to_piece(i)
             if model.is_byte(i):
                 self.byte_ids[int(piece[3:5], 16)] = i
                 self.surface.append(bytes([int(piece[3:5], 16)]))
                 continue
             self.surface.append(piece.encode().replace(_SPACE, b" "))
-            if model.is_control(i) or model.is_unknown(i) or model.is_unused(i):
+            if i not in use:
                 continue
             if "▁" in piece.lstrip("▁"):
                 raise ValueError(f"piece {i} has a space after another character")
             if "▁▁" in piece and piece.strip("▁"):
                 raise ValueError(f"piece {i} joins several spaces to other characters")
-            # pieces of spaces alone have no rank of their own in some models; they then count as the last
-            ranked = score > -1e8
-            if ranked or not piece.strip("▁"):
-                self.weights[piece.encode()] = (i, temperature * score if ranked else -temperature * model.get_piece_size())
-        self.weights.setdefault(_SPACE, (model.piece_to_id("▁"), -temperature * model.get_piece_size()))
-        self.prefixes = {p[:k] for p in self.weights for k in range(1, len(p))}
-        #: Every piece and every beginning of one, with the weight of a piece and 0 for the rest.
-        self.table = {p: (0, 0.0) for p in self.prefixes} | {p: (i, math.exp(w)) for p, (i, w) in self.weights.items()}
-        #: Bytes that may begin a character without a piece.
-        letters = {b: [chr(b)] if b < 0x80 else [chr((b & 3) << 6 | k) for k in range(64)] for b in [*range(0x80), 0xC2, 0xC3]}
-        easy = {b for b, chars in letters.items() if all(c.encode() in self.weights for c in chars)}
-        self.hard = frozenset(range(256)) - easy - frozenset(range(0x80, 0xC0))
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def lattices(self, words: list[str]) -> list[bytes]:
-        """Each word's forward filter, with a space before it besides those that it begins with: edges in order of the byte where they end, with the cumulated
-        probability among those that end there, piece, length in bytes, and that place."""
-        if not words:
-            return []
-        chances: list[float] = []
-        ids: list[int] = []
-        begins: list[int] = []
-        ends: list[int] = []
-        counts = []
-        for word in words:
-            before = len(ids)
-            bare = word.lstrip(" ")
-            spaces = len(word) - len(bare) + 1
-            data = _SPACE * spaces + bare.encode()
-            (self._short if len(data) <= 64 else self._long)(data, chances, ids, begins, ends, spaces)
-            counts.append(len(ids) - before)
-        edges = np.zeros(len(ids), _EDGE)
-        end = np.array(ends, np.int64)
-        owner = np.repeat(np.arange(len(words)), counts)
-        order = np.lexsort((end, owner))
-        edges["id"], edges["node"], edges["back"] = np.array(ids, np.int32)[order], end[order], (end - np.array(begins, np.int64))[order]
-        new = np.flatnonzero(np.concatenate(([True], (edges["node"][1:] != edges["node"][:-1]) | (owner[1:] != owner[:-1]))))
-        size = np.diff(np.append(new, len(edges)))
-        running = np.cumsum(np.array(chances)[order])
-        below = np.append(0.0, running)[new]
-        share = np.repeat(running[new + size - 1] - below, size)
-        edges["cdf"] = (running - np.repeat(below, size)) / share
-        cuts = np.cumsum([0, *counts]).tolist()
-        return [edges[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-
-    def _steps(self, data: bytes, s: int, spaces: int = 1) -> list[tuple[int, int, float]]:
-        """(end, piece, log weight) of what may follow at byte s; data begins with so many spaces, a later U+2581 is itself."""
-        lead, out, blank = data[s], [], len(_SPACE) * spaces
-        if s and lead & 0xC0 == 0x80:  # inside a character that has no piece
-            return [(s + 1, self.byte_ids[lead], BYTE_WEIGHT)]
-        literal = s >= blank and data.startswith(_SPACE, s)
-        if not literal:
-            for e in range(s + 1, len(data) + 1):
-                if e > blank and data.endswith(_SPACE, s, e) and s < blank:
-                    break  # a U+2581 behind spaces
-                got = self.weights.get(data[s:e])
-                if got is not None:
-                    out.append((e, *got))
-                elif data[s:e] not in self.prefixes:
-                    break
-        if s and (literal or data[s : s + _UTF8[lead]] not in self.weights):
-            out.append((s + 1, self.byte_ids[lead], BYTE_WEIGHT))
-        return out
-
-    def _short(self, data: bytes, chances: list, ids: list, begins: list, ends: list, spaces: int = 1) -> None:
-        """Sums of weights themselves: in so few bytes they neither overflow nor vanish."""
-        n, table = len(data), self.table
-        alpha = [0.0] * (n + 1)
-        alpha[0] = 1.0
-        plain = self.hard.isdisjoint(data[len(_SPACE) * spaces :])
-        first = len(ids)
-        for s in range(n):
-            a = alpha[s]
-            if not a:
-                continue
-            if not plain:
-                for e, piece, w in self._steps(data, s, spaces):
-                    p = a * math.exp(w)
-                    alpha[e] += p
-                    chances.append(p)
-                    ids.append(piece)
-                    begins.append(s)
-                    ends.append(e)
+            if scores[i] > -1e8 or not piece.strip("▁"):
+                self.weights[piece.encode()] = (i, log_weight(i))
+        self.weights.setdefault(_SPACE, (model.piece_to_id("▁"), temperature * -math.log(1 + last) if by_rank else temperature * -last))
+        self.log_weights = np.full(size, BYTE_WEIGHT)
+        self._trie()
+
+    def _trie(self) -> None:
+        """Transitions node * classes + class of byte -> node (0: none), and the piece that ends at a node (-1: none)."""
+        entries = {piece.replace(_SPACE, b" "): got for piece, got in self.weights.items()}
+        nodes = {b"": 1}
+        for surface in sorted(entries):
+            for k in range(1, len(surface) + 1):
+                nodes.setdefault(surface[:k], len(nodes) + 1)
+        used = sorted({c for surface in entries for c in surface})
+        self.classes = np.zeros(256, np.int64)  # class 0 leads nowhere
+        self.classes[used] = np.arange(1, len(used) + 1)
+        self.n_classes = len(used) + 1
+        self.go = np.zeros((len(nodes) + 1) * self.n_classes, np.int32)
+        for prefix, node in nodes.items():
+            if prefix:
+                self.go[nodes[prefix[:-1]] * self.n_classes + self.classes[prefix[-1]]] = node
+        self.ends = np.full(len(nodes) + 1, -1, np.int32)
+        for surface, (i, w) in entries.items():
+            self.ends[nodes[surface]] = i
+            self.log_weights[i] = w
+
+    def _edges(self, data: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(begin, end, piece) of all pieces in data; stop: for each byte, where its word ends."""
+        first = _UTF8[data]
+        at = np.flatnonzero(first).astype(np.int32)
+        node, step = np.full(len(at), 1, np.int64), 0
+        begins, ends, ids = [], [], []
+        alone = np.zeros(len(data), bool)  # characters that are a piece
+        cls = self.classes[data]
+        here = at
+        while len(at):
+            node = self.go[node * self.n_classes + cls[here]]
+            go = np.flatnonzero(node)
+            at, here, node = at[go], here[go] + 1, node[go].astype(np.int64)
+            step += 1
+            piece = self.ends[node]
+            hit = np.flatnonzero(piece >= 0)
+            if len(hit):
+                begins.append(at[hit])
+                ends.append(here[hit])
+                ids.append(piece[hit])
+                if step <= 4:
+                    alone[at[hit][first[at[hit]] == step]] = True
+            on = np.flatnonzero(here < stop[at])
+            at, here, node = at[on], here[on], node[on]
+        # the bytes of characters without a piece
+        bare = np.flatnonzero((first > 0) & ~alone).astype(np.int32)
+        if len(bare):
+            size = first[bare]
+            at = np.repeat(bare, size) + (np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
+            begins.append(at)
+            ends.append(at + 1)
+            ids.append(self.byte_ids[data[at]])
+        return np.concatenate(begins), np.concatenate(ends), np.concatenate(ids)
+
+    def lattices(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The words' forward filters, each word with a space before it besides those that it begins with: (length of each word,
+        first edge that ends at each byte, and for the edges the cumulated probability among those with one end, piece, begin)."""
+        coded = [w.encode() for w in words]
+        data = np.frombuffer(b" " + b" ".join(coded), np.uint8)
+        length = np.fromiter(map(len, coded), np.int64, len(coded)) + 1
+        base = np.cumsum(length) - length
+        begin, end, ids = self._edges(data, np.repeat((base + length).astype(np.int32), length))
+        # in order of the bytes where edges end; sorts of 16-bit numbers take linear time
+        order = np.argsort((end & 0xFFFF).astype(np.uint16), kind="stable")
+        order = order[np.argsort((end[order] >> 16).astype(np.uint16), kind="stable")]
+        begin, end, ids = begin[order], end[order], ids[order]
+        home = np.repeat(base.astype(np.int32), length)[begin]
+        place = end - home
+        chance = np.exp(self.log_weights[ids] + _TILT * (end - begin))
+        long = np.flatnonzero(length > _SHORT).tolist()
+        for k in long:
+            chance[np.searchsorted(end, base[k], "right") : np.searchsorted(end, base[k] + length[k], "right")] = 0.0
+        # by the place in the word: each place of all words at once
+        order = np.argsort(np.minimum(place, 255).astype(np.uint8), kind="stable")
+        came = begin[order]
+        starts, chance, node = came == home[order], chance[order], end[order]
+        new = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
+        cuts = np.searchsorted(place[order], np.arange(1, min(int(place.max()), _SHORT) + 2))
+        alpha = np.zeros(len(data) + 1)  # weight of all ways to end before a byte
+        share = np.zeros(len(begin))
+        heads = np.searchsorted(new, cuts)
+        for x, y, s, e in zip(heads[:-1], heads[1:], cuts[:-1], cuts[1:], strict=True):
+            if s == e:
                 continue
-            for e in range(s + 1, n + 1):
-                got = table.get(data[s:e])
-                if got is None:
-                    break
-                if got[1]:
-                    p = a * got[1]
-                    alpha[e] += p
-                    chances.append(p)
-                    ids.append(got[0])
-                    begins.append(s)
-                    ends.append(e)
-        chances[first:] = [p / alpha[e] for p, e in zip(chances[first:], ends[first:], strict=True)]
-
-    def _long(self, data: bytes, chances: list, ids: list, begins: list, ends: list, spaces: int = 1) -> None:
-        """The same with logarithms."""
-        n = len(data)
-        into: list[list[tuple[float, int, int]]] = [[] for _ in range(n + 1)]
-        for s in range(n + 1):
-            here = 0.0
-            if s:
-                if not into[s]:
-                    continue
-                top = max(into[s])[0]
-                total = sum(math.exp(w - top) for w, _, _ in into[s])
-                here = top + math.log(total)
-                for w, piece, begin in into[s]:
-                    chances.append(math.exp(w - here))
-                    ids.append(piece)
-                    begins.append(begin)
-                    ends.append(s)
-            if s < n:
-                for e, piece, w in self._steps(data, s, spaces):
-                    into[e].append((here + w, piece, s))
-
-    def forget(self) -> None:
-        self.young, self.old = {}, {}
-
-    def sample(self, texts: list[str], keys: np.ndarray, remembered: int = REMEMBERED) -> tuple[np.ndarray, np.ndarray]:
+            weight = chance[s:e] * np.where(starts[s:e], 1.0, alpha[came[s:e]])
+            at = new[x:y]
+            run = np.add.reduceat(weight, at - s)
+            alpha[node[at]] = run
+            share[order[s:e]] = weight / np.repeat(np.maximum(run, 1e-300), np.diff(np.append(at, e)))
+        for k in long:
+            self._long(int(base[k]), int(length[k]), begin, end, ids, share)
+        count = np.bincount(end, minlength=len(data) + 2)
+        first = np.cumsum(count) - count
+        running = np.cumsum(share)
+        cdf = running - (running - share)[first[end]]
+        cdf[first[count > 0] + count[count > 0] - 1] = 2.0  # the last edge takes what is left
+        return length, first, cdf, ids, begin
+
+    def _long(self, base: int, n: int, begin: np.ndarray, end: np.ndarray, ids: np.ndarray, share: np.ndarray) -> None:
+        """The forward filter of one long word, with logarithms; share gets its edges' probabilities."""
+        own = np.arange(np.searchsorted(end, base, "right"), np.searchsorted(end, base + n, "right"))
+        own = own[begin[own] >= base]
+        alpha = {base: 0.0}
+        rows, ends = own.tolist(), end[own].tolist()
+        begins, weights = begin[own].tolist(), self.log_weights[ids[own]].tolist()
+        k = 0
+        while k < len(rows):
+            j = k
+            while j < len(rows) and ends[j] == ends[k]:
+                j += 1
+            some = [alpha.get(begins[i], -math.inf) + weights[i] for i in range(k, j)]
+            top = max(some)
+            parts = [math.exp(w - top) if w > -math.inf else 0.0 for w in some]
+            total = sum(parts)
+            share[rows[k:j]] = [p / total for p in parts]
+            alpha[ends[k]] = top + math.log(total)
+            k = j
+
+    def sample(self, texts: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """ids of all texts, and the bounds of each text's; keys (64-bit) seed the rows."""
-        if len(self.young) > remembered // 2:
-            self.old, self.young = self.young, {}
+        if not texts:
+            return np.zeros(0, np.int32), np.zeros(1, np.int64)
         local: dict[str, int] = {}
         index, counts = [], []
         for text in texts:
@@ -194,36 +215,26 @@ class Pieces:
             words = [w[1:] for w in _WORD.findall(" " + text)] if "  " in text or text.startswith(" ") else text.split(" ")
             counts.append(len(words))
             index += [local.setdefault(w, len(local)) for w in words]
-        young, old = self.young, self.old
-        for w in local:
-            if w not in young and (got := old.get(w)) is not None:
-                young[w] = got
-        new = [w for w in local if w not in young]
-        young.update(zip(new, self.lattices(new), strict=True))
-        parts = [young[w] for w in local]
+        length, first, cdf, ids, begin = self.lattices(list(local))
+        base = np.cumsum(length) - length
         word = np.array(index, np.int64)
-        edges = np.frombuffer(b"".join(parts), _EDGE)
-        sizes = np.array([len(p) // _EDGE.itemsize for p in parts])
-        ends = np.cumsum(sizes) - 1
-        length = edges["node"][ends].astype(np.int64)  # bytes of each word
-        base = np.cumsum(length + 1) - length - 1
-        node = edges["node"] + np.repeat(base, sizes)
-        cdf, back, ids = node + edges["cdf"], edges["back"].astype(np.int64), edges["id"]
-        last = np.append(np.flatnonzero(node[1:] != node[:-1]), len(node) - 1)
-        cdf[last] = node[last] + 1.0
         place = np.arange(len(word)) - np.repeat(np.cumsum(counts) - counts, counts)
-        seed = common.mix(np.repeat(keys, counts) + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C55))
-        at, on, steps = (base + length)[word], np.arange(len(word)), []
+        state = common.mix(np.repeat(keys, counts) + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C55))
+        at, floor, on, steps = (base + length)[word], base[word], np.arange(len(word)), []
         n = np.zeros(len(word), np.int64)
-        floor = base[word]
         while len(on):
-            u = (common.mix(seed[on] + np.uint64(len(steps) + 1)) >> np.uint64(11)) * 2.0**-53
-            e = np.searchsorted(cdf, at + u, "right")
+            state = state * np.uint64(6364136223846793005) + np.uint64(1442695040888963407)
+            u = (state >> np.uint64(11)) * 2.0**-53
+            e = first[at]
+            more = np.flatnonzero(cdf[e] <= u)
+            while len(more):
+                e[more] += 1
+                more = more[cdf[e[more]] <= u[more]]
             steps.append((on, ids[e]))
             n[on] += 1
-            at = at - back[e]
-            go = at > floor[on]
-            on, at = on[go], at[go]
+            at = begin[e]
+            go = np.flatnonzero(at > floor)
+            on, at, floor, state = on[go], at[go], floor[go], state[go]
         stop = np.cumsum(n)
         out = np.empty(stop[-1] if len(stop) else 0, np.int32)
         for k, (which, piece) in enumerate(steps):
@@ -238,7 +249,7 @@ class Pieces:
 
 @functools.cache
 def pieces(path: str, temperature: float = TEMPERATURE) -> Pieces:
-    """One for each Python worker, which keeps what it remembers from task to task."""
+    """One for each Python worker."""
     return Pieces(path, temperature)
 
 
@@ -248,22 +259,21 @@ def row_keys(ids: pa.Array, seed: int) -> np.ndarray:
     return common.mix(x * np.uint64(0xD1B54A32D192ED03) + np.uint64(seed))
 
 
-def _runs(batch: pa.RecordBatch, text_at: int, key_at: int, seed: int, model: Pieces, remembered: int = REMEMBERED) -> Iterator[tuple[int, list, np.ndarray, np.ndarray]]:
+def _runs(batch: pa.RecordBatch, text_at: int, key_at: int, seed: int, model: Pieces) -> Iterator[tuple[int, list, np.ndarray, np.ndarray]]:
     texts, keys = batch.column(text_at).to_pylist(), row_keys(batch.column(key_at), seed)
     s = 0
     while s < len(texts):
         e, size = s, 0
-        while e < len(texts) and (e == s or size + len(texts[e] or "") < 1 << 19):
+        while e < len(texts) and (e == s or size + len(texts[e] or "") < RUN):
             size += len(texts[e] or "")
             e += 1
-        yield s, texts[s:e], *model.sample([t or "" for t in texts[s:e]], keys[s:e], remembered)
+        yield s, texts[s:e], *model.sample([t or "" for t in texts[s:e]], keys[s:e])
         s = e
 
 
-def sampled_pieces(docs: DataFrame, path: str, seed: int = 0, temperature: float = TEMPERATURE, remembered: int = REMEMBERED) -> DataFrame:
+def sampled_pieces(docs: DataFrame, path: str, seed: int = 0, temperature: float = TEMPERATURE) -> DataFrame:
     """docs (all columns; doc_id and text are used) with `pieces`, an array of piece ids. Null texts have null pieces; the empty
-    text has the one piece of its leading space. A column named pieces is replaced. A task remembers the lattices of so many
-    words at most, and forgets them when it ends: workers go on to other stages."""
+    text has the one piece of its leading space. A column named pieces is replaced."""
     docs = docs.drop("pieces")
     schema = docs.selectExpr("*", "cast(null as array<int>) as pieces").schema
     text_at, key_at = docs.columns.index("text"), docs.columns.index("doc_id")
@@ -271,12 +281,11 @@ def sampled_pieces(docs: DataFrame, path: str, seed: int = 0, temperature: float
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path, temperature)
         for batch in batches:
-            for s, texts, ids, bounds in _runs(batch, text_at, key_at, seed, model, remembered):
+            for s, texts, ids, bounds in _runs(batch, text_at, key_at, seed, model):
                 null = pa.array([t is None for t in texts])
                 part, lists = batch.slice(s, len(texts)), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
                 lists = pa.compute.if_else(null, pa.scalar(None, pa.list_(pa.int32())), lists)
                 yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, "pieces"])
-        model.forget()
 
     import pyarrow.compute  # noqa: F401
 

@@ -10,7 +10,7 @@ import pytest
 from helpers import SCHEMA, documents, low, prose, words
 from tokenizers import Tokenizer
 
-from brinework.llm import pitman_yor, range_coder, separator_scan, suffix_array
+from brinework.llm import piece_sampling, pitman_yor, range_coder, separator_scan, suffix_array
 from brinework.llm.bytebpe import Encoder
 from brinework.llm.fourier_quality import accepted, fit, quality_scores
 from brinework.llm.hamming_join import near_duplicates
@@ -298,13 +298,18 @@ def test_pieces_follow_the_lattice():
     assert set(seen) <= set(chance) and all(abs(seen[k] / n - p / total) < 0.02 for k, p in chance.items())
 
 
-def test_long_and_short_lattices_agree():
+def test_long_and_short_lattices_agree(monkeypatch):
     model = Pieces(PIECES)
-    for word in ["their", "x", "", "naïve"]:
-        data = ("▁" + word).encode()
-        lists = []
-        for f in (model._short, model._long):
-            rows = ([], [], [], [])
-            f(data, *rows)
-            lists.append(sorted((e, b, i, round(c, 9)) for c, i, b, e in zip(*rows, strict=True)))
-        assert lists[0] == lists[1]
+    words = ["their", "x", "", "naïve", "  two", "🙂▁é" * 5, "a" * 70, "b" * 300]
+    want = model.lattices(words)
+    for short in (0, 16):
+        monkeypatch.setattr(piece_sampling, "_SHORT", short)
+        assert all(np.allclose(x, y) for x, y in zip(model.lattices(words), want, strict=True))
+
+
+def test_sampled_words_take_about_as_many_pieces_as_the_library():
+    from sentencepiece import SentencePieceProcessor
+
+    text = "The quick brown fox jumps over the lazy dog near the river bank in early spring"
+    ids, _ = Pieces(PIECES).sample([text] * 500, np.arange(500, dtype=np.uint64))
+    assert len(ids) / 500 < 1.5 * len(SentencePieceProcessor(model_file=PIECES).encode(text))

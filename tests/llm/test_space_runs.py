@@ -18,9 +18,9 @@ def full_list():
     out = {}
     for i in range(model.get_piece_size()):
         if not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i) or model.is_byte(i)):
-            score = model.get_score(i)
-            out[model.id_to_piece(i)] = (i, math.exp(TEMPERATURE * (score if score > -1e8 else -model.get_piece_size())))
-    return out
+            out[model.id_to_piece(i)] = (i, -model.get_score(i))
+    last = max(rank for _, rank in out.values() if rank < 1e8)
+    return {k: (i, math.exp(-TEMPERATURE * math.log(1 + min(rank, last)))) for k, (i, rank) in out.items()}
 
 
 @pytest.mark.parametrize("text", ["a    b", "  x", "if   y  ", " ", "   ", "a" + " " * 5])
