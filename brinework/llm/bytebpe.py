@@ -1,9 +1,9 @@
-"""Byte-level BPE ids of whole texts, from the tokenizers library, remembered by chunk.
+"""Byte-level BPE ids of whole texts, from the tokenizers library, remembered by word.
 
 The tokenizer's pre-tokens never reach across a single space that stands before a non-space: the space begins the next one.
-So a text is cut there, the library encodes each distinct chunk once, and the ids of the chunks are joined. A chunk that is a
-space and Latin letters is one pre-token, and goes to the library's BPE model directly; a full stop or comma behind is another.
-A text in which a space stands between other white space is encoded whole by the library.
+So a text is cut there, and the library encodes each distinct word with its space once: the new words of some texts as one
+text, whose ids are told apart by the bytes that they stand for. A text in which a space stands between other white space is
+encoded whole by the library.
 """
 
 from __future__ import annotations
@@ -11,21 +11,11 @@ from __future__ import annotations
 import functools
 import re
 from array import array
-
+from itertools import accumulate
 
 _WIDE = re.compile(r"\s (?=\s|\Z)")
-#: Chunks that a task remembers; beyond that it starts anew.
-REMEMBERED = 700_000
-
-
-def _byte_letters() -> dict[int, str]:
-    """The letter that byte-level BPE writes for each byte: itself where printable, else the next letter from U+0100 on."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    other = [b for b in range(256) if b not in set(plain)]
-    return {b: chr(b) for b in plain} | {b: chr(0x100 + i) for i, b in enumerate(other)}
-
-
-_LETTERS = _byte_letters()
+#: Words that a worker remembers, the latest ones.
+REMEMBERED = 600_000
 
 
 class Encoder:
@@ -36,51 +26,67 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
-        if self.tokenizer.get_vocab_size() > 1 << 16:
+        vocab = self.tokenizer.get_vocab()
+        if len(vocab) > 1 << 16:
             raise ValueError("ids need more than 16 bits")
-        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = None if special_as_text or not special else re.compile("|".join(map(re.escape, special)))
-        self.known: dict[str, bytes] = {}
-        self.stops = dict(zip(".,", self._encode([".", ","]), strict=True))
+        self.special = [] if special_as_text else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: Bytes that each id stands for: byte-level BPE writes one letter for each.
+        self.sizes = [0] * (max(vocab.values()) + 1)
+        for token, i in vocab.items():
+            self.sizes[i] = len(token)
+        #: ids of words with the space before them; the old ones are those that have not been seen for a while.
+        self.young: dict[str, bytes] = {"": self._encode([" "])[0]}
+        self.old: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        done = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [array("H", e.ids).tobytes() for e in done]
-
-    def _word(self, chunk: str) -> bytes | None:
-        tail = self.stops.get(chunk[-1], b"")
-        word = chunk[:-1] if tail else chunk
-        if word[1:].isalpha() and max(word) < "\u0250" and (word[0] == " " or word[0].isalpha()):
-            tokens = self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(_LETTERS))
-            return array("H", [t.id for t in tokens]).tobytes() + tail
-        return None
+        return [array("H", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _spaced(self, words: list[str]) -> list[bytes]:
+        """ids of each word with a space before it, all of them encoded as one text."""
+        ids = self.tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids
+        stops = {n: k for k, n in enumerate(accumulate(map(self.sizes.__getitem__, ids)), 1)}
+        cuts = [0, *(stops.get(n) for n in accumulate(len(w.encode()) + 1 for w in words))]
+        if None in cuts:  # no id goes from one word to the next
+            return self._encode([" " + w for w in words])
+        data = array("H", ids).tobytes()
+        return [data[2 * a : 2 * b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Null counts as empty."""
+        if len(self.young) > REMEMBERED // 2:
+            self.old, self.young = self.young, {"": self.young[""]}
+        young, get = self.young, self.young.get
         out: list[bytes] = [b""] * len(texts)
-        whole, cut = [], {}
+        whole, first, parts, gaps, new = [], {}, {}, {}, {}
         for i, text in enumerate(texts):
-            if text:
-                if _WIDE.search(text) or (self.special and self.special.search(text)):
-                    whole.append(i)
-                else:
-                    first, *rest = text.split(" ")
-                    cut[i] = ([first] if first else []) + [" " + x for x in rest]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
-        new = list({x for chunks in cut.values() for x in chunks if x not in known})
-        rest = []
-        for x in new:
-            ids = self._word(x)
-            if ids is None:
-                rest.append(x)
-            else:
-                known[x] = ids
-        for s in range(0, len(rest), 20_000):
-            known.update(zip(rest[s : s + 20_000], self._encode(rest[s : s + 20_000]), strict=True))
-        for i, chunks in cut.items():
-            out[i] = b"".join([known[x] for x in chunks])
+            if not text:
+                continue
+            if _WIDE.search(text) or any(s in text for s in self.special):
+                whole.append(i)
+                continue
+            words = text.split(" ")
+            if words[0]:
+                first[i] = words[0]
+            got = list(map(get, words))
+            got[0] = b""
+            parts[i] = got
+            if None in got:
+                gaps[i] = [(k, words[k]) for k, ids in enumerate(got) if ids is None]
+                new.update(dict.fromkeys(w for _, w in gaps[i]))
+        for w in new:
+            if (ids := self.old.get(w)) is not None:
+                young[w] = ids
+        rest = [w for w in new if w not in young]
+        for s in range(0, len(rest), 10_000):
+            young.update(zip(rest[s : s + 10_000], self._spaced(rest[s : s + 10_000]), strict=True))
+        for i, some in gaps.items():
+            got = parts[i]
+            for k, w in some:
+                got[k] = young[w]
+        for i, ids in zip(first, self._encode(list(first.values())), strict=True):
+            parts[i][0] = ids
+        for i, got in parts.items():
+            out[i] = b"".join(got)
         for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
             out[i] = ids
         return out

@@ -1,13 +1,17 @@
 """Adaptive context-mixing range coder for token ids, and the file format around it.
 
 A file row is a segment: whole documents in order, whose ids are one stream cut into blocks of BLOCK ids. Every block is coded
-on its own, from a reset model, with a checksum of its ids. The blocks of a segment are coded side by side, one numpy lane
-each, so a step codes one id of every block.
+on its own, from the segment's starting model, with a checksum of its ids. The blocks of a segment are coded side by side, one
+numpy lane each, so a step codes one id of every block.
 
-Model of a lane: order-2 and order-1 tables give each a predicted id with a confidence; the block's history gives the order-0
-distribution. The mixture's weights (order-2 hit, order-1 hit, order-0) adapt for each pair of confidences. An id is coded as
-the first prediction it matches, else by its frequency in the history, else (new) literally. A carryless 32-bit range coder
-turns the intervals into bytes.
+Model: the segment's header holds how often each id occurs (order 0) and how often each pair of ids does, if often enough
+(order 1). An id has the probability of its pair; ids of rare pairs share what is left by their own frequencies. With this the
+order-2 prediction is mixed, the id that last followed the same two ids in the block: it gets its pair's probability and a share
+more. The share adapts in each block to how often such predictions have been right, apart for predictions that have held 0, 1, 2
+or more times in a row. A carryless 48-bit range coder turns the intervals into bytes.
+
+What the model tells of an id depends only on ids before it, so the encoder works out all intervals of a segment at once; only
+the range coder itself, and the decoder, go step by step.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,72 +31,122 @@ from brinework.llm.bytebpe import encoder
 
 #: Ids in a block; ids in a segment, about (a document is never cut between segments).
 BLOCK, SEGMENT = 4096, 1 << 22
-#: Slots of a prediction table; the mixture's probabilities have 12 bits and move by a sixteenth.
-_SLOTS, _ONE, _RATE = 1024, 4096, 4
+#: Slots of a block's order-2 predictions; pairs that occur less often are not in the header.
+_SLOTS, _LEAST_PAIRS = 2048, 4
+#: Totals of the pair and id distributions, in bits, and the largest share of a prediction beside the former.
+_BITS1, _BITS0, _MOST = 16, 18, 1 << 20
+#: Hits and misses, times 16, that predictions of each confidence start with.
+_HITS, _MISSES = np.array([4, 12, 24, 48], np.int64), np.array([32, 16, 12, 8], np.int64)
 #: The coder's state has 48 bits; 16 leave at a time.
 _MASK, _TOP, _LEAST = np.int64((1 << 48) - 1), np.int64(1 << 32), np.int64((1 << 24) - 1)
-FILE = "part int, segment int, n_tokens long, doc_ids array<long>, lengths array<long>, sizes array<int>, checks array<long>, payload binary"
-
-
-class _Model:
-    """Predictions of `lanes` blocks side by side."""
-
-    def __init__(self, lanes: int):
-        self.lanes, self.rows = lanes, np.arange(lanes)
-        self.slots, self.states = self.rows * _SLOTS, self.rows * 32
-        self.one, self.two = (np.zeros(lanes * _SLOTS, np.int32) for _ in "12")  # prediction * 4 + confidence
-        self.chance = np.full(lanes * 32, 600 | 600 << 16, np.int32)  # of an order-2 hit, and of an order-1 hit otherwise
-        self.prev, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.history = np.zeros((lanes, BLOCK), np.uint16)
-        self.seen, self.next_sort, self.sorted_n = 0, 16, 0
-
-    def narrow(self, lanes: int) -> None:
-        """Only the first lanes go on."""
-        self.prev, self.before, self.history = self.prev[:lanes], self.before[:lanes], self.history[:lanes]
-        self.lanes, self.rows, self.slots, self.states = lanes, self.rows[:lanes], self.slots[:lanes], self.states[:lanes]
-
-    def predict(self) -> None:
-        """The two predictions, and the weights of their hits (of _ONE)."""
-        self.at1 = self.slots + (self.prev * 40503 >> 4) % _SLOTS
-        self.at2 = self.slots + (self.prev * 2654435761 + self.before * 40503 >> 7) % _SLOTS
-        self.got1, self.got2 = self.one[self.at1], self.two[self.at2]
-        self.id1, self.id2 = self.got1 >> 2, self.got2 >> 2
-        self.state = self.states + ((self.got2 & 3) << 3 | (self.got1 & 3) << 1 | (self.id1 == self.id2))
-        chance = self.chance[self.state]
-        self.p2, self.p1 = chance & 0xFFFF, chance >> 16
-        self.w2 = self.p2.astype(np.int64)
-        self.w1 = np.maximum((_ONE - self.w2) * self.p1 >> 12, 1)
-
-    def sort_history(self) -> bool:
-        """From time to time the order-0 distribution is made anew; whether it was."""
-        n = self.seen
-        if n < self.next_sort:
-            return False
-        keys = np.sort(self.history[:, :n], axis=1).astype(np.int64)
-        keys += (self.rows << 16)[:, None]
-        self.sorted, self.sorted_n = keys.ravel(), n
-        new = np.flatnonzero(np.concatenate(([True], self.sorted[1:] != self.sorted[:-1])))
-        size = np.diff(np.append(new, len(self.sorted)))
-        self.first, self.count = np.repeat(new, size), np.repeat(size, size)
-        self.next_sort = n * 3 // 2
-        return True
-
-    def escape(self) -> int:
-        """The order-0 weight of an id that the sorted history lacks."""
-        return self.sorted_n // 3 + 1
-
-    def update(self, sym: np.ndarray) -> None:
-        hit2, hit1 = sym == self.id2, sym == self.id1
-        p2 = self.p2 + np.where(hit2, _ONE - self.p2 >> _RATE, -(self.p2 >> _RATE))
-        p1 = np.where(hit2, self.p1, self.p1 + np.where(hit1, _ONE - self.p1 >> _RATE, -(self.p1 >> _RATE)))
-        self.chance[self.state] = p1 << 16 | p2
-        fresh = sym << 2
-        for table, at, got, hit in ((self.one, self.at1, self.got1, hit1), (self.two, self.at2, self.got2, hit2)):
-            sure = got & 3
-            table[at] = np.where(hit, got + (sure < 3), np.where(sure > 0, got - 1, fresh))
-        self.history[:, self.seen] = sym
-        self.seen += 1
-        self.prev, self.before = sym, self.prev
+FILE = "part int, segment int, n_tokens long, doc_ids array<long>, lengths array<long>, sizes array<int>, checks array<long>, model binary, payload binary"
+
+
+def _shared(count: np.ndarray, total: int) -> np.ndarray:
+    """Whole shares of total, at least 1, in proportion to the counts."""
+    if not len(count):
+        return count
+    out = 1 + count * (total - len(count)) // count.sum()
+    out[np.argmax(out)] += total - out.sum()
+    return out
+
+
+def _numbers(keys: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Where each asked number stands among the keys (distinct), or -1: by a hash table with open addresses."""
+    bits = max(4, int(4 * len(keys)).bit_length())
+    home = lambda x: (x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)
+    held = np.full(1 << bits, -1, np.int32)
+    left, at, mask = np.arange(len(keys)), home(keys), (1 << bits) - 1
+    while len(left):
+        free = held[at] < 0
+        held[at[free]] = left[free]
+        go = held[at] != left
+        left, at = left[go], (at[go] + 1) & mask
+    out = np.full(len(asked), -1, np.int32)
+    if not len(keys):
+        return out
+    narrow = keys.astype(np.uint32)
+    for s in range(0, len(asked), 1 << 17):
+        part = asked[s : s + (1 << 17)]
+        at = home(part)
+        on = np.arange(len(part))
+        while len(on):
+            got = held[at]
+            same = (got >= 0) & (narrow[got] == part[on])
+            out[s + on[same]] = got[same]
+            go = np.flatnonzero((got >= 0) & ~same)
+            on, at = on[go], (at[go] + 1) & mask
+    return out
+
+
+class _Static:
+    """What a segment's header says: symbols (distinct ids) and kept pairs. A code is a kept pair's number, or pairs + symbol."""
+
+    def __init__(self, ids: np.ndarray, counts: np.ndarray, keys: np.ndarray, pair_counts: np.ndarray):
+        self.ids, self.counts, self.keys, self.pair_counts = ids, counts, keys, pair_counts
+        n, self.pairs = len(ids), len(keys)
+        self.freq0 = _shared(counts, 1 << _BITS0)
+        self.cum0 = np.cumsum(self.freq0) - self.freq0
+        ctx = keys >> 16
+        #: The symbol before, and the symbol, of each code.
+        self.ctx = np.concatenate((ctx, np.full(n, -1), [-2]))  # -1: any, -2: no code
+        self.sym = np.concatenate((keys & 0xFFFF, np.arange(n)))
+        held = np.bincount(ctx, minlength=n + 1)  # the last context is a block's beginning
+        room = np.append(np.maximum(counts, np.bincount(ctx, weights=pair_counts, minlength=n).astype(np.int64)), 1) + 1
+        self.freq = 1 + pair_counts * ((1 << _BITS1) - held[ctx] - 1) // room[ctx]
+        running = np.concatenate(([0], np.cumsum(self.freq)))
+        first = np.cumsum(held) - held
+        self.cum = running[:-1] - running[first[ctx]]
+        #: Where the interval of all other symbols begins, for each context.
+        self.escape = running[first + held] - running[first]
+        self.search = (ctx << 16 | self.cum).astype(np.uint32)
+
+    @classmethod
+    def of(cls, ids: np.ndarray) -> tuple[_Static, np.ndarray]:
+        """The model of a stream, and each id's code."""
+        counts = np.bincount(ids, minlength=1 << 16)
+        names = np.flatnonzero(counts)
+        symbol = np.zeros(1 << 16, np.uint16)
+        symbol[names] = np.arange(len(names))
+        sym = symbol[ids]
+        key = np.empty(len(sym), np.uint32)
+        key[1:] = sym[:-1].astype(np.uint32) << np.uint32(16) | sym[1:]
+        inner = np.arange(len(sym)) % BLOCK > 0  # nothing is before a block's first id
+        key[0] = 0
+        ordered = np.sort(key[inner])
+        rows = np.flatnonzero(np.concatenate((np.ones(min(1, len(ordered)), bool), ordered[1:] != ordered[:-1])))
+        size = np.diff(np.append(rows, len(ordered)))
+        kept = size >= _LEAST_PAIRS
+        keys, pair_counts = ordered[rows[kept]].astype(np.int64), size[kept]
+        code = _numbers(keys, key)
+        code[~inner] = -1
+        code = np.where(code >= 0, code, len(keys) + sym.astype(np.int32))
+        return cls(names, counts[names], keys, pair_counts), code
+
+    def to_bytes(self) -> bytes:
+        parts = [np.diff(self.ids, prepend=0).astype("<u2"), self.counts.astype("<u4"), np.diff(self.keys, prepend=0).astype("<u4"), self.pair_counts.astype("<u4")]
+        planes = [x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes() for x in parts]
+        return np.array([len(self.ids), len(self.keys)], "<u4").tobytes() + zstandard.compress(b"".join(planes), 9)
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> _Static:
+        n, pairs = np.frombuffer(data[:8], "<u4").tolist()
+        raw, at, out = zstandard.decompress(data[8:]), 0, []
+        for size, kind in ((n, "<u2"), (n, "<u4"), (pairs, "<u4"), (pairs, "<u4")):
+            width = np.dtype(kind).itemsize
+            out.append(np.frombuffer(raw, np.uint8, size * width, at).reshape(width, size).T.copy().view(kind).ravel().astype(np.int64))
+            at += size * width
+        return cls(np.cumsum(out[0]), out[1], np.cumsum(out[2]), out[3])
+
+
+def _share(hits: np.ndarray, misses: np.ndarray, state: np.ndarray) -> np.ndarray:
+    """What a prediction gets beside the 1 << _BITS1 of the pair distribution."""
+    return np.minimum(((hits * 16 + _HITS[state]) << _BITS1) // (misses * 16 + _MISSES[state]), _MOST)
+
+
+def _slot(before: np.ndarray, ctx: np.ndarray) -> np.ndarray:
+    """Slot of the two symbols before."""
+    return (before * 13 ^ ctx * 5 ^ ctx >> 4 ^ before >> 3) & (_SLOTS - 1)
 
 
 def _widths(n: int) -> np.ndarray:
@@ -99,6 +154,58 @@ def _widths(n: int) -> np.ndarray:
     return np.diff(np.append(np.arange(0, n, BLOCK), n))
 
 
+def _intervals(static: _Static, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(cum, freq, total) of each id among the codes of its place, and the symbol where it must be told on its own (else -1).
+    code: those of up to 32 blocks, whose slots have 16-bit numbers."""
+    n, sym = len(code), static.sym[code].astype(np.int32)
+    place = np.arange(n, dtype=np.int32) % BLOCK
+    none = np.int32(len(static.ids))
+    ctx, before = np.full(n, none), np.full(n, none)
+    ctx[1:], before[2:] = sym[:-1], sym[:-2]
+    ctx[place == 0], before[place < 2] = none, none
+    # the place before with the same slot in the block
+    slot = (_slot(before, ctx) + (np.arange(n, dtype=np.int32) // BLOCK) * _SLOTS).astype(np.uint16)
+    order = np.argsort(slot, kind="stable")
+    again = np.concatenate(([False], slot[order[1:]] == slot[order[:-1]]))
+    told = code[order]
+    entry = np.where(again, np.concatenate(([-1], told[:-1])), -1)
+    hit = again & (entry == told)
+    run = np.arange(n, dtype=np.int32)
+    run -= np.maximum.accumulate(np.where(hit, 0, run))  # hits in a row, this one counted
+    state = np.zeros(n, np.int8)
+    state[order[1:]] = np.where(again[1:], np.minimum(run[:-1], 3), 0)
+    back = np.empty(n, np.int32)
+    back[order] = entry
+    entry = back
+    told_of = static.ctx[entry]
+    valid = (entry >= 0) & ((told_of < 0) | (told_of == ctx))
+    hit = valid & (entry == code)
+    share = np.zeros(n, np.int64)
+    full = -(-n // BLOCK) * BLOCK
+    for k in range(4):
+        on = valid & (state == k)
+        sums = []
+        for x in (hit & on, on):
+            grid = np.zeros(full, np.int16)
+            grid[:n] = x
+            grid = grid.reshape(-1, BLOCK)
+            sums.append((np.cumsum(grid, axis=1, dtype=np.int16) - grid).ravel()[:n][on].astype(np.int64))
+        share[on] = _share(sums[0], sums[1] - sums[0], k)
+    pair = code < static.pairs
+    cum, freq = np.empty(n, np.int64), np.empty(n, np.int64)
+    at = code[pair]
+    cum[pair], freq[pair] = static.cum[at], static.freq[at]
+    escaped = static.escape[ctx[~pair]]
+    cum[~pair], freq[~pair] = escaped, (1 << _BITS1) - escaped
+    in_list = valid & (entry < static.pairs)
+    behind = in_list & ((code > entry) | ~pair)
+    cum[behind] += share[behind]
+    freq[in_list & hit] += share[in_list & hit]
+    alone = hit & ~in_list
+    cum[alone], freq[alone] = 1 << _BITS1, share[alone]
+    return cum, freq, (1 << _BITS1) + share, np.where(pair | hit, -1, sym)
+
+
 class _Coder:
     """The interval of each lane; what both directions do when it becomes narrow."""
 
@@ -129,7 +236,7 @@ class _Encoder(_Coder):
         self.out[rows, at] = top
         self.n[rows] = at + 1
 
-    def put(self, rows: np.ndarray, cum, freq, bits: int = 0, total: int = 0) -> None:
+    def put(self, rows: np.ndarray, cum, freq, bits: int = 0, total=0) -> None:
         rng = self.range[rows]
         self.narrowed(rows, rng >> bits if bits else rng // total, cum, freq)
 
@@ -154,94 +261,102 @@ class _Decoder(_Coder):
         self.code[rows] = (self.code[rows] << 16 | self.data[rows, at]) & _MASK
         self.n[rows] = at + 1
 
-    def get(self, rows: np.ndarray, bits: int = 0, total: int = 0) -> np.ndarray:
+    def get(self, rows: np.ndarray, bits: int = 0, total=0) -> np.ndarray:
         rng = self.range[rows]
         self.step = rng >> bits if bits else rng // total
-        return np.minimum((self.code[rows] - self.low[rows]) // self.step, (total or 1 << bits) - 1)
+        return np.minimum((self.code[rows] - self.low[rows]) // self.step, (1 << bits if bits else total) - 1)
 
     def took(self, rows: np.ndarray, cum, freq) -> None:
         self.narrowed(rows, self.step, cum, freq)
 
 
-def encode_blocks(ids: np.ndarray) -> list[bytes]:
-    """Each block of the stream of ids (below 65,536) as bytes."""
+def encode_blocks(ids: np.ndarray) -> tuple[bytes, list[bytes]]:
+    """The header of a stream of ids (below 65,536), and each block as bytes."""
     if not len(ids):
-        return []
+        return b"", []
+    static, code = _Static.of(ids)
     widths = _widths(len(ids))
-    lanes = len(widths)
-    grid = np.zeros((lanes, BLOCK), np.int64)
-    grid.ravel()[: len(ids)] = ids
-    by_time = np.ascontiguousarray(grid.T)
-    model, coder = _Model(lanes), _Encoder(lanes)
+    # a row for each step, with a number for each block
+    cum, freq, total, sym = (np.ones((BLOCK, len(widths)), kind) for kind in (np.int32, np.int32, np.int32, np.int32))
+    for b in range(0, len(widths), 32):
+        parts = _intervals(static, code[b * BLOCK : (b + 32) * BLOCK])
+        for grid, part in zip((cum, freq, total, sym), parts, strict=True):
+            padded = np.ones(-(-len(part) // BLOCK) * BLOCK, np.int32)
+            padded[: len(part)] = part
+            grid[:, b : b + 32] = padded.reshape(-1, BLOCK).T
+    coder = _Encoder(len(widths))
+    rows = np.arange(len(widths))
     for t in range(int(widths[0])):
         if t == widths[-1]:
-            model.narrow(lanes - 1)
-        sym, rows = by_time[t, : model.lanes], model.rows
-        model.predict()
-        if model.sort_history():  # where each id until the next sorting stands in the history
-            since = t
-            key = grid[: model.lanes, t : min(model.next_sort, BLOCK)] + (rows << 16)[:, None]
-            lo = np.minimum(np.searchsorted(model.sorted, key), len(model.sorted) - 1)
-            count = np.where(model.sorted[lo] == key, model.count[lo], 0).T.copy()
-            lo = lo.T.copy()
-        other = (sym != model.id2) & (sym != model.id1)
-        hit2 = sym == model.id2
-        both = model.w2 + model.w1
-        cum = np.where(other, both, np.where(hit2, 0, model.w2))
-        coder.put(rows, cum, np.where(other, _ONE - both, np.where(hit2, model.w2, model.w1)), bits=12)
-        rest = np.flatnonzero(other)
-        n, esc = model.sorted_n, model.escape()
-        if n and len(rest):
-            c = count[t - since][rest]
-            new = c == 0
-            coder.put(rest, np.where(new, n, lo[t - since][rest] - rest * n), np.where(new, esc, c), total=n + esc)
-            rest = rest[new]
+            rows = rows[:-1]
+        n = len(rows)
+        coder.put(rows, cum[t, :n], freq[t, :n], total=total[t, :n])
+        rest = np.flatnonzero(sym[t, :n] >= 0)
         if len(rest):
-            coder.put(rest, sym[rest], 1, bits=16)
-        model.update(sym)
-    return coder.finish()
+            s = sym[t, rest]
+            coder.put(rest, static.cum0[s], static.freq0[s], bits=_BITS0)
+    return static.to_bytes(), coder.finish()
 
 
-def decode_blocks(blocks: list[bytes], n: int) -> np.ndarray:
+def decode_blocks(model: bytes, blocks: list[bytes], n: int) -> np.ndarray:
     """The n ids of a stream's blocks."""
     if not n:
         return np.zeros(0, np.uint16)
+    static = _Static.from_bytes(model)
     widths = _widths(n)
-    lanes = len(widths)
+    lanes, none = len(widths), len(static.ids)
     grid = np.zeros((BLOCK, lanes), np.uint16)
-    model, coder = _Model(lanes), _Decoder(blocks)
+    coder, rows = _Decoder(blocks), np.arange(lanes)
+    table = np.full(lanes * _SLOTS, -1, np.int32)  # code * 4 + confidence
+    hits, misses = np.zeros(lanes * 4, np.int64), np.zeros(lanes * 4, np.int64)
+    ctx, before = np.full(lanes, none), np.full(lanes, none)
+    one, ended = 1 << _BITS1, static.pairs + none
+    # intervals by code; symbols told by a prediction alone stand behind the others
+    cums, freqs = np.append(static.cum, np.full(none + 1, one)), np.append(static.freq, np.zeros(none + 1, np.int64))
+    base, counters = rows * _SLOTS, rows * 4
     for t in range(int(widths[0])):
         if t == widths[-1]:
-            model.narrow(lanes - 1)
-        rows = model.rows
-        model.predict()
-        model.sort_history()
-        both = model.w2 + model.w1
-        value = coder.get(rows, bits=12)
-        hit2, other = value < model.w2, value >= both
-        cum = np.where(other, both, np.where(hit2, 0, model.w2))
-        coder.took(rows, cum, np.where(other, _ONE - both, np.where(hit2, model.w2, model.w1)))
-        sym = np.where(hit2, model.id2, model.id1).astype(np.int64)
-        rest = np.flatnonzero(other)
-        m, esc = model.sorted_n, model.escape()
-        if m and len(rest):
-            value = coder.get(rest, total=m + esc)
-            new = value >= m
-            at = rest * m + np.minimum(value, m - 1)
-            coder.took(rest, np.where(new, m, model.first[at] - rest * m), np.where(new, esc, model.count[at]))
-            sym[rest] = model.sorted[at] & 0xFFFF
-            rest = rest[new]
+            rows, ctx, before = rows[:-1], ctx[:-1], before[:-1]
+            base, counters = base[:-1], counters[:-1]
+        slot = _slot(before, ctx) + base
+        got = table[slot]
+        entry, state = got >> 2, got & 3
+        told_of = static.ctx[entry]
+        valid = (told_of == ctx) | (told_of == -1)
+        counter = counters + state
+        share = _share(hits[counter], misses[counter], state) * valid
+        value = coder.get(rows, total=share + one)
+        low = cums[entry]
+        high = low + freqs[entry] + share
+        over = value >= high
+        hit = valid & (value >= low) & ~over
+        behind = share * over
+        plain = value - behind
+        escape = static.escape[ctx]
+        code = np.where(hit, entry, ended)
+        on = np.flatnonzero(~hit & (plain < escape))
+        code[on] = np.searchsorted(static.search, (ctx[on] << 16 | plain[on]).astype(np.uint32), "right") - 1
+        rest = np.flatnonzero(code == ended)
+        cum, size = cums[code] + behind, freqs[code] + share * hit
+        left = escape[rest]
+        cum[rest], size[rest] = left + behind[rest], one - left
+        coder.took(rows, cum, size)
         if len(rest):
-            value = coder.get(rest, bits=16)
-            coder.took(rest, value, 1)
-            sym[rest] = value
-        grid[t, : model.lanes] = sym
-        model.update(sym)
+            value = coder.get(rest, bits=_BITS0)
+            s = np.searchsorted(static.cum0, value, "right") - 1
+            coder.took(rest, static.cum0[s], static.freq0[s])
+            code[rest] = static.pairs + s
+        hits[counter] += hit
+        misses[counter] += valid & ~hit
+        table[slot] = code << 2 | np.minimum(state + 1, 3) * hit
+        sym = static.sym[code]
+        grid[t, : len(rows)] = static.ids[sym]
+        ctx, before = sym, ctx
     return np.ascontiguousarray(grid.T).ravel()[:n]
 
 
 def _write(vocabulary: str, end: int):
-    schema = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("checks", pa.list_(pa.int64())), ("payload", pa.binary())])
+    schema = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("checks", pa.list_(pa.int64())), ("model", pa.binary()), ("payload", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, stop = encoder(vocabulary).encode, np.uint16(end).tobytes()
@@ -249,9 +364,9 @@ def _write(vocabulary: str, end: int):
 
         def flush() -> pa.RecordBatch:
             ids = np.frombuffer(bytes(held), "<u2")
-            blocks = encode_blocks(ids)
+            model, blocks = encode_blocks(ids)
             checks = [zlib.crc32(ids[s : s + BLOCK].tobytes()) for s in range(0, len(ids), BLOCK)]
-            row = {"part": part, "segment": segment, "n_tokens": len(ids), "doc_ids": list(docs), "lengths": list(lengths), "sizes": list(map(len, blocks)), "checks": checks, "payload": b"".join(blocks)}
+            row = {"part": part, "segment": segment, "n_tokens": len(ids), "doc_ids": list(docs), "lengths": list(lengths), "sizes": list(map(len, blocks)), "checks": checks, "model": model, "payload": b"".join(blocks)}
             return pa.RecordBatch.from_pylist([row], schema=schema)
 
         for batch in batches:
@@ -288,7 +403,7 @@ def _read():
                 for size in row["sizes"]:
                     blocks.append(row["payload"][at : at + size])
                     at += size
-                ids = decode_blocks(blocks, row["n_tokens"])
+                ids = decode_blocks(row["model"], blocks, row["n_tokens"])
                 for k, check in enumerate(row["checks"]):
                     if zlib.crc32(ids[k * BLOCK : (k + 1) * BLOCK].astype("<u2").tobytes()) != check:
                         raise ValueError(f"block {k} of part {row['part']}, segment {row['segment']} is damaged")
