@@ -18,13 +18,14 @@ from pyspark.sql import functions as F
 
 from brinework.llm import common
 
-#: Winning paths up to this many go to all tasks; more are joined by host.
-BROADCAST_PATHS = 200_000
+#: Winning paths of up to so many bytes in all go to all tasks; more are joined by host.
+BROADCAST_BYTES = 8 << 20
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*)(>|\Z)", re.S)
+_TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_PLAIN = re.compile(r"[^\"'>]*")
 _NAMES = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-_RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "math", "xmp"}
+_RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "xmp"}
 _OUT = {"head", "nav", "footer", "aside", "form", "button", "select", "dialog", "menu", "object", "canvas", "audio", "video"}
 _HOLDS = {"body", "article", "main", "section", "div", "td", "html"}
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
@@ -41,56 +42,120 @@ _BOILER_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search
 
 
 class Page:
-    """nodes: (parent, path, whether it is left out, whether it can hold an article); pieces: (node, text or None for a break, whether in a link)."""
+    """nodes: (parent, tag, label: tag and generalised classes, whether it is left out, the nearest element at or around it that
+    can hold an article); pieces: (node, text or None for a break, whether in a link). One pass, linear in the page's length
+    however deep or broken it is: paths are not stored, and a quote that nothing closes is an ordinary character."""
 
     def __init__(self, source: str):
-        self.nodes: list[tuple[int, str, bool, bool]] = [(-1, "", False, True)]
+        self.nodes: list[tuple[int, str, str, bool, int]] = [(-1, "", "", False, 0)]
         self.pieces: list[tuple[int, str | None, bool]] = []
-        stack: list[tuple[str, int]] = [("", 0)]
-        links, at, n = 0, 0, len(source)
+        self.stack: list[tuple[str, int]] = [("", 0)]
+        self.open: dict[str, int] = {}
+        self.blocks = [0]  # places in the stack that are not inline
+        at, n, open_quotes = 0, len(source), {'"': True, "'": True}
         while at < n:
-            m = _TOKEN.search(source, at)
-            text = source[at : m.start() if m else n]
-            if text:
-                self.pieces.append((stack[-1][1], html.unescape(text), links > 0))
-            if not m:
+            lt = source.find("<", at)
+            stop = n if lt < 0 else lt
+            if stop > at:
+                self._text(source[at:stop])
+            if lt < 0:
                 break
-            at = m.end()
-            if not m[2] or not m[4]:
+            if source.startswith("<!--", lt):
+                end = source.find("-->", lt + 4)
+                at = n if end < 0 else end + 3
                 continue
-            tag = m[2].lower()
-            if tag not in _INLINE:
-                self.pieces.append((stack[-1][1], None, False))
-            if m[1]:
-                k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), 0)
-                if k:
-                    links -= sum(t == "a" for t, _ in stack[k:])
-                    del stack[k:]
+            if source.startswith(("<!", "<?"), lt):
+                end = source.find(">", lt)
+                at = n if end < 0 else end + 1
                 continue
-            if tag in _RAW:
-                end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(source, at)
-                stop = source.find(">", end.start()) if end else -1
-                at = stop + 1 if stop >= 0 else n
+            m = _TAG.match(source, lt + 1)
+            if not m:
+                self._text("<")
+                at = lt + 1
                 continue
-            gone = _CLOSES.get(tag, set()) | ({"p"} if tag in _CLOSES_P else set())
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in gone:
-                    links -= sum(t == "a" for t, _ in stack[k:])
-                    del stack[k:]
-                elif stack[k][0] not in _INLINE:
+            end = m.end()
+            while True:
+                end = _PLAIN.match(source, end).end()
+                if end >= n or source[end] == ">":
                     break
-            if tag in _VOID:
-                continue
-            parent = stack[-1][1]
-            names = {k.lower(): a or b or c for k, a, b, c in _NAMES.findall(m[3])} if m[3] else {}
-            out = self.nodes[parent][2] or tag in _OUT or (tag == "header" and not any(t in ("article", "main") for t, _ in stack))
-            if not out and names and tag not in ("html", "body", "article", "main"):
-                told = names.get("class", "") + " " + names.get("id", "")
-                out = bool(_BOILER.search(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", told))) or names.get("role", "").lower() in _BOILER_ROLES
-            path = self.nodes[parent][1] + ">" + tag + "".join("." + c for c in sorted(re.sub(r"\d+", "#", names.get("class", "")).lower().split()))
-            self.nodes.append((parent, path, out, tag in _HOLDS))
-            stack.append((tag, len(self.nodes) - 1))
-            links += tag == "a"
+                quote = source[end]
+                close = source.find(quote, end + 1) if open_quotes[quote] else -1
+                open_quotes[quote] = close >= 0  # nothing behind closes it either
+                end = close + 1 if close >= 0 else end + 1
+            at = end + 1
+            if end >= n:
+                break
+            at = self._tag_at(source, m[1], m[2].lower(), source[m.end() : end], at)
+
+    def _text(self, text: str) -> None:
+        self.pieces.append((self.stack[-1][1], html.unescape(text), self.open.get("a", 0) > 0))
+
+    def _cut(self, k: int) -> None:
+        """Closes the elements of the stack from k on."""
+        for tag, _ in self.stack[k:]:
+            self.open[tag] -= 1
+        del self.stack[k:]
+        while self.blocks[-1] >= k:
+            self.blocks.pop()
+
+    def _tag_at(self, source: str, closing: str, tag: str, attributes: str, at: int) -> int:
+        """Takes a tag; gives the place where reading goes on."""
+        stack = self.stack
+        if tag not in _INLINE:
+            self.pieces.append((stack[-1][1], None, False))
+        if closing:
+            if self.open.get(tag):
+                k = len(stack) - 1
+                while stack[k][0] != tag:
+                    k -= 1
+                self._cut(k)
+            return at
+        if tag in _RAW:
+            end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(source, at)
+            stop = source.find(">", end.start()) if end else -1
+            return stop + 1 if stop >= 0 else len(source)
+        gone = _CLOSES.get(tag, set()) | ({"p"} if tag in _CLOSES_P else set())
+        while gone and self.blocks[-1] and stack[self.blocks[-1]][0] in gone:
+            self._cut(self.blocks[-1])
+        if tag in _VOID:
+            return at
+        parent = stack[-1][1]
+        names = {k.lower(): a or b or c for k, a, b, c in _NAMES.findall(attributes)} if attributes else {}
+        out = self.nodes[parent][3] or tag in _OUT or (tag == "header" and not self.open.get("article") and not self.open.get("main"))
+        if not out and names and tag not in ("html", "body", "article", "main"):
+            told = names.get("class", "") + " " + names.get("id", "")
+            out = bool(_BOILER.search(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", told))) or names.get("role", "").lower() in _BOILER_ROLES
+        label = tag + "".join("." + c for c in sorted(re.sub(r"\d+", "#", names.get("class", "").replace(">", "")).lower().split()))
+        node = len(self.nodes)
+        self.nodes.append((parent, tag, label, out, node if tag in _HOLDS else self.nodes[parent][4]))
+        if tag not in _INLINE:
+            self.blocks.append(len(stack))
+        stack.append((tag, node))
+        self.open[tag] = self.open.get(tag, 0) + 1
+        return at
+
+    def path(self, node: int) -> str:
+        """Labels from the page down to the node."""
+        out = []
+        while node > 0:
+            out.append(self.nodes[node][2])
+            node = self.nodes[node][0]
+        return "".join(">" + x for x in reversed(out))
+
+    def at_path(self, path: str) -> set[int]:
+        """The elements at the path that can hold an article and are not left out."""
+        labels = path.split(">")[1:]
+        depth, found = [0], set()  # how many labels lead to the node, or -1
+        if not labels:
+            return {0}
+        for k in range(1, len(self.nodes)):
+            parent, _, label, out, holder = self.nodes[k]
+            d = depth[parent]
+            d = d + 1 if 0 <= d < len(labels) and labels[d] == label else -1
+            depth.append(d)
+            if d == len(labels) and holder == k and not out:
+                found.add(k)
+        return found
 
     def best(self) -> int:
         """The container whose paragraphs hold most text outside links (half counts for the container around it too), or what is
@@ -98,39 +163,33 @@ class Page:
         outside links that is not left out."""
         score: dict[int, float] = {}
         for node, text, link in self.pieces:
-            if text and not link and not self.nodes[node][2]:
-                size = float(len("".join(text.split())))
-                for _ in "12":
-                    while node >= 0 and not self.nodes[node][3]:
-                        node = self.nodes[node][0]
-                    if node < 0:
-                        break
-                    score[node] = score.get(node, 0.0) + size
-                    node, size = self.nodes[node][0], size / 2
+            if text and not link and not self.nodes[node][3]:
+                size, node = float(len("".join(text.split()))), self.nodes[node][4]
+                score[node] = score.get(node, 0.0) + size
+                if node:
+                    around = self.nodes[self.nodes[node][0]][4]
+                    score[around] = score.get(around, 0.0) + size / 2
         node = max(score, key=lambda k: (score[k], -k), default=0)
         around, k = node, node
         while k >= 0:
-            if self._tag(k) in ("article", "main"):
+            if self.nodes[k][1] in ("article", "main"):
                 around = k
             k = self.nodes[k][0]
-        if around != node or self._tag(node) in ("article", "main"):
+        if around != node or self.nodes[node][1] in ("article", "main"):
             return around
         held = self._sizes()
         top, k = node, self.nodes[node][0]
         while k >= 0:
-            if self.nodes[k][3] and held[k] > held[top]:
+            if self.nodes[k][4] == k and held[k] > held[top]:
                 top = k
             k = self.nodes[k][0]
         return top
 
-    def _tag(self, node: int) -> str:
-        return self.nodes[node][1].rpartition(">")[2].partition(".")[0]
-
     def _own_sizes(self) -> list[int]:
         """Characters outside links of each element itself, without what is left out."""
         held = [0] * len(self.nodes)
         for node, text, link in self.pieces:
-            if text and not link and not self.nodes[node][2]:
+            if text and not link and not self.nodes[node][3]:
                 held[node] += len("".join(text.split()))
         return held
 
@@ -143,13 +202,13 @@ class Page:
 
     def _inside(self, chosen: set[int]) -> list[bool]:
         inside: list[bool] = []
-        for k, (parent, _, out, _) in enumerate(self.nodes):
+        for k, (parent, _, _, out, _) in enumerate(self.nodes):
             inside.append(not out and (k in chosen or parent >= 0 and inside[parent]))
         return inside
 
     def text(self, path: str | None) -> str:
         """The text of the elements at the path, or of the best container if there is none or they hold less than half as much."""
-        chosen = {k for k, x in enumerate(self.nodes) if x[1] == path and x[3] and not x[2]} if path is not None else set()
+        chosen = self.at_path(path) if path is not None else set()
         own = self.best()
         inside = self._inside(chosen)
         if own not in chosen:
@@ -165,7 +224,7 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         paths = []
         for source in batch.column(1).to_pylist():
             page = Page(source or "")
-            paths.append(page.nodes[page.best()][1])
+            paths.append(page.path(page.best()))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(paths, pa.string())], schema=schema)
 
 
@@ -193,7 +252,8 @@ def main_text(pages: DataFrame) -> DataFrame:
     whose url names no host is extracted by its own best container; repeated rows each get a row."""
     pages = pages.select(F.col("page_id").cast("long"), "url", "html")
     winners = common.written(winning_paths(pages), "host-paths")
-    few = winners.count() <= BROADCAST_PATHS
+    size = winners.agg(F.sum(F.octet_length("host") + F.octet_length("path"))).collect()[0][0] or 0
+    few = size <= BROADCAST_BYTES
     host = host_of(F.col("url"))
     rows = pages.withColumn("host", host).join(F.broadcast(winners) if few else winners, "host", "left")
     return rows.select("page_id", "url", "html", "path").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

@@ -2,7 +2,7 @@
 
 Entities are found by one pattern and told apart by their own; each is replaced by a surrogate drawn from a keyed hash of its kind
 and value, so an entity has the same surrogate wherever it occurs (coreference). Surrogates keep kind and format: digits
-stay digits, letters letters of their case, card numbers keep their check digit, addresses stay in range, e-mail addresses
+stay digits, letters letters of their case, valid card and account numbers (IBAN) stay valid, addresses stay in range, e-mail addresses
 keep their top-level domain; parts of names keep gender and script.
 
 Names are found after a form of address of the lists below, or as one of the 40 given names below and the capitalised word behind
@@ -100,6 +100,16 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(values, F.lit(0), lambda a, v: a + v)
 
 
+def _mod97(text: Column) -> Column:
+    """The remainder by 97 of a text of digits and capital letters, which count as 10 to 35."""
+    step = lambda a, c: F.when(c.rlike("[0-9]"), (a * 10 + c.cast("int")) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97)
+    return F.aggregate(_chars(text), F.lit(0), lambda a, c: step(a, c).cast("int"))
+
+
+def _iban_moved(iban: Column) -> Column:
+    return F.concat(F.substr(iban, F.lit(5)), F.substring(iban, 1, 4))
+
+
 def drawn(values: DataFrame, key: str) -> DataFrame:
     """values (kind, value, attempt) with `new`, each part's surrogate at its attempt-th draw."""
     seed = F.concat_ws("\x1f", F.lit(key), "kind", "value", F.col("attempt").cast("string"))
@@ -122,13 +132,16 @@ def drawn(values: DataFrame, key: str) -> DataFrame:
     rows = rows.withColumn("valid", F.when(kind == "card", _luhn(digits(value)) % 10 == 0).otherwise(False))
     rows = rows.withColumn("zeroed", F.when(F.col("valid"), F.regexp_replace("plain", "[0-9]$", "0")))
     fixed = F.concat(F.regexp_replace("zeroed", "0$", ""), ((10 - _luhn(digits(F.col("zeroed"))) % 10) % 10).cast("string"))
+    rows = rows.withColumn("iban", F.when(kind == "iban", _mod97(_iban_moved(value)) == 1).otherwise(False))
+    check = 98 - _mod97(_iban_moved(F.concat(F.substring("plain", 1, 2), F.lit("00"), F.substr(F.col("plain"), F.lit(5)))))
+    iban = F.concat(F.substring("plain", 1, 2), F.lpad(check.cast("string"), 2, "0"), F.substr(F.col("plain"), F.lit(5)))
     ip = F.array_join(F.transform(F.array(*map(F.lit, range(4))), lambda i: (byte(i) % 254 + 1).cast("string")), ".")
     cyrillic = kind.startswith("cyrillic")
     part = lambda k: F.when(cyrillic, F.element_at(F.array(*map(F.lit, SYLLABLES["cyrillic"])), byte(F.lit(k)) % 16 + 1)).otherwise(F.element_at(F.array(*map(F.lit, SYLLABLES["latin"])), byte(F.lit(k)) % 16 + 1))
     ends = F.create_map(*[x for script, by in ENDINGS.items() for what, chosen in by.items() for x in (F.lit(f"{script}-{what}"), F.array(*map(F.lit, chosen)))])
     more = F.when(attempt + byte(F.lit(2)) % 2 > 0, part(3)).otherwise("")
     name = F.initcap(F.concat(part(0), part(1), more, F.when(attempt > 1, part(5)).otherwise(""), F.element_at(F.element_at(ends, kind), byte(F.lit(4)) % 4 + 1)))
-    new = F.when(kind == "ip", ip).when(F.col("valid"), fixed).when(kind.rlike("^(latin|cyrillic)-"), name).otherwise(F.col("plain"))
+    new = F.when(kind == "ip", ip).when(F.col("valid"), fixed).when(F.col("iban"), iban).when(kind.rlike("^(latin|cyrillic)-"), name).otherwise(F.col("plain"))
     return rows.select("kind", "value", "attempt", new.alias("new"))
 
 
@@ -174,23 +187,27 @@ def _rebuilt(text: Column, found: Column, new: Column) -> Column:
     return F.concat(F.array_join(F.zip_with(F.slice(between, 1, F.size(found)), F.transform(found, one), lambda a, b: F.concat(a, b)), ""), F.element_at(between, -1))
 
 
-def replaced(docs: DataFrame, key: str) -> DataFrame:
-    """docs (all columns) with the entities of text replaced; `_entities`, an array of them as found, is added.
+def replaced(docs: DataFrame, key: str, found: str = "_entities") -> DataFrame:
+    """docs (all columns, whatever their names) with the entities of text replaced, and a column named `found` (in place of one that
+    is there), an array of the entities as they were.
 
     Null texts stay null and have none; empty texts stay empty; repeated rows are replaced alike; empty tables stay empty. Only
-    texts with entities are joined with their surrogates. The same key gives the same surrogates for the same entities, but for
-    those that other corpora make clash.
+    texts with entities, which are written with what was found in them, are joined with their surrogates. The same key gives the
+    same surrogates for the same entities, but for those that other corpora make clash.
     """
-    some = F.coalesce(F.col("text").rlike(ENTITY), F.lit(False))
-    told = docs.where(some).withColumn("_entities", entities(F.col("text"))).withColumn("_row", F.md5("text"))
-    each = told.select("_row", F.explode("_entities").alias("e")).select("_row", F.explode(parts(F.col("e"))).alias("p"))
-    each = common.written(each.select("_row", "p.kind", "p.value").distinct(), "occurrences")
-    new = surrogates(each.select("kind", "value").distinct(), key)
-    own = each.join(new, ["kind", "value"]).groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct(_name_of(F.struct("kind", "value")), F.col("new")))).alias("_new"))
-    told = told.join(own, "_row").withColumn("text", _rebuilt(F.col("text"), F.col("_entities"), F.col("_new")))
-    rest = docs.where(~some).withColumn("_entities", F.array().cast("array<string>"))
-    columns = [*docs.columns, "_entities"]
-    return rest.select(*columns).unionByName(told.select(*columns))
+    docs = docs.drop(found)
+    columns = docs.columns
+    whole = F.struct(*[F.col(f"`{c}`") for c in columns])  # one column, so that no name of theirs meets one of ours
+    some = F.coalesce(docs["text"].rlike(ENTITY), F.lit(False))
+    told = docs.where(some).select(whole.alias("doc"), docs["text"].alias("told"))
+    told = common.written(told.select("doc", F.md5("told").alias("name"), entities(F.col("told")).alias("entities")), "told")
+    each = told.select("name", F.explode("entities").alias("e")).select("name", F.explode(parts(F.col("e"))).alias("p"))
+    each = common.written(each.select("name", "p.kind", "p.value").distinct(), "occurrences")
+    new = common.written(surrogates(each.select("kind", "value").distinct(), key), "chosen")
+    own = each.join(new, ["kind", "value"]).groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct(_name_of(F.struct("kind", "value")), F.col("new")))).alias("new"))
+    told = told.join(common.written(own, "own"), "name").withColumn("text", _rebuilt(F.col("doc.text"), F.col("entities"), F.col("new")))
+    rebuilt = told.select(*[F.col("text") if c == "text" else F.col(f"doc.`{c}`").alias(c) for c in columns], F.col("entities").alias(found))
+    return docs.where(~some).withColumn(found, F.array().cast("array<string>")).unionByName(rebuilt)
 
 
 def pseudonymised(docs: DataFrame, key: str) -> DataFrame:

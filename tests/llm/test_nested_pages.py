@@ -41,3 +41,24 @@ def test_sections_directly_in_the_body(spark):
     page = f"<h1>Title</h1><section class=one><p>a short section</section><section class=two><p>{LONG}</section>"
     whole = " ".join(f"Title a short section {LONG}".split())
     assert texts(spark, page, page) == {0: whole, 1: whole}
+
+
+def test_deep_and_broken_pages_take_linear_time():
+    import time
+
+    from brinework.llm.host_paths import Page
+
+    pages = {"<div>" * 100_000 + "deep" + "</div>" * 100_000: "deep", "<a b='x>y" * 100_001: None, '<p t="' + '<a b="c ' * 100_000: None, "<b>" * 100_000 + "in<p>more" * 1000: None, "<" * 200_000: None, "<div>" * 50_000 + "</i>" * 100_000 + "end": "end"}
+    began = time.time()
+    for source, want in pages.items():
+        page = Page(source)
+        text = page.text(page.path(page.best()))
+        assert want is None or text == want
+    assert time.time() - began < 60
+
+
+def test_formulas_are_text():
+    from brinework.llm.host_paths import Page
+
+    page = Page("<article><p>Where <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p><svg><text>drawn</text></svg></article>")
+    assert page.text(None).replace(" ", "") == "Wherex=2holds."
