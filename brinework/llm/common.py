@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -93,9 +94,11 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; where it is unset, as in tests, a temporary one is set."""
+    """The folder that spark.checkpoint.dir names. Where it is unset and all of Spark is in one process, a temporary one is set."""
     there = spark.conf.get("spark.checkpoint.dir", None)
     if not there:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is unset; set it to a folder that the driver and all executors share")
         made = tempfile.mkdtemp(prefix="brinework-")
         atexit.register(shutil.rmtree, made, ignore_errors=True)
         there = f"file://{made}"

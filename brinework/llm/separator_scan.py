@@ -60,11 +60,21 @@ def flat_files(docs: DataFrame, vocabulary: str, separator: int = 50256, block_i
 
 
 def read_flat(spark: SparkSession, path: str, width: int = 2, block_ids: int = BLOCK_IDS) -> DataFrame:
-    """Blocks (file, block, ids) of raw binary files of little-endian ids; each file up to 2 GB, as Spark's binary source reads."""
+    """Blocks (file, block, ids) of raw binary files of little-endian ids; each file up to 2 GB, as Spark's binary source reads. A
+    file's task cuts it; its bytes are not copied for each block."""
     step = width * block_ids
-    files = spark.read.format("binaryFile").load(path).where("length > 0")
-    cuts = F.posexplode(F.sequence(F.lit(1).cast("long"), F.col("length"), F.lit(step).cast("long"))).alias("block", "at")
-    return files.select(F.col("path").alias("file"), "content", cuts).select("file", "block", F.expr(f"substring(content, cast(at as int), {step})").alias("ids"))
+    schema = pa.schema([("file", pa.string()), ("block", pa.int32()), ("ids", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                data = content.as_buffer()
+                for block, at in enumerate(range(0, data.size, step)):
+                    part = data.slice(at, min(step, data.size - at))
+                    yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([block], pa.int32()), pa.array([part.to_pybytes()], pa.binary())], schema=schema)
+
+    files = spark.read.format("binaryFile").load(path).where("length > 0").select("path", "content")
+    return files.mapInArrow(run, "file string, block int, ids binary")
 
 
 def _search(separator: int, width: int):
@@ -93,11 +103,13 @@ def scan(blocks: DataFrame, separator: int = 50256, width: int = 2) -> DataFrame
     found = common.written(found, "separators")
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     after = Window.partitionBy("file").orderBy("block").rowsBetween(1, Window.unboundedFollowing)
-    base = F.coalesce(F.sum("n").over(before), F.lit(0))
-    x = found.withColumn("base", base).withColumn("number", F.coalesce(F.sum(F.size("at")).over(before), F.lit(0)))
-    x = x.withColumn("last", F.when(F.size("at") > 0, F.col("base") + F.element_at("at", -1)))
+    # the scan runs over a few numbers of each block; the separators' places stay where they are
+    x = found.select("file", "block", "n", F.size("at").alias("k"), F.when(F.size("at") > 0, F.element_at("at", -1)).alias("last"))
+    x = x.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("number", F.coalesce(F.sum("k").over(before), F.lit(0)))
+    x = x.withColumn("last", F.col("base") + F.col("last"))
     x = x.withColumn("carry", F.coalesce(F.max("last").over(before), F.lit(-1)))
-    x = x.withColumn("more", F.coalesce(F.sum("n").over(after), F.lit(0)))
+    x = x.withColumn("more", F.coalesce(F.sum("n").over(after), F.lit(0))).drop("n", "k")
+    x = found.join(common.written(x, "scanned"), ["file", "block"])
     end = F.col("base") + F.col("n")
     tail = F.when((F.col("more") == 0) & (F.greatest("carry", F.coalesce("last", F.lit(-1))) + 1 < end) & (F.col("n") > 0), F.array(end)).otherwise(F.array().cast("array<long>"))
     ends = F.transform("at", lambda p: p + F.col("base"))

@@ -25,7 +25,10 @@ BLOCK_BYTES = 16 << 20
 #: Bytes of documents in a shard.
 SHARD_BYTES = 4 << 20
 
-MATCH = pa.struct([("item_id", pa.int64()), ("item_start", pa.int64()), ("doc_start", pa.int64()), ("n_words", pa.int64())])
+MATCH = pa.struct([("item_id", pa.string()), ("item_start", pa.int64()), ("doc_start", pa.int64()), ("n_words", pa.int64())])
+
+
+_FIELDS = ["item_id", "item_start", "doc_start", "n_words"]
 
 
 class SuffixArray:
@@ -98,7 +101,7 @@ class SuffixArray:
 class Items:
     """Benchmark items as one padded sequence of hashes, and the suffixes that can begin a window."""
 
-    def __init__(self, rows: list[tuple[int | None, str | None]], window: int):
+    def __init__(self, rows: list[tuple[str | None, str | None]], window: int):
         texts = [t.encode() if t else None for _, t in rows]
         words = [h[s:e] for _, _, h, b in common.hashed_words(texts, common.ALNUM) for s, e in zip(b[:-1], b[1:], strict=True)]
         self.depth = max((len(w) for w in words), default=0)
@@ -117,7 +120,7 @@ class Items:
             at += len(w) + 1
         self.start, self.need, self.at = (np.array(x, np.int64) for x in (self.start, self.need, self.at))
 
-    def matches(self, words: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int | None, int, int, int]]:
+    def matches(self, words: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, str | None, int, int, int]]:
         """(document, item_id, item_start, doc_start, n_words) for each longest match in the documents' words."""
         if not len(words) or not len(self.at):
             return
@@ -159,9 +162,10 @@ def _scan(items: Items):
         for batch in batches:
             texts = common.as_bytes(batch.column(2))
             for first, last, words, bounds in common.hashed_words(texts, common.ALNUM, SHARD_BYTES):
-                found: list[list] = [[] for _ in range(last - first)]
-                for d, item, item_start, doc_start, n in items.matches(words, bounds):
-                    found[d].append({"item_id": item, "item_start": item_start, "doc_start": doc_start, "n_words": n})
+                told: list[set] = [set() for _ in range(last - first)]
+                for d, *match in items.matches(words, bounds):
+                    told[d].add(tuple(match))
+                found = [[dict(zip(_FIELDS, m, strict=True)) for m in sorted(t, key=lambda m: (m[0] is not None, m))] for t in told]
                 hit = [_covered([(m["doc_start"], m["doc_start"] + m["n_words"]) for m in f]) for f in found]
                 part = batch.slice(first, last - first)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(bounds), pa.int64()), pa.array(hit, pa.int64()), pa.array(found, pa.list_(MATCH))], schema=schema)
@@ -169,7 +173,7 @@ def _scan(items: Items):
     return run
 
 
-_ROWS = "doc_id long, key long, n_words long, n_hit long, matches array<struct<item_id: long, item_start: long, doc_start: long, n_words: long>>"
+_ROWS = "doc_id long, key long, n_words long, n_hit long, matches array<struct<item_id: string, item_start: long, doc_start: long, n_words: long>>"
 
 
 def verbatim_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
@@ -177,10 +181,11 @@ def verbatim_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10) ->
     each longest verbatim match of at least `window` words (an item of fewer words: all of it) with both places.
 
     key is a hash of the text. Null or empty texts have no words; null or empty items match nothing; repeated rows each get a
-    row, and equal items each a match. Matches are ordered by item suffix and place.
+    row. Matches are distinct and ordered by item_id (as text), place in the item and place in the document, however many blocks
+    the benchmark takes.
     """
     docs = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
-    items = benchmark.select(F.col("item_id").cast("long"), "text")
+    items = benchmark.select(F.col("item_id").cast("string"), "text")
     size = items.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
     blocks = -(-size // BLOCK_BYTES) or 1
     if blocks == 1:
@@ -207,7 +212,7 @@ def verbatim_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10) ->
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for each row of docs; see verbatim_matches."""
     found = verbatim_matches(docs, benchmark, window)
-    names = F.sort_array(F.array_distinct(F.transform("matches", lambda m: m["item_id"].cast("string"))))
+    names = F.sort_array(F.array_distinct(F.transform("matches", lambda m: m["item_id"])))
     found = found.withColumn("names", names)
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("names").cast("long").alias("n_items"),
