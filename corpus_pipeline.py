@@ -28,19 +28,20 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, similarity of 0.8 or more): the smallest doc_id.
     Documents that link with nothing, those without words among them, stay. Of repeated rows with the kept doc_id one stays; where a
     doc_id has texts of several groups, each text is kept or not by its own group."""
-    found = marked_duplicates(docs, shingle=5, percent=80).select(F.col("doc_id").alias("_d"), F.col("mark").alias("_m"), F.col("root").alias("_root"), F.col("kept").alias("_kept"))
-    gone = found.where("not _kept").select("_d", "_m").distinct()
-    rest = docs.join(gone.hint("shuffle_hash"), (F.col("doc_id") == F.col("_d")) & (mark(F.col("text")) == F.col("_m")), "left_anti")
-    again = rest.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias("_d"))
-    again = common.written(again, "repeated")
+    found = marked_duplicates(docs, shingle=5, percent=80).select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), "root", "kept")
+    gone = found.where("not kept").select("d", "m").distinct()
+    rest = docs.join(gone.hint("shuffle_hash"), (docs["doc_id"] == gone["d"]) & (mark(docs["text"]) == gone["m"]), "left_anti")
+    again = common.written(rest.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select(F.col("doc_id").alias("d")), "repeated")
     if again.isEmpty():
         return rest
-    many = rest.join(again, F.col("doc_id") == F.col("_d"), "left_semi").dropDuplicates(["doc_id", "text"])
-    roots = found.where("_kept and _root is not null").join(again, "_d").select("_d", "_m", "_root").distinct()
-    many = many.join(roots, (F.col("doc_id") == F.col("_d")) & (mark(F.col("text")) == F.col("_m")), "left")
-    own = Window.partitionBy("doc_id", F.coalesce(F.col("_root"), F.col("text").cast("binary"))).orderBy("text")
-    many = many.withColumn("_n", F.row_number().over(own)).where("_n = 1").select(*docs.columns)
-    return rest.join(again, F.col("doc_id") == F.col("_d"), "left_anti").unionByName(many)
+    many = rest.join(again, rest["doc_id"] == again["d"], "left_semi").dropDuplicates(["doc_id", "text"])
+    # one column holds the whole row, so that no name of documents meets one of ours
+    many = common.written(many.select(F.struct(*[many[c] for c in docs.columns]).alias("row"), "doc_id", "text", mark(many["text"]).alias("mark")), "several")
+    roots = found.where("kept and root is not null").join(again, "d").select("d", "m", "root").distinct()
+    many = many.join(roots, (many["doc_id"] == roots["d"]) & (many["mark"] == roots["m"]), "left")
+    own = Window.partitionBy("doc_id", F.coalesce("root", many["text"].cast("binary"))).orderBy("text")
+    many = many.withColumn("number", F.row_number().over(own)).where("number = 1").select("row.*")
+    return rest.join(again, rest["doc_id"] == again["d"], "left_anti").unionByName(many)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
