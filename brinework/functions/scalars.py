@@ -11,10 +11,15 @@ def vrr(inj: Column, prod: Column) -> Column:
     return inj / F.nullif(prod, F.lit(0.0))
 
 
+def same(a: Column, b: Column) -> Column:
+    """Whether two sums are equal but for the order of their terms: within 1e-9 of the larger one."""
+    return F.abs(a - b) <= F.greatest(F.abs(a), F.abs(b)) * 1e-9
+
+
 def log_mean(a: Column, b: Column) -> Column:
-    """(b - a) / ln(b / a); a where they are equal, 0 where either is not positive or null."""
+    """(b - a) / ln(b / a); a where they are the same, 0 where either is not positive or null."""
     ok = (a > 0) & (b > 0)
-    return F.when(ok & (a == b), a).when(ok, (b - a) / F.ln(F.when(ok, b / a))).otherwise(F.lit(0.0))
+    return F.when(ok & same(a, b), a).when(ok, (b - a) / F.ln(F.when(ok, b / a))).otherwise(F.lit(0.0))
 
 
 def weighted(value: Column, weight: Column) -> Column:

@@ -27,16 +27,25 @@ def clamped_volumes(volumes: DataFrame) -> DataFrame:
     return volumes.withColumns({c: F.greatest(F.coalesce(F.col(c), F.lit(0.0)), F.lit(0.0)).cast("double") for c in VOLUME_COLUMNS})
 
 
+def held_values(needs: DataFrame, readings: DataFrame, key: str, date: str, read_on: str, value: str) -> DataFrame:
+    """(key, date, value): for each (key, date) of needs the latest reading on or before the date, null if there is none. Needs and
+    readings go through one window in order of their dates, so that no day meets a key's whole history."""
+    asked = needs.select(key, F.col(date).alias("at"), F.lit(None).cast(f"struct<v: {dict(readings.dtypes)[value]}>").alias("r"), F.lit(1).alias("asked")).distinct()
+    known = readings.select(key, F.col(read_on).alias("at"), F.struct(F.col(value).alias("v")).alias("r"), F.lit(0).alias("asked"))
+    by = Window.partitionBy(key).orderBy("at", "asked").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = asked.unionByName(known).withColumn("r", F.last("r", ignorenulls=True).over(by))
+    return x.where("asked = 1").select(key, F.col("at").alias(date), F.col("r.v").alias(value))
+
+
 def volume_context(volumes: DataFrame, factors: DataFrame, patterns: DataFrame, pressures: DataFrame) -> DataFrame:
     """A row for each day, completion and pattern that it is allocated to, with the pressure in force (null if none is yet)."""
     v = clamped_volumes(volumes).withColumnRenamed("prod_date", "vrr_date")
     f = with_end_date(factors, ["id_completion", "id_pattern"], "effect_date", "f_end").withColumnRenamed("effect_date", "factor_effect_date")
-    p = with_end_date(pressures, ["id_pattern"], "pressure_date", "p_end").withColumnRenamed("id_pattern", "p_pattern")
     x = v.join(f, (v["id_completion"] == f["id_completion"]) & in_window(v["vrr_date"], f["factor_effect_date"], f["f_end"])).drop(f["id_completion"])
     x = x.join(patterns.select("id_pattern", "pattern_name"), "id_pattern", "left")
-    x = x.join(p, (x["id_pattern"] == p["p_pattern"]) & in_window(x["vrr_date"], p["pressure_date"], p["p_end"]), "left")
+    x = x.join(held_values(x, pressures, "id_pattern", "vrr_date", "pressure_date", "pressure"), ["id_pattern", "vrr_date"], "left")
     kind = F.when(F.col("oil") + F.col("water") + F.col("gas") > 0, "Production").otherwise("Injection")
-    return x.withColumn("amount_type", kind).drop("f_end", "p_end", "p_pattern", "pressure_date")
+    return x.withColumn("amount_type", kind).drop("f_end")
 
 
 def pvt_windows(pvt: DataFrame) -> DataFrame:
@@ -130,6 +139,28 @@ def pattern_vrr(contrib: DataFrame, grain: str = "monthly") -> DataFrame:
     return out.withColumn("vrr", ratio).withColumn("grain", F.lit(grain)).withColumn("id_alias", alias)
 
 
+class Curated:
+    """The stored tables of a build: contrib (lineage rows), pattern (both grains), cumulative; monthly is one grain of pattern."""
+
+    def __init__(self, spark, path: str):
+        self.path = path
+        self.contrib, self.pattern, self.cumulative = (spark.read.parquet(f"{path}/{t}") for t in ("completion_contrib", "pattern_vrr", "pattern_vrr_cumulative"))
+        self.monthly = self.pattern.where("grain = 'monthly'")
+
+
+def store(field, path: str, run_id: str) -> Curated:
+    """Builds the curated tables of a field and writes them over what is at path, each row with the run's id. The lineage layer is
+    computed once; the other tables are made from what was written."""
+    spark = field.spark
+    contrib_of(field).withColumn("run_id", F.lit(run_id)).write.mode("overwrite").parquet(f"{path}/completion_contrib")
+    contrib = spark.read.parquet(f"{path}/completion_contrib")
+    both = pattern_vrr(contrib, "monthly").unionByName(pattern_vrr(contrib, "daily"))
+    both.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").partitionBy("grain").parquet(f"{path}/pattern_vrr")
+    pattern = spark.read.parquet(f"{path}/pattern_vrr")
+    cumulative(pattern).withColumn("run_id", F.lit(run_id)).write.mode("overwrite").partitionBy("grain").parquet(f"{path}/pattern_vrr_cumulative")
+    return Curated(spark, path)
+
+
 def cumulative(pattern: DataFrame) -> DataFrame:
     """Running sums of each pattern and grain, and the ratio of the running sums."""
     w = Window.partitionBy("id_pattern", "grain").orderBy("vrr_date").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brinework.functions.scalars import log_mean
+from brinework.functions.scalars import log_mean, same
 from brinework.operators.build import LOW_CONFIDENCE
 
 INJECTION, PRODUCTION = ["water_inj_res", "gas_inj_res"], ["oil_res", "water_res", "free_gas_res"]
@@ -35,7 +35,7 @@ def decompose(pairs: DataFrame) -> DataFrame:
 
     The change is split between injection and production by the logarithmic mean of the two ratios, and within a side by
     logarithmic means of its terms (lmdi); where a term or total is not positive, in proportion to the terms' changes
-    (share_of_change), or not at all (no_change). Contributions sum to the change. Rows without production go.
+    (share_of_change), or not at all (no_change: totals that are the same but for the order of summing). Contributions sum to the change. Rows without production go.
     """
     c = F.col
     x = pairs
@@ -46,18 +46,18 @@ def decompose(pairs: DataFrame) -> DataFrame:
     mean = log_mean(c("vrr_a"), c("vrr_b"))
     mean = F.when(mean == 0, c("vrr_a")).otherwise(mean)
     both = (c("inj_a") > 0) & (c("inj_b") > 0)
-    x = x.withColumn("inj_side", F.when(both, mean * F.ln(F.when(both, c("inj_b") / c("inj_a")))).when(c("prod_a") == c("prod_b"), c("d_vrr")).otherwise(0.0))
+    x = x.withColumn("inj_side", F.when(both, mean * F.ln(F.when(both, c("inj_b") / c("inj_a")))).when(same(c("prod_a"), c("prod_b")), c("d_vrr")).otherwise(0.0))
     x = x.withColumn("prod_side", c("d_vrr") - c("inj_side"))
     for side, terms, name in (("inj", INJECTION, "injection"), ("prod", PRODUCTION, "production")):
         ta, tb = c(f"{side}_a"), c(f"{side}_b")
-        positive = (ta > 0) & (tb > 0) & (ta != tb)
+        positive = (ta > 0) & (tb > 0) & ~same(ta, tb)
         for t in terms:
             positive = positive & (c(f"{t}_a") > 0) & (c(f"{t}_b") > 0)
-        x = x.withColumn(f"{name}_method", F.when(positive, "lmdi").when(tb == ta, "no_change").otherwise("share_of_change"))
+        x = x.withColumn(f"{name}_method", F.when(positive, "lmdi").when(same(ta, tb), "no_change").otherwise("share_of_change"))
         for t in terms:
             a, b = c(f"{t}_a"), c(f"{t}_b")
             share = log_mean(a, b) / F.nullif(log_mean(ta, tb), F.lit(0.0)) * F.ln(F.when(positive, b / F.nullif(a, F.lit(0.0)))) / F.nullif(F.ln(F.when(positive, tb / ta)), F.lit(0.0))
-            part = F.when(positive, share).when(tb == ta, 0.0).otherwise((b - a) / F.nullif(tb - ta, F.lit(0.0)))
+            part = F.when(positive, share).when(same(ta, tb), 0.0).otherwise((b - a) / F.nullif(tb - ta, F.lit(0.0)))
             x = x.withColumn(f"c_{t}", c(f"{side}_side") * part)
     return x
 
@@ -95,7 +95,26 @@ def detect_anomalies(monthly: DataFrame, memory: DataFrame) -> DataFrame:
     sustained drift. Nothing is actionable on extrapolated inputs."""
     rows = monthly.where("vrr is not null")
     latest = rows.groupBy("id_pattern").agg(F.max_by(F.struct("vrr_date", "vrr", "any_extrapolated"), "vrr_date").alias("r")).select("id_pattern", "r.*")
-    x = latest.join(with_bands(latest, memory), "id_pattern").join(trailing_runs(monthly), "id_pattern", "left")
+    return _found(latest.join(with_bands(latest, memory), "id_pattern").join(trailing_runs(monthly), "id_pattern", "left"))
+
+
+def runs_at(monthly: DataFrame) -> DataFrame:
+    """(id_pattern, vrr_date, run, total): at each month the consecutive moves of one sign that end there; 0 after a move of 0."""
+    by = Window.partitionBy("id_pattern").orderBy("vrr_date")
+    x = monthly.where("vrr is not null").select("id_pattern", "vrr_date", (F.col("vrr") - F.lag("vrr").over(by)).alias("move")).withColumn("sign", F.signum("move"))
+    x = x.withColumn("breaks", F.sum(F.when(F.col("sign") == F.lag("sign").over(by), 0).otherwise(1)).over(by))
+    island = Window.partitionBy("id_pattern", "breaks").orderBy("vrr_date").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    moved = F.coalesce(F.col("sign"), F.lit(0.0)) != 0
+    return x.select("id_pattern", "vrr_date", F.when(moved, F.count("*").over(island)).otherwise(0).alias("run"), F.when(moved, F.sum("move").over(island)).alias("total"))
+
+
+def anomalies_at(monthly: DataFrame, memory: DataFrame) -> DataFrame:
+    """detect_anomalies as of every month: each month is judged as if it were the latest."""
+    rows = monthly.where("vrr is not null").select("id_pattern", "vrr_date", "vrr", "any_extrapolated")
+    return _found(rows.join(with_bands(rows, memory), "id_pattern").join(runs_at(monthly), ["id_pattern", "vrr_date"], "left"))
+
+
+def _found(x: DataFrame) -> DataFrame:
     fine = ~F.col("any_extrapolated")
     found = F.array(
         F.when(F.col("any_extrapolated"), F.struct(F.lit("extrapolated_pvt").alias("kind"), F.lit("low").alias("severity"), F.lit(False).alias("actionable"))),
@@ -133,7 +152,7 @@ def recompute_difference(monthly: DataFrame, contrib: DataFrame) -> DataFrame:
 
 
 def assess_inputs(state: DataFrame) -> DataFrame:
-    """The state with findings (rule, severity), verdict, summary and owner. Any high finding: DATA_ARTIFACT; any medium, or no
+    """The state with findings (rule, severity), verdict, summary, actionable and owner. Any high finding: DATA_ARTIFACT; any medium, or no
     rows: INCONCLUSIVE; else REAL_SIGNAL. A difference counts only where no PVT is of low confidence and no pressure missing."""
     c = F.col
     low = F.arrays_overlap("pvt_methods", F.array(*map(F.lit, LOW_CONFIDENCE)))
@@ -152,7 +171,15 @@ def assess_inputs(state: DataFrame) -> DataFrame:
     is_high, is_medium = F.exists("findings", lambda f: f["severity"] == "high"), F.exists("findings", lambda f: f["severity"] == "medium")
     verdict = F.when(c("n_rows") <= 0, "INCONCLUSIVE").when(is_high, "DATA_ARTIFACT").when(is_medium, "INCONCLUSIVE").otherwise("REAL_SIGNAL")
     first = F.coalesce(F.get(F.filter("findings", lambda f: f["severity"] == "high"), F.lit(0)), F.get("findings", F.lit(0)))
-    return x.withColumn("verdict", verdict).withColumn("summary", first["rule"]).withColumn("actionable", c("verdict") == "REAL_SIGNAL")
+    return x.withColumn("verdict", verdict).withColumn("summary", first["rule"]).withColumn("actionable", c("verdict") == "REAL_SIGNAL").withColumn("owner", owner_of(c("verdict")))
+
+
+#: Who looks at a case with each verdict.
+OWNERS = {"REAL_SIGNAL": "analyst", "DATA_ARTIFACT": "data_steward", "INCONCLUSIVE": "analyst"}
+
+
+def owner_of(verdict: Column) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for pair in OWNERS.items() for x in pair]), verdict)
 
 
 def injector_states(contrib: DataFrame) -> DataFrame:

@@ -2,28 +2,69 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brinework.functions.scalars import cosine
-
-#: Queries that may go to all tasks; more are compared block by block.
+#: Queries that go to all tasks together; more take a pass over the vectors for each block.
 QUERY_BLOCK = 1000
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows divided by their lengths; NaN for rows without one."""
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    """Vectors as rows of doubles; NaN for null ones, those of another length and those with nulls."""
+    out = np.full((len(column), width), np.nan)
+    for i, v in enumerate(column):
+        if v.is_valid and len(v.values) == width and not v.values.null_count:
+            out[i] = v.values.to_numpy(zero_copy_only=False)
+    return out
+
+
+def _nearest(queries: np.ndarray, names: list, k: int, floor: float):
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("similarity", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            near = queries @ _unit(_matrix(batch.column(1), queries.shape[1])).T
+            out = []
+            for q, row in enumerate(near):
+                on = np.flatnonzero(row >= floor)
+                if len(on) > k:  # the k nearest of the batch; ties with the last are ranked by name below
+                    on = on[row[on] >= np.partition(row[on], len(on) - k)[len(on) - k]]
+                    on = on[np.lexsort((ids[on], -row[on]))][:k]
+                out.append((np.full(len(on), names[q], np.int64), ids[on], row[on]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], schema=schema)
+
+    return run
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 3, floor: float = 0.0) -> DataFrame:
     """(query_id, vec_id, similarity, rank): for each query (query_id, query) the k vectors of cosine at least floor that are
     nearest (ties: the smaller vec_id); none where nothing is near enough. Vectors keep their partitions: each block of queries
-    is sent to all of them, and only candidates that stand among a query's best reach the ranking."""
-    n = queries.count()
+    is sent to all of them as one matrix, and only a batch's k nearest reach the ranking. Null, zero and odd-length vectors and
+    queries find nothing."""
+    schema = "query_id long, vec_id long, similarity double"
+    blocks = -(-queries.count() // QUERY_BLOCK)
     out = None
-    for b in range(-(-n // QUERY_BLOCK)):
-        block = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(-(-n // QUERY_BLOCK))) == b)
-        pairs = vectors.crossJoin(F.broadcast(block)).select("query_id", "vec_id", cosine(F.col("query"), F.col("embedding")).alias("similarity"))  # a stated block of queries against all rows
-        pairs = pairs.where(F.col("similarity") >= floor)
-        out = pairs if out is None else out.unionByName(pairs)
+    for b in range(blocks):
+        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).where("query is not null").collect()  # one block of a stated query set
+        for width in sorted({len(r["query"]) for r in rows}):
+            some = [r for r in rows if len(r["query"]) == width]
+            matrix = _unit(np.array([r["query"] for r in some], float).reshape(len(some), width))
+            found = vectors.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(_nearest(matrix, [r["query_id"] for r in some], k, floor), schema)
+            out = found if out is None else out.unionByName(found)
     if out is None:
-        out = vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, similarity double")
+        out = vectors.sparkSession.createDataFrame([], schema)
     by = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "vec_id")
     return out.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 

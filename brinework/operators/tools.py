@@ -113,5 +113,17 @@ def lanes(queue: DataFrame, stages: list[str]) -> DataFrame:
     return every.join(queue.groupBy("stage").agg(F.count("*").alias("n")), "stage", "left").select("ordinal", "stage", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def severity_rank(severity: Column) -> Column:
-    return F.when(severity == "high", 0).when(severity == "medium", 1).otherwise(2)
+def pattern_context(patterns: DataFrame, targets: DataFrame, memory: DataFrame, adjustments: DataFrame, limits: DataFrame, newest: int = 20) -> DataFrame:
+    """For each pattern its target (1 if it has none), learned memory, the tightest limit, and its newest adjustments, newest first."""
+    by = Window.partitionBy("id_pattern").orderBy(F.col("ts").desc(), F.col("action_id").desc())
+    last = adjustments.withColumn("n", F.row_number().over(by)).where(F.col("n") <= newest)
+    last = last.groupBy("id_pattern").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "action_id", "outcome"))), lambda a: a["action_id"]).alias("adjustments"))
+    cap = limits.agg(F.min("max_inj_rate_change_pct").alias("max_change"))
+    x = patterns.select("id_pattern", "pattern_name").join(targets, "id_pattern", "left").join(memory, "id_pattern", "left").join(last, "id_pattern", "left")
+    return x.crossJoin(F.broadcast(cap)).withColumn("target_vrr", F.coalesce("target_vrr", F.lit(1.0)))  # one row
+
+
+def refreshed_memory(memory: DataFrame, monthly: DataFrame) -> DataFrame:
+    """The memory with each pattern's latest monthly ratio and its month."""
+    now = monthly.groupBy("id_pattern").agg(F.max_by(F.struct("vrr_date", "vrr"), "vrr_date").alias("l"))
+    return memory.join(now, "id_pattern", "left").select(*[memory[c] for c in memory.columns], F.col("l.vrr").alias("latest_vrr"), F.col("l.vrr_date").alias("latest_date"))

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brinework.operators.text import numbers_grounded
+
 # Stages in order, and the role that may advance each.
 STAGES = ["draft", "analyst", "rm", "site", "executed"]
 AUDIT_TOOLS, ADVICE_TOOLS = ["VRR_AUDIT", "INPUT_AUDIT"], ["RECOMMEND_CHANGE", "SUBMIT_FOR_APPROVAL"]
@@ -33,10 +38,63 @@ def can_transition(now: Column, then: Column) -> Column:
     return live & ((then == "rejected") | F.coalesce(then == next_stage(now), F.lit(False)))
 
 
+def severity_rank(severity: Column) -> Column:
+    return F.when(severity == "high", 0).when(severity == "medium", 1).otherwise(2)
+
+
+# Whose sign-off a stage needs.
+SIGN_OFF = {"draft": "analyst", "analyst": "rm", "rm": "site", "site": "site"}
+
+
+def moved(queue: DataFrame, requests: DataFrame) -> DataFrame:
+    """The queue (action_id, stage, ...) with `moved_to`, `moved_by` and `refused` after requests (action_id, verb: advance or reject,
+    user, role), at most one for each action. A request is refused on a stage that is final or that another role signs off; an
+    action without a request is as it was."""
+    needed = F.element_at(F.create_map(*[F.lit(x) for pair in SIGN_OFF.items() for x in pair]), F.col("stage"))
+    x = queue.join(requests.select("action_id", "verb", "user", "role"), "action_id", "left")
+    refused = F.when(F.col("verb").isNull(), None).when(needed.isNull(), "stage is final").when(F.coalesce(F.col("role"), F.lit("")) != needed, F.concat(F.lit("needs "), needed))
+    then = F.when(F.col("verb") == "reject", F.lit("rejected")).otherwise(next_stage(F.col("stage")))
+    goes = F.col("verb").isNotNull() & F.col("refused").isNull()
+    x = x.withColumn("refused", refused).withColumn("moved_to", F.when(goes, then).otherwise(F.col("stage"))).withColumn("moved_by", F.when(goes, F.col("user")))
+    return x.drop("verb", "user", "role")
+
+
+def adjustment_rows(moves: DataFrame) -> DataFrame:
+    """The history rows of moves (see moved) that lead to executed: what was predicted, for the response to be learned from.
+    changes is an array with change_pct; its mean is kept."""
+    mean = F.aggregate("changes", F.lit(0.0), lambda a, c: a + F.coalesce(c["change_pct"], F.lit(0.0))) / F.nullif(F.size("changes"), F.lit(0))
+    x = moves.where("moved_to = 'executed' and stage <> 'executed'")
+    return x.select("action_id", "id_pattern", "vrr_date", "driver", F.coalesce("direction", "action_type").alias("change_type"), F.when(F.size("changes") > 0, mean).alias("d_surface_pct"), "pre_vrr", "predicted_post_vrr", F.lit(None).cast("double").alias("actual_post_vrr"), F.lit("approved").alias("decision"), F.col("moved_by").alias("approved_by"), F.lit("executed").alias("outcome"))
+
+
+# Calls in so many seconds that a user has of each kind.
+CALLS = {"chat": (20, 60), "chat_agentic": (5, 300), "upload": (10, 600), "review": (60, 600)}
+
+
+def rate_limited(calls: DataFrame) -> DataFrame:
+    """calls (bucket, who, ts: seconds as double) with n, the call's number in its window, and refused. A window starts with a
+    user's first call and ends when a call comes at least its width later. A user's calls go through one task in order, and only
+    the window is kept. Calls of unknown kinds are never refused."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, start, n = None, 0.0, 0
+        for batch in batches:
+            numbers, over = [], []
+            for bucket, who, ts in zip(*(batch.column(c).to_pylist() for c in ("bucket", "who", "ts")), strict=True):
+                most, width = CALLS.get(bucket, (None, 0))
+                if (bucket, who) != key or (most and ts - start >= width):
+                    key, start, n = (bucket, who), ts, 0
+                n += 1
+                numbers.append(n)
+                over.append(bool(most) and n > most)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64()), pa.array(over, pa.bool_())], names=[*batch.schema.names, "n", "refused"])
+
+    calls = calls.select("bucket", "who", F.col("ts").cast("double").alias("ts"))
+    return calls.repartition("bucket", "who").sortWithinPartitions("bucket", "who", "ts").mapInArrow(run, "bucket string, who string, ts double, n long, refused boolean")
+
+
 def drafts(anomalies: DataFrame, summary: DataFrame) -> DataFrame:
     """One draft for each pattern's latest month: its most severe anomaly, and how sure the rules are."""
-    rank = F.when(F.col("severity") == "high", 0).when(F.col("severity") == "medium", 1).otherwise(2)
-    by = Window.partitionBy("id_pattern", "vrr_date").orderBy(rank, "kind")
+    by = Window.partitionBy("id_pattern", "vrr_date").orderBy(severity_rank(F.col("severity")), "kind")
     top = anomalies.withColumn("rn", F.row_number().over(by)).where("rn = 1").drop("rn")
     x = top.join(summary, ["id_pattern", "vrr_date"], "left")
     sure = F.when(~F.col("actionable"), "low").when(F.col("verdict") == "REAL_SIGNAL", "high").otherwise("medium")
@@ -76,19 +134,26 @@ def intent(question: Column) -> Column:
     return out
 
 
+_MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
+
+
 def asked_date(question: Column) -> Column:
-    """YYYY-MM-DD or YYYY-MM (the first of the month) in a question; else a month's name and year; else null."""
-    iso = F.regexp_extract(question, r"\b(\d{4}-\d{2}(?:-\d{2})?)\b", 1)
-    named = F.regexp_extract(question, r"(?i)\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.? (\d{4})\b", 0)
-    month = F.lower(F.substring(named, 1, 3))
-    months = F.create_map(*[x for i, m in enumerate(["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"], 1) for x in (F.lit(m), F.lit(f"{i:02d}"))])
-    spelled = F.concat_ws("-", F.regexp_extract(named, r"(\d{4})$", 1), F.element_at(months, month), F.lit("01"))
-    return F.when(F.length(iso) == 10, F.try_to_date(iso)).when(F.length(iso) == 7, F.try_to_date(F.concat(iso, F.lit("-01")))).when(named != "", F.try_to_date(spelled))
+    """The first day of the month that a question names: the first YYYY-MM or YYYY-MM-DD, else the first word before a year of four
+    digits, if it is a month's name or its three-letter form; else null."""
+    iso = F.regexp_extract(question, r"(\d{4}-\d{2})", 1)
+    named = F.regexp_extract(F.lower(question), r"([a-z]+)\s+(\d{4})", 1)
+    year = F.regexp_extract(F.lower(question), r"([a-z]+)\s+(\d{4})", 2)
+    months = F.create_map(*[x for i, m in enumerate(_MONTHS, 1) for name in dict.fromkeys((m, m[:3])) for x in (F.lit(name), F.lit(f"{i:02d}"))])
+    return F.when(iso != "", F.try_to_date(F.concat(iso, F.lit("-01")))).when(named != "", F.try_to_date(F.concat_ws("-", year, F.element_at(months, named), F.lit("01"))))
 
 
+# The words and phrases that the scores look for are fixed values.
 def trace_scores(spans: DataFrame) -> DataFrame:
     """Of each trace (spans: trace_id, ordinal, name, span_type, outputs, answer): tools used, whether inputs were audited before
-    advice, whether nothing was rejected, and whether no change is proposed on an artefact."""
+    advice, whether nothing was rejected, whether no change is proposed on an artefact, and whether every decimal of the answer is
+    in the output of a tool (as it is, as a percentage, or rounded). A `tool_call` span stands for the tool in its `tool` field."""
+    wrapped = F.get_json_object("outputs", "$.tool")
+    spans = spans.withColumn("name", F.when((F.lower("name") == "tool_call") & wrapped.isNotNull(), wrapped).otherwise(F.col("name")))
     tool = F.upper("span_type") == "TOOL"
     first = lambda names: F.min(F.when(tool & F.col("name").isin(names), F.col("ordinal")))
     blob = F.lower(F.coalesce("outputs", F.lit("")))
@@ -97,7 +162,16 @@ def trace_scores(spans: DataFrame) -> DataFrame:
     proposes = answer.rlike("reduce injection|increase injection|new_surface|→ 4|change injection")
     artefact = F.bool_or(F.coalesce("outputs", F.lit("")).contains("DATA_ARTIFACT"))
     advice, audited = first(ADVICE_TOOLS), first(AUDIT_TOOLS)
+    told = F.when(F.upper("span_type").isin("TOOL", "RETRIEVER"), F.transform(F.regexp_extract_all(F.coalesce("outputs", F.lit("")), F.lit(r"-?\d+\.\d+"), F.lit(0)), lambda v: v.cast("double")))
+    each = F.flatten(F.collect_list(told))
+    allowed = F.flatten(F.transform(each, lambda v: F.array(v, v * 100, F.round(v, 2), F.round(v, 3))))
     return spans.groupBy("trace_id").agg(
         F.count_if(tool).alias("tools_used"), (advice.isNull() | F.coalesce(audited < advice, F.lit(False))).alias("audit_before_advice"),
         (~F.bool_or(refused)).alias("gate_passed"), (~(artefact & proposes)).alias("no_advice_on_artifact"),
+        numbers_grounded(F.coalesce(F.max("answer"), F.lit("")), allowed).alias("numbers_grounded"),
     )
+
+
+def latency_summary(traces: DataFrame) -> DataFrame:
+    """One row from (trace_id, duration_ms): mean, 90th percentile and maximum."""
+    return traces.agg(F.avg("duration_ms").alias("mean_ms"), F.percentile("duration_ms", F.lit(0.9)).alias("p90_ms"), F.max("duration_ms").alias("max_ms"))

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brinework.functions.scalars import comparable
-from brinework.operators import build, rules, search, text, tools, workflow
+from brinework.operators import build, cases, knowledge, layout, rules, search, text, tools, workflow
 from brinework.sources.field import Field, as_ctes
+from brinework.sources.store import new_path
 from brinework.streaming import intake
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,12 +92,37 @@ def with_monthly(tables: list[str]) -> str:
     return MONTHLY + "".join(f",\n{as_ctes([t])}" for t in tables)
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def curated_of(field: Field) -> build.Curated:
+    """The stored build of the field. It is made once in a session, as the tools read what a build has stored."""
+    key = (field.spark.sparkContext.applicationId, field.sf_dir)
+    if key not in _STORED:
+        path = new_path(field.spark, "curated")
+        build.store(field, path, run_id=path.rpartition("-")[2])
+        _STORED[key] = path
+    return build.Curated(field.spark, _STORED[key])
+
+
+def contrib_of(field: Field) -> DataFrame:
+    return curated_of(field).contrib
+
+
 def monthly_of(field: Field) -> DataFrame:
-    return build.pattern_vrr(build.contrib_of(field), "monthly")
+    return curated_of(field).monthly
 
 
 # --- curated build ---
 
+@query("b10_curated_build", f"""with {MONTHLY}, daily as {pattern_sql('daily')}
+select 'completion_contrib' table_name, count(*) n, count(*) stamped from contrib union all select t, n, n from (select unnest(['pattern_vrr', 'pattern_vrr_cumulative']) t), (select (select count(*) from monthly) + (select count(*) from daily) n)""")
+def _(field):
+    built = build.store(field, new_path(field.spark, "curated"), run_id="bench")
+    stamped = lambda df, name: df.agg(F.count("*").alias("n"), F.count_if(F.col("run_id") == "bench").alias("stamped")).select(F.lit(name).alias("table_name"), "n", "stamped")
+    return stamped(built.contrib, "completion_contrib").unionByName(stamped(built.pattern, "pattern_vrr")).unionByName(stamped(built.cumulative, "pattern_vrr_cumulative"))
+
+
 @query("b01_factor_windows", f"with {as_ctes(['factors'])} select *, lead(effect_date) over (partition by id_completion, id_pattern order by effect_date) end_date from factors")
 def _(field):
     return build.with_end_date(field.factors, ["id_completion", "id_pattern"], "effect_date")
@@ -151,7 +177,7 @@ def _pattern_select(table: str) -> str:
 
 @query("b11_pattern_vrr_monthly", f"with {MONTHLY} {_pattern_select('monthly')}")
 def _(field):
-    return _pattern_rows(monthly_of(field))
+    return _pattern_rows(build.pattern_vrr(build.contrib_of(field), "monthly"))
 
 
 @query("b11_pattern_vrr_daily", f"with {DAILY} {_pattern_select('daily')}")
@@ -165,14 +191,26 @@ _CUMULATIVE = ["oil_res", "water_res", "water_inj_res", "gas_inj_res", "prod_res
 @query("b13_cumulative_vrr", f"""with {MONTHLY}, c as (select id_pattern, vrr_date, {', '.join(f'sum({x}) over w cum_{x}' for x in _CUMULATIVE)} from monthly window w as (partition by id_pattern order by vrr_date rows between unbounded preceding and current row))
 select id_pattern, vrr_date, {', '.join(d4(f'cum_{x}', f'cum_{x}') for x in _CUMULATIVE)}, {d4('coalesce(cum_inj_res / nullif(cum_prod_res, 0), 0)', 'cum_vrr')} from c""")
 def _(field):
-    return build.cumulative(monthly_of(field)).select("id_pattern", "vrr_date", *[r4(f"cum_{x}") for x in _CUMULATIVE], r4("cum_vrr"))
+    return build.cumulative(build.pattern_vrr(build.contrib_of(field), "monthly")).select("id_pattern", "vrr_date", *[r4(f"cum_{x}") for x in _CUMULATIVE], r4("cum_vrr"))
 
 
 # --- analyst's tools ---
 
-@query("t00_resolve_pattern", f"with {as_ctes(['pattern'])} select id_pattern, pattern_name from pattern where upper(pattern_name) = 'FRANCE'")
+# by a name in other letters, by an id, by nothing that exists, and by what begins several ids (of patterns named by their number)
+_LONG_IDS = "select concat('PAT', cast(1000 + id_pattern // 10 as varchar), cast(id_pattern % 10 as varchar), 'Z') id_pattern, pattern_name from pattern"
+
+
+@query("t00_resolve_pattern", f"""with {as_ctes(['pattern'])}, long as ({_LONG_IDS}) select 'name' asked, id_pattern, pattern_name from long where upper(pattern_name) = (select min(upper(pattern_name)) from long)
+ union all select 'id', id_pattern, pattern_name from long where id_pattern = 'PAT10017Z' union all select 'prefix', id_pattern, pattern_name from long where starts_with(id_pattern, 'PAT10024')""")
 def _(field):
-    return tools.resolve(field.pattern, " france ").select("id_pattern", "pattern_name")
+    long = field.pattern.select(F.concat(F.lit("PAT"), (1000 + F.floor(F.col("id_pattern") / 10)).cast("string"), (F.col("id_pattern") % 10).cast("string"), F.lit("Z")).alias("id_pattern"), "pattern_name")
+    first = long.agg(F.min(F.upper("pattern_name"))).collect()[0][0] or ""
+    asked = {"name": f" {first.lower()} ", "id": "PAT10017Z", "prefix": "PAT10024", "ambiguous": "PAT100", "short": "PAT", "unknown": "atlantis"}
+    out = None
+    for kind, name in asked.items():
+        found = tools.resolve(long, name).select(F.lit(kind).alias("asked"), "id_pattern", "pattern_name")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 @query("t01_list_patterns", f"with {MONTHLY} select id_pattern, max(pattern_name) pattern_name, count(*) n_periods, max(vrr_date) last_date from monthly group by id_pattern")
@@ -217,7 +255,7 @@ def _(field):
 
 @query("t06_term_totals", f"with {CONTRIB} select id_pattern, cast(date_trunc('month', vrr_date) as date) vrr_date, {', '.join(d4(f'coalesce(sum({t}), 0)', t) for t in build.TERMS)} from contrib group by all")
 def _(field):
-    return tools.term_totals(build.contrib_of(field)).select("id_pattern", "vrr_date", *map(r4, build.TERMS))
+    return tools.term_totals(contrib_of(field)).select("id_pattern", "vrr_date", *map(r4, build.TERMS))
 
 
 _COMPLETIONS = f"""{CONTRIB}, comp as (select id_pattern, cast(date_trunc('month', vrr_date) as date) vrr_date, id_completion, count(*) n_days, avg(factor) factor, string_agg(distinct pvt_method, ',' order by pvt_method) pvt_methods, min(pressure) min_pressure, max(pressure) max_pressure,
@@ -227,37 +265,40 @@ _COMPLETIONS = f"""{CONTRIB}, comp as (select id_pattern, cast(date_trunc('month
 @query("t08_completions", f"""with {_COMPLETIONS} select id_pattern, vrr_date, id_completion, n_days, {d4('factor', 'factor')}, pvt_methods, min_pressure, max_pressure, {d4('prod_res', 'prod_res')}, {d4('inj_res', 'inj_res')},
  case when inj_res > prod_res then 'injector' when prod_res > 0 then 'producer' else 'idle' end as role, {d4('coalesce(prod_res / nullif(sum(prod_res) over w, 0), 0)', 'share_of_production')}, {d4('coalesce(inj_res / nullif(sum(inj_res) over w, 0), 0)', 'share_of_injection')} from comp window w as (partition by id_pattern, vrr_date)""")
 def _(field):
-    x = tools.completions(build.contrib_of(field))
+    x = tools.completions(contrib_of(field))
     return x.select("id_pattern", "vrr_date", "id_completion", "n_days", r4("factor"), "pvt_methods", "min_pressure", "max_pressure", r4("prod_res"), r4("inj_res"), "role", r4("share_of_production"), r4("share_of_injection"))
 
 
 @query("t10_lineage", f"""with {_COMPLETIONS} select id_pattern, vrr_date, count(*) n_completions, {d4('min(factor)', 'min_factor')}, {d4('max(factor)', 'max_factor')}, {d4('sum(factor * (prod_res + inj_res)) / nullif(sum(prod_res + inj_res), 0)', 'weighted_factor')}, {d4('sum(inj_res) / nullif(sum(prod_res), 0)', 'vrr')} from comp group by id_pattern, vrr_date""")
 def _(field):
-    x = tools.lineage(build.contrib_of(field))
+    x = tools.lineage(contrib_of(field))
     return x.select("id_pattern", "vrr_date", "n_completions", *map(r4, ["min_factor", "max_factor", "weighted_factor", "vrr"]))
 
 
 @query("t11_audit", f"""with {MONTHLY}, a as (select id_pattern, vrr_date, vrr stored_vrr, inj_res / nullif(prod_res, 0) recomputed_vrr from monthly)
 select id_pattern, vrr_date, {d4('stored_vrr', 'stored_vrr')}, {d4('recomputed_vrr', 'recomputed_vrr')}, coalesce(abs(recomputed_vrr - stored_vrr) <= 1e-6, false) matches from a""")
 def _(field):
-    x = tools.audit(monthly_of(field), monthly_of(field))
+    again = build.pattern_vrr(build.contrib_of(field), "monthly")  # from the raw tables, not from what is stored
+    x = tools.audit(monthly_of(field), again)
     return x.select("id_pattern", "vrr_date", r4("stored_vrr"), r4("recomputed_vrr"), "matches")
 
 
 # --- rules ---
 
 _INJ, _PROD = rules.INJECTION, rules.PRODUCTION
-_LM = "case when {a} > 0 and {b} > 0 then case when {a} = {b} then {a} else ({b} - {a}) / ln({b} / {a}) end else 0 end"
+_SAME = "abs({a} - {b}) <= greatest(abs({a}), abs({b})) * 1e-9"
+_LM = "case when {a} > 0 and {b} > 0 then case when " + _SAME + " then {a} else ({b} - {a}) / ln({b} / {a}) end else 0 end"
 
 
 def _side(side: str, terms: list[str]) -> str:
-    ok = " and ".join([f"{side}_a > 0", f"{side}_b > 0", f"{side}_a <> {side}_b", *[f"{t}_{s} > 0" for t in terms for s in "ab"]])
+    same = _SAME.format(a=f"{side}_a", b=f"{side}_b")
+    ok = " and ".join([f"{side}_a > 0", f"{side}_b > 0", f"not ({same})", *[f"{t}_{s} > 0" for t in terms for s in "ab"]])
     each = []
     for t in terms:
         lm = "(" + _LM.format(a=f"{t}_a", b=f"{t}_b") + ")/(" + _LM.format(a=f"{side}_a", b=f"{side}_b") + ")"
-        each.append(f"{side}_side * case when {ok} then {lm} * ln({t}_b / {t}_a) / ln({side}_b / {side}_a) when {side}_b = {side}_a then 0 else ({t}_b - {t}_a) / nullif({side}_b - {side}_a, 0) end c_{t}")
+        each.append(f"{side}_side * case when {ok} then {lm} * ln({t}_b / {t}_a) / ln({side}_b / {side}_a) when {same} then 0 else ({t}_b - {t}_a) / nullif({side}_b - {side}_a, 0) end c_{t}")
     name = "injection" if side == "inj" else "production"
-    return ", ".join([f"case when {ok} then 'lmdi' when {side}_b = {side}_a then 'no_change' else 'share_of_change' end {name}_method", *each])
+    return ", ".join([f"case when {ok} then 'lmdi' when {same} then 'no_change' else 'share_of_change' end {name}_method", *each])
 
 
 DECOMPOSED = f"""{MONTHLY},
@@ -265,7 +306,7 @@ z as (select id_pattern, vrr_date, {', '.join(f'coalesce({t}, 0) {t}' for t in _
 q as (select b.id_pattern, b.vrr_date, {', '.join(f'a.{t} {t}_a, b.{t} {t}_b' for t in _INJ + _PROD)} from z b join z a on a.id_pattern = b.id_pattern and cast(a.vrr_date + interval 1 month as date) = b.vrr_date),
 q1 as (select *, {', '.join(f"{' + '.join(f'{t}_{s}' for t in ts)} {n}_{s}" for n, ts in (('inj', _INJ), ('prod', _PROD)) for s in 'ab')} from q),
 q2 as (select *, inj_a / prod_a vrr_a, inj_b / prod_b vrr_b from q1 where prod_a > 0 and prod_b > 0),
-q3 as (select *, vrr_b - vrr_a d_vrr, case when inj_a > 0 and inj_b > 0 then (case when ({_LM.format(a='vrr_a', b='vrr_b')}) = 0 then vrr_a else ({_LM.format(a='vrr_a', b='vrr_b')}) end) * ln(inj_b / inj_a) when prod_a = prod_b then vrr_b - vrr_a else 0 end inj_side from q2),
+q3 as (select *, vrr_b - vrr_a d_vrr, case when inj_a > 0 and inj_b > 0 then (case when ({_LM.format(a='vrr_a', b='vrr_b')}) = 0 then vrr_a else ({_LM.format(a='vrr_a', b='vrr_b')}) end) * ln(inj_b / inj_a) when {_SAME.format(a='prod_a', b='prod_b')} then vrr_b - vrr_a else 0 end inj_side from q2),
 q4 as (select *, d_vrr - inj_side prod_side from q3),
 decomposed as (select *, {_side('inj', _INJ)}, {_side('prod', _PROD)} from q4)"""
 
@@ -310,14 +351,14 @@ state as (select p.*, (select count(*) from volumes v anti join factors f on f.i
 
 @query("j01_input_state", f"with {STATE} select id_pattern, period, n_rows, array_to_string(methods, ',') pvt_methods, n_missing_pressure, n_missing_factor, n_allocation_over_one, n_allocated_without_volumes, allocation_age_days from state")
 def _(field):
-    x = rules.input_state(build.contrib_of(field), field.volumes, field.factors)
+    x = rules.input_state(contrib_of(field), field.volumes, field.factors)
     return x.select("id_pattern", "period", "n_rows", F.array_join("pvt_methods", ",").alias("pvt_methods"), "n_missing_pressure", "n_missing_factor", "n_allocation_over_one", "n_allocated_without_volumes", "allocation_age_days")
 
 
 def _verdicts(field: Field) -> DataFrame:
-    contrib = build.contrib_of(field)
-    state = rules.input_state(contrib, field.volumes, field.factors)
-    diff = rules.recompute_difference(build.pattern_vrr(contrib, "monthly"), contrib)
+    stored = curated_of(field)
+    state = rules.input_state(stored.contrib, field.volumes, field.factors)
+    diff = rules.recompute_difference(stored.monthly, stored.contrib)
     return rules.assess_inputs(state.join(diff, ["id_pattern", "period"], "left"))
 
 
@@ -339,7 +380,7 @@ def _(field):
 
 @query("t15_injector_states", f"with {CONTRIB} select id_pattern, cast(date_trunc('month', vrr_date) as date) vrr_date, id_completion, {d4('avg(factor)', 'factor')}, {d4('sum(water_inj)', 'surface')}, {d4('sum(water_inj_res)', 'inj_res')}, {d4('coalesce(sum(water_inj_res) / nullif(avg(factor) * sum(water_inj), 0), 0)', 'bw_inj')} from contrib where water_inj > 0 group by all")
 def _(field):
-    x = rules.injector_states(build.contrib_of(field))
+    x = rules.injector_states(contrib_of(field))
     return x.select("id_pattern", "vrr_date", "id_completion", *map(r4, ["factor", "surface", "inj_res", "bw_inj"]))
 
 
@@ -352,11 +393,15 @@ k as (select *, d * inj_res / case when s <> 0 then s when total_inj <> 0 then t
 l as (select *, greatest(-cap, least(cap, pct)) change from k)
 select id_pattern, vrr_date, id_completion, {d4('change', 'change_pct')}, {d4('change * surface', 'delta_surface')}, {d4('cur + rho * sum(change * surface * denom) over (partition by id_pattern, vrr_date) / prod_res', 'expected_post_vrr')}, case when d < 0 then 'reduce_injection' when d > 0 then 'increase_injection' else 'none' end direction from l""")
 def _(field):
-    contrib = build.contrib_of(field)
-    x = rules.recommend(build.pattern_vrr(contrib, "monthly"), rules.injector_states(contrib), field.targets, field.memory, field.limits)
+    x = _recommended(field)
     return x.select("id_pattern", "vrr_date", "id_completion", r4("change_pct"), r4("delta_surface"), r4("expected_post_vrr"), "direction")
 
 
+def _recommended(field: Field) -> DataFrame:
+    stored = curated_of(field)
+    return rules.recommend(stored.monthly, rules.injector_states(stored.contrib), field.targets, field.memory, field.limits)
+
+
 @query("r11_precedents", f"""with {as_ctes(['adjustments'])} select driver, change_type, action_id, id_pattern, vrr_date, d_surface_pct, pre_vrr from (select *, row_number() over (partition by driver, change_type order by ts desc, action_id desc) rn from adjustments where outcome = 'executed') where rn = 1""".replace(" as string", " as varchar"))
 def _(field):
     return rules.precedents(field.adjustments).select("driver", "change_type", "action_id", "id_pattern", "vrr_date", "d_surface_pct", "pre_vrr")
@@ -388,6 +433,118 @@ def _(field):
     return workflow.drafts(found, _verdicts(field).select("id_pattern", F.col("period").alias("vrr_date"), "verdict"))
 
 
+AT = f"""{with_monthly(['memory'])},
+mv as (select *, vrr - lag(vrr) over (partition by id_pattern order by vrr_date) move from monthly where vrr is not null),
+ms as (select *, sign(move) s, row_number() over (partition by id_pattern order by vrr_date) k from mv),
+brk as (select *, max(case when s is null or s = 0 or s is distinct from prior then k end) over (partition by id_pattern order by k) began from (select *, lag(s) over (partition by id_pattern order by k) prior from ms)),
+st as (select b.id_pattern, b.vrr_date, b.vrr, b.any_extrapolated x, {_BANDS}, case when coalesce(s, 0) = 0 then 0 else k - began + 1 end run, case when coalesce(s, 0) <> 0 then sum(move) over (partition by b.id_pattern, began order by k) end total from brk b left join memory m using (id_pattern)),
+anomalies as (select id_pattern, vrr_date, 'extrapolated_pvt' kind, 'low' severity, false actionable from st where x
+ union all select id_pattern, vrr_date, 'out_of_band', 'high', not x from st where vrr < band_low or vrr > band_high
+ union all select id_pattern, vrr_date, 'sustained_drift', 'medium', not x from st where run >= 3 and abs(total) >= 0.10)"""
+
+
+@query("t14_anomalies_as_of_each_month", f"with {AT} select id_pattern, vrr_date, kind, severity, actionable from anomalies")
+def _(field):
+    return rules.anomalies_at(monthly_of(field), field.memory).select("id_pattern", "vrr_date", "kind", "severity", "actionable")
+
+
+def _cases(field: Field) -> DataFrame:
+    verdicts = _verdicts(field).select("id_pattern", F.col("period").alias("vrr_date"), "verdict", "summary")
+    executed = field.adjustments.where("outcome = 'executed'")
+    return cases.case_files(monthly_of(field), verdicts, _recommended(field), field.targets, field.memory, executed)
+
+
+@query("j04_case_files", f"""with {DECOMPOSED}, {VERDICTS[len(MONTHLY) + 2:]}, {AT[len(MONTHLY) + 2:]}, {as_ctes(['targets', 'adjustments']).replace(" as string", " as varchar")},
+u as ({' union all '.join(f"select id_pattern, vrr_date, {i} o, '{t}' term, c_{t} c from decomposed" for i, t in enumerate(_INJ + _PROD))}),
+lead_term as (select id_pattern, vrr_date, term from (select *, row_number() over (partition by id_pattern, vrr_date order by abs(c) desc, o) rn from u) where rn = 1),
+top as (select * from (select *, row_number() over (partition by id_pattern, vrr_date order by case severity when 'high' then 0 when 'medium' then 1 else 2 end, kind) rn from anomalies) where rn = 1),
+prec as (select driver, max(1) p from adjustments where outcome = 'executed' group by driver)
+select m.id_pattern, m.vrr_date, {d4('m.vrr', 'vrr')}, coalesce(t.target_vrr, 1.0) target_vrr, coalesce(v.verdict, 'INCONCLUSIVE') verdict, case when v.verdict = 'DATA_ARTIFACT' then 'data_steward' else 'analyst' end as owner, {d4('d.d_vrr', 'd_vrr')}, l.term driver,
+ coalesce(a.kind, case when v.verdict = 'DATA_ARTIFACT' then 'input_audit' end) primary_anomaly,
+ case when a.kind is null and v.verdict is distinct from 'DATA_ARTIFACT' then null when not coalesce(a.actionable, false) then 'low' when prec.p is not null and coalesce(mem.n_adjustments, 0) >= 3 then 'high' else 'medium' end confidence
+from monthly m left join targets t using (id_pattern) left join memory mem using (id_pattern) left join verdicts v on v.id_pattern = m.id_pattern and v.period = m.vrr_date left join decomposed d on d.id_pattern = m.id_pattern and d.vrr_date = m.vrr_date
+left join lead_term l on l.id_pattern = m.id_pattern and l.vrr_date = m.vrr_date left join top a on a.id_pattern = m.id_pattern and a.vrr_date = m.vrr_date left join prec on prec.driver = l.term""")
+def _(field):
+    return _cases(field).select("id_pattern", "vrr_date", r4("vrr"), "target_vrr", "verdict", "owner", r4("d_vrr"), "driver", "primary_anomaly", "confidence")
+
+
+@query("j05_narratives")
+def _(field):
+    x = cases.narrated(_cases(field))
+    return x.select("id_pattern", "vrr_date", "narrative", F.size(text.uncited(F.col("narrative"), F.col("facts"))).alias("n_uncited"))
+
+
+_OTHERS = "select id_completion, count(distinct id_pattern) n_patterns from contrib group by id_completion"
+
+
+@query("t09_pattern_layout", f"""with {_COMPLETIONS}, roles as (select *, case when inj_res > prod_res then 'injector' when prod_res > 0 then 'producer' else 'idle' end as role from comp),
+n as (select id_pattern, vrr_date, count(*) filter (where role = 'injector') i, count(*) filter (where role = 'producer') p from roles group by all), o as ({_OTHERS})
+select r.id_pattern, r.vrr_date, r.id_completion, r.role, case when i = 0 then 'no_injector' when i > 1 then 'multi_injector' else case p when 2 then 'line_drive' when 3 then 'triangular' when 4 then 'five_spot' when 6 then 'seven_spot' when 8 then 'nine_spot' else 'irregular' end end geometry, o.n_patterns > 1 shared, contains(pvt_methods, 'extrapolated') low_confidence
+from roles r join n using (id_pattern, vrr_date) join o using (id_completion)""")
+def _(field):
+    contrib = contrib_of(field)
+    others = contrib.groupBy("id_completion").agg(F.countDistinct("id_pattern").alias("n_patterns"))
+    named = tools.completions(contrib).withColumn("completion_name", F.col("id_completion").cast("string"))
+    return layout.placed(named, others).select("id_pattern", "vrr_date", "id_completion", "role", "geometry", "shared", "low_confidence")
+
+
+@query("t13_pattern_context", f"""with {as_ctes(['pattern', 'targets', 'memory', 'limits', 'adjustments']).replace(" as string", " as varchar")},
+a as (select id_pattern, string_agg(cast(action_id as varchar), ',' order by ts desc, action_id desc) actions from (select *, row_number() over (partition by id_pattern order by ts desc, action_id desc) n from adjustments) where n <= 20 group by id_pattern)
+select p.id_pattern, coalesce(target_vrr, 1.0) target_vrr, response_factor, (select min(max_inj_rate_change_pct) from limits) max_change, actions from pattern p left join targets using (id_pattern) left join memory using (id_pattern) left join a using (id_pattern)""")
+def _(field):
+    x = tools.pattern_context(field.pattern, field.targets, field.memory, field.adjustments, field.limits)
+    return x.select("id_pattern", "target_vrr", "response_factor", "max_change", F.array_join(F.transform("adjustments", lambda a: a.cast("string")), ",").alias("actions"))
+
+
+@query("j08_refreshed_memory", f"with {with_monthly(['memory'])}, {_LATEST} select m.id_pattern, m.response_factor, {d4('l.vrr', 'latest_vrr')}, l.vrr_date latest_date from memory m left join latest l using (id_pattern)")
+def _(field):
+    return tools.refreshed_memory(field.memory, monthly_of(field)).select("id_pattern", "response_factor", r4("latest_vrr"), "latest_date")
+
+
+# every adjustment as a queued action: its stage from its number, and a request from the role that its number names
+_QUEUE = """queue as (select *, case action_id % 6 when 0 then 'draft' when 1 then 'analyst' when 2 then 'rm' when 3 then 'site' when 4 then 'executed' else 'rejected' end stage, case action_id % 4 when 0 then 'analyst' when 1 then 'rm' else 'site' end as role, case when action_id % 7 = 0 then 'reject' else 'advance' end verb from adjustments)"""
+
+
+@query("q03_moved_actions", f"""with {as_ctes(['adjustments']).replace(" as string", " as varchar")}, {_QUEUE},
+need as (select *, case stage when 'draft' then 'analyst' when 'analyst' then 'rm' when 'rm' then 'site' when 'site' then 'site' end needed from queue)
+select action_id, stage, case when needed is null then 'stage is final' when role <> needed then 'needs ' || needed end refused,
+ case when needed is null or role <> needed then stage when verb = 'reject' then 'rejected' else case stage when 'draft' then 'analyst' when 'analyst' then 'rm' when 'rm' then 'site' else 'executed' end end moved_to from need""")
+def _(field):
+    return _moves(field).select("action_id", "stage", "refused", "moved_to")
+
+
+def _moves(field: Field) -> DataFrame:
+    number = F.col("action_id")
+    stage = F.element_at(F.array(*map(F.lit, [*workflow.STAGES, "rejected"])), (number % 6 + 1).cast("int"))
+    queue = field.adjustments.withColumns({"stage": stage, "direction": F.col("change_type"), "action_type": F.col("change_type"), "changes": F.array(F.struct(F.col("d_surface_pct").alias("change_pct")), F.struct((F.col("d_surface_pct") * 3).alias("change_pct")))})
+    role = F.when(number % 4 == 0, "analyst").when(number % 4 == 1, "rm").otherwise("site")
+    asked = queue.select("action_id", F.when(number % 7 == 0, "reject").otherwise("advance").alias("verb"), F.lit("someone").alias("user"), role.alias("role"))
+    return workflow.moved(queue, asked)
+
+
+@query("r15_adjustment_rows", f"""with {as_ctes(['adjustments']).replace(" as string", " as varchar")}, {_QUEUE}
+select action_id, id_pattern, change_type, {d4('d_surface_pct * 2', 'd_surface_pct')}, approved_by, outcome from (select *, 'someone' approved_by, 'executed' outcome from (select * exclude (outcome) from queue where stage = 'site' and role = 'site' and verb = 'advance'))""")
+def _(field):
+    return workflow.adjustment_rows(_moves(field)).select("action_id", "id_pattern", "change_type", r4("d_surface_pct"), "approved_by", "outcome")
+
+
+@query("q05_rate_limits")
+def _(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    calls = events.select(F.element_at(F.array(*map(F.lit, workflow.CALLS)), (F.pmod(F.col("event_id"), F.lit(4)) + 1).cast("int")).alias("bucket"), F.col("user_id").cast("string").alias("who"), F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("ts"))
+    return workflow.rate_limited(calls.withColumn("ts", F.col("ts") / 1e6)).groupBy("bucket").agg(F.count("*").alias("calls"), F.count_if("refused").alias("refused"))
+
+
+@query("k04_ingested_chunks")
+def _(spark, sf_dir):
+    return knowledge.ingested(_documents(spark, sf_dir)).select("doc_id", "chunk", "chunks_in_doc", "piece", F.array_join("kinds", ",").alias("kinds"))
+
+
+@query("q08_asked_months")
+def _(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", workflow.asked_date(F.col("text")).alias("asked"))
+
+
 @query("q01_board_lanes", f"""with {as_ctes(['adjustments'])}, stages as (select * from (values (0, 'draft'), (1, 'analyst'), (2, 'rm'), (3, 'site'), (4, 'executed')) s(ordinal, stage))
 select s.ordinal, s.stage, count(a.action_id) n from stages s left join adjustments a on a.outcome = s.stage group by all""".replace(" as string", " as varchar"))
 def _(field):
@@ -396,20 +553,18 @@ def _(field):
 
 # --- documents, conversations, vectors, events ---
 
-@query("k01_normalized_documents", r"""select doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(160), ' '), '[ \t]+', ' ', 'g'), '([^\n])\n([^\n])', '\1 \2', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') normalized from documents where not regexp_matches(text, '\n[^\n]\n')""")
-def _(spark, sf_dir):
-    return _documents(spark, sf_dir).where("not text rlike '\\\\n[^\\\\n]\\\\n'").select("doc_id", text.normalized(F.col("text")).alias("normalized"))
+_NORMALIZED = r"""select doc_id, regexp_replace(replace(replace(regexp_replace(regexp_replace(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(160), ' '), '[ \t]+', ' ', 'g'), '\n{2,}', chr(57344), 'g'), chr(10), ' '), chr(57344), chr(10) || chr(10)), '^[\t\n\x0B\f\r ]+|[\t\n\x0B\f\r ]+$', '', 'g') normalized from documents"""
 
 
-@query("k01_normalized_all_documents")
+@query("k01_normalized_documents", _NORMALIZED)
+@query("k01_normalized_all_documents", _NORMALIZED)
 def _(spark, sf_dir):
     return _documents(spark, sf_dir).select("doc_id", text.normalized(F.col("text")).alias("normalized"))
 
 
-@query("r19_redacted_emails", r"""select doc_id, regexp_replace(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b', '[REDACTED:email]', 'g') clean from documents where regexp_matches(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b')""")
+@query("r19_redacted_emails", r"""select doc_id, regexp_replace(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b', '[REDACTED:email]', 'g') clean from documents""")
 def _(spark, sf_dir):
-    docs = _documents(spark, sf_dir).where(F.col("text").rlike(text.PII["email"]))
-    return docs.select("doc_id", F.regexp_replace("text", text.PII["email"], "[REDACTED:email]").alias("clean"))
+    return _documents(spark, sf_dir).select("doc_id", F.regexp_replace("text", text.PII["email"], "[REDACTED:email]").alias("clean"))
 
 
 @query("r19_redacted_documents")
@@ -419,7 +574,7 @@ def _(spark, sf_dir):
 
 @query("r18_detected_ssn_email", r"""select doc_id, kind, unnest(list_distinct(hits)) as "match" from (select doc_id, 'email' kind, regexp_extract_all(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b') hits from documents union all select doc_id, 'ssn', regexp_extract_all(text, '\b\d{3}-\d{2}-\d{4}\b') from documents)""")
 def _(spark, sf_dir):
-    return text.detected(_documents(spark, sf_dir)).where("kind in ('email', 'ssn')")
+    return text.detected(_documents(spark, sf_dir), ["email", "ssn"])
 
 
 @query("r18_detected_all_kinds")
@@ -464,41 +619,33 @@ def _(spark, sf_dir):
     return text.batch_summary(_documents(spark, sf_dir), "lang")
 
 
-@query("k05_vector_search", f"""with q as (select vec_id query_id, embedding query from embeddings where vec_id < 5),
+_SEARCHED = f"""with q as (select vec_id query_id, embedding query from embeddings where vec_id % 50 = 0),
 p as (select query_id, vec_id, list_cosine_similarity(cast(query as double[]), cast(embedding as double[])) s from embeddings cross join q)
-select query_id, vec_id, {d4('s', 'similarity')}, rank from (select *, cast(row_number() over (partition by query_id order by s desc, vec_id) as int) as rank from p where s >= 0.2) where rank <= 3""")
-def _(spark, sf_dir):
-    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    queries = vectors.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))  # the five questions of this search
-    return search.search(vectors, queries, 3, 0.2).select("query_id", "vec_id", r4("similarity"), "rank")
-
-
-@query("k08_retrieval_quality", f"""with q as (select vec_id query_id, embedding query, label from embeddings where vec_id < 5),
-p as (select query_id, vec_id, row_number() over (partition by query_id order by list_cosine_similarity(cast(query as double[]), cast(embedding as double[])) desc, vec_id) rank from embeddings cross join q),
-r as (select q.query_id, e.vec_id from q join embeddings e on e.label = q.label and e.vec_id <> q.query_id),
-f as (select query_id, min(rank) rank from p join r using (query_id, vec_id) where rank <= 10 group by query_id)
-select count(*) queries, {d4('avg(case when rank <= 3 then 1.0 else 0.0 end)', 'recall_at_k')}, {d4('avg(coalesce(1.0::double / rank, 0.0))', 'mrr')} from (select distinct query_id from r) left join f using (query_id)""")
-def _(spark, sf_dir):
-    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    queries = vectors.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.col("label").alias("wanted"))
-    relevant = vectors.join(F.broadcast(queries), (F.col("label") == F.col("wanted")) & (F.col("vec_id") != F.col("query_id"))).select("query_id", "vec_id")  # five rows
-    found = search.search(vectors, queries.select("query_id", "query"), 10, -1.0)
-    x = search.retrieval_quality(found, relevant, 3)
-    return x.select("queries", r4("recall_at_k"), r4("mrr"))
+select query_id, vec_id, {d4('s', 'similarity')}, rank from (select *, cast(row_number() over (partition by query_id order by s desc, vec_id) as int) as rank from p where s >= 0.2) where rank <= 3"""
 
 
 def _every_50th(vectors: DataFrame) -> DataFrame:
+    """The stated query set of searches: every row whose id is divisible by 50, against all rows."""
     return vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), "label")
 
 
-@query("k05_vector_search_every_50th")
+@query("k05_vector_search", _SEARCHED)
+@query("k05_vector_search_every_50th", _SEARCHED)
 def _(spark, sf_dir):
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     found = search.search(vectors, _every_50th(vectors).select("query_id", "query"), 3, 0.2)
     return found.select("query_id", "vec_id", r4("similarity"), "rank")
 
 
-@query("k08_retrieval_quality_every_50th")
+_RETRIEVED = f"""with q as (select vec_id query_id, embedding query, label from embeddings where vec_id % 50 = 0),
+p as (select query_id, vec_id, row_number() over (partition by query_id order by list_cosine_similarity(cast(query as double[]), cast(embedding as double[])) desc, vec_id) rank from embeddings cross join q),
+r as (select q.query_id, e.vec_id from q join embeddings e on e.label = q.label and e.vec_id <> q.query_id),
+f as (select query_id, min(rank) rank from p join r using (query_id, vec_id) where rank <= 10 group by query_id)
+select count(*) queries, {d4('avg(case when rank <= 3 then 1.0 else 0.0 end)', 'recall_at_k')}, {d4('avg(coalesce(1.0::double / rank, 0.0))', 'mrr')} from (select distinct query_id from r) left join f using (query_id)"""
+
+
+@query("k08_retrieval_quality", _RETRIEVED)
+@query("k08_retrieval_quality_every_50th", _RETRIEVED)
 def _(spark, sf_dir):
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     queries = _every_50th(vectors)

@@ -62,7 +62,24 @@ def load_directory(spark: SparkSession, folder: str, recursive: bool = True) ->
     html = found.where(F.col("file_type").isin(HTML_TYPES)).select("path", "file_type", one.alias("page"), html_title(text).alias("title"), html_text(text).alias("text"), none.alias("error"))
     binary = found.where(F.col("file_type").isin("docx", "pdf")).select("path", "file_type", "content").mapInPandas(_parsed, LOADED)
     other = found.where(~F.col("file_type").isin(*TEXT_TYPES, *HTML_TYPES, "docx", "pdf", "csv")).select("path", "file_type", F.lit(None).cast("int").alias("page"), none.alias("title"), none.alias("text"), F.concat(F.lit("unknown type "), "file_type").alias("error"))
-    return plain.unionByName(html).unionByName(binary).unionByName(other)
+    return plain.unionByName(html).unionByName(binary).unionByName(_csv_rows(found)).unionByName(other)
+
+
+def _csv_rows(found: DataFrame) -> DataFrame:
+    """A row for each row of each csv file, its number as page; a file that cannot be read is a row with an error."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for path, content in zip(frame["path"], frame["content"], strict=True):
+                try:
+                    rows = pd.read_csv(io.BytesIO(content), dtype=str, keep_default_na=False)
+                    texts = ["\n".join(f"{c}: {v}" for c, v in zip(rows.columns, r, strict=True)) for r in rows.itertuples(index=False)]
+                    out = [(path, "csv", i, None, t, None) for i, t in enumerate(texts, 1)]
+                except Exception as e:  # one bad file does not stop a folder: it becomes a row with its error
+                    out = [(path, "csv", None, None, None, f"{type(e).__name__}: {e}"[:200])]
+                yield pd.DataFrame(out, columns=["path", "file_type", "page", "title", "text", "error"])
+
+    return found.where("file_type = 'csv'").select("path", "content").mapInPandas(run, LOADED)
 
 
 def load_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -54,21 +54,6 @@ def promoted(raw: DataFrame, state: DataFrame) -> DataFrame:
     return raw.unionByName(new.join(raw.select("id_completion", "prod_date"), ["id_completion", "prod_date"], "left_anti").select(*raw.columns))
 
 
-def keyed_noise(seed: int, spread: float, *key: Column) -> Column:
-    """A factor within 1 - spread and 1 + spread that depends only on seed and key, so order and replay do not matter."""
-    u = F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1 << 30)) / float(1 << 30)
-    return 1 + spread * (2 * u - 1)
-
-
-def generated_rates(rates: DataFrame, dates: DataFrame, start: str, seed: int = 1, ramp_from: int = 24) -> DataFrame:
-    """Daily volumes from base rates (id_completion, base_oil, base_water, base_gas, base_inj, inj_ramp) on dates (event_date):
-    production declines by half a percent a month, injection ramps from month ramp_from on, and both carry keyed noise."""
-    months = (F.year("event_date") - F.year(F.lit(start).cast("date"))) * 12 + F.month("event_date") - F.month(F.lit(start).cast("date"))
-    decline = F.pow(F.lit(0.995), months) * keyed_noise(seed, 0.05, F.col("id_completion"), F.col("event_date"))
-    ramp = F.pow(1 + F.col("inj_ramp"), F.greatest(F.lit(0), months - ramp_from)) * keyed_noise(seed + 1, 0.04, F.col("id_completion"), F.col("event_date"))
-    return rates.crossJoin(dates).select("id_completion", "event_date", *[(F.col(f"base_{k}") * decline).alias(k) for k in ("oil", "water", "gas")], (F.col("base_inj") * ramp).alias("water_inj"))
-
-
 def stream_to(events: DataFrame, path: str, checkpoint: str, order: str):
     """Runs a stream of events to its end; each micro-batch is absorbed into the state table at path, written beside and swapped in
     by its batch number, so a batch that is run again gives the same state."""
