@@ -1,18 +1,20 @@
-"""Hierarchical Pitman-Yor language model, trained and applied as exchanges between batches of documents and word servers.
+"""Hierarchical Pitman-Yor language model, trained and applied as exchanges between batches of documents and restaurant servers.
 
-Restaurants: one for each context of the word before, and the one of single words that they share as parent, over a uniform
-base of V + 1 types. Contexts are the CONTEXTS most frequent training words (the end of a document among them) and, for the
-others, CLASSES classes by their last two bytes, so their number is bounded and their totals can go to every task.
+Restaurants: one for every word that stands before another in the training text (the end of a document among them), and the one of
+single words that they all share as parent, over a uniform base of V + 1 types. Nothing limits the number of contexts: it grows
+with the corpus. A server holds the restaurants of its contexts, by the context's hash, with all their dishes; a context that a
+large part of the tokens follows is dealt by dish over all servers, and only the totals of those few contexts are gathered.
 
 Seating: a sweep lifts the party of each dish at each restaurant and seats its customers again one by one by the Chinese
-restaurant process, given the previous sweep's totals of the other parties (parallel Gibbs). New tables are customers of the
-parent. Parties are independent given those totals, so a sweep is one pass over the model without a shuffle, and what is
-gathered is a number for each context. Random numbers are hashes of the party and sweep, so a lost task is seated alike. The
-predictive probabilities of the sweeps after the first are averaged.
-
-Exchange: a batch sends each of its distinct (word, context) pairs once, with training counts, to the server of the word's
-hash; a hot word or pair is thus one entry for each batch. The servers' answers are the pairs' probabilities. Requests are made
-from the batches each time they are sent: that takes less than keeping them.
+restaurant process, given the totals of the sweep before and the parent's probabilities (Gibbs sampling, all parties of a sweep in
+parallel). New tables are customers of the parent, whose own parties lie with other servers, by the dish's hash. So sweeps come in
+rounds: the parent is seated from what the servers' tables send it, its customers and tables go back to the servers that asked,
+and these sweep SWEEPS times. In the first round every party has one table to begin with. The predictive probabilities of all
+sweeps of the last round are averaged. Random numbers are hashes of dish, context and sweep, so a lost task is seated alike.
+
+Exchange: a batch sends each of its distinct (context, word) pairs once, with its training count, to the context's server; a hot
+pair is thus one entry for each batch. The servers keep which pairs each batch asked for, and answer with their probabilities and
+the contexts' counts, which are the words' own counts too, since every token stands before another. Words are 48-bit hashes there.
 """
 
 from __future__ import annotations
@@ -31,10 +33,12 @@ from pyspark.sql import functions as F
 
 from brinework.llm import common
 
-CONTEXTS, CLASSES, SWEEPS, BATCH_TOKENS = 400, 600, 3, 1 << 21
+ROUNDS, SWEEPS, BATCH_TOKENS = 2, 4, 1 << 21
 STRENGTH = (1.0, 1.0)  # of the contexts' restaurants and of their parent
 _END = np.uint64(1)
-STATE = "batch long, doc_ids array<long>, train binary, lengths binary, words binary, tails binary, ids binary, top array<struct<word: long, n: long>>"
+STATE = "batch long, doc_ids array<long>, train binary, lengths binary, words binary, ids binary, often array<struct<word: long, n: long>>"
+ASKED = "bucket int, batch long, contexts binary, sizes binary, words binary, index binary, counts binary"
+MODEL = "bucket int, contexts binary, words binary, sizes binary, index binary, counts binary, refs array<struct<batch: long, pairs: binary>>"
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -51,139 +55,134 @@ def _unpacked(data: bytes, kind: type) -> np.ndarray:
     return planes.T.copy().view(kind).ravel()
 
 
-def _tokenised():
-    top = pa.list_(pa.struct([("word", pa.int64()), ("n", pa.int64())]))
-    schema = pa.schema([("batch", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("train", pa.binary()), ("lengths", pa.binary()), ("words", pa.binary()), ("tails", pa.binary()), ("ids", pa.binary()), ("top", top)])
+def _six(words: np.ndarray) -> bytes:
+    """48-bit hashes as six bytes each."""
+    return words.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _from_six(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
+def _by_frequency(index: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers below n in order of how often index has them, and index in those terms: small numbers compress."""
+    order = np.argsort(-np.bincount(index, minlength=n), kind="stable")
+    rank = np.empty(n, np.uint32)
+    rank[order] = np.arange(n)
+    return order, rank[index]
+
+
+def _tokenised(buckets: int):
+    often_kind = pa.list_(pa.struct([("word", pa.int64()), ("n", pa.int64())]))
+    schema = pa.schema([("batch", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("train", pa.binary()), ("lengths", pa.binary()), ("words", pa.binary()), ("ids", pa.binary()), ("often", often_kind)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number = TaskContext.get().partitionId(), 0
+        part, number, held = TaskContext.get().partitionId(), 0, 0
         docs: list = []
         lengths: list[np.ndarray] = []
         hashes: list[np.ndarray] = []
-        tails: list[np.ndarray] = []
-        held = 0
 
         def flush() -> pa.RecordBatch:
-            words, first, ids = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
-            size = np.concatenate(lengths).astype(np.int32)
+            words, ids = np.unique(np.concatenate(hashes), return_inverse=True)
+            order, ranked = _by_frequency(ids, len(words))
+            counts = np.bincount(ids, minlength=len(words))
+            often = np.flatnonzero(counts >= max(2, len(ids) // (8 * buckets)))
+            told = [{"word": int(w), "n": int(n)} for w, n in zip(words[often].tolist(), counts[often].tolist(), strict=True)]
             train = np.array([not held_out(d) for d in docs])
-            counts = np.bincount(ids[np.repeat(train, size)], minlength=len(words))
-            often = np.flatnonzero(counts >= max(2, len(ids) // 10_000))
-            row = {"batch": part << 24 | number, "doc_ids": list(docs), "train": train.tobytes(), "lengths": size.tobytes(), "words": words.tobytes(), "tails": np.concatenate(tails)[first].tobytes(), "ids": _packed(ids.astype(np.uint32)), "top": [{"word": int(words.view(np.int64)[i]), "n": int(counts[i])} for i in often]}
+            row = {"batch": part << 24 | number, "doc_ids": list(docs), "train": train.tobytes(), "lengths": np.concatenate(lengths).astype(np.int32).tobytes(), "words": _six(words[order]), "ids": _packed(ranked), "often": told}
             return pa.RecordBatch.from_pylist([row], schema=schema)
 
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), common.as_bytes(batch.column(1))
-            for first, last, words, bounds, ends in _hashed(texts):
+            for first, last, words, bounds in common.hashed_words(texts):
                 # the end token behind each document's words
                 n = np.diff(bounds)
                 at = bounds[1:] + np.arange(len(n))
                 seq = np.empty(len(words) + len(n), np.uint64)
-                tail = np.zeros(len(seq), np.uint16)
                 mask = np.ones(len(seq), bool)
                 mask[at] = False
-                seq[at], seq[mask], tail[mask] = _END, words, ends
+                seq[at], seq[mask] = _END, words >> np.uint64(16)
                 docs += names[first:last]
                 lengths.append(n + 1)
                 hashes.append(seq)
-                tails.append(tail)
                 held += len(seq)
                 if held >= BATCH_TOKENS:
                     yield flush()
-                    docs, lengths, hashes, tails, held, number = [], [], [], [], 0, number + 1
+                    docs, lengths, hashes, held, number = [], [], [], 0, number + 1
         if docs:
             yield flush()
 
     return run
 
 
-def _hashed(texts: list[bytes | None]):
-    """As common.hashed_words, with the last two bytes of each word (lower case) too."""
-    first = 0
-    while first < len(texts):
-        last, size = first, 0
-        while last < len(texts) and (last == first or size + len(texts[last] or b"") <= common.GROUP_BYTES):
-            size += len(texts[last] or b"")
-            last += 1
-        run = [(t or b"").lower() for t in texts[first:last]]
-        a, starts, stops = common.word_spans(b"\n" + b"\n".join(run) + b"\n", common.SPACED)
-        edges = np.cumsum([0, *(len(t) + 1 for t in run)])
-        if len(starts):
-            ends = a[stops - 1].astype(np.uint16) << 8 | a[stops - 2]
-            yield first, last, common.hash_spans(a, starts, stops), np.searchsorted(starts, edges), ends
-        else:
-            yield first, last, np.zeros(0, np.uint64), np.searchsorted(starts, edges), np.zeros(0, np.uint16)
-        first = last
-
-
 class _Batch:
-    """A batch's distinct (word, context) pairs in order of the word's hash, and which pair each token is."""
-
-    def __init__(self, row: dict, contexts: np.ndarray):
-        self.words = np.frombuffer(row["words"], np.uint64)
-        self.ids = _unpacked(row["ids"], np.uint32).astype(np.int64)
-        self.lengths = np.frombuffer(row["lengths"], np.int32)
-        self.train = np.frombuffer(row["train"], bool)
-        tails = np.frombuffer(row["tails"], np.uint16).astype(np.uint64)
-        at = np.minimum(np.searchsorted(contexts, self.words), max(len(contexts) - 1, 0))
-        own = contexts[at] == self.words if len(contexts) else np.zeros(len(self.words), bool)
-        other = len(contexts) + (common.mix(tails + np.uint64(1)) % np.uint64(CLASSES)).astype(np.int64)
-        context = np.where(own, at, other)
-        end = np.searchsorted(self.words, _END)
-        before = np.concatenate((context[[end]], context[self.ids[:-1]]))
-        code, self.pair = np.unique(self.ids << 12 | before, return_inverse=True)
-        self.word, self.context = code >> 12, (code & 0xFFF).astype(np.uint16)
+    """A batch's distinct (context, word) pairs, in order of bucket, context's hash and word's hash, and which pair each token is."""
+
+    def __init__(self, row: dict, hot: np.ndarray, buckets: int):
+        words = _from_six(row["words"])
+        order = np.argsort(words)
+        place = np.empty(len(words), np.int64)
+        place[order] = np.arange(len(words))
+        self.words, self.ids = words[order], place[_unpacked(row["ids"], np.uint32)]
+        self.lengths, self.train = np.frombuffer(row["lengths"], np.int32), np.frombuffer(row["train"], bool)
+        before = np.concatenate(([np.searchsorted(self.words, _END)], self.ids[:-1]))
+        code, pair = np.unique(before << 32 | self.ids, return_inverse=True)
+        context, word = code >> 32, code & 0xFFFFFFFF
+        deal = np.isin(self.words, hot)
+        own = (common.mix(self.words) % np.uint64(buckets)).astype(np.int32)
+        by_word = (common.mix(self.words + np.uint64(buckets)) % np.uint64(buckets)).astype(np.int32)
+        bucket = np.where(deal[context], by_word[word], own[context])
+        order = np.argsort(bucket, kind="stable")
+        self.context, self.word = context[order], word[order]
+        self.cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        moved = np.empty(len(order), np.int64)
+        moved[order] = np.arange(len(order))
+        self.pair = moved[pair]
         self.tokens_train = np.repeat(self.train, self.lengths)
 
 
-def _bucket_cuts(words: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket of hashes (equal ranges) begins in sorted words."""
-    edges = np.array([(b << 64) // buckets for b in range(1, buckets)], np.uint64)
-    return np.concatenate(([0], np.searchsorted(words, edges), [len(words)]))
-
-
-def _requests(contexts: np.ndarray, buckets: int):
-    schema = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("words", pa.binary()), ("sizes", pa.binary()), ("contexts", pa.binary()), ("counts", pa.binary())])
+def _requests(hot: np.ndarray, buckets: int):
+    schema = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), *((c, pa.binary()) for c in ("contexts", "sizes", "words", "index", "counts"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                b = _Batch(row, contexts)
+                b = _Batch(row, hot, buckets)
                 counts = np.bincount(b.pair[b.tokens_train], minlength=len(b.word)).astype(np.uint32)
-                sizes = np.bincount(b.word, minlength=len(b.words))
-                cuts, starts = _bucket_cuts(b.words, buckets), np.concatenate(([0], np.cumsum(sizes)))
                 out = []
-                for k in range(buckets):
-                    x, y = cuts[k], cuts[k + 1]
-                    if x < y:
-                        p, q = starts[x], starts[y]
-                        out.append({"bucket": k, "batch": row["batch"], "words": b.words[x:y].tobytes(), "sizes": _packed(sizes[x:y].astype(np.uint16)), "contexts": _packed(b.context[p:q]), "counts": _packed(counts[p:q])})
+                for k in np.flatnonzero(np.diff(b.cuts)).tolist():
+                    x, y = b.cuts[k], b.cuts[k + 1]
+                    contexts, sizes = np.unique(b.context[x:y], return_counts=True)
+                    words, index = np.unique(b.word[x:y], return_inverse=True)
+                    order, ranked = _by_frequency(index, len(words))
+                    out.append({"bucket": k, "batch": row["batch"], "contexts": _six(b.words[contexts]), "sizes": _packed(sizes.astype(np.uint32)), "words": _six(b.words[words[order]]), "index": _packed(ranked), "counts": _packed(counts[x:y])})
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     return run
 
 
-def _codes(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a bucket's requests: all distinct words, each request's words among them, and (word, context) codes with owners' rows."""
-    words = [np.frombuffer(w, np.uint64) for w in rows["words"]]
-    vocab, at = np.unique(np.concatenate(words), return_inverse=True)
-    sizes = np.concatenate([_unpacked(s, np.uint16) for s in rows["sizes"]])
-    contexts = [_unpacked(c, np.uint16) for c in rows["contexts"]]
-    return vocab, at, np.repeat(at, sizes) << 12 | np.concatenate(contexts), np.array([len(c) for c in contexts])
-
-
 def _merge(rows: pd.DataFrame) -> pd.DataFrame:
-    """The server's part of the model: training words, and their (word, context) pairs with counts."""
-    vocab, _, code, _ = _codes(rows)
-    counts = np.concatenate([_unpacked(c, np.uint32) for c in rows["counts"]]).astype(np.int64)
-    pairs, inv = np.unique(code, return_inverse=True)
-    total = np.bincount(inv, weights=counts, minlength=len(pairs)).astype(np.int64)
-    pairs, total = pairs[total > 0], total[total > 0]
-    used, word = np.unique(pairs >> 12, return_inverse=True)
-    return pd.DataFrame({"bucket": rows["bucket"].iloc[:1], "words": [vocab[used].tobytes()], "word": [word.astype(np.uint32).tobytes()], "context": [(pairs & 0xFFF).astype(np.uint16).tobytes()], "count": [total.tobytes()]})
-
-
-MODEL = "bucket int, words binary, word binary, context binary, count binary"
+    """The server's restaurants: all pairs asked for, with training counts, and which of them each batch asked for."""
+    contexts = [_from_six(c) for c in rows["contexts"]]
+    words = [_from_six(w) for w in rows["words"]]
+    all_contexts, context_at = np.unique(np.concatenate(contexts), return_inverse=True)
+    all_words, word_at = np.unique(np.concatenate(words), return_inverse=True)
+    codes, at_c, at_w = [], 0, 0
+    for c, w, sizes, index in zip(contexts, words, rows["sizes"], rows["index"], strict=True):
+        own = np.repeat(context_at[at_c : at_c + len(c)], _unpacked(sizes, np.uint32))
+        codes.append(own << 32 | word_at[at_w : at_w + len(w)][_unpacked(index, np.uint32)])
+        at_c, at_w = at_c + len(c), at_w + len(w)
+    pairs, place = np.unique(np.concatenate(codes), return_inverse=True)
+    counts = np.bincount(place, weights=np.concatenate([_unpacked(c, np.uint32) for c in rows["counts"]]), minlength=len(pairs))
+    refs, at = [], 0
+    for batch, code in zip(rows["batch"].tolist(), codes, strict=True):
+        refs.append({"batch": batch, "pairs": _packed(np.diff(place[at : at + len(code)], prepend=0).astype(np.uint32))})
+        at += len(code)
+    sizes = np.bincount(pairs >> 32, minlength=len(all_contexts)).astype(np.uint32)
+    out = {"bucket": int(rows["bucket"].iloc[0]), "contexts": _six(all_contexts), "words": _six(all_words), "sizes": _packed(sizes), "index": _packed((pairs & 0xFFFFFFFF).astype(np.uint32)), "counts": _packed(counts.astype(np.uint32)), "refs": refs}
+    return pd.DataFrame({k: [v] for k, v in out.items()})
 
 
 def _uniform(key: np.ndarray, step: np.ndarray | int) -> np.ndarray:
@@ -218,172 +217,225 @@ def seat(count: np.ndarray, mass: np.ndarray, discount: float, key: np.ndarray)
 
 
 class _Server:
-    """One bucket of the model, seated sweep by sweep given what was gathered after each."""
-
-    def __init__(self, row: dict):
-        self.words, self.word = np.frombuffer(row["words"], np.uint64), np.frombuffer(row["word"], np.uint32).astype(np.int64)
-        self.context, self.count = np.frombuffer(row["context"], np.uint16).astype(np.int64), np.frombuffer(row["count"], np.int64)
-        self.total = np.bincount(self.word, weights=self.count, minlength=len(self.words)).astype(np.int64)
-        self.key = common.mix(self.words[self.word] + self.context.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+    """One bucket's restaurants, seated round by round given what the parent told before each (rows of its servers)."""
+
+    def __init__(self, row: dict, known: dict):
+        self.contexts, self.words = _from_six(row["contexts"]), _from_six(row["words"])
+        self.context = np.repeat(np.arange(len(self.contexts)), _unpacked(row["sizes"], np.uint32))
+        self.word, self.count = _unpacked(row["index"], np.uint32).astype(np.int64), _unpacked(row["counts"], np.uint32).astype(np.int64)
+        self.refs = row["refs"]
+        self.n = np.bincount(self.context, weights=self.count, minlength=len(self.contexts))
+        hot = np.array(sorted(known["hot"]), np.uint64)
+        at = np.minimum(np.searchsorted(hot, self.contexts), max(len(hot) - 1, 0))
+        self.hot = np.flatnonzero(hot[at] == self.contexts) if len(hot) else np.zeros(0, np.int64)
+        self.hot_names = self.contexts[self.hot].tolist()
+        self.known = known
+        self.n[self.hot] = [known["hot"][v].get("c", 0) for v in self.hot_names]
+
+    def totals(self, tables: np.ndarray, n: int) -> np.ndarray:
+        """Tables of each context; those of hot ones as they were gathered before round n."""
+        out = np.bincount(self.context, weights=tables, minlength=len(self.contexts))
+        out[self.hot] = [self.known["hot"][v].get(f"t{n}", 0) for v in self.hot_names]
+        return out
+
+    def parent(self, told: list[dict], n: int) -> np.ndarray:
+        """The parent's probability of each word in round n."""
+        own = sorted((t for t in told if t["round"] == n), key=lambda t: t["home"])
+        customers, tables = (np.concatenate([_unpacked(t[c], np.uint32) for t in own]).astype(float) for c in ("customers", "tables"))
+        k = self.known
+        base = (STRENGTH[1] + k["d1"] * k[f"root{n}"]) / (k["V"] + 1)
+        return (customers - k["d1"] * tables + base) / (STRENGTH[1] + k[f"customers{n}"])
+
+    def sweeps(self, told: list[dict], rounds: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(round, tables of each pair, tables of each context, parent's probabilities) after each sweep."""
+        d, tables = self.known["d"], np.minimum(self.count, 1)
+        some = np.flatnonzero(self.count > 1)
+        key = common.mix(self.words[self.word[some]] + self.contexts[self.context[some]] * np.uint64(0xD1B54A32D192ED03))
+        for n in range(rounds):
+            parent = self.parent(told, n)
+            for s in range(SWEEPS):
+                total = self.totals(tables, n)
+                mass = (STRENGTH[0] + d * total[self.context[some]]) * parent[self.word[some]]
+                tables = tables.copy()
+                tables[some] = seat(self.count[some], mass, d, key + np.uint64((n * SWEEPS + s) * 1_000_003))
+                yield n, tables, self.totals(tables, n), parent
+
+
+def _sums(known: dict, rounds: int):
+    """(kind, word, n) sums over servers: before any round counts, later the tables of hot contexts."""
 
-    def sweep(self, n: int, known: dict, parent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Tables of each pair, customers and tables of each word in the parent, after sweep n."""
-        mass = (STRENGTH[0] + known["d"] * known["tables"][self.context]) * parent[self.word]
-        tables = seat(self.count, mass, known["d"], self.key + np.uint64(n * 1_000_003))
-        customers = np.bincount(self.word, weights=tables, minlength=len(self.words)).astype(np.int64)
-        base = np.full(len(self.words), (STRENGTH[1] + known["d1"] * known["root"]) / (known["V"] + 1))
-        return tables, customers, seat(customers, base, known["d1"], common.mix(self.words + np.uint64(n + 17)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[str, int], int] = {}
 
-    def replay(self, history: list[dict]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """The seating of each sweep; history[n] is what was gathered before sweep n."""
-        parent = self.total / max(history[0]["N"], 1)
-        for n, known in enumerate(history):
-            if n:
-                parent = parent_probability(customers, rooted, known)
-            tables, customers, rooted = self.sweep(n, known, parent)
-            yield tables, customers, rooted
+        def add(kind: str, word: int, n) -> None:
+            total[kind, word] = total.get((kind, word), 0) + int(n)
 
+        for batch in batches:
+            for row in batch.to_pylist():
+                s = _Server(row, known)
+                if rounds:
+                    *_, (_, tables, _, _) = s.sweeps(row["told"], rounds)
+                else:
+                    tables = np.minimum(s.count, 1)
+                    own = np.bincount(s.context, weights=s.count, minlength=len(s.contexts))
+                    add("N", 0, own.sum())
+                    add("one", 0, np.sum(s.count == 1))
+                    add("two", 0, np.sum(s.count == 2))
+                    for v, n in zip(s.hot_names, own[s.hot], strict=True):
+                        add("c", v, n)
+                    own[s.hot] = 0
+                    add("V", 0, np.sum(own > 0))
+                seated = np.bincount(s.context, weights=tables, minlength=len(s.contexts))
+                for v, n in zip(s.hot_names, seated[s.hot], strict=True):
+                    add(f"t{rounds}", v, n)
+        names = list(total)
+        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in names], pa.string()), pa.array([b for _, b in names], pa.int64()), pa.array([total[x] for x in names], pa.int64())], names=["kind", "word", "n"])
 
-def parent_probability(customers: np.ndarray, rooted: np.ndarray, known: dict) -> np.ndarray:
-    """Probability of words in the restaurant of single words."""
-    base = (STRENGTH[1] + known["d1"] * known["root"]) / (known["V"] + 1)
-    return (customers - known["d1"] * rooted + base) / (STRENGTH[1] + known["customers"])
+    return run
 
 
-def _gathered(history: list[dict] | None):
-    """(kind, k, n) sums over a server: before any sweep counts, then tables by context and the parent's totals."""
+def _sent(known: dict, rounds: int, homes: int):
+    """What each server sends the parent: for its words, in ranges of their hashes, how many tables they have here."""
+    schema = pa.schema([("home", pa.int32()), ("bucket", pa.int32()), ("words", pa.binary()), ("customers", pa.binary())])
+    edges = np.array([(b << 48) // homes for b in range(1, homes)], np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[tuple[str, int], int] = {}
-
-        def add(kind: str, k, n) -> None:
-            for i, v in zip(np.atleast_1d(k).tolist(), np.atleast_1d(n).tolist(), strict=True):
-                if v:
-                    total[kind, i] = total.get((kind, i), 0) + int(v)
-
         for batch in batches:
             for row in batch.to_pylist():
-                s = _Server(row)
-                every = np.arange(1 << 12)
-                if history is None:
-                    add("c", every, np.bincount(s.context, weights=s.count, minlength=1 << 12))
-                    add("t", every, np.bincount(s.context, minlength=1 << 12))
-                    add("once", [1, 2], [np.sum(s.count == 1), np.sum(s.count == 2)])
-                    kinds = np.bincount(s.word, minlength=len(s.words))
-                    add("single", [1, 2], [np.sum(kinds == 1), np.sum(kinds == 2)])
-                    add("V", 0, len(s.words))
-                else:
-                    *_, (tables, customers, rooted) = s.replay(history)
-                    add("t", every, np.bincount(s.context, weights=tables, minlength=1 << 12))
-                    add("customers", 0, customers.sum())
-                    add("root", 0, rooted.sum())
-        names = list(total)
-        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in names], pa.string()), pa.array([b for _, b in names], pa.int32()), pa.array([total[x] for x in names], pa.int64())], names=["kind", "k", "n"])
+                s = _Server(row, known)
+                tables = np.minimum(s.count, 1)
+                if rounds:
+                    *_, (_, tables, _, _) = s.sweeps(row["told"], rounds)
+                customers = np.bincount(s.word, weights=tables, minlength=len(s.words)).astype(np.uint32)
+                cuts = np.concatenate(([0], np.searchsorted(s.words, edges), [len(s.words)]))
+                out = [{"home": h, "bucket": row["bucket"], "words": _six(s.words[x:y]), "customers": _packed(customers[x:y])} for h, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
+                yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     return run
 
 
-def _collect(model: DataFrame, history: list[dict] | None) -> dict[tuple[str, int], int]:
-    rows = model.mapInArrow(_gathered(history), "kind string, k int, n long").groupBy("kind", "k").agg(F.sum("n").alias("n"))
-    return {(r["kind"], r["k"]): r["n"] for r in rows.collect()}  # a number for each of a bounded number of contexts
+TOLD = "bucket int, round int, home int, customers binary, tables binary, k long, r long, one long, two long"
+
+
+def _parents(known: dict, n: int):
+    """The parent's parties in a range of hashes: their customers and tables go back to each server that asked, in its order."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        words = [_from_six(w) for w in rows["words"]]
+        vocab, at = np.unique(np.concatenate(words), return_inverse=True)
+        customers = np.bincount(at, weights=np.concatenate([_unpacked(c, np.uint32) for c in rows["customers"]]), minlength=len(vocab)).astype(np.int64)
+        mass = np.full(len(vocab), (STRENGTH[1] + known.get("d1", 0.5) * known.get(f"root{n - 1}", known["V"])) / (known["V"] + 1))
+        tables = seat(customers, mass, known.get("d1", 0.5), common.mix(vocab + np.uint64(n + 17)))
+        cuts = np.cumsum([0, *map(len, words)])
+        back = [[_packed(x[at[a:b]].astype(np.uint32)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)] for x in (customers, tables)]
+        first = np.arange(len(rows)) == 0  # the range's sums, told once
+        sums = {"k": customers.sum(), "r": tables.sum(), "one": np.sum(customers == 1), "two": np.sum(customers == 2)}
+        return pd.DataFrame({"bucket": rows["bucket"], "round": n, "home": rows["home"], "customers": back[0], "tables": back[1], **{c: first * int(v) for c, v in sums.items()}})
+
+    return run
 
 
 def _discount(one: int, two: int) -> float:
     return min(0.95, max(0.05, one / (one + 2 * two))) if one + two else 0.5
 
 
-def fit(model: DataFrame) -> list[dict]:
-    """What is gathered before each sweep, and after the last."""
-    got = _collect(model, None)
-    by = lambda kind, got: np.array([got.get((kind, k), 0) for k in range(1 << 12)], float)
-    known = {"N": sum(v for (k, _), v in got.items() if k == "c"), "V": got.get(("V", 0), 0), "c": by("c", got), "tables": by("t", got), "root": got.get(("V", 0), 0), "customers": 0}
-    known |= {"d": _discount(got.get(("once", 1), 0), got.get(("once", 2), 0)), "d1": _discount(got.get(("single", 1), 0), got.get(("single", 2), 0))}
-    history = [known]
-    for _ in range(SWEEPS):
-        got = _collect(model, history)
-        history.append(known | {"tables": by("t", got), "customers": got.get(("customers", 0), 0), "root": got.get(("root", 0), 0)})
-    return history
-
-
-def _answers(history: list[dict]):
-    """For each request of a bucket, log10 probabilities of its pairs and training counts of its words."""
-
-    def run(key: tuple, asked: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
-        if not len(asked):
-            return pd.DataFrame({"batch": [], "bucket": [], "scores": [], "counts": []})
-        s = _Server(model.iloc[0].to_dict())
-        vocab, at, code, sizes = _codes(asked)
-        known_word = np.minimum(np.searchsorted(s.words, vocab), max(len(s.words) - 1, 0))
-        known = s.words[known_word] == vocab if len(s.words) else np.zeros(len(vocab), bool)
-        pairs, inv = np.unique(code, return_inverse=True)
-        word, context = pairs >> 12, pairs & 0xFFF
-        own = s.word << 12 | s.context
-        wanted = known_word[word] << 12 | context
-        place = np.minimum(np.searchsorted(own, wanted), max(len(own) - 1, 0))
-        there = known[word] & (own[place] == wanted) if len(own) else np.zeros(len(pairs), bool)
-        total = np.zeros(len(pairs))
-        for n, (tables, customers, rooted) in enumerate(s.replay(history[:-1])):
-            if not n:
-                continue  # the first sweep only leaves the start behind
-            after = history[n + 1]
-            new = (STRENGTH[1] + after["d1"] * after["root"]) / (after["V"] + 1) / (STRENGTH[1] + after["customers"])
-            parent = np.full(len(vocab), new)
-            if len(s.words):
-                parent = np.where(known, parent_probability(customers, rooted, after)[known_word], new)
-            seated = np.where(there, s.count[place] - after["d"] * tables[place], 0.0) if len(own) else 0.0
-            total += (seated + (STRENGTH[0] + after["d"] * after["tables"][context]) * parent[word]) / (STRENGTH[0] + after["c"][context])
-        score = np.log10(total / max(len(history) - 2, 1)).astype(np.float32)
-        counts = np.where(known, s.total[known_word], 0) if len(s.words) else np.zeros(len(vocab), np.int64)
-        cuts, words = np.cumsum([0, *sizes]), np.cumsum([0, *(len(w) // 8 for w in asked["words"])])
-        scores = [_packed(score[inv[a:b]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        return pd.DataFrame({"batch": asked["batch"].to_numpy(), "bucket": asked["bucket"].to_numpy(), "scores": scores, "counts": [_packed(counts[at[a:b]]) for a, b in zip(words[:-1], words[1:], strict=True)]})
+def _answers(known: dict):
+    """For each batch that asked, log10 probabilities of its pairs, and training counts of their contexts."""
+    schema = pa.schema([("batch", pa.int64()), ("bucket", pa.int32()), ("scores", pa.binary()), ("counts", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                s = _Server(row, known)
+                total = np.zeros(len(s.count))
+                for n, tables, seated, parent in s.sweeps(row["told"], ROUNDS):
+                    if n == ROUNDS - 1:
+                        total += (s.count - known["d"] * tables + (STRENGTH[0] + known["d"] * seated[s.context]) * parent[s.word]) / (STRENGTH[0] + s.n[s.context])
+                score = np.log10(total / SWEEPS).astype(np.float32)
+                for ref in s.refs:
+                    pairs = np.cumsum(_unpacked(ref["pairs"], np.uint32).astype(np.int64))
+                    own = s.context[pairs]
+                    new = np.concatenate(([True], own[1:] != own[:-1]))
+                    yield pa.RecordBatch.from_arrays([pa.array([ref["batch"]]), pa.array([row["bucket"]], pa.int32()), pa.array([_packed(score[pairs])], pa.binary()), pa.array([_packed(s.n[own[new]].astype(np.uint32))], pa.binary())], schema=schema)
 
     return run
 
 
-def _scored(contexts: np.ndarray, known: dict):
-    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+def _scored(hot: np.ndarray, buckets: int, known: dict):
+    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("perplexity", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                b = _Batch(row, contexts)
-                told = sorted(row["told"], key=lambda x: x["bucket"])
-                score = np.concatenate([_unpacked(x["scores"], np.float32) for x in told]).astype(float)[b.pair]
-                count = np.concatenate([_unpacked(x["counts"], np.int64) for x in told])
-                base = np.log10((count + 0.5) / (known["N"] + 0.5 * (known["V"] + 1)))[b.ids]
+                b = _Batch(row, hot, buckets)
+                score, count = np.empty(len(b.word)), np.zeros(len(b.words), np.int64)
+                for told in row["told"]:
+                    x, y = b.cuts[told["bucket"]], b.cuts[told["bucket"] + 1]
+                    score[x:y] = _unpacked(told["scores"], np.float32)
+                    count[np.unique(b.context[x:y])] = _unpacked(told["counts"], np.uint32)
+                base = np.log10((count + 0.5) / (known["N"] + 0.5 * (known["V"] + 1)))
                 at = np.concatenate(([0], np.cumsum(b.lengths)[:-1]))
-                k = len(b.lengths)
-                sums = [np.add.reduceat(x, at) for x in ((count > 0)[b.ids].astype(np.int64), base, score)]
+                n_known, base, score = (np.add.reduceat(x, at) for x in ((count > 0)[b.ids].astype(np.int64), base[b.ids], score[b.pair]))
                 held = [held_out(d) for d in row["doc_ids"]]
-                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(held), pa.array(b.lengths, pa.int64()), pa.array(sums[0]), pa.array([known["N"]] * k, pa.int64()), pa.array(sums[1]), pa.array(sums[2])], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(held), pa.array(b.lengths, pa.int64()), pa.array(n_known), pa.array([known["N"]] * len(held), pa.int64()), pa.array(base), pa.array(score), pa.array(10.0 ** (-score / b.lengths))], schema=schema)
 
     return run
 
 
-def _by_batch(state: DataFrame) -> DataFrame:
-    """The tokens, written in buckets by batch: they join their answers later without being moved again."""
-    spark, name = state.sparkSession, f"lm_tokens_{uuid.uuid4().hex}"
-    writer = state.write.bucketBy(common.partitions(spark), "batch").sortBy("batch")
-    writer.option("path", common.new_path(spark, "lm-tokens")).saveAsTable(name)
+def _kept_by(rows: DataFrame, key: str, buckets: int) -> DataFrame:
+    """The rows, written in buckets by key: they join what comes back to them without being moved again."""
+    spark, name = rows.sparkSession, f"lm_{key}_{uuid.uuid4().hex}"
+    rows.write.bucketBy(buckets, key).sortBy(key).option("path", common.new_path(spark, f"lm-{key}")).saveAsTable(name)
     return spark.table(name)
 
 
+def _with_told(rows: DataFrame, told: DataFrame, key: str) -> DataFrame:
+    columns = [c for c in told.columns if c != key]
+    return rows.join(told.groupBy(key).agg(F.collect_list(F.struct(*columns)).alias("told")), key)
+
+
 def document_scores(docs: DataFrame) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of docs (doc_id, text).
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity) for each row of docs (doc_id, text).
 
     Learns from documents whose crc32(doc_id) mod 5 is not 1; a null doc_id is learned from. Null and empty texts hold only the
     end token; repeated rows each count and each get a row. Without training documents every word is unknown.
     """
     spark = docs.sparkSession
-    buckets = 2 * common.partitions(spark)
-    state = _by_batch(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_tokenised(), STATE))
-    top = state.select(F.explode("top").alias("t")).groupBy("t.word").agg(F.sum("t.n").alias("n")).orderBy(F.col("n").desc(), "word").limit(CONTEXTS)
-    contexts = np.sort(np.array([r["word"] for r in top.collect()], np.int64).view(np.uint64))
-    slim = state.drop("top")
-    asked = slim.mapInArrow(_requests(contexts, buckets), "bucket int, batch long, words binary, sizes binary, contexts binary, counts binary")
-    model = common.written(asked.groupBy("bucket").applyInPandas(_merge, MODEL), "lm-model")
-    history = fit(model)
-    answers = asked.drop("counts").groupBy("bucket").cogroup(model.groupBy("bucket")).applyInPandas(_answers(history), "batch long, bucket int, scores binary, counts binary")
-    told = answers.groupBy("batch").agg(F.collect_list(F.struct("bucket", "scores", "counts")).alias("told"))
-    return slim.join(told, "batch").mapInArrow(_scored(contexts, history[0]), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    partitions = common.partitions(spark)
+    buckets = 2 * partitions
+    state = _kept_by(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_tokenised(buckets), STATE), "batch", partitions)
+    # contexts with more than a quarter of a server's share of tokens: 4 * buckets at most
+    often = state.select(F.explode("often").alias("o")).groupBy("o.word").agg(F.sum("o.n").alias("n"))
+    tokens = state.agg(F.sum(F.aggregate("often", F.lit(0).cast("long"), lambda a, o: a + o["n"]))).collect()[0][0] or 0
+    hot = np.sort(np.array([r["word"] for r in often.where(F.col("n") > tokens // (4 * buckets)).select("word").collect()], np.int64).astype(np.uint64))
+    slim = state.drop("often")
+    asked = slim.mapInArrow(_requests(hot, buckets), ASKED)
+    model = _kept_by(asked.groupBy("bucket").applyInPandas(_merge, MODEL), "bucket", partitions)
+
+    known: dict = {"hot": {int(v): {} for v in hot}, "N": 0, "V": 0}
+
+    def gather(rows: DataFrame, rounds: int) -> dict:
+        got = rows.mapInArrow(_sums(known, rounds), "kind string, word long, n long").groupBy("kind", "word").agg(F.sum("n").alias("n")).collect()
+        for r in got:
+            if r["kind"] in ("c", f"t{rounds}"):
+                known["hot"][r["word"]][r["kind"]] = r["n"]
+        return {r["kind"]: r["n"] for r in got if r["word"] == 0}
+
+    first = gather(model, 0)
+    known |= {"N": first.get("N", 0), "V": first.get("V", 0) + sum(h.get("c", 0) > 0 for h in known["hot"].values()), "d": _discount(first.get("one", 0), first.get("two", 0))}
+    told = None
+    for n in range(ROUNDS):
+        rows = model if told is None else _with_told(model, told, "bucket")
+        if n and len(hot):
+            gather(rows, n)
+        sent = rows.mapInArrow(_sent(known, n, buckets), "home int, bucket int, words binary, customers binary")
+        now = common.written(sent.groupBy("home").applyInPandas(_parents(known, n), TOLD), "lm-told")
+        sums = now.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("k", "r", "one", "two")]).collect()[0]
+        known |= {f"customers{n}": sums["k"], f"root{n}": sums["r"]}
+        if n == 0:
+            known["d1"] = _discount(sums["one"], sums["two"])
+        now = now.select("bucket", "round", "home", "customers", "tables")
+        told = now if told is None else told.unionByName(now)
+    answers = _with_told(model, told, "bucket").mapInArrow(_answers(known), "batch long, bucket int, scores binary, counts binary")
+    shape = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
+    return _with_told(slim, answers, "batch").mapInArrow(_scored(hot, buckets, known), shape)

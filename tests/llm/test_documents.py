@@ -341,3 +341,19 @@ def test_sampled_words_take_about_as_many_pieces_as_the_library():
     text = "The quick brown fox jumps over the lazy dog near the river bank in early spring"
     ids, _ = Pieces(PIECES).sample([text] * 500, np.arange(500, dtype=np.uint64))
     assert len(ids) / 500 < 1.5 * len(SentencePieceProcessor(model_file=PIECES).encode(text))
+
+
+def test_documents_that_occur_twice_are_scored_apart(spark, monkeypatch):
+    monkeypatch.setattr(pitman_yor, "BATCH_TOKENS", 3000)
+    rng = np.random.default_rng(2)
+    vocabulary = [f"w{k}" for k in range(2000)]
+    made = [" ".join(rng.choice(vocabulary, 60)) for _ in range(150)]
+    rows = [(i, t) for i, t in enumerate(made)] + [(1000 + i, t) for i, t in enumerate(made[:50])]
+    got = pitman_yor.document_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    score = {r.doc_id: r.score / r.n_tokens for r in got if not r.held_out}
+    assert all(abs(r.perplexity - 10 ** (-r.score / r.n_tokens)) < 1e-6 * r.perplexity for r in got)
+    twice = [score[i] for i in range(50) if i in score and 1000 + i in score]
+    once = [score[i] for i in range(50, 150) if i in score]
+    assert min(twice) > max(once)
+    # contexts grow with the corpus: rare words predict what follows them as well as frequent ones do
+    assert np.mean(once) > np.mean([r.score / r.n_tokens for r in got if r.held_out and 50 <= r.doc_id < 150]) + 0.5
