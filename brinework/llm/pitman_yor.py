@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 from brinework.llm import common
 
 ROUNDS, SWEEPS, BATCH_TOKENS = 2, 4, 1 << 21
+#: Words that a server of the parent takes from all servers of contexts, about.
+HOME_WORDS = 1 << 18
 STRENGTH = (1.0, 1.0)  # of the contexts' restaurants and of their parent
 _END = np.uint64(1)
 STATE = "batch long, doc_ids array<long>, train binary, lengths binary, words binary, ids binary, often array<struct<word: long, n: long>>"
@@ -422,13 +424,14 @@ def document_scores(docs: DataFrame) -> DataFrame:
         return {r["kind"]: r["n"] for r in got if r["word"] == 0}
 
     first = gather(model, 0)
+    homes = -(-(model.agg(F.sum(F.octet_length("words"))).collect()[0][0] or 0) // (6 * HOME_WORDS)) or 1
     known |= {"N": first.get("N", 0), "V": first.get("V", 0) + sum(h.get("c", 0) > 0 for h in known["hot"].values()), "d": _discount(first.get("one", 0), first.get("two", 0))}
     told = None
     for n in range(ROUNDS):
         rows = model if told is None else _with_told(model, told, "bucket")
         if n and len(hot):
             gather(rows, n)
-        sent = rows.mapInArrow(_sent(known, n, buckets), "home int, bucket int, words binary, customers binary")
+        sent = rows.mapInArrow(_sent(known, n, homes), "home int, bucket int, words binary, customers binary")
         now = common.written(sent.groupBy("home").applyInPandas(_parents(known, n), TOLD), "lm-told")
         sums = now.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("k", "r", "one", "two")]).collect()[0]
         known |= {f"customers{n}": sums["k"], f"root{n}": sums["r"]}
