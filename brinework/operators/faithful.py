@@ -26,6 +26,17 @@ def _any(text: Column, phrases: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(p)) for p in phrases])
 
 
+def _said_of(term: str, phrases: list[str], low: Column, clauses: Column, least: float) -> Column:
+    """What an answer says of a term: whether it is named, and the kind of its violation, if any."""
+    own = F.get(F.filter("drivers", lambda d: d["term"] == term), F.lit(0))
+    about = F.filter(clauses, lambda c: _any(c, phrases))
+    moved = F.coalesce(own["delta"], own["contribution"])
+    wrong = F.exists(about, lambda c: (_any(c, UP) & ~_any(c, DOWN) & (moved < 0)) | (_any(c, DOWN) & ~_any(c, UP) & (moved > 0)))
+    claimed = F.exists(about, lambda c: _any(c, CAUSES))
+    kind = F.when(own.isNull() | ((own["share"] < least) & claimed), "unsupported_driver").when(wrong, "wrong_direction")
+    return F.struct(F.lit(term).alias("term"), _any(low, phrases).alias("named"), kind.alias("kind"))
+
+
 def checked(answers: DataFrame, least: float = LEAST_SHARE) -> DataFrame:
     """answers (answer, drivers: array of term, share, contribution, delta; other columns stay) with `violations`, an array of (kind,
     term), `supported` and `faithful`.
@@ -38,13 +49,7 @@ def checked(answers: DataFrame, least: float = LEAST_SHARE) -> DataFrame:
     clauses = F.split(low, r"[.,;:!?\n]|\band\b|\bwhile\b|\bwhereas\b")
     kinds = []
     for term, phrases in PHRASES.items():
-        own = F.get(F.filter("drivers", lambda d, t=term: d["term"] == t), F.lit(0))
-        about = F.filter(clauses, lambda c, p=phrases: _any(c, p))
-        moved = F.coalesce(own["delta"], own["contribution"])
-        wrong = F.exists(about, lambda c, m=moved: (_any(c, UP) & ~_any(c, DOWN) & (m < 0)) | (_any(c, DOWN) & ~_any(c, UP) & (m > 0)))
-        claimed = F.exists(about, lambda c: _any(c, CAUSES))
-        kind = F.when(own.isNull() | ((own["share"] < least) & claimed), "unsupported_driver").when(wrong, "wrong_direction")
-        kinds.append(F.struct(F.lit(term).alias("term"), _any(low, phrases).alias("named"), kind.alias("kind")))
+        kinds.append(_said_of(term, phrases, low, clauses, least))
     x = answers.withColumn("_said", F.when(F.size("drivers") > 0, F.array(*kinds)).otherwise(F.array().cast("array<struct<term: string, named: boolean, kind: string>>")))
     violations = F.transform(F.filter("_said", lambda s: s["named"] & s["kind"].isNotNull()), lambda s: F.struct(s["kind"].alias("kind"), s["term"].alias("term")))
     supported = F.transform(F.filter("_said", lambda s: s["named"] & (F.coalesce(s["kind"], F.lit("")) != "unsupported_driver")), lambda s: s["term"])

@@ -144,7 +144,7 @@ def asked_date(question: Column) -> Column:
     named = F.regexp_extract(F.lower(question), r"([a-z]+)\s+(\d{4})", 1)
     year = F.regexp_extract(F.lower(question), r"([a-z]+)\s+(\d{4})", 2)
     months = F.create_map(*[x for i, m in enumerate(_MONTHS, 1) for name in dict.fromkeys((m, m[:3])) for x in (F.lit(name), F.lit(f"{i:02d}"))])
-    return F.when(iso != "", F.try_to_date(F.concat(iso, F.lit("-01")))).when(named != "", F.try_to_date(F.concat_ws("-", year, F.element_at(months, named), F.lit("01"))))
+    return F.when(iso != "", F.try_to_date(F.concat(iso, F.lit("-01")))).when(named != "", F.try_to_date(F.concat(year, F.lit("-"), F.element_at(months, named), F.lit("-01"))))
 
 
 # The words and phrases that the scores look for are fixed values.
