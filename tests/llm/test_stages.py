@@ -66,3 +66,23 @@ def test_other_stages_keep_what_they_should(spark, tmp_path):
     assert pairs(corpus_pipeline.personal_data(spark, docs, "")) == rows  # no personal data in it
     pieces = decoded_pieces(corpus_pipeline.piece_ids(spark, docs, ""), vocabulary("piece_bpe_32k.model"))
     assert all(r.decoded == r.text for r in pieces.collect()) and pairs(pieces) == rows
+
+
+def test_stages_take_odd_rows_and_empty_tables(spark):
+    """Nulls in any column, empty and blank texts, repeated rows, and columns that are named like the stages' own."""
+    import corpus_pipeline
+    from helpers import prose
+
+    names = ["d", "m", "root", "kept", "row", "mark", "number", "_d", "_k", "pieces"]
+    text = prose(9, 90)
+    rows = [(1, text), (1, text), (1, text + " more"), (2, text), (3, None), (3, None), (None, text), (None, None), (4, ""), (5, " \n "), (6, prose(8, 40))]
+    docs = spark.createDataFrame([(i, t, *([None] * len(names) if i is None else [f"{c}{i}" for c in names])) for i, t in rows], "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in names))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        own = [c for c in docs.columns if c != "pieces" or name != "sentencepiece_sampling"]
+        got = out.collect()
+        assert set(docs.columns) <= set(out.columns) and len(got) <= len(rows), name
+        assert all(r[c] == (None if r.doc_id is None else f"{c}{r.doc_id}") for r in got for c in own[2:]), name
+        assert stage(spark, docs.where("false"), "/root/testdata/sf0.001").count() == 0, name
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "/root/testdata/sf0.001").collect()}
+    assert {3, 4, 5, 6} <= kept and 2 not in kept
