@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from brinework.llm import common
 
-ROUNDS, SWEEPS, BATCH_TOKENS = 2, 4, 1 << 21
+ROUNDS, SWEEPS, BATCH_TOKENS = 2, 4, 1 << 20
 #: Words that a server of the parent takes from all servers of contexts, about.
 HOME_WORDS = 1 << 18
 STRENGTH = (1.0, 1.0)  # of the contexts' restaurants and of their parent
@@ -405,19 +405,19 @@ def document_scores(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     partitions = common.partitions(spark)
     buckets = 2 * partitions
-    state = _kept_by(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_tokenised(buckets), STATE), "batch", partitions)
+    state = _kept_by(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(common.trimmed(_tokenised(buckets)), STATE), "batch", partitions)
     # contexts with more than a quarter of a server's share of tokens: 4 * buckets at most
     often = state.select(F.explode("often").alias("o")).groupBy("o.word").agg(F.sum("o.n").alias("n"))
     tokens = state.agg(F.sum(F.aggregate("often", F.lit(0).cast("long"), lambda a, o: a + o["n"]))).collect()[0][0] or 0
     hot = np.sort(np.array([r["word"] for r in often.where(F.col("n") > tokens // (4 * buckets)).select("word").collect()], np.int64).astype(np.uint64))
     slim = state.drop("often")
-    asked = slim.mapInArrow(_requests(hot, buckets), ASKED)
-    model = _kept_by(asked.groupBy("bucket").applyInPandas(_merge, MODEL), "bucket", partitions)
+    asked = slim.mapInArrow(common.trimmed(_requests(hot, buckets)), ASKED)
+    model = _kept_by(asked.groupBy("bucket").applyInPandas(common.trimmed_group(_merge), MODEL), "bucket", partitions)
 
     known: dict = {"hot": {int(v): {} for v in hot}, "N": 0, "V": 0}
 
     def gather(rows: DataFrame, rounds: int) -> dict:
-        got = rows.mapInArrow(_sums(known, rounds), "kind string, word long, n long").groupBy("kind", "word").agg(F.sum("n").alias("n")).collect()
+        got = rows.mapInArrow(common.trimmed(_sums(known, rounds)), "kind string, word long, n long").groupBy("kind", "word").agg(F.sum("n").alias("n")).collect()
         for r in got:
             if r["kind"] in ("c", f"t{rounds}"):
                 known["hot"][r["word"]][r["kind"]] = r["n"]
@@ -431,14 +431,14 @@ def document_scores(docs: DataFrame) -> DataFrame:
         rows = model if told is None else _with_told(model, told, "bucket")
         if n and len(hot):
             gather(rows, n)
-        sent = rows.mapInArrow(_sent(known, n, homes), "home int, bucket int, words binary, customers binary")
-        now = common.written(sent.groupBy("home").applyInPandas(_parents(known, n), TOLD), "lm-told")
+        sent = rows.mapInArrow(common.trimmed(_sent(known, n, homes)), "home int, bucket int, words binary, customers binary")
+        now = common.written(sent.groupBy("home").applyInPandas(common.trimmed_group(_parents(known, n)), TOLD), "lm-told")
         sums = now.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("k", "r", "one", "two")]).collect()[0]
         known |= {f"customers{n}": sums["k"], f"root{n}": sums["r"]}
         if n == 0:
             known["d1"] = _discount(sums["one"], sums["two"])
         now = now.select("bucket", "round", "home", "customers", "tables")
         told = now if told is None else told.unionByName(now)
-    answers = _with_told(model, told, "bucket").mapInArrow(_answers(known), "batch long, bucket int, scores binary, counts binary")
+    answers = _with_told(model, told, "bucket").mapInArrow(common.trimmed(_answers(known)), "batch long, bucket int, scores binary, counts binary")
     shape = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
-    return _with_told(slim, answers, "batch").mapInArrow(_scored(hot, buckets, known), shape)
+    return _with_told(slim, answers, "batch").mapInArrow(common.trimmed(_scored(hot, buckets, known)), shape)
