@@ -687,3 +687,16 @@ def _(spark, sf_dir):
 @query("st_tumbling_windows", f"select date_trunc('day', ts)::timestamp window_start, event_type, count(*) n, {d4('sum(value)', 'total')} from events group by all")
 def _(spark, sf_dir):
     return intake.windowed(spark.read.parquet(f"{sf_dir}/events.parquet")).select("window_start", "event_type", "n", r4("total"))
+
+
+@query("st04_resume_date", f"with {as_ctes(['volumes'])} select cast(greatest((select max(cast(ts as date)) from events), (select max(prod_date) from volumes)) + 1 as date) resume_date")
+def _(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.to_date("ts").alias("event_date"))
+    return intake.resume_date(events, Field(spark, sf_dir).volumes)
+
+
+@query("i18_kafka_rows", "select cast(user_id as varchar) as key, cast(ts as date) event_date, round(value + cast(3.17e-8 as double), 4) + 0.0 oil, count(*) n from events where user_id is not null and ts is not null group by all")
+def _(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").cast("long").alias("id_completion"), F.to_date("ts").alias("event_date"), F.col("value").alias("oil"), *[F.lit(0.0).alias(c) for c in intake.VOLUMES[1:]], F.lit("OilField").alias("uom"), F.col("ts").cast("timestamp").alias("emitted_ts"))
+    sent, _ = intake.parsed(intake.kafka_rows(events))
+    return sent.select("key", "event_date", r4("oil")).groupBy("key", "event_date", "oil").agg(F.count("*").alias("n"))

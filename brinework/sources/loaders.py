@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from brinework.operators.text import html_text, html_title
 
@@ -89,23 +90,54 @@ def load_csv(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.concat_ws("\n", *lines).alias("text"))
 
 
-#: Accepted suffixes with the bytes their files begin with, forbidden beginnings, and the largest size.
-MAGIC = {"pdf": "25504446", "docx": "504B0304"}
-FORBIDDEN = ["4D5A", "7F454C46", "CAFEBABE", "2321"]
-MAX_BYTES = 25 * 1024 * 1024
-
-
-def validated(found: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """(path, file_type, errors): every rule that a file (path, file_type, content, length) breaks."""
-    head = F.hex(F.substring("content", 1, 4))
-    accepted = F.col("file_type").isin("pdf", "docx", "txt", "md", "html", "htm", "csv")
-    magic = F.lit(False)
-    for kind, bytes_ in MAGIC.items():
-        magic = magic | ((F.col("file_type") == kind) & ~head.startswith(bytes_))
-    forbidden = F.lit(False)
-    for bytes_ in FORBIDDEN:
-        forbidden = forbidden | head.startswith(bytes_)
-    binary = ~F.col("file_type").isin("pdf", "docx") & F.contains(F.hex(F.substring("content", 1, 4096)), F.lit("00")) & (F.instr(F.decode(F.substring("content", 1, 4096), "ISO-8859-1"), "\x00") > 0)
-    rules = {"type is not accepted": ~accepted, "file is empty": F.col("length") == 0, "file is too large": F.col("length") > max_bytes, "content does not match its type": magic, "executable content": forbidden, "text holds binary data": binary}
+# What uploads are held against, and their types, sizes in bytes, and first bytes.
+TYPE_OF = {"pdf": "pdf", "txt": "text", "md": "text", "html": "html", "htm": "html", "docx": "docx", "csv": "csv"}
+MAX_BYTES = {"pdf": 25 << 20, "docx": 15 << 20, "csv": 10 << 20, "html": 5 << 20, "text": 5 << 20}
+MIN_BYTES = 16
+MAGIC = {"pdf": ["255044462D"], "docx": ["504B0304", "504B0506", "504B0708"]}
+FORBIDDEN = ["4D5A", "7F454C46", "CAFEBABE", "CFFAEDFE", "2321", "1F8B", "425A68", "52617221", "377ABCAF", "D0CF11E0"]
+MAX_CONTROL_SHARE = 0.10
+MAX_ZIP_ENTRIES, MAX_ZIP_BYTES, MAX_ZIP_RATIO = 2000, 200 << 20, 120
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _archive_errors(contents: pd.Series) -> pd.Series:
+    """What is wrong with a docx as an archive, by its directory alone; nothing is unpacked."""
+
+    def one(content: bytes | None) -> list[str] | None:
+        if content is None:
+            return None
+        try:
+            entries = zipfile.ZipFile(io.BytesIO(content)).infolist()
+        except (zipfile.BadZipFile, ValueError, NotImplementedError):
+            return ["archive cannot be read"]
+        names, unpacked = [e.filename for e in entries], sum(e.file_size for e in entries)
+        tests = {
+            "archive has too many entries": len(entries) > MAX_ZIP_ENTRIES,
+            "archive unpacks to too many bytes": unpacked > MAX_ZIP_BYTES,
+            "archive is packed too tightly": unpacked > MAX_ZIP_RATIO * len(content),
+            "archive is no document": "[Content_Types].xml" not in names,
+            "archive names paths outside itself": any(n.startswith("/") or ".." in n for n in names),
+        }
+        return [rule for rule, broken in tests.items() if broken]
+
+    return contents.map(one)
+
+
+def validated(found: DataFrame) -> DataFrame:
+    """(path, file_type, errors): every rule that a file (path, file_type, content, length) breaks; of files of other types only
+    that. Text is judged by its whole content: no NUL byte, and at most a tenth of it control characters. Archives are looked
+    into only where nothing else is wrong."""
+    kind = F.element_at(F.create_map(*[F.lit(x) for pair in TYPE_OF.items() for x in pair]), F.col("file_type"))
+    limit = F.element_at(F.create_map(*[F.lit(x) for pair in MAX_BYTES.items() for x in pair]), kind)
+    begins = lambda starts: F.exists(F.array(*map(F.lit, starts)), lambda x: F.hex(F.substring("content", 1, 5)).startswith(x))
+    signed = F.when(kind == "pdf", begins(MAGIC["pdf"])).when(kind == "docx", begins(MAGIC["docx"]))
+    characters = F.decode("content", "ISO-8859-1")  # one for each byte
+    controls = F.length(characters) - F.length(F.regexp_replace(characters, r"[\x00-\x08\x0b\x0e-\x1a\x1c-\x1f\x7f-\x9f]", ""))
+    binary = signed.isNull() & ((F.instr(characters, "\x00") > 0) | (controls > MAX_CONTROL_SHARE * F.length(characters)))
+    forbidden = begins(FORBIDDEN)
+    rules = {"file is empty or truncated": F.col("length") < MIN_BYTES, "file is too large": F.col("length") > limit, "content does not match its type": ~forbidden & ~F.coalesce(signed, F.lit(True)), "executable or packed content": forbidden, "text holds binary data": ~forbidden & binary}
     errors = F.filter(F.array(*[F.when(test, F.lit(name)) for name, test in rules.items()]), lambda e: e.isNotNull())
-    return found.select("path", "file_type", errors.alias("errors"))
+    x = found.withColumn("errors", F.when(kind.isNull(), F.array(F.lit("type is not accepted"))).otherwise(errors))
+    archive = _archive_errors(F.when((kind == "docx") & (F.size("errors") == 0), F.col("content")))
+    return x.select("path", "file_type", F.concat("errors", F.coalesce(archive, F.array().cast("array<string>"))).alias("errors"))

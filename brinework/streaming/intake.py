@@ -71,3 +71,31 @@ def stream_to(events: DataFrame, path: str, checkpoint: str, order: str):
 def windowed(events: DataFrame, lateness: str = "7 days", width: str = "1 day") -> DataFrame:
     """Counts and sums of an event stream (ts, event_type, value) in tumbling windows, events later than `lateness` left out."""
     return events.withWatermark("ts", lateness).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("window_start"), "event_type", "n", "total")
+
+
+def resume_date(events: DataFrame, raw: DataFrame) -> DataFrame:
+    """One row: the day behind the latest of the events (event_date) and the raw volumes (prod_date); 1900-01-02 if neither has one."""
+    last = lambda df, c: df.agg(F.max(c).alias("d"))
+    latest = last(events, "event_date").unionByName(last(raw, "prod_date")).agg(F.max("d").alias("d"))
+    return latest.select(F.date_add(F.coalesce("d", F.lit("1900-01-01").cast("date")), 1).alias("resume_date"))
+
+
+def kafka_rows(events: DataFrame) -> DataFrame:
+    """(key, value) of each event: its completion, so that a completion's events stay in order, and the event as JSON of EVENT's
+    fields; parsed() reads it back."""
+    fields = [f.split()[0] for f in EVENT.split(", ")]
+    return events.select(F.col("id_completion").cast("string").alias("key"), F.to_json(F.struct(*fields)).alias("value"))
+
+
+def publish(events: DataFrame, servers: str, topic: str, checkpoint: str):
+    """Sends a stream of events to a Kafka topic to its end; each message is acknowledged by all replicas and written once."""
+    options = {"kafka.bootstrap.servers": servers, "topic": topic, "kafka.acks": "all", "kafka.enable.idempotence": "true", "kafka.linger.ms": "20", "kafka.compression.type": "lz4"}
+    query = kafka_rows(events).writeStream.format("kafka").options(**options).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
+
+
+def batch_progress(query) -> list[dict]:
+    """Of the micro-batches that a streaming query remembers (spark.sql.streaming.numRecentProgressUpdates at most): number, rows,
+    seconds and rows a second."""
+    return [{"batch": p.batchId, "n_rows": p.numInputRows, "seconds": p.batchDuration / 1000, "rows_per_second": p.numInputRows / max(p.batchDuration / 1000, 1e-3)} for p in query.recentProgress]

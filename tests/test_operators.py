@@ -255,7 +255,27 @@ def test_every_file_of_a_folder_is_a_row(spark, tmp_path):
     assert got["p.html", 1].title == "T" and "yes" in got["p.html", 1].text and "no" not in got["p.html", 1].text
     assert got["w.docx", 1].text == "one\ntwo" and got["bad.docx", None].error and got["z.foo", None].error and len(rows) == 7
     errors = {r.path.rpartition("/")[2]: r.errors for r in loaders.validated(loaders.files(spark, f"file://{tmp_path}")).collect()}
-    assert errors["y.txt"] == [] and errors["z.foo"] == ["type is not accepted"] and errors["bad.docx"] == ["content does not match its type"]
+    assert errors["y.txt"] == ["file is empty or truncated"] and errors["p.html"] == [] and errors["w.docx"] == []
+    assert errors["z.foo"] == ["type is not accepted"] and errors["bad.docx"] == ["file is empty or truncated", "content does not match its type"]
+
+
+def test_every_broken_rule_of_an_upload_is_told(spark, tmp_path):
+    long = "a line of text\n" * 2000
+    (tmp_path / "late.txt").write_bytes(long.encode() + b"\x00")
+    (tmp_path / "mixed.csv").write_bytes(bytes(range(256)) * 4096)
+    (tmp_path / "run.md").write_bytes(b"#!/bin/sh\n" + long.encode())
+    (tmp_path / "packed.pdf").write_bytes(b"\x1f\x8b" + b"\x00" * 20)
+    (tmp_path / "large.html").write_text("x" * ((5 << 20) + 1))
+    (tmp_path / "fine.TXT").write_text(long)
+    with zipfile.ZipFile(tmp_path / "bomb.docx", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("../word/document.xml", "0" * 4_000_000)
+    (tmp_path / "torn.docx").write_bytes(b"PK\x03\x04" + b"x" * 100)
+    got = {r.path.rpartition("/")[2]: r.errors for r in loaders.validated(loaders.files(spark, f"file://{tmp_path}")).collect()}
+    assert got == {
+        "late.txt": ["text holds binary data"], "mixed.csv": ["text holds binary data"], "run.md": ["executable or packed content"], "packed.pdf": ["executable or packed content"],
+        "large.html": ["file is too large"], "fine.TXT": [], "torn.docx": ["archive cannot be read"],
+        "bomb.docx": ["archive is packed too tightly", "archive is no document", "archive names paths outside itself"],
+    }
 
 
 def events(n):
@@ -280,7 +300,8 @@ def test_a_stream_ends_in_the_merged_state(spark, tmp_path):
         part.coalesce(1).write.mode("append").parquet(f"file://{source}")
     stream = spark.readStream.schema("id_completion long, d string, oil double, o long").option("maxFilesPerTrigger", 1).parquet(f"file://{source}")
     shaped = stream.select("id_completion", F.to_date("d").alias("event_date"), "oil", *[F.lit(0.0).alias(c) for c in intake.VOLUMES[1:]], F.lit("OilField").alias("uom"), F.lit(None).cast("timestamp").alias("emitted_ts"), "o")
-    intake.stream_to(shaped, f"file://{tmp_path}/state", f"file://{tmp_path}/cp", "o")
+    query = intake.stream_to(shaped, f"file://{tmp_path}/state", f"file://{tmp_path}/cp", "o")
+    assert [(p["batch"], p["n_rows"]) for p in intake.batch_progress(query) if p["n_rows"]] == [(0, 20), (1, 20), (2, 20)]
     last = spark.read.parquet(f"file://{tmp_path}/state/batch=2")
     want = {}
     for c, d, oil, o in rows:
@@ -293,3 +314,16 @@ def test_payloads_that_do_not_parse_are_kept(spark):
     rows = [('{"id_completion": 1, "event_date": "2024-01-01", "oil": 2.5}', 1), ("{broken", 2), ('{"oil": 1}', 3), (None, 4)]
     good, dead = intake.parsed(spark.createDataFrame(rows, "value string, n int"))
     assert [r.oil for r in good.collect()] == [2.5] and sorted(r.n for r in dead.collect()) == [2, 3, 4]
+
+
+def test_resume_date(spark):
+    dated = lambda name, days: spark.createDataFrame([(d,) for d in days], "d string").select(F.to_date("d").alias(name))
+    of = lambda a, b: str(intake.resume_date(dated("event_date", a), dated("prod_date", b)).first()[0])
+    assert of(["2024-02-28", None], ["2024-01-01"]) == "2024-02-29" and of([], ["2024-12-31"]) == "2025-01-01" and of([], []) == "1900-01-02"
+
+
+def test_published_events_parse_back(spark):
+    rows = spark.sql("select 5L id_completion, date '2024-01-02' event_date, 1.5D oil, cast(null as double) water, 0D gas, 0D water_inj, 0D gas_inj, 'OilField' uom, timestamp '2024-01-03 04:05:06' emitted_ts")
+    sent = intake.kafka_rows(rows)
+    good, dead = intake.parsed(sent)
+    assert sent.first().key == "5" and good.drop("key").collect() == rows.collect() and dead.isEmpty()
