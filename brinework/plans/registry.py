@@ -540,6 +540,12 @@ def _(spark, sf_dir):
     return knowledge.ingested(_documents(spark, sf_dir)).select("doc_id", "chunk", "chunks_in_doc", "piece", F.array_join("kinds", ",").alias("kinds"))
 
 
+@query("k06_previews")
+def _(spark, sf_dir):
+    shown = text.preview(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.lit(1).alias("page"), "text"))
+    return shown.withColumn("pii_kinds", F.array_join(F.transform(F.map_entries("pii_kinds"), lambda e: F.concat_ws("=", e["key"], e["value"])), ","))
+
+
 @query("q08_asked_months")
 def _(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", workflow.asked_date(F.col("text")).alias("asked"))

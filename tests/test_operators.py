@@ -238,6 +238,17 @@ def test_registry_and_topics(spark):
     assert {r.question_id: r.topic_id for r in knowledge.matched_topics(asked, topics).collect()} == {1: "roles", 2: "approvals"}
 
 
+def test_previews(spark):
+    long = "word " * 500
+    pages = [(1, 2, "b a@b.com"), (1, 1, "call 555-123-4567\nor a@b.com, c@d.org"), (2, 1, long), (3, 1, None), (3, 2, "")]
+    got = {r.doc_id: r for r in text.preview(spark.createDataFrame(pages, "doc_id int, page int, text string"), strategy="fixed").collect()}
+    assert got[1].extracted_text == "call [REDACTED:phone] or [REDACTED:email], [REDACTED:email]\n\nb [REDACTED:email]" and got[1].pii_kinds == {"email": 2, "phone": 1}
+    assert [(r.pages, r.n_chunks, r.truncated, r.empty_extraction) for r in (got[1], got[2], got[3])] == [(2, 2, False, True), (1, 13, True, False), (2, 0, False, True)]
+    assert got[2].total_chars == len(long.strip()) and got[2].extracted_text == long[:1200] and got[2].pii_kinds == {} and got[3].total_chars == 2
+    recursive = text.preview(spark.createDataFrame(pages, "doc_id int, page int, text string")).where("doc_id = 2").first()
+    assert recursive.n_chunks == len(text.recursive_pieces(long.strip()))
+
+
 # --- files and streams ---
 
 def test_every_file_of_a_folder_is_a_row(spark, tmp_path):
