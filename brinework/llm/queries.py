@@ -81,6 +81,19 @@ def op10_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampled_digest(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op12_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brinework.llm.pivot_search import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op13_dual_tree_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brinework.llm.dual_tree import hard_negatives
+
+    relabelled = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", relabelled), F.col("vec_id") % 100 == 0, positives=5, negatives=10, low=30, high=90)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pitman_yor": op1_pitman_yor,
     "op2_separator_scan": op2_separator_scan,
@@ -92,6 +105,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_array_decontamination": op8_suffix_array_decontamination,
     "op9_host_paths": op9_host_paths,
     "op10_piece_sampling": op10_piece_sampling,
+    "op12_pivot_top_k": op12_pivot_top_k,
+    "op13_dual_tree_negatives": op13_dual_tree_negatives,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -123,9 +138,27 @@ hit as (select doc_id, count(distinct q) n from (select doc_id, unnest(range(p,
 items as (select doc_id, count(*) n, string_agg(i, ',' order by i) names from (select distinct doc_id, cast(item_id as varchar) i from found) group by doc_id)
 select d.doc_id, len(w) n_words, coalesce(hit.n, 0) n_hit, coalesce(items.n, 0) n_items, sha256(coalesce(names, '')) items_sha256, coalesce(hit.n, 0) > 0 contaminated from d left join hit using (doc_id) left join items using (doc_id)"""
 
+_INTEGERS = """e as (select vec_id, label, list_transform(cast(embedding as double[]), lambda x: cast(floor(256 * x) as bigint)) v from embeddings
+ where embedding is not null and len(list_filter(cast(embedding as double[]), lambda c: c is null or not isfinite(c))) = 0)"""
+_SCORE = "cast(list_sum(list_transform(list_zip({a}, {b}), lambda p: p[1] * p[2])) as bigint)"
+
+TOP_K = f"""with {_INTEGERS},
+met as (select q.vec_id query_id, c.vec_id, {_SCORE.format(a="q.v", b="c.v")} score from e q join e c on q.vec_id <> c.vec_id and len(q.v) = len(c.v) where q.vec_id % 50 = 0),
+ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) r from met)
+select query_id, cast(r as int) as rank, vec_id, score from ranked where r <= 5"""
+
+HARD_NEGATIVES = f"""with {_INTEGERS}, l as (select vec_id, v, case when vec_id % 7 = 0 then (label + 1) % 10 else label end label from e where label is not null),
+met as (select q.vec_id anchor_id, c.vec_id, q.label = c.label same, {_SCORE.format(a="q.v", b="c.v")} score from l q join l c on q.vec_id <> c.vec_id and len(q.v) = len(c.v) where q.vec_id % 100 = 0),
+pos as (select anchor_id, vec_id positive_id, score positive_score, row_number() over (partition by anchor_id order by score desc, vec_id) r from met where same),
+neg as (select p.anchor_id, positive_id, positive_score, m.vec_id negative_id, m.score negative_score, row_number() over (partition by p.anchor_id, positive_id order by m.score desc, m.vec_id) r
+ from pos p join met m on m.anchor_id = p.anchor_id and not m.same where p.r <= 5 and 30 * positive_score <= 100 * m.score and 100 * m.score <= 90 * positive_score)
+select anchor_id, positive_id, cast(r as int) as rank, negative_id, positive_score, negative_score from neg where r <= 10"""
+
 #: The others have no SQL form (sampling, learned models, coders, tokenizers); tests hold them against brute force, exact round trips or held-out rows.
 ORACLE: dict[str, str] = {
     "op4_minhash_near_dedup": NEAR_DUPLICATES,
     "op5_lattice_hashing": EMBEDDING_LINKS,
     "op8_suffix_array_decontamination": CONTAMINATION,
+    "op12_pivot_top_k": TOP_K,
+    "op13_dual_tree_negatives": HARD_NEGATIVES,
 }
