@@ -81,6 +81,12 @@ def op10_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampled_digest(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brinework.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"), least=10, inside=50, first=2000)
+
+
 def op12_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from brinework.llm.pivot_search import top_k
 
@@ -105,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_array_decontamination": op8_suffix_array_decontamination,
     "op9_host_paths": op9_host_paths,
     "op10_piece_sampling": op10_piece_sampling,
+    "op11_phrase_collocations": op11_phrase_collocations,
     "op12_pivot_top_k": op12_pivot_top_k,
     "op13_dual_tree_negatives": op13_dual_tree_negatives,
 }
@@ -138,6 +145,21 @@ hit as (select doc_id, count(distinct q) n from (select doc_id, unnest(range(p,
 items as (select doc_id, count(*) n, string_agg(i, ',' order by i) names from (select distinct doc_id, cast(item_id as varchar) i from found) group by doc_id)
 select d.doc_id, len(w) n_words, coalesce(hit.n, 0) n_hit, coalesce(items.n, 0) n_items, sha256(coalesce(names, '')) items_sha256, coalesce(hit.n, 0) > 0 contaminated from d left join hit using (doc_id) left join items using (doc_id)"""
 
+_PIECES = f"regexp_split_to_array({_LOWER}, '[.,;:!?\\x0A-\\x0D]')"
+COLLOCATIONS = f"""with s as (select coalesce(lang, 'und') lang, unnest({_PIECES}) s from documents), w as (select lang, regexp_extract_all(s, '[^\\x20\\x09]+') w from s),
+u as (select lang, unnest(w) x from w), f1 as (select lang, x, count(*) f from u group by all), t as (select lang, cast(sum(f) as bigint) n from f1 group by lang),
+g as (select lang, unnest(list_transform(range(1, len(w)), lambda i: {{'p': w[i], 'q': w[i + 1]}})) g from w), f2 as (select lang, g.p p, g.q q, count(*) f from g group by all),
+h as (select lang, unnest(list_transform(range(1, len(w) - 1), lambda i: {{'p': w[i], 'q': w[i + 1], 'r': w[i + 2]}})) g from w),
+f3 as (select lang, g.p p, g.q q, g.r r, count(*) f from h group by all having count(*) >= 10),
+c as (select f2.lang, f2.p || ' ' || f2.q phrase, f2.f a, 1 k, x.f l, y.f r from f2 join f1 x on x.lang = f2.lang and x.x = f2.p join f1 y on y.lang = f2.lang and y.x = f2.q
+ where f2.f >= 10 and not exists (select 1 from f3 where f3.lang = f2.lang and (f3.p = f2.p and f3.q = f2.q or f3.q = f2.p and f3.r = f2.q) and 100 * f3.f >= 50 * f2.f)
+ union all select f3.lang, f3.p || ' ' || f3.q || ' ' || f3.r, f3.f, 1, x.f, y.f from f3 join f1 x on x.lang = f3.lang and x.x = f3.p join f2 y on y.lang = f3.lang and y.p = f3.q and y.q = f3.r
+ union all select f3.lang, f3.p || ' ' || f3.q || ' ' || f3.r, f3.f, 2, x.f, y.f from f3 join f2 x on x.lang = f3.lang and x.p = f3.p and x.q = f3.q join f1 y on y.lang = f3.lang and y.x = f3.r),
+v as (select *, cast((cast(1000000 as hugeint) * a * a) // (cast(l as hugeint) * r) as bigint) score from c),
+cut as (select *, row_number() over (partition by lang, phrase order by score, k) cut from v),
+top as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from cut where cut = 1)
+select lang, rank, phrase, a, l, r, n, score from top join t using (lang) where rank <= 2000"""
+
 _INTEGERS = """e as (select vec_id, label, list_transform(cast(embedding as double[]), lambda x: cast(floor(256 * x) as bigint)) v from embeddings
  where embedding is not null and len(list_filter(cast(embedding as double[]), lambda c: c is null or not isfinite(c))) = 0)"""
 _SCORE = "cast(list_sum(list_transform(list_zip({a}, {b}), lambda p: p[1] * p[2])) as bigint)"
@@ -159,6 +181,7 @@ ORACLE: dict[str, str] = {
     "op4_minhash_near_dedup": NEAR_DUPLICATES,
     "op5_lattice_hashing": EMBEDDING_LINKS,
     "op8_suffix_array_decontamination": CONTAMINATION,
+    "op11_phrase_collocations": COLLOCATIONS,
     "op12_pivot_top_k": TOP_K,
     "op13_dual_tree_negatives": HARD_NEGATIVES,
 }
