@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brinework.functions.scalars import weighted
+from brinework.sources.store import written
 
 PROPERTIES = ["bo", "bw", "bg", "rs", "rv", "bw_inj", "bg_inj"]
 VOLUME_COLUMNS = ["oil", "water", "gas", "water_inj", "gas_inj"]
@@ -144,26 +145,82 @@ class Curated:
 
     def __init__(self, spark, path: str):
         self.path = path
-        self.contrib, self.pattern, self.cumulative = (spark.read.parquet(f"{path}/{t}") for t in ("completion_contrib", "pattern_vrr", "pattern_vrr_cumulative"))
+        self.contrib, self.pattern, self.cumulative = (spark.read.parquet(f"{path}/{t}").drop("month") for t in ("completion_contrib", "pattern_vrr", "pattern_vrr_cumulative"))
         self.monthly = self.pattern.where("grain = 'monthly'")
 
 
-def store(field, path: str, run_id: str) -> Curated:
+def _put(rows: DataFrame, path: str, run_id: str, by: list[str], months: bool) -> None:
+    """Writes rows of days over the partitions that they belong to (all of the table, where it is new)."""
+    rows = rows.withColumn("run_id", F.lit(run_id))
+    if months:
+        rows = rows.withColumn("month", F.trunc("vrr_date", "MM")).hint("rebalance", "month")
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic" if months else "static")
+    by = [*by, *(["month"] if months else [])]
+    (writer.partitionBy(*by) if by else writer).parquet(path)
+
+
+def _stored_tables(spark, field, path: str, run_id: str, months: bool) -> Curated:
+    _put(contrib_of(field), f"{path}/completion_contrib", run_id, [], months)
+    contrib = spark.read.parquet(f"{path}/completion_contrib").drop("month")
+    _put(pattern_vrr(contrib, "monthly").unionByName(pattern_vrr(contrib, "daily")), f"{path}/pattern_vrr", run_id, ["grain"], months)
+    _put(cumulative(spark.read.parquet(f"{path}/pattern_vrr")), f"{path}/pattern_vrr_cumulative", run_id, ["grain"], months)
+    return Curated(spark, path)
+
+
+def store(field, path: str, run_id: str, months: bool = False) -> Curated:
     """Builds the curated tables of a field and writes them over what is at path, each row with the run's id. The lineage layer is
-    computed once; the other tables are made from what was written."""
+    computed once; the other tables are made from what was written. months: the tables are kept by month, so that rebuilt() can
+    bring them up to date; path must then be new."""
+    return _stored_tables(field.spark, field, path, run_id, months)
+
+
+def rebuilt(field, path: str, days: DataFrame, run_id: str) -> Curated:
+    """Brings a build that is kept by month up to date with volumes of days (id_completion, prod_date) that have come or changed. Only
+    the months of those days are computed anew from the raw tables, and the cumulative rows from the first of them on, which
+    go on from the last ones before; files of other months stay as they are. Done twice it gives the same; if it
+    is broken off it must be done again, as the tables are written one after the other."""
     spark = field.spark
-    contrib_of(field).withColumn("run_id", F.lit(run_id)).write.mode("overwrite").parquet(f"{path}/completion_contrib")
-    contrib = spark.read.parquet(f"{path}/completion_contrib")
-    both = pattern_vrr(contrib, "monthly").unionByName(pattern_vrr(contrib, "daily"))
-    both.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").partitionBy("grain").parquet(f"{path}/pattern_vrr")
+    months = [r[0] for r in days.select(F.trunc("prod_date", "MM").alias("m")).where("m is not null").distinct().orderBy("m").collect()]  # one row a month
+    if not months:
+        return Curated(spark, path)
+    touched = F.lit(False)
+    for m in months:  # bounds of days, which reach the scan
+        touched = touched | ((F.col("prod_date") >= F.lit(m)) & (F.col("prod_date") < F.add_months(F.lit(m), 1)))
+    part = completion_contrib(field.volumes.where(touched), field.factors, field.pattern, field.pressures, field.pvt)
+    _replace(part, f"{path}/completion_contrib", run_id, [], months)
+    contrib = spark.read.parquet(f"{path}/completion_contrib").where(F.col("month").isin(months)).drop("month")
+    _replace(pattern_vrr(contrib, "monthly").unionByName(pattern_vrr(contrib, "daily")), f"{path}/pattern_vrr", run_id, ["grain"], months)
     pattern = spark.read.parquet(f"{path}/pattern_vrr")
-    cumulative(pattern).withColumn("run_id", F.lit(run_id)).write.mode("overwrite").partitionBy("grain").parquet(f"{path}/pattern_vrr_cumulative")
+    before = spark.read.parquet(f"{path}/pattern_vrr_cumulative").where(F.col("month") < F.lit(months[0]))
+    sums = [f"cum_{c}" for c in CUMULATED]
+    last = before.groupBy("id_pattern", "grain").agg(F.max_by(F.struct(*sums), "vrr_date").alias("b"), F.max("vrr_date").alias("vrr_date"))
+    # the last row before stands for all that came before it
+    start = last.select("id_pattern", "vrr_date", "grain", *[F.col(f"b.cum_{c}").alias(c) for c in CUMULATED])
+    rows = pattern.where(F.col("month") >= F.lit(months[0])).select("id_pattern", "vrr_date", "grain", *CUMULATED)
+    again = written(cumulative(start.unionByName(rows)).where(F.col("vrr_date") >= F.lit(months[0])), "cumulative")
+    later = [r[0] for r in pattern.where(F.col("month") >= F.lit(months[0])).select("month").distinct().collect()]
+    _replace(again, f"{path}/pattern_vrr_cumulative", run_id, ["grain"], sorted({*later, *months}))
     return Curated(spark, path)
 
 
+def _replace(rows: DataFrame, path: str, run_id: str, by: list[str], months: list) -> None:
+    """Writes the months' rows; a month that has none any more loses its folder."""
+    spark, rows = rows.sparkSession, written(rows, "months")
+    _put(rows, path, run_id, by, True)
+    there = {(r["month"], *(r[c] for c in by)) for r in rows.withColumn("month", F.trunc("vrr_date", "MM")).select("month", *by).distinct().collect()}
+    for grain in ["monthly", "daily"] if by else [None]:
+        for m in months:
+            if (m, *([grain] if by else [])) not in there:
+                folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/" + (f"grain={grain}/" if by else "") + f"month={m}")
+                folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+CUMULATED = ["oil_res", "water_res", "water_inj_res", "gas_inj_res", "prod_res", "inj_res"]
+
+
 def cumulative(pattern: DataFrame) -> DataFrame:
     """Running sums of each pattern and grain, and the ratio of the running sums."""
     w = Window.partitionBy("id_pattern", "grain").orderBy("vrr_date").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = {f"cum_{c}": F.sum(c).over(w) for c in ["oil_res", "water_res", "water_inj_res", "gas_inj_res", "prod_res", "inj_res"]}
+    sums = {f"cum_{c}": F.sum(c).over(w) for c in CUMULATED}
     out = pattern.select("id_pattern", "vrr_date", "grain", *[x.alias(k) for k, x in sums.items()])
     return out.withColumn("cum_vrr", F.coalesce(F.col("cum_inj_res") / F.nullif(F.col("cum_prod_res"), F.lit(0.0)), F.lit(0.0)))

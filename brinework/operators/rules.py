@@ -74,9 +74,12 @@ def drivers(decomposed: DataFrame) -> DataFrame:
     return x.withColumn("direction", F.when(F.col("contribution") > 0, "increased VRR").otherwise("decreased VRR"))
 
 
-def with_bands(patterns: DataFrame, memory: DataFrame) -> DataFrame:
-    """(id_pattern, band_low, band_high): the learned band; a bound that is missing or 0 is the default's."""
-    low, high = (F.when(F.coalesce(F.col(k), F.lit(0.0)) == 0, F.lit(d)).otherwise(F.col(k)).alias(k) for k, d in zip(("band_low", "band_high"), BAND, strict=True))
+def with_bands(patterns: DataFrame, memory: DataFrame, together: bool = False) -> DataFrame:
+    """(id_pattern, band_low, band_high): the learned band; a bound that is missing or 0 is the default's. together: where either is
+    missing or 0, both are."""
+    there = {k: F.coalesce(F.col(k), F.lit(0.0)) != 0 for k in ("band_low", "band_high")}
+    both = there["band_low"] & there["band_high"]
+    low, high = (F.when(both if together else there[k], F.col(k)).otherwise(d).alias(k) for k, d in zip(there, BAND, strict=True))
     return patterns.select("id_pattern").distinct().join(memory.select("id_pattern", "band_low", "band_high"), "id_pattern", "left").select("id_pattern", low, high)
 
 
@@ -95,7 +98,7 @@ def detect_anomalies(monthly: DataFrame, memory: DataFrame) -> DataFrame:
     sustained drift. Nothing is actionable on extrapolated inputs."""
     rows = monthly.where("vrr is not null")
     latest = rows.groupBy("id_pattern").agg(F.max_by(F.struct("vrr_date", "vrr", "any_extrapolated"), "vrr_date").alias("r")).select("id_pattern", "r.*")
-    return _found(latest.join(with_bands(latest, memory), "id_pattern").join(trailing_runs(monthly), "id_pattern", "left"))
+    return _found(latest.join(with_bands(latest, memory, together=True), "id_pattern").join(trailing_runs(monthly), "id_pattern", "left"))
 
 
 def runs_at(monthly: DataFrame) -> DataFrame:
@@ -111,7 +114,7 @@ def runs_at(monthly: DataFrame) -> DataFrame:
 def anomalies_at(monthly: DataFrame, memory: DataFrame) -> DataFrame:
     """detect_anomalies as of every month: each month is judged as if it were the latest."""
     rows = monthly.where("vrr is not null").select("id_pattern", "vrr_date", "vrr", "any_extrapolated")
-    return _found(rows.join(with_bands(rows, memory), "id_pattern").join(runs_at(monthly), ["id_pattern", "vrr_date"], "left"))
+    return _found(rows.join(with_bands(rows, memory, together=True), "id_pattern").join(runs_at(monthly), ["id_pattern", "vrr_date"], "left"))
 
 
 def _found(x: DataFrame) -> DataFrame:
@@ -171,9 +174,28 @@ def assess_inputs(state: DataFrame) -> DataFrame:
     is_high, is_medium = F.exists("findings", lambda f: f["severity"] == "high"), F.exists("findings", lambda f: f["severity"] == "medium")
     verdict = F.when(c("n_rows") <= 0, "INCONCLUSIVE").when(is_high, "DATA_ARTIFACT").when(is_medium, "INCONCLUSIVE").otherwise("REAL_SIGNAL")
     first = F.coalesce(F.get(F.filter("findings", lambda f: f["severity"] == "high"), F.lit(0)), F.get("findings", F.lit(0)))
+    x = x.withColumn("summary_text", _said(first["rule"]))
     return x.withColumn("verdict", verdict).withColumn("summary", first["rule"]).withColumn("actionable", c("verdict") == "REAL_SIGNAL").withColumn("owner", owner_of(c("verdict")))
 
 
+def _said(rule: Column) -> Column:
+    """A sentence for a finding of the audit, with its count."""
+    n = lambda text, c: F.format_string(text, F.col(c).cast("long"))
+    said = {
+        "pvt_not_measured": F.concat(F.lit("fluid properties were not measured at this pressure: "), F.array_join(F.array_intersect("pvt_methods", F.array(*map(F.lit, LOW_CONFIDENCE))), ", ")),
+        "missing_pressure": n("%d rows have no pressure reading in force", "n_missing_pressure"),
+        "missing_allocation": n("%d volume rows of the field belong to completions without any allocation", "n_missing_factor"),
+        "allocation_over_one": n("%d completions of the field are allocated above one", "n_allocation_over_one"),
+        "stale_build": F.lit("the stored ratio is not the one that its lineage rows give"),
+        "allocated_without_volumes": n("%d allocated completions reported no volumes", "n_allocated_without_volumes"),
+        "stale_allocation": n("the oldest allocation in use is %d days old", "allocation_age_days"),
+    }
+    out = F.lit(None).cast("string")
+    for name, text in said.items():
+        out = F.when(rule == name, text).otherwise(out)
+    return out
+
+
 #: Who looks at a case with each verdict.
 OWNERS = {"REAL_SIGNAL": "analyst", "DATA_ARTIFACT": "data_steward", "INCONCLUSIVE": "analyst"}
 
@@ -219,21 +241,41 @@ def updated_response(rho: Column, predicted: Column, actual: Column) -> Column:
 
 
 def outcome_write_back(adjustments: DataFrame, monthly: DataFrame, memory: DataFrame) -> DataFrame:
-    """(action_id, id_pattern, actual_post_vrr): executed adjustments with the next later monthly ratio, where there is one."""
+    """(action_id, id_pattern, vrr_date, ts, pre_vrr, predicted_post_vrr, observed_date, actual_post_vrr, status, skip_reason) of each
+    executed adjustment that still waits for its outcome (actual_post_vrr null, or no such column): the next later month with a ratio,
+    which may be any number of months on. Where there is none it goes on waiting."""
     later = monthly.where("vrr is not null").select(F.col("id_pattern").alias("m_pattern"), F.col("vrr_date").alias("m_date"), "vrr")
     x = adjustments.where("outcome = 'executed'")
+    if "actual_post_vrr" in adjustments.columns:
+        x = x.where("actual_post_vrr is null")
+    x = x.select("action_id", "id_pattern", "vrr_date", "ts", "pre_vrr", "predicted_post_vrr")
     x = x.join(later, (x["id_pattern"] == later["m_pattern"]) & (later["m_date"] > x["vrr_date"]), "left")
-    return x.groupBy("action_id", x["id_pattern"], x["vrr_date"], "ts", "pre_vrr", "predicted_post_vrr").agg(F.min_by("vrr", "m_date").alias("actual_post_vrr")).where("actual_post_vrr is not null")
+    x = x.groupBy("action_id", "id_pattern", "vrr_date", "ts", "pre_vrr", "predicted_post_vrr").agg(F.min("m_date").alias("observed_date"), F.min_by("vrr", "m_date").alias("actual_post_vrr"))
+    waits = F.col("actual_post_vrr").isNull()
+    return x.withColumn("status", F.when(waits, "waiting").otherwise("written")).withColumn("skip_reason", F.when(waits, "no later period"))
 
 
 def learned_responses(outcomes: DataFrame, memory: DataFrame) -> DataFrame:
-    """(id_pattern, response_factor, n_adjustments): each pattern's outcomes folded in date order into its response factor."""
-    steps = F.array_sort(F.collect_list(F.struct("vrr_date", "ts", (F.col("predicted_post_vrr") - F.col("pre_vrr")).alias("p"), (F.col("actual_post_vrr") - F.col("pre_vrr")).alias("a"))))
-    x = memory.join(outcomes.groupBy("id_pattern").agg(steps.alias("steps")), "id_pattern")
-    fold = F.aggregate("steps", F.coalesce("response_factor", F.lit(1.0)), lambda rho, s: updated_response(rho, s["p"], s["a"]))
+    """(id_pattern, response_factor, n_adjustments): each pattern's outcomes folded in date order into its response factor. Outcomes that
+    wait, or lack a ratio before or a prediction, teach nothing; a pattern without a response factor in memory learns nothing."""
+    x = outcomes.where("actual_post_vrr is not null and pre_vrr is not null and predicted_post_vrr is not null")
+    steps = F.array_sort(F.collect_list(F.struct("vrr_date", "ts", "action_id", (F.col("predicted_post_vrr") - F.col("pre_vrr")).alias("p"), (F.col("actual_post_vrr") - F.col("pre_vrr")).alias("a"))))
+    x = memory.where("response_factor is not null").join(x.groupBy("id_pattern").agg(steps.alias("steps")), "id_pattern")
+    fold = F.aggregate("steps", F.col("response_factor"), lambda rho, s: updated_response(rho, s["p"], s["a"]))
     return x.select("id_pattern", fold.alias("response_factor"), (F.coalesce(F.col("n_adjustments"), F.lit(0)) + F.size("steps")).cast("long").alias("n_adjustments"))
 
 
+def written_back(adjustments: DataFrame, memory: DataFrame, outcomes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The history with what was observed filled in, and the memory with what was learned from it. Once more with both, and with the
+    outcomes that are then pending, changes nothing until new months come."""
+    seen = outcomes.where("status = 'written'").select("action_id", F.col("actual_post_vrr").alias("_seen"))
+    known = F.col("actual_post_vrr") if "actual_post_vrr" in adjustments.columns else F.lit(None).cast("double")
+    history = adjustments.join(seen, "action_id", "left").withColumn("actual_post_vrr", F.coalesce(known, F.col("_seen"))).drop("_seen")
+    learned = learned_responses(outcomes, memory).select("id_pattern", F.col("response_factor").alias("_rho"), F.col("n_adjustments").alias("_n"))
+    x = memory.join(learned, "id_pattern", "left").withColumn("response_factor", F.coalesce("_rho", "response_factor")).withColumn("n_adjustments", F.coalesce(F.col("_n"), F.col("n_adjustments").cast("long")))
+    return history, x.select(*memory.columns)
+
+
 def precedents(adjustments: DataFrame) -> DataFrame:
     """The latest executed adjustment of each driver and direction (ties: the higher action_id)."""
     best = F.max_by(F.struct("action_id", "id_pattern", "vrr_date", "d_surface_pct", "pre_vrr"), F.struct("ts", "action_id"))

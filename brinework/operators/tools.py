@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brinework.operators.build import with_end_date
 from brinework.operators.rules import with_bands
 
 
@@ -99,6 +100,20 @@ def data_quality(volumes: DataFrame, factors: DataFrame, patterns: DataFrame, pr
     }
 
 
+def over_allocated(factors: DataFrame, most: float = 1.0001) -> DataFrame:
+    """(id_completion, from_date, until_date, most_allocated): the stretches of days on which the windows in force, whatever day each
+    began, allocate more than `most` of a completion in all; until_date is null where the last one has no end. Windows' starts and
+    ends are steps up and down, summed in order of their days, so no day and no pair of windows is made."""
+    w = with_end_date(factors, ["id_completion", "id_pattern"], "effect_date", "f_end")
+    steps = w.select("id_completion", F.col("effect_date").alias("at"), F.col("factor").alias("step"))
+    steps = steps.unionByName(w.where("f_end is not null").select("id_completion", F.col("f_end").alias("at"), (-F.col("factor")).alias("step")))
+    by = Window.partitionBy("id_completion").orderBy("at")
+    x = steps.groupBy("id_completion", "at").agg(F.sum("step").alias("step"))
+    x = x.withColumn("total", F.round(F.sum("step").over(by), 9)).withColumn("until", F.lead("at").over(by)).withColumn("over", F.col("total") > most)
+    x = x.withColumn("stretch", F.sum(F.when(F.col("over") == F.lag("over").over(by), 0).otherwise(1)).over(by)).where("over")
+    return x.groupBy("id_completion", "stretch").agg(F.min("at").alias("from_date"), F.max_by("until", "at").alias("until_date"), F.max("total").alias("most_allocated")).drop("stretch")
+
+
 def quality_report(checks: dict[str, DataFrame], limit: int | None = None) -> DataFrame:
     out = None
     for name, df in checks.items():

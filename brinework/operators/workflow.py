@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brinework.operators.text import numbers_grounded
+from brinework.sources.versioned import VersionedTable
 
 # Stages in order, and the role that may advance each.
 STAGES = ["draft", "analyst", "rm", "site", "executed"]
@@ -92,13 +93,78 @@ def rate_limited(calls: DataFrame) -> DataFrame:
     return calls.repartition("bucket", "who").sortWithinPartitions("bucket", "who", "ts").mapInArrow(run, "bucket string, who string, ts double, n long, refused boolean")
 
 
-def drafts(anomalies: DataFrame, summary: DataFrame) -> DataFrame:
-    """One draft for each pattern's latest month: its most severe anomaly, and how sure the rules are."""
-    by = Window.partitionBy("id_pattern", "vrr_date").orderBy(severity_rank(F.col("severity")), "kind")
-    top = anomalies.withColumn("rn", F.row_number().over(by)).where("rn = 1").drop("rn")
-    x = top.join(summary, ["id_pattern", "vrr_date"], "left")
-    sure = F.when(~F.col("actionable"), "low").when(F.col("verdict") == "REAL_SIGNAL", "high").otherwise("medium")
-    return x.select("id_pattern", "vrr_date", "kind", "severity", "actionable", "verdict", sure.alias("confidence"), F.lit("draft").alias("stage"))
+#: A queued action: its draft, and where it stands.
+QUEUE = (
+    "action_id string, id_pattern long, pattern_name string, vrr_date date, anomaly_kind string, severity string, anomaly_detail string, driver string, action_type string, recommendation string, "
+    "expected_post_vrr double, precedent long, confidence string, narrative string, audit_verdict string, owner_role string, stage string, stage_by string"
+)
+
+
+def action_queue(spark: SparkSession, path: str, buckets: int = 16) -> VersionedTable:
+    """The stored queue, in buckets by pattern and month, as a new draft replaces the pending one of its pattern and month."""
+    return VersionedTable(spark, path).create(QUEUE, ["id_pattern", "vrr_date"], buckets)
+
+
+def _queued(drafts: DataFrame, by: str, name: Column) -> DataFrame:
+    fields = [f.split()[0] for f in QUEUE.split(", ")]
+    x = drafts.withColumn("action_id", F.concat(F.lit("ACT-"), F.substring(F.sha2(name, 256), 1, 10))).withColumn("recommendation", F.to_json("recommendation"))
+    return x.withColumn("stage", F.lit("draft")).withColumn("stage_by", F.lit(by)).select(*fields)
+
+
+def submit(queue: VersionedTable, drafts: DataFrame, by: str = "agent") -> int:
+    """Queues drafts (see cases.drafts) that carry a request_id each; a request that is queued already, in whatever stage, is not
+    queued again. The version of the queue after it."""
+    return queue.insert_if_absent(_queued(drafts, by, F.col("request_id").cast("string")), ["action_id"])
+
+
+def queue_anomalies(queue: VersionedTable, drafts: DataFrame, by: str = "anomaly_to_queue") -> int:
+    """Queues one draft for each pattern and month, in place of the one that is pending there; actions that have moved on stay."""
+
+    def how(old: DataFrame, new: DataFrame) -> DataFrame:
+        moved_on = old.where("stage <> 'draft'").groupBy("id_pattern", "vrr_date").agg(F.count("*").alias("moved_on"))
+        named = new.dropDuplicates(["id_pattern", "vrr_date"]).join(moved_on, ["id_pattern", "vrr_date"], "left")
+        name = F.concat_ws("|", "id_pattern", F.col("vrr_date").cast("string"), F.lit(by), F.coalesce("moved_on", F.lit(0)).cast("string"))
+        return replaced_drafts(old, _queued(named, by, name))
+
+    return queue.change(drafts, how)
+
+
+def advance(queue: VersionedTable, requests: DataFrame, history: VersionedTable | None = None) -> int:
+    """Moves queued actions by requests (action_id, verb, user, role; see moved); refused ones stay where they are. With history (of
+    adjustment_rows' columns, keyed by action_id), actions that become executed are written there first."""
+    fields = [f.split()[0] for f in QUEUE.split(", ")]
+    moves = moved(queue.read(), requests)
+    if history is not None:
+        done = moves.where("moved_to = 'executed' and stage <> 'executed'")
+        history.insert_if_absent(done.select("action_id", "id_pattern", "vrr_date", "driver", F.col("action_type").alias("change_type"), F.col("expected_post_vrr").alias("predicted_post_vrr"), F.col("moved_by").alias("approved_by"), F.lit("executed").alias("outcome")))
+    gone = moves.where("moved_by is not null").withColumn("stage", F.col("moved_to")).withColumn("stage_by", F.col("moved_by")).select(*fields)
+    return queue.upsert(gone, ["action_id"])
+
+
+def by_stage(queue: DataFrame, stage: str) -> DataFrame:
+    """The board's lane of a stage: the most severe first, then the latest month, then the action."""
+    return queue.where(F.col("stage") == stage).orderBy(severity_rank(F.col("severity")), F.col("vrr_date").desc(), "action_id")
+
+
+def newest(adjustments: DataFrame, n: int = 50) -> DataFrame:
+    """The n newest adjustments, newest first."""
+    return adjustments.orderBy(F.col("ts").desc(), F.col("action_id").desc()).limit(n)
+
+
+#: A stored verdict of the input audit.
+AUDIT = "id_pattern long, vrr_date date, verdict string, summary string, summary_text string, actionable boolean, owner string, findings string"
+
+
+def audit_table(spark: SparkSession, path: str, buckets: int = 16) -> VersionedTable:
+    return VersionedTable(spark, path).create(AUDIT, ["id_pattern", "vrr_date"], buckets)
+
+
+def store_audit(table: VersionedTable, assessed: DataFrame, every_period: bool = True) -> int:
+    """Puts the audit of each pattern month (rules.assess_inputs), or of each pattern's latest one, in place of what is stored for it."""
+    x = assessed.withColumnRenamed("period", "vrr_date")
+    if not every_period:
+        x = x.withColumn("back", F.row_number().over(Window.partitionBy("id_pattern").orderBy(F.col("vrr_date").desc()))).where("back = 1")
+    return table.upsert(x.withColumn("findings", F.to_json("findings")).select(*[f.split()[0] for f in AUDIT.split(", ")]))
 
 
 def replaced_drafts(queue: DataFrame, new: DataFrame) -> DataFrame:

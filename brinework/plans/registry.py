@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brinework.functions.scalars import comparable
 from brinework.operators import build, cases, knowledge, layout, rules, search, text, tools, workflow
 from brinework.sources.field import Field, as_ctes
 from brinework.sources.store import new_path
+from brinework.sources.versioned import VersionedTable
 from brinework.streaming import intake
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -194,6 +195,32 @@ def _(field):
     return build.cumulative(build.pattern_vrr(build.contrib_of(field), "monthly")).select("id_pattern", "vrr_date", *[r4(f"cum_{x}") for x in _CUMULATIVE], r4("cum_vrr"))
 
 
+class _Given:
+    """The tables of a field, some of them replaced."""
+
+    def __init__(self, field: Field, **tables: DataFrame):
+        self.spark, self._field, self._tables = field.spark, field, tables
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self._tables[name] if name in self._tables else getattr(self._field, name)
+
+
+# a month of all completions and another of a third of them come late: what they touch is built anew, the rest stays
+_LATE = "(prod_date >= date '1996-03-01' and prod_date < date '1996-04-01') or (prod_date >= date '1997-11-01' and prod_date < date '1997-12-01' and id_completion % 3 = 0)"
+
+
+@query("st11_incremental_rebuild", f"""with {MONTHLY}, c as (select id_pattern, vrr_date, sum(inj_res) over w cum_inj_res, sum(prod_res) over w cum_prod_res from monthly window w as (partition by id_pattern order by vrr_date rows between unbounded preceding and current row))
+select m.id_pattern, m.vrr_date, {', '.join(d4(f'm.{x}', x) for x in (*build.TERMS, 'prod_res', 'inj_res', 'vrr'))}, {d4('cum_inj_res', 'cum_inj_res')}, {d4('cum_prod_res', 'cum_prod_res')} from monthly m join c using (id_pattern, vrr_date)""")
+def _(field):
+    path = new_path(field.spark, "curated-by-month")
+    raw = field.volumes.where(f"not ({_LATE})")
+    build.store(_Given(field, volumes=raw), path, "first", months=True)
+    state = field.volumes.where(_LATE).withColumnRenamed("prod_date", "event_date")
+    now = build.rebuilt(_Given(field, volumes=intake.promoted(raw, state)), path, intake.unpromoted(raw, state), "second")
+    x = now.monthly.join(now.cumulative.where("grain = 'monthly'").select("id_pattern", "vrr_date", "cum_inj_res", "cum_prod_res"), ["id_pattern", "vrr_date"])
+    return x.select("id_pattern", "vrr_date", *map(r4, [*build.TERMS, "prod_res", "inj_res", "vrr", "cum_inj_res", "cum_prod_res"]))
+
+
 # --- analyst's tools ---
 
 # by a name in other letters, by an id, by nothing that exists, and by what begins several ids (of patterns named by their number)
@@ -219,6 +246,7 @@ def _(field):
 
 
 _BANDS = "case when coalesce(m.band_low, 0) = 0 then 0.9 else m.band_low end band_low, case when coalesce(m.band_high, 0) = 0 then 1.1 else m.band_high end band_high"
+_BOTH = "case when coalesce(m.band_low, 0) <> 0 and coalesce(m.band_high, 0) <> 0 then m.band_low else 0.9 end band_low, case when coalesce(m.band_low, 0) <> 0 and coalesce(m.band_high, 0) <> 0 then m.band_high else 1.1 end band_high"
 _LATEST = "latest as (select * from (select *, row_number() over (partition by id_pattern order by vrr_date desc) rn from monthly) where rn = 1)"
 
 
@@ -243,6 +271,16 @@ def _(field):
     return tools.quality_report(tools.data_quality(field.volumes, field.factors, field.pattern, field.pressures, field.pvt, registered))
 
 
+@query("t03_overlapping_allocation", f"""with {as_ctes(['factors'])}, w as (select *, lead(effect_date) over (partition by id_completion, id_pattern order by effect_date) f_end from factors),
+days as (select distinct id_completion, effect_date d from w union select distinct id_completion, f_end from w where f_end is not null),
+held as (select d.id_completion, d.d, round(sum(w.factor), 9) total, lead(d.d) over (partition by d.id_completion order by d.d) nxt from days d left join w on w.id_completion = d.id_completion and d.d >= w.effect_date and (w.f_end is null or d.d < w.f_end) group by d.id_completion, d.d),
+isl as (select *, d - lag(nxt) over (partition by id_completion order by d) gap from held where total > 0.8),
+grp as (select *, sum(case when gap = 0 then 0 else 1 end) over (partition by id_completion order by d) g from isl)
+select id_completion, min(d) from_date, arg_max(nxt, d) until_date, max(total) most_allocated from grp group by id_completion, g""")
+def _(field):
+    return tools.over_allocated(field.factors, most=0.8)  # nothing of this field is above one
+
+
 @query("t04_trend", f"with {MONTHLY} select id_pattern, vrr_date, {d4('vrr', 'vrr')} from monthly where vrr_date between date '1996-01-01' and date '1997-06-01'")
 def _(field):
     return tools.trend(monthly_of(field), "1996-01-01", "1997-06-01").select("id_pattern", "vrr_date", r4("vrr"))
@@ -329,7 +367,7 @@ mv as (select *, vrr - lag(vrr) over (partition by id_pattern order by vrr_date)
 mr as (select *, row_number() over (partition by id_pattern order by vrr_date desc) k, sign(move) s from mv where move is not null),
 br as (select a.id_pattern, min(a.k) filter (where a.s = 0 or a.s <> b.s) cut, max(a.k) last from mr a join mr b on a.id_pattern = b.id_pattern and b.k = 1 group by a.id_pattern),
 runs as (select m.id_pattern, count(*) run, sum(m.move) total from mr m join br on br.id_pattern = m.id_pattern and m.k < coalesce(br.cut, br.last + 1) group by m.id_pattern),
-st as (select l.id_pattern, l.vrr_date, l.vrr, l.any_extrapolated x, {_BANDS}, r.run, r.total from latest l left join memory m using (id_pattern) left join runs r using (id_pattern)),
+st as (select l.id_pattern, l.vrr_date, l.vrr, l.any_extrapolated x, {_BOTH}, r.run, r.total from latest l left join memory m using (id_pattern) left join runs r using (id_pattern)),
 anomalies as (select id_pattern, vrr_date, vrr, 'extrapolated_pvt' kind, 'low' severity, false actionable from st where x
  union all select id_pattern, vrr_date, vrr, 'out_of_band', 'high', not x from st where vrr < band_low or vrr > band_high
  union all select id_pattern, vrr_date, vrr, 'sustained_drift', 'medium', not x from st where run >= 3 and abs(total) >= 0.10)"""
@@ -384,13 +422,15 @@ def _(field):
     return x.select("id_pattern", "vrr_date", "id_completion", *map(r4, ["factor", "surface", "inj_res", "bw_inj"]))
 
 
-@query("r09_recommend_change", f"""with {with_monthly(['targets', 'memory', 'limits'])},
-base as (select m.id_pattern, m.vrr_date, m.prod_res, m.inj_res total_inj, m.inj_res / m.prod_res cur, coalesce(t.target_vrr, 1.0) target, coalesce(mem.response_factor, 1.0) rho, (select min(max_inj_rate_change_pct) from limits) cap from monthly m left join targets t using (id_pattern) left join memory mem using (id_pattern) where m.prod_res > 0),
+RECOMMENDED = """base as (select m.id_pattern, m.vrr_date, m.prod_res, m.inj_res total_inj, m.inj_res / m.prod_res cur, coalesce(t.target_vrr, 1.0) target, coalesce(mem.response_factor, 1.0) rho, (select min(max_inj_rate_change_pct) from limits) cap from monthly m left join targets t using (id_pattern) left join memory mem using (id_pattern) where m.prod_res > 0),
 off as (select *, (target * prod_res - total_inj) / rho d from base where abs(cur - target) > 0.02),
 inj as (select id_pattern, cast(date_trunc('month', vrr_date) as date) vrr_date, id_completion, avg(factor) factor, sum(water_inj) surface, sum(water_inj_res) inj_res from contrib where water_inj > 0 group by all),
 j as (select o.*, i.id_completion, i.surface, i.inj_res, i.factor * coalesce(i.inj_res / nullif(i.factor * i.surface, 0), 0) denom, sum(i.inj_res) over (partition by o.id_pattern, o.vrr_date) s from off o join inj i on i.id_pattern = o.id_pattern and i.vrr_date = o.vrr_date),
 k as (select *, d * inj_res / case when s <> 0 then s when total_inj <> 0 then total_inj else 1 end / denom / surface pct from j where denom <> 0 and surface <> 0),
-l as (select *, greatest(-cap, least(cap, pct)) change from k)
+l as (select *, greatest(-cap, least(cap, pct)) change from k)"""
+
+
+@query("r09_recommend_change", f"""with {with_monthly(['targets', 'memory', 'limits'])}, {RECOMMENDED}
 select id_pattern, vrr_date, id_completion, {d4('change', 'change_pct')}, {d4('change * surface', 'delta_surface')}, {d4('cur + rho * sum(change * surface * denom) over (partition by id_pattern, vrr_date) / prod_res', 'expected_post_vrr')}, case when d < 0 then 'reduce_injection' when d > 0 then 'increase_injection' else 'none' end direction from l""")
 def _(field):
     x = _recommended(field)
@@ -412,7 +452,39 @@ OUTCOMES = f"""{with_monthly(['adjustments', 'memory'])}, outcomes as (select a.
 
 @query("j07_outcome_write_back", f"with {OUTCOMES} select action_id, id_pattern, {d4('actual', 'actual_post_vrr')} from outcomes")
 def _(field):
-    return rules.outcome_write_back(field.adjustments, monthly_of(field), field.memory).select("action_id", "id_pattern", r4("actual_post_vrr"))
+    return rules.outcome_write_back(field.adjustments, monthly_of(field), field.memory).where("status = 'written'").select("action_id", "id_pattern", r4("actual_post_vrr"))
+
+
+# a third of the history has its outcome already; the job runs twice, and the second run finds only what still waits
+_HALF_LEARNED = "pend as (select *, case when action_id % 3 = 0 then cast(1 as double) end known from adjustments), obs as (select p.action_id, arg_min(m.vrr, m.vrr_date) seen, min(m.vrr_date) on_date from pend p join monthly m on m.id_pattern = p.id_pattern and m.vrr_date > p.vrr_date and m.vrr is not null where p.outcome = 'executed' and p.known is null group by p.action_id)"
+
+
+def _written_back(field: Field) -> tuple[DataFrame, DataFrame, DataFrame]:
+    history = field.adjustments.withColumn("actual_post_vrr", F.when(F.col("action_id") % 3 == 0, F.lit(1.0)))
+    memory = field.memory
+    for _ in range(2):
+        outcomes = rules.outcome_write_back(history, monthly_of(field), memory)
+        history, memory = rules.written_back(history, memory, outcomes)
+    return history, memory, outcomes
+
+
+@query("j07_history_after_two_runs", f"""with {OUTCOMES}, {_HALF_LEARNED} select p.action_id, {d4('coalesce(p.known, o.seen)', 'actual_post_vrr')} from pend p left join obs o using (action_id)""")
+def _(field):
+    return _written_back(field)[0].select("action_id", r4("actual_post_vrr"))
+
+
+@query("j07_still_waiting", f"""with {OUTCOMES}, {_HALF_LEARNED} select p.action_id, p.id_pattern, 'waiting' status, 'no later period' skip_reason from pend p left join obs o using (action_id) where p.outcome = 'executed' and p.known is null and o.seen is null""")
+def _(field):
+    return _written_back(field)[2].select("action_id", "id_pattern", "status", "skip_reason")
+
+
+@query("j07_memory_after_two_runs", f"""with recursive {OUTCOMES}, {_HALF_LEARNED},
+o as (select p.id_pattern, row_number() over (partition by p.id_pattern order by p.vrr_date, p.ts) k, p.predicted_post_vrr - p.pre_vrr p, b.seen - p.pre_vrr a from pend p join obs b using (action_id)),
+fold as (select id_pattern, cast(0 as bigint) k, cast(response_factor as double) rho from memory union all
+ select f.id_pattern, o.k, case when o.p = 0 then f.rho else greatest(0.3, least(3.0, cast(0.7 as double) * f.rho + cast(0.3 as double) * greatest(0.2, least(5.0, o.a / o.p)))) end from fold f join o on o.id_pattern = f.id_pattern and o.k = f.k + 1)
+select f.id_pattern, {d4('arg_max(f.rho, f.k)', 'response_factor')}, cast(max(f.k) + max(m.n_adjustments) as bigint) n_adjustments from fold f join memory m using (id_pattern) group by f.id_pattern""")
+def _(field):
+    return _written_back(field)[1].select("id_pattern", r4("response_factor"), F.col("n_adjustments").cast("long").alias("n_adjustments"))
 
 
 @query("r10_learned_response", f"""with recursive {OUTCOMES},
@@ -425,19 +497,11 @@ def _(field):
     return x.select("id_pattern", r4("response_factor"), "n_adjustments")
 
 
-@query("j06_anomaly_queue", f"""with {ANOMALIES.replace('with ', '')}, {VERDICTS[len(MONTHLY) + 2:]},
-top as (select *, row_number() over (partition by id_pattern, vrr_date order by case severity when 'high' then 0 when 'medium' then 1 else 2 end, kind) rn from anomalies)
-select t.id_pattern, t.vrr_date, t.kind, t.severity, t.actionable, v.verdict, case when not t.actionable then 'low' when v.verdict = 'REAL_SIGNAL' then 'high' else 'medium' end confidence, 'draft' stage from top t left join verdicts v on v.id_pattern = t.id_pattern and v.period = t.vrr_date where t.rn = 1""")
-def _(field):
-    found = rules.detect_anomalies(monthly_of(field), field.memory)
-    return workflow.drafts(found, _verdicts(field).select("id_pattern", F.col("period").alias("vrr_date"), "verdict"))
-
-
 AT = f"""{with_monthly(['memory'])},
 mv as (select *, vrr - lag(vrr) over (partition by id_pattern order by vrr_date) move from monthly where vrr is not null),
 ms as (select *, sign(move) s, row_number() over (partition by id_pattern order by vrr_date) k from mv),
 brk as (select *, max(case when s is null or s = 0 or s is distinct from prior then k end) over (partition by id_pattern order by k) began from (select *, lag(s) over (partition by id_pattern order by k) prior from ms)),
-st as (select b.id_pattern, b.vrr_date, b.vrr, b.any_extrapolated x, {_BANDS}, case when coalesce(s, 0) = 0 then 0 else k - began + 1 end run, case when coalesce(s, 0) <> 0 then sum(move) over (partition by b.id_pattern, began order by k) end total from brk b left join memory m using (id_pattern)),
+st as (select b.id_pattern, b.vrr_date, b.vrr, b.any_extrapolated x, {_BOTH}, case when coalesce(s, 0) = 0 then 0 else k - began + 1 end run, case when coalesce(s, 0) <> 0 then sum(move) over (partition by b.id_pattern, began order by k) end total from brk b left join memory m using (id_pattern)),
 anomalies as (select id_pattern, vrr_date, 'extrapolated_pvt' kind, 'low' severity, false actionable from st where x
  union all select id_pattern, vrr_date, 'out_of_band', 'high', not x from st where vrr < band_low or vrr > band_high
  union all select id_pattern, vrr_date, 'sustained_drift', 'medium', not x from st where run >= 3 and abs(total) >= 0.10)"""
@@ -449,23 +513,89 @@ def _(field):
 
 
 def _cases(field: Field) -> DataFrame:
-    verdicts = _verdicts(field).select("id_pattern", F.col("period").alias("vrr_date"), "verdict", "summary")
+    verdicts = _verdicts(field).select("id_pattern", F.col("period").alias("vrr_date"), "verdict", "summary", "summary_text", "findings", "pvt_methods", "difference")
     executed = field.adjustments.where("outcome = 'executed'")
     return cases.case_files(monthly_of(field), verdicts, _recommended(field), field.targets, field.memory, executed)
 
 
-@query("j04_case_files", f"""with {DECOMPOSED}, {VERDICTS[len(MONTHLY) + 2:]}, {AT[len(MONTHLY) + 2:]}, {as_ctes(['targets', 'adjustments']).replace(" as string", " as varchar")},
+CASES = f"""{DECOMPOSED}, {VERDICTS[len(MONTHLY) + 2:]}, {AT[len(MONTHLY) + 2:]}, {as_ctes(['targets', 'limits', 'adjustments']).replace(" as string", " as varchar")}, {RECOMMENDED},
+sized as (select id_pattern, vrr_date, max(case when d < 0 then 'reduce_injection' when d > 0 then 'increase_injection' else 'none' end) direction, max(cur + rho * s2 / prod_res) expected, count(*) n_changes, sum(change) sum_change, count(*) filter (where change <> pct) n_bounded
+ from (select *, sum(change * surface * denom) over (partition by id_pattern, vrr_date) s2 from l) group by id_pattern, vrr_date),
 u as ({' union all '.join(f"select id_pattern, vrr_date, {i} o, '{t}' term, c_{t} c from decomposed" for i, t in enumerate(_INJ + _PROD))}),
 lead_term as (select id_pattern, vrr_date, term from (select *, row_number() over (partition by id_pattern, vrr_date order by abs(c) desc, o) rn from u) where rn = 1),
 top as (select * from (select *, row_number() over (partition by id_pattern, vrr_date order by case severity when 'high' then 0 when 'medium' then 1 else 2 end, kind) rn from anomalies) where rn = 1),
-prec as (select driver, max(1) p from adjustments where outcome = 'executed' group by driver)
-select m.id_pattern, m.vrr_date, {d4('m.vrr', 'vrr')}, coalesce(t.target_vrr, 1.0) target_vrr, coalesce(v.verdict, 'INCONCLUSIVE') verdict, case when v.verdict = 'DATA_ARTIFACT' then 'data_steward' else 'analyst' end as owner, {d4('d.d_vrr', 'd_vrr')}, l.term driver,
- coalesce(a.kind, case when v.verdict = 'DATA_ARTIFACT' then 'input_audit' end) primary_anomaly,
- case when a.kind is null and v.verdict is distinct from 'DATA_ARTIFACT' then null when not coalesce(a.actionable, false) then 'low' when prec.p is not null and coalesce(mem.n_adjustments, 0) >= 3 then 'high' else 'medium' end confidence
-from monthly m left join targets t using (id_pattern) left join memory mem using (id_pattern) left join verdicts v on v.id_pattern = m.id_pattern and v.period = m.vrr_date left join decomposed d on d.id_pattern = m.id_pattern and d.vrr_date = m.vrr_date
-left join lead_term l on l.id_pattern = m.id_pattern and l.vrr_date = m.vrr_date left join top a on a.id_pattern = m.id_pattern and a.vrr_date = m.vrr_date left join prec on prec.driver = l.term""")
+prec as (select driver, arg_max(action_id, ts * 1000000 + action_id) p from adjustments where outcome = 'executed' group by driver),
+joined as (select m.id_pattern, m.pattern_name, m.vrr_date, m.vrr, coalesce(t.target_vrr, 1.0) target_vrr, coalesce(v.verdict, 'INCONCLUSIVE') verdict, d.d_vrr, l.term driver, a.kind, a.severity sev, coalesce(a.actionable, false) act, z.direction dir0, z.expected exp0, z.n_changes n0, z.sum_change s0, z.n_bounded b0, prec.p precedent, mem.n_adjustments, {_BOTH.replace('m.', 'mem.')}
+ from monthly m left join targets t using (id_pattern) left join memory mem using (id_pattern) left join verdicts v on v.id_pattern = m.id_pattern and v.period = m.vrr_date left join decomposed d on d.id_pattern = m.id_pattern and d.vrr_date = m.vrr_date
+ left join lead_term l on l.id_pattern = m.id_pattern and l.vrr_date = m.vrr_date left join top a on a.id_pattern = m.id_pattern and a.vrr_date = m.vrr_date left join prec on prec.driver = l.term left join sized z on z.id_pattern = m.id_pattern and z.vrr_date = m.vrr_date),
+cased as (select *, case when verdict = 'DATA_ARTIFACT' then 'data_steward' else 'analyst' end as owner, coalesce(kind, case when verdict = 'DATA_ARTIFACT' then 'input_audit' end) primary_anomaly, case when kind is not null then sev when verdict = 'DATA_ARTIFACT' then 'high' end severity,
+ case when verdict = 'REAL_SIGNAL' then dir0 end direction, case when verdict = 'REAL_SIGNAL' then exp0 end expected, case when verdict = 'REAL_SIGNAL' then n0 end n_changes, case when verdict = 'REAL_SIGNAL' then s0 end sum_change, case when verdict = 'REAL_SIGNAL' then b0 end n_bounded,
+ case when vrr between band_low and band_high then 'on target' when vrr > band_high then 'OVER-replicating (injecting too much)' else 'UNDER-replicating (injecting too little)' end as position from joined),
+filed as (select *, case when primary_anomaly is null then null when not act then 'low' when precedent is not null and coalesce(n_adjustments, 0) >= 3 then 'high' else 'medium' end confidence,
+ case when primary_anomaly is null then null when verdict = 'DATA_ARTIFACT' then 'fix_inputs' when verdict <> 'REAL_SIGNAL' or not act then 'investigate_inputs' when direction <> 'none' then direction else 'none' end action_type from cased)"""
+
+
+@query("j04_case_files", f"""with {CASES} select id_pattern, vrr_date, {d4('vrr', 'vrr')}, target_vrr, verdict, owner, {d4('d_vrr', 'd_vrr')}, driver, primary_anomaly, confidence, severity, position, action_type, direction, {d4('expected', 'expected_post_vrr')}, n_changes, n_bounded, {d4('sum_change', 'sum_change')}, precedent from filed""")
+def _(field):
+    changes = {"n_changes": F.when(F.col("changes").isNotNull(), F.size("changes")), "n_bounded": F.size(F.filter("changes", lambda c: c["bounded"])), "sum_change": F.aggregate("changes", F.lit(0.0), lambda s, c: s + c["change_pct"])}
+    x = _cases(field).withColumns(changes).withColumn("n_bounded", F.when(F.col("changes").isNotNull(), F.col("n_bounded")))
+    return x.select("id_pattern", "vrr_date", r4("vrr"), "target_vrr", "verdict", "owner", r4("d_vrr"), "driver", "primary_anomaly", "confidence", "severity", "position", "action_type", "direction", r4("expected_post_vrr"), "n_changes", "n_bounded", r4("sum_change"), "precedent")
+
+
+_DRAFT = "id_pattern, vrr_date, primary_anomaly anomaly_kind, severity, driver, action_type, confidence, verdict audit_verdict, owner owner_role"
+_DRAFT_COLUMNS = ["id_pattern", "vrr_date", "anomaly_kind", "severity", "driver", "action_type", "confidence", "audit_verdict", "owner_role"]
+
+
+@query("j06_anomaly_queue", f"""with {CASES} select {_DRAFT}, 'draft' stage from (select *, row_number() over (partition by id_pattern order by vrr_date desc) back from filed) where back = 1 and primary_anomaly is not null""")
+def _(field):
+    latest = tools.latest(_cases(field))
+    queue = workflow.action_queue(field.spark, new_path(field.spark, "action-queue"))
+    for _ in range(2):  # the second run replaces what is pending by the same
+        workflow.queue_anomalies(queue, cases.drafts(latest))
+    return queue.read().select(*_DRAFT_COLUMNS, "stage")
+
+
+@query("r08_drafts", f"with {CASES} select {_DRAFT}, precedent, {d4('case when action_type in (%sreduce_injection%s, %sincrease_injection%s) then expected end' % tuple([chr(39)] * 4), 'expected_post_vrr')} from filed where primary_anomaly is not null")
+def _(field):
+    return cases.drafts(_cases(field)).select(*_DRAFT_COLUMNS, "precedent", r4("expected_post_vrr"))
+
+
+# every draft is submitted twice under its request, a third then goes on to the analyst, and the anomalies are queued anew: what is
+# pending is replaced, what has moved on stays and has a new draft beside it
+@query("t17_submitted_drafts", f"""with {CASES}, d as (select {_DRAFT} from filed where primary_anomaly is not null)
+select *, 'draft' stage, 'anomaly_to_queue' stage_by from d union all select *, 'analyst', 'someone' from d where id_pattern % 3 = 0""")
 def _(field):
-    return _cases(field).select("id_pattern", "vrr_date", r4("vrr"), "target_vrr", "verdict", "owner", r4("d_vrr"), "driver", "primary_anomaly", "confidence")
+    queue = workflow.action_queue(field.spark, new_path(field.spark, "action-queue"))
+    drafts = cases.drafts(_cases(field)).withColumn("request_id", F.concat_ws("/", "id_pattern", F.col("vrr_date").cast("string")))
+    for _ in range(2):
+        workflow.submit(queue, drafts)
+    workflow.advance(queue, queue.read().where("id_pattern % 3 = 0").select("action_id", F.lit("advance").alias("verb"), F.lit("someone").alias("user"), F.lit("analyst").alias("role")))
+    workflow.queue_anomalies(queue, drafts)
+    return queue.read().select(*_DRAFT_COLUMNS, "stage", "stage_by")
+
+
+@query("q02_lane_of_the_analyst", f"""with {CASES}, d as (select {_DRAFT} from filed where primary_anomaly is not null and id_pattern % 3 = 0)
+select *, row_number() over (order by case severity when 'high' then 0 when 'medium' then 1 else 2 end, vrr_date desc, id_pattern) place from d qualify place <= 50""")
+def _(field):
+    staged = cases.drafts(_cases(field)).withColumn("stage", F.when(F.col("id_pattern") % 3 == 0, "analyst").otherwise("draft")).withColumn("action_id", F.col("id_pattern"))
+    # the board's first fifty; their places show the order
+    shown = workflow.by_stage(staged, "analyst").limit(50)
+    order = Window.partitionBy("stage").orderBy(workflow.severity_rank(F.col("severity")), F.col("vrr_date").desc(), "action_id")
+    return shown.withColumn("place", F.row_number().over(order).cast("long")).select(*_DRAFT_COLUMNS, "place")
+
+
+@query("q02_newest_adjustments", f"with {as_ctes(['adjustments'])} select action_id, id_pattern, outcome from adjustments order by ts desc, action_id desc limit 20".replace(" as string", " as varchar"))
+def _(field):
+    return workflow.newest(field.adjustments, 20).select("action_id", "id_pattern", "outcome")
+
+
+@query("j03_stored_audit", f"with {VERDICTS} select id_pattern, period vrr_date, verdict, summary from verdicts")
+def _(field):
+    table, found = workflow.audit_table(field.spark, new_path(field.spark, "input-audit")), _verdicts(field)
+    workflow.store_audit(table, found.withColumn("verdict", F.lit("old")), every_period=False)
+    for _ in range(2):
+        workflow.store_audit(table, found)
+    return table.read().select("id_pattern", "vrr_date", "verdict", "summary")
 
 
 @query("j05_narratives")
@@ -666,22 +796,35 @@ def _(spark, sf_dir):
 
 def _intent_sql() -> str:
     cases = " ".join("when " + " or ".join("contains(lower(text), '{}')".format(w.replace("'", "''")) for w in words) + f" then '{name}'" for name, words in workflow.INTENTS.items())
-    return f"select intent, count(*) n from (select case {cases} else 'explain' end intent from conversations where text is not null) group by intent"
+    return f"select intent, count(*) n from (select case {cases} else 'explain' end intent from conversations) group by intent"
 
 
 @query("q07_intents", _intent_sql())
 def _(spark, sf_dir):
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("text is not null")
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     return turns.groupBy(workflow.intent(F.col("text")).alias("intent")).agg(F.count("*").alias("n"))
 
 
 _DELIVERIES = "select user_id id_completion, cast(ts as date) event_date, value oil, event_id from events"
 
 
+def _deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").cast("long").alias("id_completion"), F.to_date("ts").alias("event_date"), F.col("value").alias("oil"), *[F.lit(0.0).alias(c) for c in intake.VOLUMES[1:]], F.lit("OilField").alias("uom"), F.col("ts").cast("timestamp").alias("emitted_ts"), "event_id")
+
+
 @query("st06_idempotent_merge", f"with d as ({_DELIVERIES}) select id_completion, event_date, {d4('arg_max(oil, event_id)', 'oil')}, min(event_id) first_order, count(*) n_deliveries from d group by id_completion, event_date")
 def _(spark, sf_dir):
-    x = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("id_completion"), F.to_date("ts").alias("event_date"), F.col("value").alias("oil"), *[F.lit(0.0).alias(c) for c in intake.VOLUMES[1:]], F.lit("OilField").alias("uom"), F.col("ts").alias("emitted_ts"), "event_id")
-    return intake.merged(x, "event_id").select("id_completion", "event_date", r4("oil"), "first_order", "n_deliveries")
+    return intake.merged(_deliveries(spark, sf_dir), "event_id").select("id_completion", "event_date", r4("oil"), "first_order", "n_deliveries")
+
+
+@query("st06_streamed_state", f"with d as ({_DELIVERIES}) select id_completion, event_date, {d4('arg_max(oil, event_id)', 'oil')}, min(event_id) first_order, count(*) n_deliveries from d group by id_completion, event_date")
+def _(spark, sf_dir):
+    x = _deliveries(spark, sf_dir)
+    source, out = new_path(spark, "deliveries"), new_path(spark, "stream-state")
+    x.repartition(4, "event_id").write.parquet(source)  # so that a completion's day comes again in later batches
+    stream = spark.readStream.schema(x.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    intake.stream_to(stream, out, new_path(spark, "stream-checkpoint"), "event_id")
+    return VersionedTable(spark, out).read().select("id_completion", "event_date", r4("oil"), "first_order", "n_deliveries")
 
 
 @query("st07_redeliveries", f"with d as ({_DELIVERIES}) select coalesce(sum(n - 1), 0)::bigint redeliveries from (select count(*) n from d group by id_completion, event_date)")
@@ -701,8 +844,8 @@ def _(spark, sf_dir):
     return intake.resume_date(events, Field(spark, sf_dir).volumes)
 
 
-@query("i18_kafka_rows", "select cast(user_id as varchar) as key, cast(ts as date) event_date, round(value + cast(3.17e-8 as double), 4) + 0.0 oil, count(*) n from events where user_id is not null and ts is not null group by all")
+@query("i18_kafka_rows", """select cast(user_id as varchar) as key, cast(ts as date) event_date, round(value + cast(3.17e-8 as double), 4) + 0.0 oil, count(*) n, user_id is null or ts is null dead from events group by all""")
 def _(spark, sf_dir):
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").cast("long").alias("id_completion"), F.to_date("ts").alias("event_date"), F.col("value").alias("oil"), *[F.lit(0.0).alias(c) for c in intake.VOLUMES[1:]], F.lit("OilField").alias("uom"), F.col("ts").cast("timestamp").alias("emitted_ts"))
-    sent, _ = intake.parsed(intake.kafka_rows(events))
-    return sent.select("key", "event_date", r4("oil")).groupBy("key", "event_date", "oil").agg(F.count("*").alias("n"))
+    good, dead = intake.parsed(intake.kafka_rows(_deliveries(spark, sf_dir)))
+    lost = dead.select("key", F.to_date(F.get_json_object("value", "$.event_date")).alias("event_date"), F.get_json_object("value", "$.oil").cast("double").alias("oil"), F.lit(True).alias("dead"))
+    return good.select("key", "event_date", "oil", F.lit(False).alias("dead")).unionByName(lost).groupBy("key", "event_date", r4("oil"), "dead").agg(F.count("*").alias("n"))

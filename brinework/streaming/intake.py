@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import datetime
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
+
+from brinework.sources.versioned import VersionedTable
 
 VOLUMES = ["oil", "water", "gas", "water_inj", "gas_inj"]
 EVENT = "id_completion long, event_date date, oil double, water double, gas double, water_inj double, gas_inj double, uom string, emitted_ts timestamp"
@@ -48,29 +53,64 @@ def latency(events: DataFrame) -> DataFrame:
     return events.withColumns({"emit_to_store": seconds("stored_ts", "emitted_ts"), "emit_to_ingest": seconds("ingest_ts", "emitted_ts"), "ingest_to_store": seconds("stored_ts", "ingest_ts")})
 
 
+def unpromoted(raw: DataFrame, state: DataFrame) -> DataFrame:
+    """(id_completion, prod_date) of the events that the raw volumes lack."""
+    days = state.select("id_completion", F.col("event_date").alias("prod_date"))
+    return days.join(raw.select("id_completion", "prod_date"), ["id_completion", "prod_date"], "left_anti").distinct()
+
+
 def promoted(raw: DataFrame, state: DataFrame) -> DataFrame:
     """Raw volumes with the events that they lack."""
     new = state.select("id_completion", F.col("event_date").alias("prod_date"), *VOLUMES)
     return raw.unionByName(new.join(raw.select("id_completion", "prod_date"), ["id_completion", "prod_date"], "left_anti").select(*raw.columns))
 
 
-def stream_to(events: DataFrame, path: str, checkpoint: str, order: str):
-    """Runs a stream of events to its end; each micro-batch is absorbed into the state table at path, written beside and swapped in
-    by its batch number, so a batch that is run again gives the same state."""
+def state_table(spark: SparkSession, path: str, order: str, kind: str = "long", buckets: int = 16) -> VersionedTable:
+    """The stored state: a row for each (id_completion, event_date), in buckets by completion and day."""
+    volumes = ", ".join(f"{c} double" for c in VOLUMES)
+    return VersionedTable(spark, path).create(f"id_completion long, event_date date, {volumes}, uom string, emitted_ts timestamp, {order} {kind}, first_order {kind}, n_deliveries long", KEY, buckets)
+
+
+def stream_to(events: DataFrame, path: str, checkpoint: str, order: str, buckets: int = 16):
+    """Runs a stream of events to its end into the state table at path. Each micro-batch is absorbed into the buckets that it touches,
+    as one version of the table; a batch that is run again has its number and changes nothing."""
+    table = state_table(events.sparkSession, path, order, dict(events.dtypes)[order], buckets)
 
     def one(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        now = merged(batch, order) if number == 0 else absorb(spark.read.parquet(f"{path}/batch={number - 1}"), batch, order)
-        now.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        table.change(batch, lambda state, rows: absorb(state, rows, order), writer=checkpoint, number=number)
 
     query = events.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
 
 
-def windowed(events: DataFrame, lateness: str = "7 days", width: str = "1 day") -> DataFrame:
-    """Counts and sums of an event stream (ts, event_type, value) in tumbling windows, events later than `lateness` left out."""
-    return events.withWatermark("ts", lateness).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("window_start"), "event_type", "n", "total")
+# Windows in event time are an extension: what is carried on is stated here.
+def windowed(events: DataFrame, lateness: str = "7 days", width: str = "1 day", slide: str | None = None) -> DataFrame:
+    """Counts and sums of events (ts, event_type, value) in tumbling windows, or sliding ones with `slide`. Of a stream, an event is
+    left out if its window ends at or before the watermark, which is the latest ts of the batches before less `lateness`; a window
+    is given out once, after the watermark has passed its end."""
+    window = F.window("ts", width, slide) if slide else F.window("ts", width)
+    x = events.withWatermark("ts", lateness).groupBy(window.alias("window"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return x.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "event_type", "n", "total")
+
+
+def sessions(events: DataFrame, gap: str = "30 minutes", lateness: str = "7 days") -> DataFrame:
+    """Counts and sums of each user's events (ts, user_id, value) in sessions: an event less than `gap` behind the one before is of its
+    session. Of a stream, a session is given out once, after the watermark has passed its end; events behind the watermark by the gap are left out."""
+    x = events.withWatermark("ts", lateness).groupBy(F.session_window("ts", gap).alias("window"), "user_id").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return x.select("user_id", F.col("window.start").alias("session_start"), F.col("window.end").alias("session_end"), "n", "total")
+
+
+def stream_windows(windows: DataFrame, path: str, checkpoint: str):
+    """Runs a windowed stream to its end. Finished windows are appended to the table at path, each batch in a folder of its own, so a
+    batch that is run again is written again in its place; windows that the watermark has not passed stay in the stream's state."""
+
+    def one(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    query = windows.writeStream.outputMode("append").foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
 
 
 def resume_date(events: DataFrame, raw: DataFrame) -> DataFrame:
@@ -95,6 +135,36 @@ def publish(events: DataFrame, servers: str, topic: str, checkpoint: str):
     return query
 
 
+PROGRESS = "query string, batch long, started timestamp, n_rows long, seconds double, rows_per_second double, late_rows long"
+
+
+class ProgressLog(StreamingQueryListener):
+    """Writes a row for each micro-batch of a session's streams to a table of one folder for each batch, so that no batch is forgotten
+    and one that is reported twice has one row. Add it with spark.streams.addListener(); read() gives the rows."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        seconds = p.batchDuration / 1000
+        late = sum(op.numRowsDroppedByWatermark for op in p.stateOperators)
+        row = (str(p.id), p.batchId, datetime.datetime.fromisoformat(p.timestamp.replace("Z", "+00:00")), p.numInputRows, seconds, p.numInputRows / max(seconds, 1e-3), late)
+        self.spark.createDataFrame([row], PROGRESS).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/id={p.id}/number={p.batchId}")
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(PROGRESS).option("recursiveFileLookup", "true").parquet(self.path)
+
+
 def batch_progress(query) -> list[dict]:
     """Of the micro-batches that a streaming query remembers (spark.sql.streaming.numRecentProgressUpdates at most): number, rows,
     seconds and rows a second."""
