@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brinework.operators.text import numbers_grounded
+from brinework.sources.store import written
 from brinework.sources.versioned import VersionedTable
 
 # Stages in order, and the role that may advance each.
@@ -74,23 +72,45 @@ CALLS = {"chat": (20, 60), "chat_agentic": (5, 300), "upload": (10, 600), "revie
 
 def rate_limited(calls: DataFrame) -> DataFrame:
     """calls (bucket, who, ts: seconds as double) with n, the call's number in its window, and refused. A window starts with a
-    user's first call and ends when a call comes at least its width later. A user's calls go through one task in order, and only
-    the window is kept. Calls of unknown kinds are never refused."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, start, n = None, 0.0, 0
-        for batch in batches:
-            numbers, over = [], []
-            for bucket, who, ts in zip(*(batch.column(c).to_pylist() for c in ("bucket", "who", "ts")), strict=True):
-                most, width = CALLS.get(bucket, (None, 0))
-                if (bucket, who) != key or (most and ts - start >= width):
-                    key, start, n = (bucket, who), ts, 0
-                n += 1
-                numbers.append(n)
-                over.append(bool(most) and n > most)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64()), pa.array(over, pa.bool_())], names=[*batch.schema.names, "n", "refused"])
-
-    calls = calls.select("bucket", "who", F.col("ts").cast("double").alias("ts"))
-    return calls.repartition("bucket", "who").sortWithinPartitions("bucket", "who", "ts").mapInArrow(run, "bucket string, who string, ts double, n long, refused boolean")
+    user's first call and ends when a call comes at least its width later. Calls of unknown kinds are numbered throughout and never
+    refused; those without a time have no number.
+
+    Time is cut into stretches as wide as a window, so that each holds one start of a window at most, and only a user's calls of one
+    stretch meet in a task. Behind an empty stretch a window always starts; from there on each call names the one that would start the
+    next window, and following these names 1, 2, 4, ... windows at a time finds all starts."""
+    kinds = F.create_map(*[F.lit(v) for k, (most, width) in CALLS.items() for v in (k, F.struct(F.lit(most).alias("most"), F.lit(float(width)).alias("width")))])
+    x = calls.select("bucket", "who", F.col("ts").cast("double").alias("ts")).withColumn("u", F.to_json(F.struct("bucket", "who"))).withColumn("kind", F.try_element_at(kinds, F.col("bucket")))
+    x = x.withColumn("width", F.coalesce("kind.width", F.lit(86400.0))).withColumn("c", F.floor(F.col("ts") / F.col("width")))
+    x = written(x.select("bucket", "who", "ts", "u", F.col("kind.most").alias("most"), "width", "c"), "calls")
+    known = x.where("most is not null and ts is not null")
+    times = written(known.select("u", "c", "ts", "width").distinct(), "call-times")
+    stretches = times.groupBy("u", "c").agg(F.min("ts").alias("first"))
+    before = stretches.select("u", (F.col("c") + 1).alias("c"))
+    reached = written(stretches.join(before, ["u", "c"], "left_anti").select("u", F.col("first").alias("t")), "window-starts")
+    # the next start from each call: the first call of the next stretch that is late enough, else the first of the one after that
+    probes = times.select("u", (F.col("c") + 1).alias("c"), (F.col("ts") + F.col("width")).alias("at"), F.col("ts").alias("probe"))
+    asked = times.select("u", "c", F.col("ts").alias("at"), F.lit(None).cast("double").alias("probe")).unionByName(probes)
+    by = Window.partitionBy("u", "c").orderBy(F.col("at").desc(), F.col("probe").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    asked = asked.withColumn("then", F.min(F.when(F.col("probe").isNull(), F.col("at"))).over(by)).withColumn("full", F.count(F.when(F.col("probe").isNull(), 1)).over(Window.partitionBy("u", "c")) > 0).where("probe is not null and full")
+    after = stretches.select("u", (F.col("c") - 1).alias("c"), F.col("first").alias("after"))
+    jumps = written(asked.join(after, ["u", "c"], "left").select("u", F.col("probe").alias("t"), F.coalesce("then", "after").alias("to")).where("to is not null"), "jumps")
+    while True:
+        new = reached.join(jumps, ["u", "t"]).select("u", F.col("to").alias("t")).join(reached, ["u", "t"], "left_anti").distinct()
+        new = written(new, "window-starts")
+        if new.isEmpty():
+            break
+        reached = written(reached.unionByName(new), "window-starts")
+        on = jumps.select("u", F.col("t").alias("to"), F.col("to").alias("further"))
+        jumps = written(jumps.join(on, ["u", "to"]).select("u", "t", F.col("further").alias("to")), "jumps")
+    starts = reached.join(times.select("u", F.col("ts").alias("t"), "c"), ["u", "t"]).select("u", "c", F.col("t").alias("start"))
+    y = known.join(starts, ["u", "c"], "left").join(starts.select("u", (F.col("c") + 1).alias("c"), F.col("start").alias("prior")), ["u", "c"], "left")
+    y = y.withColumn("start", F.when(F.col("start") <= F.col("ts"), F.col("start")).otherwise(F.col("prior")))
+    y = y.drop("prior").unionByName(x.where("most is null and ts is not null").withColumn("start", F.lit(0.0)))
+    counts = y.groupBy("u", "start", "c").agg(F.count("*").alias("here"))
+    counts = counts.withColumn("earlier", F.sum("here").over(Window.partitionBy("u", "start").orderBy("c")) - F.col("here"))
+    y = y.join(counts.drop("here"), ["u", "start", "c"]).withColumn("n", F.col("earlier") + F.row_number().over(Window.partitionBy("u", "start", "c").orderBy("ts")))
+    y = y.select("bucket", "who", "ts", "n", F.coalesce(F.col("n") > F.col("most"), F.lit(False)).alias("refused"))
+    return y.unionByName(x.where("ts is null").select("bucket", "who", "ts", F.lit(None).cast("long").alias("n"), F.lit(False).alias("refused")))
 
 
 #: A queued action: its draft, and where it stands.
@@ -182,10 +202,14 @@ def inserted_if_absent(table: DataFrame, rows: DataFrame, keys: list[str]) -> Da
     return table.unionByName(rows.dropDuplicates(keys).join(table.select(*keys), keys, "left_anti").select(*table.columns))
 
 
-def recent_turns(conversations: DataFrame, k: int = 3) -> DataFrame:
-    """The newest k turns of each conversation, oldest first by turn."""
+def recent_turns(conversations: DataFrame, k: int = 3, cutoffs: DataFrame | None = None) -> DataFrame:
+    """The newest k turns of each conversation, oldest first by turn; back counts from the newest. Turns with a deleted_at (where there is
+    such a column) do not count. cutoffs (conv_id, after): only later turns count for those conversations; a null one hides nothing."""
+    x = conversations.where("deleted_at is null") if "deleted_at" in conversations.columns else conversations
+    if cutoffs is not None:
+        x = x.join(cutoffs.groupBy("conv_id").agg(F.max("after").alias("_after")), "conv_id", "left").where("_after is null or turn > _after").drop("_after")
     by = Window.partitionBy("conv_id").orderBy(F.col("turn").desc(), F.col("role"), F.col("text"))
-    return conversations.withColumn("back", F.row_number().over(by)).where(F.col("back") <= k)
+    return x.withColumn("back", F.row_number().over(by)).where(F.col("back") <= k)
 
 
 def intent(question: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brinework.functions.scalars import comparable
-from brinework.operators import build, cases, knowledge, layout, rules, search, text, tools, workflow
+from brinework.operators import build, cases, knowledge, layout, routing, rules, search, text, tools, workflow
 from brinework.sources.field import Field, as_ctes
 from brinework.sources.store import new_path
 from brinework.sources.versioned import VersionedTable
@@ -658,11 +658,16 @@ def _(field):
     return workflow.adjustment_rows(_moves(field)).select("action_id", "id_pattern", "change_type", r4("d_surface_pct"), "approved_by", "outcome")
 
 
-@query("q05_rate_limits")
+@query("q05_rate_limits", """with recursive lim as (select * from (values ('chat', 20, 60.0), ('chat_agentic', 5, 300.0), ('upload', 10, 600.0), ('review', 60, 600.0)) l(bucket, most, width)),
+c as (select case event_id % 4 when 0 then 'chat' when 1 then 'chat_agentic' when 2 then 'upload' else 'review' end bucket, cast(user_id as varchar) who, epoch_us(ts::timestamp) ts from events),
+o as (select c.*, most, cast(width * 1000000 as bigint) w, row_number() over (partition by bucket, who order by ts) k from c join lim using (bucket)),
+fold as (select bucket, who, k, ts, ts start, 1 n from o where k = 1 union all
+ select o.bucket, o.who, o.k, o.ts, case when o.ts - f.start >= o.w then o.ts else f.start end, case when o.ts - f.start >= o.w then 1 else f.n + 1 end from fold f join o on o.bucket = f.bucket and o.who is not distinct from f.who and o.k = f.k + 1)
+select f.bucket, count(*) calls, count(*) filter (where n > most) refused, sum(n)::bigint numbers from fold f join lim using (bucket) group by f.bucket""")
 def _(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     calls = events.select(F.element_at(F.array(*map(F.lit, workflow.CALLS)), (F.pmod(F.col("event_id"), F.lit(4)) + 1).cast("int")).alias("bucket"), F.col("user_id").cast("string").alias("who"), F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("ts"))
-    return workflow.rate_limited(calls.withColumn("ts", F.col("ts") / 1e6)).groupBy("bucket").agg(F.count("*").alias("calls"), F.count_if("refused").alias("refused"))
+    return workflow.rate_limited(calls.withColumn("ts", F.col("ts") / 1e6)).groupBy("bucket").agg(F.count("*").alias("calls"), F.count_if("refused").alias("refused"), F.sum("n").alias("numbers"))
 
 
 @query("k04_ingested_chunks")
@@ -789,6 +794,14 @@ def _(spark, sf_dir):
     return search.labelled_quality(found, vectors, queries, 3).select("queries", r4("recall_at_k"), r4("mrr"))
 
 
+@query("q04_turns_after_a_cutoff", "select conv_id, turn, role, text from (select *, row_number() over (partition by conv_id order by turn desc, role, text) rn from conversations where not (conv_id % 5 = 0 and role = 'user') and not (conv_id % 2 = 0 and turn <= 1)) where rn <= 3")
+def _(spark, sf_dir):
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    deleted = turns.withColumn("deleted_at", F.when((F.col("conv_id") % 5 == 0) & (F.col("role") == "user"), F.current_timestamp()))
+    cutoffs = turns.select("conv_id", F.when(F.col("conv_id") % 2 == 0, 1).alias("after"))
+    return workflow.recent_turns(deleted, 3, cutoffs).select("conv_id", "turn", "role", "text")
+
+
 @query("q04_recent_turns", "select conv_id, turn, role, text from (select *, row_number() over (partition by conv_id order by turn desc, role, text) rn from conversations) where rn <= 3")
 def _(spark, sf_dir):
     return workflow.recent_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"), 3).select("conv_id", "turn", "role", "text")
@@ -805,6 +818,76 @@ def _(spark, sf_dir):
     return turns.groupBy(workflow.intent(F.col("text")).alias("intent")).agg(F.count("*").alias("n"))
 
 
+def _any(words: list[str]) -> str:
+    return "(" + " or ".join("contains(q, '{}')".format(w.replace("'", "''")) for w in words) + ")"
+
+
+def _total(words: list[str]) -> str:
+    return " + ".join("case when contains(q, '{}') then {} else 0 end".format(w.replace("'", "''"), len(w)) for w in dict.fromkeys(words))
+
+
+_ROUTED = f"""q as (select conv_id, turn, role, coalesce(lower(text), '') q from conversations),
+s as (select *, {_total(routing.STATUS)} + case when rtrim(q, '?.! ') like '%how many patterns' then 17 else 0 end status_score, ({_any([p for p in routing.STATUS if 'pattern' in p])} or rtrim(q, '?.! ') like '%how many patterns') counted, {_any(routing.NOT_STATUS)} portfolio from q),
+topics as (select * from ({' union all '.join(f"select conv_id, turn, role, q, '{k}' topic, {_total(v)} total, greatest({', '.join(f'case when contains(q, {chr(39)}{w.replace(chr(39), chr(39) * 2)}{chr(39)}) then {len(w)} else 0 end' for w in v)}) longest from q" for k, v in routing.TOPICS.items())}) where total > 0),
+best as (select conv_id, turn, role, q, arg_min(topic, (-total, -longest, topic)) topic from topics group by all),
+routed as (select s.conv_id, s.turn, s.role, status_score, b.topic, case when status_score > 0 and not (counted and portfolio) then 'status' when {_any(routing.STRONG_HELP).replace('(q,', '(s.q,')} or ({_any(routing.APP_NOUNS).replace('(q,', '(s.q,')} and b.topic is not null) then 'help'
+ {' '.join(f"when {_any(v)} then '{k}'".replace('(q,', '(s.q,') for k, v in workflow.INTENTS.items())} else 'explain' end intent from s left join (select distinct on (q) q, topic from best) b on b.q = s.q)"""
+
+
+@query("r24_routed_questions", f"with {_ROUTED} select conv_id, turn, role, status_score::bigint status_score, topic, intent from routed")
+def _(spark, sf_dir):
+    x = routing.routed(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text"), "text")
+    return x.select("conv_id", "turn", "role", "status_score", "topic", "intent")
+
+
+# what people ask of the system and its screens, each word of a document being the pattern that is asked about
+_ASKED = ["how many patterns are loaded? {}", "how do I move the card of {} to the RM zone?", "is {} off target?", "which role can approve {}", "why is {} high", "show me the lineage of {}", "how many patterns in {} are furthest from target", "{}: how many patterns?!"]
+
+
+@query("r25_help_topics_of_documents", "with conversations as (select doc_id conv_id, 0 turn, '' as role, replace(case doc_id % 8 " + " ".join(f"when {i} then '{q}'" for i, q in enumerate(_ASKED)) + " end, '{}', coalesce(lang, '')) as text from documents), " + f"{_ROUTED} select conv_id doc_id, intent, topic, status_score::bigint status_score from routed")
+def _(spark, sf_dir):
+    asked = F.element_at(F.array(*map(F.lit, _ASKED)), (F.pmod("doc_id", F.lit(8)) + 1).cast("int"))
+    docs = _documents(spark, sf_dir).select("doc_id", F.replace(asked, F.lit("{}"), F.coalesce("lang", F.lit(""))).alias("question"))
+    return routing.routed(docs).select("doc_id", "intent", "topic", "status_score")
+
+
+@query("q06_health", f"with {MONTHLY} select (select count(*) from monthly) monthly_rows, (select count(distinct id_pattern) from monthly) n_patterns, (select count(*) from documents where doc_id % 2 = 0 and length(text) > 0) docs, (select count(*) from documents where doc_id % 2 = 0 and length(text) > 0) chunks, (select count(*) from documents where doc_id % 2 = 1) pending_review")
+def _(spark, sf_dir):
+    registry = _documents(spark, sf_dir).select("doc_id", "text", F.when(F.col("doc_id") % 2 == 0, "approved").otherwise("pending_review").alias("status"))
+    chunks = registry.where("status = 'approved' and length(text) > 0").select("doc_id")
+    return knowledge.health(monthly_of(Field(spark, sf_dir)), registry, chunks)
+
+
+_FIRST = "firsts as (select doc_id, text, doc_id = min(doc_id) over (partition by text) fresh from documents), placed as (select *, coalesce(sum(case when fresh then 1 else 0 end) over (order by doc_id rows between unbounded preceding and 1 preceding), 0) earlier from firsts)"
+
+
+@query("k10_admitted_uploads", f"with {_FIRST} select doc_id received, case when earlier >= 200 then 'documents are full' when not fresh then 'content is registered already' end reason, earlier < 200 and fresh accepted from placed")
+def _(spark, sf_dir):
+    uploads = _documents(spark, sf_dir).select(F.col("doc_id").alias("received"), F.col("doc_id").cast("string").alias("file_name"), F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("content"), F.lit("u").alias("uploaded_by"))
+    empty = spark.createDataFrame([], "status string, sha256 string")
+    return knowledge.registered(empty, uploads).select("received", "reason", "accepted")
+
+
+@query("k10_reviewed_documents", """with n as (select doc_id, cast(ceil(length(text) / 200.0) as bigint) k from documents where length(text) > 0), x as (select d.doc_id, n.k, d.doc_id % 10 <> 3 ok from documents d left join n using (doc_id)),
+b as (select *, coalesce(sum(case when ok then k end) over (order by doc_id rows between unbounded preceding and 1 preceding), 0) before from x)
+select doc_id, case when not ok then 'rejected' when k is not null and before < 20000 then 'approved' else 'pending_review' end status, case when ok and k is not null and before >= 20000 then 'chunks are full' when ok and k is null then 'nothing could be ingested' end review_note from b""")
+def _(spark, sf_dir):
+    docs = _documents(spark, sf_dir)
+    registry = docs.select("doc_id", F.lit("pending_review").alias("status"))
+    chunks = docs.where("length(text) > 0").select("doc_id", F.explode(F.sequence(F.lit(1), F.ceil(F.length("text") / 200).cast("int"))))
+    return knowledge.reviewed(registry, docs.select("doc_id", (F.col("doc_id") % 10 != 3).alias("approve")), chunks)
+
+
+@query("k04_stored_chunks", """with pieces as (select doc_id, list_filter(list_transform(range(1, length(t) + 1, 200), lambda i: trim(substring(t, i, 200), ' ')), lambda p: p <> '') p from (select doc_id, normalized t from ({0}))) select doc_id, cast(len(p) as bigint) n_chunks from pieces""".replace("{0}", _NORMALIZED))
+def _(spark, sf_dir):
+    table = knowledge.chunk_table(spark, new_path(spark, "stored-chunks"))
+    docs = _documents(spark, sf_dir)
+    knowledge.upserted_chunks(table, docs.withColumn("text", F.concat_ws(" ", "text", F.lit("an older state of the document"))), "fixed")
+    counters = knowledge.upserted_chunks(table, docs, "fixed")  # every document's chunks in place of those it had
+    kept = table.read().groupBy("doc_id").agg(F.count("*").alias("kept"))
+    return counters.join(kept, "doc_id", "left").select("doc_id", F.when(F.coalesce("kept", F.lit(0)) == F.col("n_chunks"), F.col("n_chunks")).alias("n_chunks"))
+
+
 _DELIVERIES = "select user_id id_completion, cast(ts as date) event_date, value oil, event_id from events"
 
 
@@ -838,6 +921,31 @@ def _(spark, sf_dir):
     return intake.windowed(spark.read.parquet(f"{sf_dir}/events.parquet")).select("window_start", "event_type", "n", r4("total"))
 
 
+@query("st_sliding_windows", f"select w window_start, w + interval 7 day window_end, event_type, count(*) n, {d4('sum(value)', 'total')} from (select *, unnest(list_transform(range(0, 7), lambda i: date_trunc('day', ts::timestamp) - to_days(i::int))) w from events where ts is not null) group by all")
+def _(spark, sf_dir):
+    return intake.windowed(spark.read.parquet(f"{sf_dir}/events.parquet"), width="7 days", slide="1 day").select("window_start", "window_end", "event_type", "n", r4("total"))
+
+
+@query("st_sessions", f"""with e as (select user_id, ts::timestamp ts, value, lag(ts::timestamp) over (partition by user_id order by ts) before from events where ts is not null),
+g as (select *, sum(case when before is null or ts >= before + interval 12 hour then 1 else 0 end) over (partition by user_id order by ts rows unbounded preceding) s from e)
+select user_id, min(ts) session_start, max(ts) + interval 12 hour session_end, count(*) n, {d4('sum(value)', 'total')} from g group by user_id, s""")
+def _(spark, sf_dir):
+    return intake.sessions(spark.read.parquet(f"{sf_dir}/events.parquet"), "12 hours").select("user_id", "session_start", "session_end", "n", r4("total"))
+
+
+# as a stream, in three batches: all events, one more of the last day, and one far behind the watermark, which is left out
+@query("st_streamed_windows", f"select * from (select date_trunc('day', ts::timestamp) window_start, event_type, count(*) n, {d4('sum(value)', 'total')} from events group by all) where window_start + interval 1 day <= (select max(ts)::timestamp - interval 7 day from events)")
+def _(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    source, out = new_path(spark, "events"), new_path(spark, "windows")
+    events.coalesce(1).write.parquet(source)
+    for at, kind in ((F.max("ts"), "last"), (F.min("ts"), "late")):
+        events.groupBy().agg(at.alias("ts")).select("ts", F.lit(kind).alias("event_type"), F.lit(1.0).alias("value")).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(source)
+    intake.stream_windows(intake.windowed(stream), out, new_path(spark, "windows-checkpoint"))
+    return spark.read.schema("window_start timestamp, window_end timestamp, event_type string, n long, total double").option("recursiveFileLookup", "true").parquet(out).select("window_start", "event_type", "n", r4("total"))
+
+
 @query("st04_resume_date", f"with {as_ctes(['volumes'])} select cast(greatest((select max(cast(ts as date)) from events), (select max(prod_date) from volumes)) + 1 as date) resume_date")
 def _(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.to_date("ts").alias("event_date"))

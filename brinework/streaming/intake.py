@@ -84,11 +84,11 @@ def stream_to(events: DataFrame, path: str, checkpoint: str, order: str, buckets
     return query
 
 
-# Windows in event time are an extension: what is carried on is stated here.
+# Windows in event time are an extension of this library.
 def windowed(events: DataFrame, lateness: str = "7 days", width: str = "1 day", slide: str | None = None) -> DataFrame:
-    """Counts and sums of events (ts, event_type, value) in tumbling windows, or sliding ones with `slide`. Of a stream, an event is
-    left out if its window ends at or before the watermark, which is the latest ts of the batches before less `lateness`; a window
-    is given out once, after the watermark has passed its end."""
+    """Counts and sums of events (ts, event_type, value) in tumbling windows, or sliding ones with `slide`. Of a stream, a
+    window is given out once, in the first batch whose watermark (the latest ts of all batches before, less `lateness`) is at or behind
+    its end; an event is left out if its window's end was at or before the watermark of the batch before its own."""
     window = F.window("ts", width, slide) if slide else F.window("ts", width)
     x = events.withWatermark("ts", lateness).groupBy(window.alias("window"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return x.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "event_type", "n", "total")
@@ -96,7 +96,8 @@ def windowed(events: DataFrame, lateness: str = "7 days", width: str = "1 day",
 
 def sessions(events: DataFrame, gap: str = "30 minutes", lateness: str = "7 days") -> DataFrame:
     """Counts and sums of each user's events (ts, user_id, value) in sessions: an event less than `gap` behind the one before is of its
-    session. Of a stream, a session is given out once, after the watermark has passed its end; events behind the watermark by the gap are left out."""
+    session. Of a stream, a session is given out once the watermark has passed its end; an event is left out if a session of its own would have
+    ended before the watermark of the batch before."""
     x = events.withWatermark("ts", lateness).groupBy(F.session_window("ts", gap).alias("window"), "user_id").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return x.select("user_id", F.col("window.start").alias("session_start"), F.col("window.end").alias("session_end"), "n", "total")
 

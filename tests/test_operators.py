@@ -12,6 +12,7 @@ from brinework.plans import registry
 from brinework.sources import loaders
 from brinework.sources.field import Field
 from brinework.sources.store import new_path
+from brinework.sources.versioned import Conflict, VersionedTable
 from brinework.streaming import intake
 
 SF = "/root/testdata/sf0.001"
@@ -114,8 +115,10 @@ def test_faithfulness(spark):
 def test_narratives_hold_only_computed_numbers(spark):
     rows = registry.QUERIES["j05_narratives"](spark, SF).collect()
     assert rows and all(r.n_uncited == 0 for r in rows)
-    assert {"**4. Recommended action**"} <= {line for r in rows for line in r.narrative.split("\n")}
-    assert any("Why did it move?** VRR" in r.narrative for r in rows) and any("no prior period" in r.narrative for r in rows)
+    lines = [r.narrative.split("\n") for r in rows]
+    assert all(x[1].startswith("Ratio ") and x[2].startswith("Rules: ") and x[3].startswith("Inputs: ") and x[-1].startswith("Proposed: ") for x in lines)
+    assert any(x.startswith("Since the month before: ") for n in lines for x in n) and any(len(x) == 5 for x in lines)
+    assert any("fluid properties by " in x[3] and "recomputed " in x[3] for x in lines)
 
 
 # --- the stored build ---
@@ -228,10 +231,15 @@ def test_registry_and_topics(spark):
     old = spark.createDataFrame([("d1", "f", "pending_review", "ab", "u"), ("d2", "g", "pending_review", "cd", "u"), ("d3", "h", "approved", "ef", "u"), ("d4", "i", "pending_review", None, "u")], kind)
     uploads = spark.createDataFrame([("x", bytearray(b"one"), "u"), ("y", bytearray(b"one"), "u"), ("z", bytearray(b"two"), "u")], "file_name string, content binary, uploaded_by string")
     got = {r.file_name: r for r in knowledge.registered(old, uploads).collect()}
+    assert got["y"].reason == "content is registered already" and [r.accepted for r in knowledge.registered(old, uploads, chunks=20_000).collect()] == [False] * 3
+    full = {r.file_name: r.reason for r in knowledge.registered(old, uploads.withColumn("errors", F.when(F.col("file_name") == "x", F.array(F.lit("too large")))), max_documents=5).collect()}
+    assert full == {"x": "rejected: too large", "y": None, "z": "documents are full"}
     assert got["x"].accepted and not got["y"].accepted and got["z"].accepted and got["x"].doc_id == "up-" + got["x"].sha256[:24]
     reviews = spark.createDataFrame([("d1", True), ("d2", False), ("d3", False), ("d4", True)], "doc_id string, approve boolean")
     chunks = spark.createDataFrame([("d1",), ("d1",), ("d3",)], "doc_id string")
     assert {r.doc_id: r.status for r in knowledge.reviewed(old, reviews, chunks).collect()} == {"d1": "approved", "d2": "rejected", "d3": "approved", "d4": "pending_review"}
+    tight = {r.doc_id: (r.status, r.review_note) for r in knowledge.reviewed(old, reviews, chunks, max_chunks=1).collect()}
+    assert tight["d1"] == ("pending_review", "chunks are full") and tight["d4"] == ("pending_review", "nothing could be ingested")
     assert knowledge.usage(old, chunks).first().asDict() == {"documents": 4, "approved": 1, "pending": 3, "chunks": 3, "documents_left": 196, "chunks_left": 19997}
     topics = spark.createDataFrame([("approvals", ["approve", "board"]), ("roles", ["role", "can approve"]), ("none", ["zzz"])], "topic_id string, keywords array<string>")
     asked = spark.createDataFrame([(1, "Which role can approve?"), (2, "the board"), (3, None)], "question_id int, question string")
@@ -313,7 +321,12 @@ def test_a_stream_ends_in_the_merged_state(spark, tmp_path):
     shaped = stream.select("id_completion", F.to_date("d").alias("event_date"), "oil", *[F.lit(0.0).alias(c) for c in intake.VOLUMES[1:]], F.lit("OilField").alias("uom"), F.lit(None).cast("timestamp").alias("emitted_ts"), "o")
     query = intake.stream_to(shaped, f"file://{tmp_path}/state", f"file://{tmp_path}/cp", "o")
     assert [(p["batch"], p["n_rows"]) for p in intake.batch_progress(query) if p["n_rows"]] == [(0, 20), (1, 20), (2, 20)]
-    last = spark.read.parquet(f"file://{tmp_path}/state/batch=2")
+    table = VersionedTable(spark, f"file://{tmp_path}/state")
+    assert table.versions() == [0, 1, 2, 3] and table.read(1).agg(F.sum("n_deliveries")).first()[0] == 20
+    last = table.read()
+    batch = spark.createDataFrame(rows[:20], "id_completion long, d string, oil double, o long").select("id_completion", F.to_date("d").alias("event_date"), "oil", *[F.lit(0.0).alias(c) for c in intake.VOLUMES[1:]], F.lit("OilField").alias("uom"), F.lit(None).cast("timestamp").alias("emitted_ts"), "o")
+    again = table.change(batch, lambda state, new: intake.absorb(state, new, "o"), writer=f"file://{tmp_path}/cp", number=2)
+    assert again == 3 and table.versions() == [0, 1, 2, 3]  # a batch that is run again changes nothing
     want = {}
     for c, d, oil, o in rows:
         n, top = want.get((c, d), (0, (-1, 0.0)))
