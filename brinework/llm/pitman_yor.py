@@ -234,10 +234,10 @@ class _Server:
         self.known = known
         self.n[self.hot] = [known["hot"][v].get("c", 0) for v in self.hot_names]
 
-    def totals(self, tables: np.ndarray, n: int) -> np.ndarray:
-        """Tables of each context; those of hot ones as they were gathered before round n."""
+    def totals(self, tables: np.ndarray, name: str) -> np.ndarray:
+        """Tables of each context; those of hot ones, which several servers hold, as they were gathered under a name."""
         out = np.bincount(self.context, weights=tables, minlength=len(self.contexts))
-        out[self.hot] = [self.known["hot"][v].get(f"t{n}", 0) for v in self.hot_names]
+        out[self.hot] = [self.known["hot"][v].get(name, 0) for v in self.hot_names]
         return out
 
     def parent(self, told: list[dict], n: int) -> np.ndarray:
@@ -248,23 +248,24 @@ class _Server:
         base = (STRENGTH[1] + k["d1"] * k[f"root{n}"]) / (k["V"] + 1)
         return (customers - k["d1"] * tables + base) / (STRENGTH[1] + k[f"customers{n}"])
 
-    def sweeps(self, told: list[dict], rounds: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """(round, tables of each pair, tables of each context, parent's probabilities) after each sweep."""
+    def sweeps(self, told: list[dict], rounds: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(round, sweep, tables of each pair, parent's probabilities) after each sweep. Parties of a round are seated given the tables
+        that their context had in all before the round, whether one server holds the context or several."""
         d, tables = self.known["d"], np.minimum(self.count, 1)
         some = np.flatnonzero(self.count > 1)
         key = common.mix(self.words[self.word[some]] + self.contexts[self.context[some]] * np.uint64(0xD1B54A32D192ED03))
         for n in range(rounds):
             parent = self.parent(told, n)
+            mass = (STRENGTH[0] + d * self.totals(tables, f"t{n}")[self.context[some]]) * parent[self.word[some]]
             for s in range(SWEEPS):
-                total = self.totals(tables, n)
-                mass = (STRENGTH[0] + d * total[self.context[some]]) * parent[self.word[some]]
                 tables = tables.copy()
                 tables[some] = seat(self.count[some], mass, d, key + np.uint64((n * SWEEPS + s) * 1_000_003))
-                yield n, tables, self.totals(tables, n), parent
+                yield n, s, tables, parent
 
 
 def _sums(known: dict, rounds: int):
-    """(kind, word, n) sums over servers: before any round counts, later the tables of hot contexts."""
+    """(kind, word, n) sums over servers: before any round counts, later the tables of hot contexts, after the last round those of each of
+    its sweeps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[tuple[str, int], int] = {}
@@ -276,7 +277,11 @@ def _sums(known: dict, rounds: int):
             for row in batch.to_pylist():
                 s = _Server(row, known)
                 if rounds:
-                    *_, (_, tables, _, _) = s.sweeps(row["told"], rounds)
+                    for n, sweep, tables, _ in s.sweeps(row["told"], rounds):
+                        if n == rounds - 1 == ROUNDS - 1 and len(s.hot):
+                            seated = np.bincount(s.context, weights=tables, minlength=len(s.contexts))
+                            for v, k in zip(s.hot_names, seated[s.hot], strict=True):
+                                add(f"s{sweep}", v, k)
                 else:
                     tables = np.minimum(s.count, 1)
                     own = np.bincount(s.context, weights=s.count, minlength=len(s.contexts))
@@ -307,7 +312,7 @@ def _sent(known: dict, rounds: int, homes: int):
                 s = _Server(row, known)
                 tables = np.minimum(s.count, 1)
                 if rounds:
-                    *_, (_, tables, _, _) = s.sweeps(row["told"], rounds)
+                    *_, (_, _, tables, _) = s.sweeps(row["told"], rounds)
                 customers = np.bincount(s.word, weights=tables, minlength=len(s.words)).astype(np.uint32)
                 cuts = np.concatenate(([0], np.searchsorted(s.words, edges), [len(s.words)]))
                 out = [{"home": h, "bucket": row["bucket"], "words": _six(s.words[x:y]), "customers": _packed(customers[x:y])} for h, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
@@ -350,8 +355,9 @@ def _answers(known: dict):
             for row in batch.to_pylist():
                 s = _Server(row, known)
                 total = np.zeros(len(s.count))
-                for n, tables, seated, parent in s.sweeps(row["told"], ROUNDS):
+                for n, sweep, tables, parent in s.sweeps(row["told"], ROUNDS):
                     if n == ROUNDS - 1:
+                        seated = s.totals(tables, f"s{sweep}")
                         total += (s.count - known["d"] * tables + (STRENGTH[0] + known["d"] * seated[s.context]) * parent[s.word]) / (STRENGTH[0] + s.n[s.context])
                 score = np.log10(total / SWEEPS).astype(np.float32)
                 for ref in s.refs:
@@ -419,7 +425,7 @@ def document_scores(docs: DataFrame) -> DataFrame:
     def gather(rows: DataFrame, rounds: int) -> dict:
         got = rows.mapInArrow(common.trimmed(_sums(known, rounds)), "kind string, word long, n long").groupBy("kind", "word").agg(F.sum("n").alias("n")).collect()
         for r in got:
-            if r["kind"] in ("c", f"t{rounds}"):
+            if r["kind"] in ("c", f"t{rounds}", *(f"s{k}" for k in range(SWEEPS))):
                 known["hot"][r["word"]][r["kind"]] = r["n"]
         return {r["kind"]: r["n"] for r in got if r["word"] == 0}
 
@@ -439,6 +445,8 @@ def document_scores(docs: DataFrame) -> DataFrame:
             known["d1"] = _discount(sums["one"], sums["two"])
         now = now.select("bucket", "round", "home", "customers", "tables")
         told = now if told is None else told.unionByName(now)
+    if len(hot):
+        gather(_with_told(model, told, "bucket"), ROUNDS)
     answers = _with_told(model, told, "bucket").mapInArrow(common.trimmed(_answers(known)), "batch long, bucket int, scores binary, counts binary")
     shape = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
     return _with_told(slim, answers, "batch").mapInArrow(common.trimmed(_scored(hot, buckets, known)), shape)
