@@ -51,7 +51,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with surrogates for personal data."""
-    return replaced(docs, SURROGATE_KEY).select(*docs.columns)
+    found = "_entities"
+    while found in docs.columns:  # what was found must not stand under a name of documents
+        found += "_"
+    return replaced(docs, SURROGATE_KEY, found).select(*docs.columns)
 
 
 def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
