@@ -26,8 +26,9 @@ from brinework.llm import common
 
 #: Bits of a member array at most; candidates and bucket entries of a shard on average; occurrences that a mapper holds.
 BITS, SHARD, BUCKETS, HELD = 1 << 27, 1 << 17, 1 << 21, 1 << 21
-#: Packed rows that one mapper adds up, arrays that one sum takes, and requests that one task answers.
-ROWS, FAN, ASKED = 64, 32, 1 << 16
+#: Packed rows that one mapper adds up, arrays that one sum takes, requests that one task answers, and places
+#: to which a shard's requests are dealt before.
+ROWS, FAN, ASKED, SALTS = 64, 32, 1 << 14, 64
 #: Bits of a bucket's name.
 BUCKET_BITS = 32
 
@@ -532,7 +533,10 @@ def with_cuts(phrases: DataFrame, slots: DataFrame, shards: int) -> DataFrame:
     asked = phrases.select("h1", "h2", "h3", "a", F.explode(parts).alias("p")).select("h1", "h2", "h3", "a", "p.*")
     asked = common.written(asked.mapInArrow(_shard_of(shards), "h1 long, h2 long, h3 long, a long, which int, p1 long, p2 long, p3 long, shard long"), "asked-parts")
     sizes = asked.groupBy("shard").agg(F.ceil(F.count("*") / ASKED).alias("parts"))
-    rows = asked.join(sizes, "shard").withColumn("part", F.pmod(F.xxhash64("h1", "h2", "h3"), "parts")).drop("parts").withColumn("first", F.lit(1))
+    # shards may be few, and each meets its number of parts in SALTS places
+    salted = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = asked.withColumn("salt", F.pmod(F.xxhash64("h3", "h2", "h1"), F.lit(SALTS)).cast("int")).join(salted, ["shard", "salt"])
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("h1", "h2", "h3"), "parts")).drop("parts", "salt").withColumn("first", F.lit(1))
     copies = slots.join(sizes, "shard").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts").withColumn("first", F.lit(0))
     x = copies.unionByName(rows, allowMissingColumns=True).repartition(common.partitions(spark), "shard", "part").sortWithinPartitions("shard", "part", "first")
     got = x.mapInArrow(common.trimmed(_answers), "h1 long, h2 long, h3 long, a long, which int, f long")
