@@ -163,7 +163,7 @@ def hard_negatives(vectors: DataFrame, asks: Column, positives: int = 5, negativ
 
     Rows with a null label, a null vector or a null or non-finite component take no part; vectors of different lengths do not meet. Repeated rows
     each ask and each may be found; a row leaves out only itself. A null vec_id comes last among ties. Scores beyond 64 bits
-    are compared exactly up to 38 digits, and returned as the nearest long. An anchor without positives or negatives has no rows.
+    are compared exactly up to 34 digits, and returned as the nearest long. An anchor without positives or negatives has no rows.
     """
     rows = tiles.integer_rows(vectors, asks, F.col("label"))
     spark, scale = rows.sparkSession, tiles.Scale(rows)

@@ -98,7 +98,7 @@ def top_k(vectors: DataFrame, asks: Column, k: int = 5, pivots: int = PIVOTS, sa
 
     Rows whose vector is null or holds null or non-finite components take no part; zero vectors do. Vectors of different lengths
     do not meet, empty ones score 0 with each other. Repeated rows each ask and each may be found; a row leaves out only itself. A null
-    vec_id comes last among ties. Scores beyond 64 bits are compared exactly up to 38 digits, and returned as the nearest long.
+    vec_id comes last among ties. Scores beyond 64 bits are compared exactly up to 34 digits, and returned as the nearest long.
     """
     rows = tiles.integer_rows(vectors, asks)
     spark, scale = rows.sparkSession, tiles.Scale(rows)

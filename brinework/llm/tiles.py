@@ -27,7 +27,8 @@ MANY = 64
 WIDE = 136
 #: Relative error that bounds in floating point are allowed.
 SLACK = 1e-9
-_MOST = 10**38 - 1
+#: Scores beyond 64 bits are kept to so many: Spark's decimals change their sign exactly up to 34 digits.
+_MOST = 10**34 - 1
 
 
 def _packed(x: np.ndarray) -> list[bytes]:
@@ -364,7 +365,7 @@ def wanted(queries: DataFrame, scale: Scale, mode: str, low: int, high: int) ->
     """(qb, want_lo, want_hi): the scores, in units, that any query of the group may still want."""
     slack = SLACK * max(1, scale.dim)
     if mode == "top":
-        lo = scale.scaled(F.coalesce(F.col("lows")[0].cast("double"), F.lit(float("-inf"))))
+        lo = F.coalesce(scale.scaled(F.col("lows")[0]), F.lit(float("-inf")))
         hi = F.lit(float("inf"))
     else:
         at = F.transform("marks", lambda p, i: F.greatest(p.cast("double") * low / 100, F.coalesce(F.get("lows", i).cast("double"), F.lit(float("-inf")))) - 1)
