@@ -264,7 +264,7 @@ class Search:
         self.compared += len(on) * len(c)
         s = product(self.x[on], c)
         if self.scale.wide:
-            s = s.astype(object)
+            s = np.maximum(np.minimum(s.astype(object), _MOST), -_MOST)
         label, id_ = t.column("label").to_numpy(), t.column("id")
         nul = np.array([v is None for v in id_.to_pylist()]) if id_.null_count else np.zeros(len(c), bool)
         id_, cls = id_.fill_null(2**63 - 1).to_numpy(), np.array(t.column("cls").to_pylist(), object)
