@@ -1,4 +1,4 @@
-"""Vector retrieval: exact cosine search with a floor, and its evaluation against relevance labels."""
+"""Vector retrieval: exact cosine search with a floor over an index of pivot distances, and its evaluation against relevance labels."""
 
 from __future__ import annotations
 
@@ -9,64 +9,196 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries that go to all tasks together; more take a pass over the vectors for each block.
-QUERY_BLOCK = 1000
+from brinework.sources.store import written
+
+#: Pivots, rows of the sample that they come from, rows of a block, queries of a group.
+PIVOTS, SAMPLE, BLOCK, GROUP = 32, 2048, 1024, 256
+#: Similarities are told apart to so many places, as their last bits hang on what is multiplied together.
+PLACES = 12
+
+
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, kind, dim, unit) of the rows whose vector has a direction: no null, odd or only zero components."""
+    for batch in batches:
+        ids, kinds, dims, units = [], [], [], []
+        for i, v, kind in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+            if not v.is_valid or not len(v.values) or v.values.null_count:
+                continue
+            x = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
+            big = np.abs(x).max()
+            if np.isfinite(big) and big > 0:
+                x = x / big
+                ids.append(i)
+                kinds.append(kind)
+                dims.append(len(x))
+                units.append((x / np.sqrt(x @ x)).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kinds, pa.string()), pa.array(dims, pa.int32()), pa.array(units, pa.binary())], names=["id", "kind", "dim", "unit"])
+
+
+def _from_pivots(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Distances of rows from the pivots, which are cut, or filled with zeros, to their length."""
+    p = np.zeros((len(pivots), x.shape[1]))
+    n = min(p.shape[1], pivots.shape[1])
+    p[:, :n] = pivots[:, :n]
+    return np.sqrt(np.maximum(0.0, (x * x).sum(axis=1)[:, None] + (p * p).sum(axis=1)[None, :] - 2 * x @ p.T))
+
+
+def _keyed(pivots: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims, units = batch.column("dim").to_numpy(), batch.column("unit").to_pylist()
+            pivot, dist = np.zeros(len(dims), np.int32), np.zeros(len(dims))
+            for dim in np.unique(dims).tolist():
+                at = np.flatnonzero(dims == dim)
+                d = _from_pivots(np.frombuffer(b"".join([units[i] for i in at])).reshape(-1, dim), pivots)
+                pivot[at], dist[at] = d.argmin(axis=1), d.min(axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pivot), pa.array(dist)], names=[*batch.schema.names, "pivot", "dist"])
+
+    return run
+
+
+_PACK = "name string, kind string, dim int, pivot int, d0 double, d1 double, ids array<long>, units binary, dists array<struct<pivot: int, d0: double, d1: double>>"
+
+
+def _packed(size: int, keys: list[str], pivots: np.ndarray):
+    """Consecutive rows with equal keys as one row, `size` at most, with the least and greatest distance from the nearest pivot of the
+    first one and from every pivot."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, number = TaskContext.get().partitionId(), 0
+        held: list[dict] = []
+
+        def out() -> pa.RecordBatch:
+            dim = held[0]["dim"]
+            d = _from_pivots(np.frombuffer(b"".join([r["unit"] for r in held])).reshape(-1, dim), pivots)
+            each = [{"pivot": k, "d0": a, "d1": b} for k, (a, b) in enumerate(zip(d.min(axis=0).tolist(), d.max(axis=0).tolist(), strict=True))]
+            own = each[held[0]["pivot"]]
+            row = {"name": f"{part}/{number}", "kind": held[0]["kind"], "dim": dim, "pivot": own["pivot"], "d0": own["d0"], "d1": own["d1"], "ids": [r["id"] for r in held], "units": b"".join([r["unit"] for r in held]), "dists": each}
+            return pa.RecordBatch.from_pylist([row], schema=_PACK_SCHEMA)
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if held and (len(held) == size or any(row[k] != held[0][k] for k in keys)):
+                    yield out()
+                    held, number = [], number + 1
+                held.append(row)
+        if held:
+            yield out()
 
-def _unit(x: np.ndarray) -> np.ndarray:
-    """Rows divided by their lengths; NaN for rows without one."""
-    with np.errstate(invalid="ignore", divide="ignore"):
-        return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return run
 
 
-def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    """Vectors as rows of doubles; NaN for null ones, those of another length and those with nulls."""
-    out = np.full((len(column), width), np.nan)
-    for i, v in enumerate(column):
-        if v.is_valid and len(v.values) == width and not v.values.null_count:
-            out[i] = v.values.to_numpy(zero_copy_only=False)
-    return out
+_PACK_SCHEMA = pa.schema([
+    ("name", pa.string()), ("kind", pa.string()), ("dim", pa.int32()), ("pivot", pa.int32()), ("d0", pa.float64()), ("d1", pa.float64()), ("ids", pa.list_(pa.int64())), ("units", pa.binary()),
+    ("dists", pa.list_(pa.struct([("pivot", pa.int32()), ("d0", pa.float64()), ("d1", pa.float64())]))),
+])
+_FOUND = "query_id long, vec_id long, similarity double, compared long"
 
 
-def _nearest(queries: np.ndarray, names: list, k: int, floor: float):
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("similarity", pa.float64())])
+def _compared(k: int, floor: float, pivots: np.ndarray):
+    """Of rows with a group of queries (q_...) and a block (b_...): each query's k nearest in the block that reach the floor and what it
+    has already, and one row that counts the pairs that were compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            near = queries @ _unit(_matrix(batch.column(1), queries.shape[1])).T
-            out = []
-            for q, row in enumerate(near):
-                on = np.flatnonzero(row >= floor)
-                if len(on) > k:  # the k nearest of the batch; ties with the last are ranked by name below
-                    on = on[row[on] >= np.partition(row[on], len(on) - k)[len(on) - k]]
-                    on = on[np.lexsort((ids[on], -row[on]))][:k]
-                out.append((np.full(len(on), names[q], np.int64), ids[on], row[on]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], schema=schema)
+            for row in batch.to_pylist():
+                q, b = (np.frombuffer(row[f"{s}_units"]).reshape(-1, row["dim"]) for s in "qb")
+                least = np.array([max(floor, known.get(i, -2.0)) for known in [dict(row["known"] or [])] for i in row["q_ids"]])
+                d = _from_pivots(q, pivots[row["pivot"] : row["pivot"] + 1])[:, 0]
+                apart = np.maximum(0.0, np.maximum(d - row["d1"], row["d0"] - d) - 1e-6)
+                on = np.flatnonzero(1 - apart * apart / 2 >= least - 1e-9)  # the others' triangle leaves nothing near enough
+                ids, out = np.array(row["b_ids"], np.int64), []
+                near = np.round(q[on] @ b.T, PLACES)
+                for i, line in zip(on.tolist(), near, strict=True):
+                    hit = np.flatnonzero(line >= round(least[i], PLACES))
+                    hit = hit[np.lexsort((ids[hit], -line[hit]))][:k]
+                    out += [(row["q_ids"][i], v, s, None) for v, s in zip(ids[hit].tolist(), line[hit].tolist(), strict=True)]
+                out.append((None, None, None, len(on) * len(ids)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True)], names=["query_id", "vec_id", "similarity", "compared"])
 
     return run
 
 
+def _means(x: np.ndarray, n: int) -> np.ndarray:
+    """Up to n rows of x that are far from each other."""
+    if not len(x):
+        return np.zeros((1, max(1, x.shape[1])))
+    picked, far = [0], ((x - x[0]) ** 2).sum(axis=1)
+    while len(picked) < min(n, len(x)) and far.max() > 1e-12:
+        picked.append(int(far.argmax()))
+        far = np.minimum(far, ((x - x[picked[-1]]) ** 2).sum(axis=1))
+    return x[picked]
+
+
+class Index:
+    """Unit vectors in blocks of one kind, one nearest pivot and about one distance from it, stored. Pivots are chosen from a sample by
+    hash and far from each other; they decide how much a search compares, never what it finds."""
+
+    def __init__(self, vectors: DataFrame, pivots: int = PIVOTS):
+        """vectors: vec_id, embedding and, if documents are of kinds, doc_kind."""
+        spark = vectors.sparkSession
+        kind = F.col("doc_kind").cast("string") if "doc_kind" in vectors.columns else F.lit(None).cast("string")
+        rows = written(vectors.select(F.col("vec_id").cast("long"), "embedding", kind).mapInArrow(_units, "id long, kind string, dim int, unit binary"), "units")
+        some = rows.select("dim", "unit").dropDuplicates(["unit"]).orderBy(F.xxhash64("unit"), "unit").limit(SAMPLE).collect()
+        x = np.zeros((len(some), max((r.dim for r in some), default=1)))
+        for i, r in enumerate(some):
+            x[i, : r.dim] = np.frombuffer(bytes(r.unit))
+        self.pivots, self.rows, self.spark = _means(x, pivots), rows, spark
+        self.blocks = written(self._sorted(rows, int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(_packed(BLOCK, ["dim", "kind", "pivot"], self.pivots), _PACK).drop("dists"), "vector-blocks")
+
+    def _sorted(self, rows: DataFrame, parts: int) -> DataFrame:
+        keyed = rows.mapInArrow(_keyed(self.pivots), "id long, kind string, dim int, unit binary, pivot int, dist double")
+        order = ["dim", "kind", "pivot", "dist", "id"]
+        return keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+
+    def search(self, queries: DataFrame, k: int = 3, floor: float = 0.0) -> tuple[DataFrame, DataFrame]:
+        """(query_id, vec_id, similarity, rank) of queries (query_id, query and, to ask documents of one kind alone, doc_kind; null asks
+        all), and one row with the number of pairs that were compared. Groups of queries first meet the blocks that may hold the
+        nearest vectors, then those that can still hold nearer ones than were found."""
+        kind = F.col("doc_kind").cast("string") if "doc_kind" in queries.columns else F.lit(None).cast("string")
+        asked = written(queries.select(F.col("query_id").cast("long"), "query", kind).mapInArrow(_units, "id long, kind string, dim int, unit binary"), "queries")
+        groups = written(self._sorted(asked, max(1, -(-asked.count() // GROUP))).mapInArrow(_packed(GROUP, ["dim", "kind"], self.pivots), _PACK), "query-groups")
+        each = groups.select(F.col("name").alias("group"), "dim", F.col("kind").alias("q_kind"), F.inline("dists")).withColumnsRenamed({"d0": "q0", "d1": "q1"})
+        x = each.join(self.blocks.select(F.col("name").alias("block"), "dim", F.col("kind").alias("b_kind"), "pivot", "d0", "d1"), ["dim", "pivot"]).where("q_kind is null or q_kind = b_kind")
+        apart = F.greatest(F.lit(0.0), F.col("q0") - F.col("d1") - 1e-6, F.col("d0") - F.col("q1") - 1e-6)
+        x = x.withColumn("most", 1 - apart * apart / 2).where(F.col("most") >= floor - 1e-9)
+        # the first sixteenth of a group's blocks, by what they may hold and then by how near their pivot is
+        hope = x.withColumn("hope", F.col("most") - (F.col("q0") + F.col("d0")) / 64)
+        cut = hope.groupBy("group").agg(F.percentile_approx("hope", F.lit(15 / 16), 1000).alias("cut"))
+        pairs = written(hope.join(cut, "group").select("group", "block", "most", (F.col("hope") >= F.col("cut")).alias("early")), "block-pairs")
+        found = None
+        for early in (True, False):
+            now = pairs.where("early" if early else "not early")
+            asks = groups.select(F.col("name").alias("group"), "dim", F.col("ids").alias("q_ids"), F.col("units").alias("q_units"))
+            if found is None:
+                asks = asks.withColumn("known", F.lit(None).cast("map<bigint, double>"))
+            else:
+                full = found.where("rank is not null").groupBy("query_id").agg(F.when(F.count("*") == k, F.min("similarity")).otherwise(floor).alias("least"))
+                member = groups.select(F.col("name").alias("group"), F.explode("ids").alias("query_id")).join(full, "query_id", "left")
+                known = member.groupBy("group").agg(F.map_from_entries(F.collect_set(F.when(F.col("least").isNotNull(), F.struct("query_id", "least")))).alias("known"), F.min(F.coalesce("least", F.lit(floor))).alias("worst"))
+                known = written(known, "known")
+                asks = asks.join(known.drop("worst"), "group")
+                now = now.join(known.drop("known"), "group").where("most >= worst - 1e-9")
+            met = now.select("group", "block").join(asks, "group").join(self.blocks.select(F.col("name").alias("block"), "pivot", "d0", "d1", F.col("ids").alias("b_ids"), F.col("units").alias("b_units")), "block")
+            got = met.select("dim", "q_ids", "q_units", "known", "pivot", "d0", "d1", "b_ids", "b_units").mapInArrow(_compared(k, floor, self.pivots), _FOUND)
+            if found is not None:
+                got = got.unionByName(found.drop("rank"))
+            by = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "vec_id")
+            got = written(got, "found")
+            best = got.where("query_id is not null").withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+            counted = got.where("query_id is null").agg(F.coalesce(F.sum("compared"), F.lit(0)).alias("compared"))
+            found = written(best.unionByName(counted.select(*[F.lit(None).cast(t).alias(c) for c, t in (("query_id", "long"), ("vec_id", "long"), ("similarity", "double"))], "compared", F.lit(None).cast("int").alias("rank"))), "found")
+        return found.where("rank is not null").drop("compared"), found.where("rank is null").select("compared")
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 3, floor: float = 0.0) -> DataFrame:
-    """(query_id, vec_id, similarity, rank): for each query (query_id, query) the k vectors of cosine at least floor that are
-    nearest (ties: the smaller vec_id); none where nothing is near enough. Vectors keep their partitions: each block of queries
-    is sent to all of them as one matrix, and only a batch's k nearest reach the ranking. Null, zero and odd-length vectors and
-    queries find nothing."""
-    schema = "query_id long, vec_id long, similarity double"
-    blocks = -(-queries.count() // QUERY_BLOCK)
-    out = None
-    for b in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).where("query is not null").collect()  # one block of a stated query set
-        for width in sorted({len(r["query"]) for r in rows}):
-            some = [r for r in rows if len(r["query"]) == width]
-            matrix = _unit(np.array([r["query"] for r in some], float).reshape(len(some), width))
-            found = vectors.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(_nearest(matrix, [r["query_id"] for r in some], k, floor), schema)
-            out = found if out is None else out.unionByName(found)
-    if out is None:
-        out = vectors.sparkSession.createDataFrame([], schema)
-    by = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "vec_id")
-    return out.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+    """(query_id, vec_id, similarity, rank): for each query (query_id, query) the k vectors (vec_id, embedding) of cosine at least floor
+    that are nearest (ties: the smaller vec_id); none where nothing is near enough. With a doc_kind on both sides, a query with one
+    finds only vectors of that kind. Null, zero and odd vectors and queries find nothing, nor do those of different lengths
+    meet. Queries of one id are one query, which must have one vector. The plan is one, however many queries there are."""
+    return Index(vectors).search(queries, k, floor)[0]
 
 
 def retrieval_quality(found: DataFrame, relevant: DataFrame, k: int = 3) -> DataFrame:

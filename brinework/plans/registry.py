@@ -778,6 +778,17 @@ def _(spark, sf_dir):
     return found.select("query_id", "vec_id", r4("similarity"), "rank")
 
 
+@query("t18_search_by_kind", f"""with e as (select vec_id, embedding, case when label < 6 then 'reservoir' when label < 9 then 'app_help' end doc_kind from embeddings), q as (select vec_id query_id, embedding query, case when vec_id % 100 = 0 then 'reservoir' when vec_id % 150 = 0 then 'app_help' end asked from e where vec_id % 50 = 0),
+p as (select query_id, vec_id, list_cosine_similarity(cast(query as double[]), cast(embedding as double[])) s from e cross join q where asked is null or asked = doc_kind)
+select query_id, vec_id, {d4('s', 'similarity')}, rank from (select *, cast(row_number() over (partition by query_id order by s desc, vec_id) as int) as rank from p where s >= 0.1) where rank <= 5""")
+def _(spark, sf_dir):
+    kind = F.when(F.col("label") < 6, "reservoir").when(F.col("label") < 9, "app_help")
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").withColumn("doc_kind", kind)
+    asked = F.when(F.col("query_id") % 100 == 0, "reservoir").when(F.col("query_id") % 150 == 0, "app_help")
+    queries = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")).withColumn("doc_kind", asked)
+    return search.search(vectors, queries, 5, 0.1).select("query_id", "vec_id", r4("similarity"), "rank")
+
+
 _RETRIEVED = f"""with q as (select vec_id query_id, embedding query, label from embeddings where vec_id % 50 = 0),
 p as (select query_id, vec_id, row_number() over (partition by query_id order by list_cosine_similarity(cast(query as double[]), cast(embedding as double[])) desc, vec_id) rank from embeddings cross join q),
 r as (select q.query_id, e.vec_id from q join embeddings e on e.label = q.label and e.vec_id <> q.query_id),

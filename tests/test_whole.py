@@ -28,9 +28,31 @@ def neighbours(x, q, k, floor):
     return sorted(((i, s) for i, s in enumerate(near) if s >= floor), key=lambda r: (-round(r[1], 12), r[0]))[:k]
 
 
+def test_kinds_ties_and_odd_vectors(spark, monkeypatch):
+    monkeypatch.setattr(search, "BLOCK", 8)
+    monkeypatch.setattr(search, "GROUP", 3)
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=(6, 12))[rng.integers(0, 6, 250)] + 0.05 * rng.normal(size=(250, 12)), np.repeat(rng.normal(size=(1, 12)), 30, axis=0)])
+    kinds = [["a", "b", None][i % 3] for i in range(len(x))]
+    rows = [(i, v.tolist(), kinds[i]) for i, v in enumerate(x)] + [(900, None, "a"), (901, [0.0] * 12, "a"), (902, [float("nan")] * 12, "a"), (903, [None] * 12, "a"), (904, [1.0, 2.0], "a"), (905, [], "b")]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, doc_kind string")
+    asked = [(i, x[i].tolist(), k) for i, k in ((0, None), (3, "a"), (4, "b"), (260, None), (261, "a"), (7, "none"), (100, "b"))] + [(800, [0.0] * 12, None), (801, None, None), (802, [2.0, 4.0], None)]
+    queries = spark.createDataFrame(asked, "query_id long, query array<double>, doc_kind string")
+    found, counted = search.Index(vectors, pivots=6).search(queries, 4, 0.3)
+    want = {}
+    for q, _, kind in asked[:7]:
+        near = x @ x[q] / np.linalg.norm(x, axis=1) / np.linalg.norm(x[q])
+        hits = sorted((-round(s, 12), i) for i, s in enumerate(near) if s >= 0.3 and kind in (None, kinds[i]))[:4]
+        want |= {(q, n): i for n, (_, i) in enumerate(hits, 1)}
+    assert {(r.query_id, r.rank): r.vec_id for r in found.collect()} == want | {(802, 1): 904}
+    assert 0 < counted.first()[0] < 0.7 * 7 * len(x)  # far clusters are not compared
+    assert search.search(vectors.where("false"), queries).count() == 0 and search.search(vectors, queries.where("false")).count() == 0
+
+
 @pytest.mark.parametrize("block", [2, 1000])
 def test_every_50th_vector_is_asked(spark, tmp_path, monkeypatch, block):
-    monkeypatch.setattr(search, "QUERY_BLOCK", block)
+    monkeypatch.setattr(search, "GROUP", block)
+    monkeypatch.setattr(search, "BLOCK", 10 * block)
     rng = np.random.default_rng(3)
     x = rng.normal(size=(320, 8)).astype(np.float32).astype(float)
     x[7], x[201] = x[50], x[50]  # ties
