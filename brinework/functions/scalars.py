@@ -45,3 +45,9 @@ def hex_id(*parts: Column) -> Column:
 
 def is_hex_id(x: Column) -> Column:
     return F.coalesce(x.rlike("^[0-9A-F]{16}$"), F.lit(False))
+
+
+def json_or_marker(value: Column, limit: int = 100_000) -> Column:
+    """The value as JSON; where that is longer than limit, a marker with its length in its place."""
+    text = F.to_json(value)
+    return F.when(F.length(text) > limit, F.to_json(F.struct(F.lit(True).alias("truncated"), F.length(text).alias("chars")))).otherwise(text)

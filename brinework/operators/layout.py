@@ -47,3 +47,19 @@ def placed(completions: DataFrame, n_patterns: DataFrame) -> DataFrame:
         "x": F.round(radius * F.sin(angle), 2), "y": F.round(-radius * F.cos(angle), 2), "size": F.round(0.45 + 0.55 * F.sqrt(share), 3),
         "shared": F.coalesce("n_patterns", F.lit(1)) > 1, "low_confidence": F.contains(F.coalesce("pvt_methods", F.lit("")), F.lit("extrapolated")),
     })
+
+
+def drawing(nodes: DataFrame) -> DataFrame:
+    """A row for each pattern month of placed completions: geometry, counts, the radius of the hub from which sweep lines start, one line to
+    each producer (which injector feeds it is not known), the shared and doubtful completions, and a caption that says the counts."""
+    c = F.col
+    name = F.coalesce(c("completion_name"), c("id_completion").cast("string"))
+    line = F.when(c("role") == "producer", F.struct(c("ring"), c("id_completion").alias("to"), c("factor"), F.coalesce("share_of_production", F.lit(0.0)).alias("share_of_production")))
+    names = lambda flag: F.array_sort(F.collect_list(F.when(c(flag), name)))
+    x = nodes.groupBy("id_pattern", "vrr_date").agg(
+        F.max("geometry").alias("geometry"), *[F.max(f"n_{r}").alias(f"n_{r}") for r in ("injector", "producer", "idle")], F.round(F.max("hub") * HALF_WIDTH, 2).alias("hub_radius"),
+        F.array_sort(F.collect_list(line)).alias("links"), names("shared").alias("shared"), names("low_confidence").alias("low_confidence"),
+    )
+    said = [F.concat(c(f"n_{r}").cast("string"), F.lit(f" {r}"), F.when(c(f"n_{r}") == 1, "").otherwise("s")) for r in ("injector", "producer")]
+    idle = F.when(c("n_idle") > 0, F.concat(F.lit(", "), c("n_idle").cast("string"), F.lit(" idle"))).otherwise("")
+    return x.withColumn("caption", F.concat(F.regexp_replace("geometry", "_", " "), F.lit(": "), said[0], F.lit(", "), said[1], idle, F.lit("; a scheme, not a map")))

@@ -77,6 +77,44 @@ def lineage(contrib: DataFrame) -> DataFrame:
     )
 
 
+# What each term is the product of.
+FORMULAS = {
+    "oil_res": "factor x oil x bo", "water_res": "factor x water x bw", "free_gas_res": "factor x (gas x 1000 - rs x oil) x bg, of producers with oil", "water_inj_res": "factor x water_inj x bw_inj",
+    "gas_inj_res": "factor x gas_inj x 1000 x bg_inj", "vrr": "injected reservoir volume / produced reservoir volume, 0 without production",
+}
+_VOLUMES, _TERMS = ["oil", "water", "gas", "water_inj", "gas_inj"], ["oil_res", "water_res", "free_gas_res", "water_inj_res", "gas_inj_res"]
+
+
+def lineage_rows(contrib: DataFrame) -> DataFrame:
+    """What each completion gave to a pattern month: days, pressures, fluid property methods, mean factor, volumes and reservoir terms."""
+    sums = [F.sum(F.coalesce(c, F.lit(0.0))).alias(c) for c in (*_VOLUMES, *_TERMS)]
+    return contrib.groupBy("id_pattern", F.trunc("vrr_date", "MM").alias("vrr_date"), "id_completion").agg(
+        F.count("*").alias("n_days"), F.min("pressure").alias("min_pressure"), F.max("pressure").alias("max_pressure"), F.array_join(F.array_sort(F.collect_set("pvt_method")), ",").alias("pvt_methods"), F.avg("factor").alias("factor"), *sums,
+    )
+
+
+def lineage_detail(contrib: DataFrame, monthly: DataFrame) -> DataFrame:
+    """A row for each pattern month: what is stored (stored_vrr), the totals of the terms and volumes, the ratio recomputed from them (null
+    without production), the allocation (number, least, most, mean weighted by reservoir volume), the rows of its completions in order, and
+    the formulas."""
+    rows = lineage_rows(contrib)
+    names = ["id_completion", "n_days", "min_pressure", "max_pressure", "pvt_methods", "factor", *_VOLUMES, *_TERMS]
+    size = sum((F.col(t) for t in _TERMS[1:]), F.col(_TERMS[0]))
+    x = rows.groupBy("id_pattern", "vrr_date").agg(
+        *[F.sum(c).alias(c) for c in (*_VOLUMES, *_TERMS)], F.count("factor").alias("n_factors"), F.min("factor").alias("min_factor"), F.max("factor").alias("max_factor"),
+        (F.sum(F.col("factor") * size) / F.nullif(F.sum(size), F.lit(0.0))).alias("weighted_factor"), F.array_sort(F.collect_list(F.struct(*names))).alias("completions"),
+    )
+    x = x.withColumn("prod_res", F.col("oil_res") + F.col("water_res") + F.col("free_gas_res")).withColumn("inj_res", F.col("water_inj_res") + F.col("gas_inj_res"))
+    x = x.withColumn("recomputed_vrr", F.col("inj_res") / F.nullif(F.col("prod_res"), F.lit(0.0))).withColumn("formulas", F.create_map(*[F.lit(v) for kv in FORMULAS.items() for v in kv]))
+    return x.join(monthly.select("id_pattern", "vrr_date", "pattern_name", F.col("vrr").alias("stored_vrr")), ["id_pattern", "vrr_date"], "left")
+
+
+def one_month(monthly: DataFrame, date: str, patterns: list | None = None) -> DataFrame:
+    """The rows of one month, of all patterns or of those named."""
+    out = monthly.where(F.col("vrr_date") == F.lit(date).cast("date"))
+    return out.where(F.col("id_pattern").isin(patterns)) if patterns is not None else out
+
+
 def audit(monthly: DataFrame, recomputed: DataFrame, tolerance: float = 1e-6) -> DataFrame:
     """Stored ratios beside those from an independent run over the raw tables; matches is false where either is undefined."""
     again = recomputed.select("id_pattern", "vrr_date", (F.col("inj_res") / F.nullif(F.col("prod_res"), F.lit(0.0))).alias("recomputed_vrr"))

@@ -313,6 +313,29 @@ def _(field):
     return x.select("id_pattern", "vrr_date", "n_completions", *map(r4, ["min_factor", "max_factor", "weighted_factor", "vrr"]))
 
 
+_ROLLED = f"""{MONTHLY}, rolled as (select id_pattern, cast(date_trunc('month', vrr_date) as date) vrr_date, id_completion, count(*) n_days, min(pressure) min_pressure, max(pressure) max_pressure, string_agg(distinct pvt_method, ',' order by pvt_method) pvt_methods, avg(factor) factor,
+ {', '.join(f'sum(coalesce({c}, 0)) {c}' for c in build.VOLUME_COLUMNS + build.TERMS)} from contrib group by all)"""
+
+
+@query("t10_lineage_rows", f"with {_ROLLED} select id_pattern, vrr_date, id_completion, n_days, min_pressure, max_pressure, pvt_methods, {', '.join(d4(c, c) for c in ['factor', *build.VOLUME_COLUMNS, *build.TERMS])} from rolled")
+def _(field):
+    x = tools.lineage_rows(contrib_of(field))
+    return x.select("id_pattern", "vrr_date", "id_completion", "n_days", "min_pressure", "max_pressure", "pvt_methods", *map(r4, ["factor", *build.VOLUME_COLUMNS, *build.TERMS]))
+
+
+@query("t10_lineage_detail", f"""with {_ROLLED}, t as (select id_pattern, vrr_date, {', '.join(f'sum({c}) {c}' for c in build.TERMS)}, count(factor) n_factors, sum(factor * ({' + '.join(build.TERMS)})) / nullif(sum({' + '.join(build.TERMS)}), 0) weighted, string_agg(cast(id_completion as varchar), ',' order by id_completion) ids from rolled group by all)
+select t.id_pattern, t.vrr_date, {', '.join(d4(f't.{c}', c) for c in build.TERMS)}, n_factors, {d4('weighted', 'weighted_factor')}, ids completions, {d4('(t.water_inj_res + t.gas_inj_res) / nullif(t.oil_res + t.water_res + t.free_gas_res, 0)', 'recomputed_vrr')}, {d4('m.vrr', 'stored_vrr')} from t left join monthly m using (id_pattern, vrr_date)""")
+def _(field):
+    x = tools.lineage_detail(contrib_of(field), monthly_of(field))
+    ids = F.array_join(F.transform("completions", lambda c: c["id_completion"].cast("string")), ",").alias("completions")
+    return x.select("id_pattern", "vrr_date", *map(r4, build.TERMS), "n_factors", r4("weighted_factor"), ids, r4("recomputed_vrr"), r4("stored_vrr"))
+
+
+@query("t05_one_month", f"with {MONTHLY} select id_pattern, pattern_name, vrr_date, {d4('vrr', 'vrr')}, any_extrapolated from monthly where vrr_date = date '1996-06-01'")
+def _(field):
+    return tools.one_month(monthly_of(field), "1996-06-01").select("id_pattern", "pattern_name", "vrr_date", r4("vrr"), "any_extrapolated")
+
+
 @query("t11_audit", f"""with {MONTHLY}, a as (select id_pattern, vrr_date, vrr stored_vrr, inj_res / nullif(prod_res, 0) recomputed_vrr from monthly)
 select id_pattern, vrr_date, {d4('stored_vrr', 'stored_vrr')}, {d4('recomputed_vrr', 'recomputed_vrr')}, coalesce(abs(recomputed_vrr - stored_vrr) <= 1e-6, false) matches from a""")
 def _(field):
@@ -618,6 +641,20 @@ def _(field):
     return layout.placed(named, others).select("id_pattern", "vrr_date", "id_completion", "role", "geometry", "shared", "low_confidence")
 
 
+@query("t09_layout_drawing", f"""with {_COMPLETIONS}, roles as (select *, case when inj_res > prod_res then 'injector' when prod_res > 0 then 'producer' else 'idle' end as role from comp), o as ({_OTHERS}),
+n as (select id_pattern, vrr_date, count(*) filter (where role = 'injector') i, count(*) filter (where role = 'producer') p, count(*) filter (where role = 'idle') d, max(case when role = 'injector' then least(14, length(cast(id_completion as varchar))) else 0 end) longest,
+ count(*) filter (where role = 'producer') n_links, string_agg(case when o.n_patterns > 1 then cast(id_completion as varchar) end, ',' order by cast(id_completion as varchar)) shared, sum(case when role = 'producer' then round(greatest(0, least(1, factor)), 4) end) total from roles join o using (id_completion) group by id_pattern, vrr_date),
+g as (select *, case when i = 0 then 'no injector' when i > 1 then 'multi injector' else case p when 2 then 'line drive' when 3 then 'triangular' when 4 then 'five spot' when 6 then 'seven spot' when 8 then 'nine spot' else 'irregular' end end geometry from n)
+select id_pattern, vrr_date, n_links, {d4('total', 'factors')}, round(100 * case when i <= 1 then 0 else greatest(0.17 + 0.085 * (i - 1), (greatest(longest * 5.1, 14 * 4.9) + 6) / (2 * sin(3.141592653589793 / i)) / 100) end, 2) + 0.0 hub_radius, coalesce(shared, '') shared,
+ geometry || ': ' || i || ' injector' || case when i = 1 then '' else 's' end || ', ' || p || ' producer' || case when p = 1 then '' else 's' end || case when d > 0 then ', ' || d || ' idle' else '' end || '; a scheme, not a map' caption from g""")
+def _(field):
+    contrib = contrib_of(field)
+    others = contrib.groupBy("id_completion").agg(F.countDistinct("id_pattern").alias("n_patterns"))
+    x = layout.drawing(layout.placed(tools.completions(contrib).withColumn("completion_name", F.col("id_completion").cast("string")), others))
+    total = F.when(F.size("links") > 0, F.aggregate("links", F.lit(0.0), lambda s, v: s + v["factor"]))
+    return x.withColumn("factors", total).select("id_pattern", "vrr_date", F.size("links").cast("long").alias("n_links"), r4("factors"), "hub_radius", F.array_join("shared", ",").alias("shared"), "caption")
+
+
 @query("t13_pattern_context", f"""with {as_ctes(['pattern', 'targets', 'memory', 'limits', 'adjustments']).replace(" as string", " as varchar")},
 a as (select id_pattern, string_agg(cast(action_id as varchar), ',' order by ts desc, action_id desc) actions from (select *, row_number() over (partition by id_pattern order by ts desc, action_id desc) n from adjustments) where n <= 20 group by id_pattern)
 select p.id_pattern, coalesce(target_vrr, 1.0) target_vrr, response_factor, (select min(max_inj_rate_change_pct) from limits) max_change, actions from pattern p left join targets using (id_pattern) left join memory using (id_pattern) left join a using (id_pattern)""")
@@ -734,6 +771,12 @@ def _(spark, sf_dir):
     return text.chunked(_documents(spark, sf_dir), "recursive")
 
 
+@query("k02_semantic_chunks")
+def _(spark, sf_dir):
+    embed = lambda sentences: sentences.withColumn("embedding", text.letter_counts(F.col("sentence")))
+    return text.chunked(_documents(spark, sf_dir), "semantic", embed)
+
+
 @query("r20_paragraph_chunks")
 def _(spark, sf_dir):
     return text.chunked(_documents(spark, sf_dir), "paragraphs")

@@ -279,3 +279,37 @@ def test_floor_calibration(spark):
 
     row = floor_calibration(spark.createDataFrame([(True, 0.7), (True, 0.9), (False, 0.5), (False, 0.6)], "answerable boolean, similarity double")).first()
     assert (row.answerable_min, row.off_topic_max) == (0.7, 0.6) and abs(row.gap - 0.1) < 1e-12
+
+
+def test_semantic_chunks_fall_back(spark):
+    import math
+    import re
+
+    from brinework.operators import text
+
+    source = "Aaa aab. Aaab a! Zzz zzy? Zyz.  Bare end"
+    docs = spark.createDataFrame([(1, source), (2, "one. two. three."), (3, None), (4, "x" * 900)], "doc_id long, text string")
+    embed = lambda s: s.withColumn("embedding", F.when(F.col("doc_id") != 2, text.letter_counts(F.col("sentence"))))
+    got = {}
+    for r in text.chunked(docs, "semantic", embed).orderBy("doc_id", "chunk").collect():
+        got.setdefault(r.doc_id, []).append(r.piece)
+    counts = lambda s: [s.lower().count(chr(97 + i)) for i in range(26)]
+    near = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b)) >= 0.75
+    want = []
+    sentences = re.split(r"(?<=[.!?])\s+", source)
+    for a, b in zip([None, *sentences], sentences, strict=False):
+        if a and near(counts(a), counts(b)):
+            want[-1] += " " + b
+        else:
+            want.append(b)
+    assert got[1] == want and len(want) > 1
+    assert got[2] == text.recursive_pieces("one. two. three.") and 3 not in got and got[4] == ["x" * 900]
+    plain = text.chunked(docs, "semantic").where("doc_id = 1").collect()
+    assert [r.piece for r in plain] == text.recursive_pieces(source)
+
+
+def test_long_json_is_marked(spark):
+    from brinework.functions.scalars import json_or_marker
+
+    row = spark.createDataFrame([("a" * 30, "b")], "x string, y string").select(json_or_marker(F.struct("x"), 20).alias("x"), json_or_marker(F.struct("y"), 20).alias("y")).first()
+    assert row.x == '{"truncated":true,"chars":38}' and row.y == '{"y":"b"}'
