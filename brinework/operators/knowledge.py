@@ -96,8 +96,9 @@ def usage(registry: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def matched_topics(questions: DataFrame, topics: DataFrame, limit: int = 1) -> DataFrame:
     """(question_id, topic_id, score, rank) for questions (question_id, question): topics (topic_id, keywords: array) by the total
-    length of their keywords in the question, then the longest one, then topic_id."""
-    pairs = questions.join(F.broadcast(topics.select("topic_id", F.explode("keywords").alias("k"))), F.contains(F.lower(F.coalesce("question", F.lit(""))), F.col("k")))  # a fixed list of topics
+    length of their keywords in the question, then the longest one, then topic_id. For topics of a caller's own; routing.routed() reads
+    each question once for the fixed ones."""
+    pairs = questions.join(topics.select("topic_id", F.explode("keywords").alias("k")), F.contains(F.lower(F.coalesce("question", F.lit(""))), F.col("k")))
     x = pairs.groupBy("question_id", "topic_id").agg(F.sum(F.length("k")).alias("score"), F.max(F.length("k")).alias("longest"))
     by = Window.partitionBy("question_id").orderBy(F.col("score").desc(), F.col("longest").desc(), "topic_id")
     return x.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= limit).drop("longest")

@@ -16,7 +16,8 @@ def resolve(patterns: DataFrame, asked: str) -> DataFrame:
     exact = patterns.where((F.col("id_pattern").cast("string") == text) | (F.upper("pattern_name") == text.upper()))
     if len(text) < 6:
         return exact
-    prefix = patterns.where(F.col("id_pattern").cast("string").startswith(text)).withColumn("n", F.count("*").over(Window.partitionBy(F.lit(1)))).where("n = 1").drop("n")
+    begun = patterns.where(F.col("id_pattern").cast("string").startswith(text))
+    prefix = begun.crossJoin(F.broadcast(begun.agg(F.count("*").alias("n")))).where("n = 1").drop("n")  # one row
     return exact.unionByName(prefix.join(exact.limit(1).select(F.lit(1).alias("one")), F.lit(True), "left_anti"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brinework.operators.text import numbers_grounded
+from brinework.operators.text import uncited
 from brinework.sources.store import written
 from brinework.sources.versioned import VersionedTable
 
@@ -253,13 +253,17 @@ def trace_scores(spans: DataFrame) -> DataFrame:
     artefact = F.bool_or(F.coalesce("outputs", F.lit("")).contains("DATA_ARTIFACT"))
     advice, audited = first(ADVICE_TOOLS), first(AUDIT_TOOLS)
     told = F.when(F.upper("span_type").isin("TOOL", "RETRIEVER"), F.transform(F.regexp_extract_all(F.coalesce("outputs", F.lit("")), F.lit(r"-?\d+\.\d+"), F.lit(0)), lambda v: v.cast("double")))
-    each = F.flatten(F.collect_list(told))
-    allowed = F.flatten(F.transform(each, lambda v: F.array(v, v * 100, F.round(v, 2), F.round(v, 3))))
-    return spans.groupBy("trace_id").agg(
+    allowed = F.flatten(F.transform(F.coalesce(told, F.array().cast("array<double>")), lambda v: F.array(v, v * 100, F.round(v, 2), F.round(v, 3))))
+    scores = spans.groupBy("trace_id").agg(
         F.count_if(tool).alias("tools_used"), (advice.isNull() | F.coalesce(audited < advice, F.lit(False))).alias("audit_before_advice"),
-        (~F.bool_or(refused)).alias("gate_passed"), (~(artefact & proposes)).alias("no_advice_on_artifact"),
-        numbers_grounded(F.coalesce(F.max("answer"), F.lit("")), allowed).alias("numbers_grounded"),
+        (~F.bool_or(refused)).alias("gate_passed"), (~(artefact & proposes)).alias("no_advice_on_artifact"), F.coalesce(F.max("answer"), F.lit("")).alias("_said"), F.count("*").alias("_spans"),
     )
+    # a decimal is ungrounded if every span of its trace, by its own numbers, leaves it so; no trace's numbers are gathered
+    scores = written(scores, "trace-scores")
+    each = spans.select("trace_id", allowed.alias("allowed")).join(scores.select("trace_id", "_said", "_spans"), "trace_id")
+    left = each.select("trace_id", "_spans", F.explode(F.array_distinct(uncited(F.col("_said"), F.col("allowed")))).alias("figure"))
+    bad = left.groupBy("trace_id", "figure").agg(F.count("*").alias("n"), F.max("_spans").alias("of")).where("n = of").select("trace_id", F.lit(False).alias("_grounded")).distinct()
+    return scores.drop("_said", "_spans").join(bad, "trace_id", "left").withColumn("numbers_grounded", F.coalesce("_grounded", F.lit(True))).drop("_grounded")
 
 
 def latency_summary(traces: DataFrame) -> DataFrame:

@@ -434,6 +434,15 @@ def _(field):
     return _verdicts(field).select("id_pattern", "period", "verdict", "summary")
 
 
+@query("r13_summaries", f"""with {VERDICTS} select v.id_pattern, v.period, summary, case when verdict = 'DATA_ARTIFACT' then 'data_steward' else 'analyst' end as owner, case summary
+ when 'pvt_not_measured' then 'fluid properties were not measured at this pressure: ' || array_to_string(list_filter(s.methods, lambda m: m in ('extrapolated', 'closest', 'none')), ', ') when 'missing_pressure' then s.n_missing_pressure || ' rows have no pressure reading in force'
+ when 'missing_allocation' then s.n_missing_factor || ' volume rows of the field belong to completions without any allocation' when 'allocation_over_one' then s.n_allocation_over_one || ' completions of the field are allocated above one'
+ when 'allocated_without_volumes' then s.n_allocated_without_volumes || ' allocated completions reported no volumes' when 'stale_allocation' then 'the oldest allocation in use is ' || s.allocation_age_days || ' days old' end summary_text
+ from verdicts v join state s on s.id_pattern = v.id_pattern and s.period = v.period""")
+def _(field):
+    return _verdicts(field).select("id_pattern", "period", "summary", "owner", "summary_text")
+
+
 @query("t12_verdict_counts", f"with {VERDICTS} select verdict, count(*) n from verdicts group by verdict")
 def _(field):
     return _verdicts(field).groupBy("verdict").agg(F.count("*").alias("n"))
