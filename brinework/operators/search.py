@@ -13,6 +13,8 @@ from brinework.sources.store import written
 
 #: Pivots, rows of the sample that they come from, rows of a block, queries of a group.
 PIVOTS, SAMPLE, BLOCK, GROUP = 32, 2048, 1024, 256
+#: Blocks that a group meets at once; of more, the most promising sixteenth comes first, and bounds the rest.
+FEW = 64
 #: Similarities are told apart to so many places, as their last bits hang on what is multiplied together.
 PLACES = 12
 
@@ -168,9 +170,10 @@ class Index:
         hope = x.withColumn("hope", F.col("most") - (F.col("q0") + F.col("d0")) / 64)
         cut = hope.groupBy("group").agg(F.percentile_approx("hope", F.lit(15 / 16), 1000).alias("cut"))
         pairs = written(hope.join(cut, "group").select("group", "block", "most", (F.col("hope") >= F.col("cut")).alias("early")), "block-pairs")
-        found = None
-        for early in (True, False):
-            now = pairs.where("early" if early else "not early")
+        found, met_by = None, pairs.groupBy("group").count().agg(F.max("count")).first()[0] or 0
+        rounds = ("early", "not early") if met_by > FEW else ("true",)
+        for turn in rounds:
+            now = pairs.where(turn)
             asks = groups.select(F.col("name").alias("group"), "dim", F.col("ids").alias("q_ids"), F.col("units").alias("q_units"))
             if found is None:
                 asks = asks.withColumn("known", F.lit(None).cast("map<bigint, double>"))
@@ -189,8 +192,9 @@ class Index:
             got = written(got, "found")
             best = got.where("query_id is not null").withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
             counted = got.where("query_id is null").agg(F.coalesce(F.sum("compared"), F.lit(0)).alias("compared"))
-            found = written(best.unionByName(counted.select(*[F.lit(None).cast(t).alias(c) for c, t in (("query_id", "long"), ("vec_id", "long"), ("similarity", "double"))], "compared", F.lit(None).cast("int").alias("rank"))), "found")
-        return found.where("rank is not null").drop("compared"), found.where("rank is null").select("compared")
+            none = [F.lit(None).cast(t).alias(c) for c, t in (("query_id", "long"), ("vec_id", "long"), ("similarity", "double"))]
+            found = best.unionByName(counted.select(*none, "compared", F.lit(None).cast("int").alias("rank")))
+        return best.drop("compared"), counted
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 3, floor: float = 0.0) -> DataFrame:

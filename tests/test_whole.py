@@ -31,6 +31,7 @@ def neighbours(x, q, k, floor):
 def test_kinds_ties_and_odd_vectors(spark, monkeypatch):
     monkeypatch.setattr(search, "BLOCK", 8)
     monkeypatch.setattr(search, "GROUP", 3)
+    monkeypatch.setattr(search, "FEW", 4)
     rng = np.random.default_rng(8)
     x = np.concatenate([rng.normal(size=(6, 12))[rng.integers(0, 6, 250)] + 0.05 * rng.normal(size=(250, 12)), np.repeat(rng.normal(size=(1, 12)), 30, axis=0)])
     kinds = [["a", "b", None][i % 3] for i in range(len(x))]
