@@ -264,14 +264,19 @@ class _Server:
 
 
 def _sums(known: dict, rounds: int):
-    """(kind, word, n) sums over servers: before any round counts, later the tables of hot contexts, after the last round those of each of
-    its sweeps."""
+    """(kind, values) sums over a task's servers: before any round counts, later the tables of hot contexts (in the order of their
+    hashes), after the last round those of each of its sweeps."""
+    hot = np.array(sorted(known["hot"]), np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[tuple[str, int], int] = {}
+        total: dict[str, np.ndarray] = {}
 
-        def add(kind: str, word: int, n) -> None:
-            total[kind, word] = total.get((kind, word), 0) + int(n)
+        def add(kind: str, s: _Server, values: np.ndarray) -> None:
+            sums = total.setdefault(kind, np.zeros(len(hot), np.int64))
+            sums[np.searchsorted(hot, s.contexts[s.hot])] += values[s.hot].astype(np.int64)
+
+        def count(kind: str, n) -> None:
+            total[kind] = total.get(kind, np.zeros(1, np.int64)) + int(n)
 
         for batch in batches:
             for row in batch.to_pylist():
@@ -279,28 +284,32 @@ def _sums(known: dict, rounds: int):
                 if rounds:
                     for n, sweep, tables, _ in s.sweeps(row["told"], rounds):
                         if n == rounds - 1 == ROUNDS - 1 and len(s.hot):
-                            seated = np.bincount(s.context, weights=tables, minlength=len(s.contexts))
-                            for v, k in zip(s.hot_names, seated[s.hot], strict=True):
-                                add(f"s{sweep}", v, k)
+                            add(f"s{sweep}", s, np.bincount(s.context, weights=tables, minlength=len(s.contexts)))
                 else:
                     tables = np.minimum(s.count, 1)
                     own = np.bincount(s.context, weights=s.count, minlength=len(s.contexts))
-                    add("N", 0, own.sum())
-                    add("one", 0, np.sum(s.count == 1))
-                    add("two", 0, np.sum(s.count == 2))
-                    for v, n in zip(s.hot_names, own[s.hot], strict=True):
-                        add("c", v, n)
+                    count("N", own.sum())
+                    count("one", np.sum(s.count == 1))
+                    count("two", np.sum(s.count == 2))
+                    add("c", s, own)
                     own[s.hot] = 0
-                    add("V", 0, np.sum(own > 0))
-                seated = np.bincount(s.context, weights=tables, minlength=len(s.contexts))
-                for v, n in zip(s.hot_names, seated[s.hot], strict=True):
-                    add(f"t{rounds}", v, n)
-        names = list(total)
-        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in names], pa.string()), pa.array([b for _, b in names], pa.int64()), pa.array([total[x] for x in names], pa.int64())], names=["kind", "word", "n"])
+                    count("V", np.sum(own > 0))
+                add(f"t{rounds}", s, np.bincount(s.context, weights=tables, minlength=len(s.contexts)))
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["kind", "values"])
 
     return run
 
 
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrays of each kind added up."""
+    total: dict[str, np.ndarray] = {}
+    for batch in batches:
+        for kind, values in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            values = np.frombuffer(values, np.int64)
+            total[kind] = total[kind] + values if kind in total else values
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["kind", "values"])
+
+
 def _sent(known: dict, rounds: int, homes: int):
     """What each server sends the parent: for its words, in ranges of their hashes, how many tables they have here."""
     schema = pa.schema([("home", pa.int32()), ("bucket", pa.int32()), ("words", pa.binary()), ("customers", pa.binary())])
@@ -423,11 +432,13 @@ def document_scores(docs: DataFrame) -> DataFrame:
     known: dict = {"hot": {int(v): {} for v in hot}, "N": 0, "V": 0}
 
     def gather(rows: DataFrame, rounds: int) -> dict:
-        got = rows.mapInArrow(common.trimmed(_sums(known, rounds)), "kind string, word long, n long").groupBy("kind", "word").agg(F.sum("n").alias("n")).collect()
-        for r in got:
-            if r["kind"] in ("c", f"t{rounds}", *(f"s{k}" for k in range(SWEEPS))):
-                known["hot"][r["word"]][r["kind"]] = r["n"]
-        return {r["kind"]: r["n"] for r in got if r["word"] == 0}
+        sums = rows.mapInArrow(common.trimmed(_sums(known, rounds)), "kind string, values binary")
+        got = {r["kind"]: np.frombuffer(bytes(r["values"]), np.int64) for r in sums.repartition(partitions, "kind").mapInArrow(_added, "kind string, values binary").collect()}
+        for kind, values in got.items():
+            if kind in ("c", f"t{rounds}", *(f"s{k}" for k in range(SWEEPS))):
+                for v, n in zip(sorted(known["hot"]), values.tolist(), strict=True):
+                    known["hot"][v][kind] = n
+        return {kind: int(v[0]) for kind, v in got.items() if kind in ("N", "one", "two", "V")}
 
     first = gather(model, 0)
     homes = -(-(model.agg(F.sum(F.octet_length("words"))).collect()[0][0] or 0) // (6 * HOME_WORDS)) or 1
