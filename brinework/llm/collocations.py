@@ -28,7 +28,7 @@ from brinework.llm import common
 BITS, SHARD, BUCKETS, HELD = 1 << 27, 1 << 17, 1 << 21, 1 << 21
 #: Packed rows that one mapper adds up, arrays that one sum takes, requests that one task answers, and places
 #: to which a shard's requests are dealt before.
-ROWS, FAN, ASKED, SALTS = 64, 32, 1 << 14, 64
+ROWS, FAN, ASKED, SALTS = 64, 32, 1 << 16, 64
 #: Bits of a bucket's name.
 BUCKET_BITS = 32
 
