@@ -5,13 +5,19 @@ and value, so an entity has the same surrogate wherever it occurs (coreference).
 stay digits, letters letters of their case, valid card and account numbers (IBAN) stay valid, addresses stay in range, e-mail addresses
 keep their top-level domain; parts of names keep gender and script.
 
-Names are found after a form of address of the lists below, or as one of the 40 given names below and the capitalised word behind
-it. Other names are not found and stay: given names not listed without a form of address, a surname or given name alone, names
-in other cases of the letters (JOHN SMITH) or scripts, and what follows the second word of a name. Telephone numbers of fewer
-than 8 digits are found only in three groups, and those with neither a plus sign nor a leading 0 only in such groups.
+Names are found after a form of address of the lists below, as one of the 40 given names below and the name behind it, or behind a
+phrase that introduces a speaker. A name may have apostrophes and hyphens, whose sides are replaced each on its own (O'Brien,
+Jean-Pierre), inner capitals (McDonald), particles and initials, which stay (van der Berg, J. Smith), and capitals throughout (JOHN
+SMITH), which keep the surrogate of the same name in other letters. Other names are not found and stay: given names not listed
+without a form of address or such a phrase, a surname or given name alone, names in other scripts, and what follows the second word
+of a name. In texts in capitals, a word behind a listed given name is taken for a surname, but for the few of NO_SURNAMES.
+Telephone numbers of fewer than 8 digits are found only in three groups, or as 555-1234 behind a word of telephones; those with
+neither a plus sign nor a leading 0 only in such groups. A social security number with spaces is found behind its name, and
+an IPv6 address where its first group has 3 or 4 digits, which it keeps.
 
 Collision check: over the distinct entities of the whole corpus, two values with one surrogate, or a surrogate that is itself
-some entity's value, are drawn anew until none is left.
+some entity's value, are drawn anew until none is left. Formats with few digits must leave room for that: a corpus in which more
+than half of all ten million seven-digit numbers occur is refused with an error.
 """
 
 from __future__ import annotations
@@ -33,8 +39,18 @@ ENDINGS = {
     "cyrillic": {"female": ["а", "ия", "ина", "елла"], "male": ["ий", "ан", "ор", "ек"], "neutral": ["и", "ен", "ел", "ю"], "surname": ["ко", "ук", "енко", "ец"]},
 }
 
-_NAME = r"\p{Lu}\p{Ll}+"
+# Forms of address also found in capitals, particles of surnames, words that are no surnames, phrases before a name.
+CAPITAL_TITLES = ["MR", "MRS", "MME", "MADAME", "FRAU", "SEÑORA", "MONSIEUR", "HERR", "SEÑOR"]
+PARTICLES = ["van", "von", "der", "den", "de", "la", "le", "du", "di", "da", "del", "dos", "ten", "ter", "zu", "af", "bin", "ibn", "al", "el"]
+NO_SURNAMES = ["AND", "OR", "THE", "IS", "WAS", "HAS", "HAD", "SAID", "WITH", "FROM", "FOR", "TO", "IN", "OF", "ON", "AT", "BY", "ET", "EST", "UND", "IST", "Y", "ES", "И"]
+INTRODUCED = ["my name is", "mein name ist", "ich heiße", "je m'appelle", "je m’appelle", "me llamo", "mi nombre es", "меня зовут"]
+
+_NAME = r"(?:[\p{Lu}dl]['’])?\p{Lu}\p{Ll}+(?:[-'’]?\p{Lu}\p{Ll}+)*+"
+_CAPITALS = rf"(?!(?:{'|'.join(NO_SURNAMES)})(?!\p{{L}}))(?:\p{{Lu}}['’])?\p{{Lu}}{{2,}}+(?:[-'’]\p{{Lu}}{{2,}}+)*+(?!\p{{L}})"
 _TITLE = "(?:" + "|".join(FEMALE_TITLES + MALE_TITLES + NEUTRAL_TITLES) + ")"
+_GIVEN = "(?:" + "|".join(FEMALE_NAMES + MALE_NAMES + [n.upper() for n in FEMALE_NAMES + MALE_NAMES]) + r")(?:-(?:\p{Lu}\p{Ll}+|\p{Lu}{2,}))?"
+#: What may stand before a surname: initials, then particles.
+_BEFORE = rf"(?:\p{{Lu}}\. )*(?:(?:{'|'.join(PARTICLES + [x.capitalize() for x in PARTICLES] + [x.upper() for x in PARTICLES])}) ){{0,3}}"
 #: Patterns of the kinds, in order of precedence where two begin at one place.
 KINDS = {
     "secret": r"(?i:(?:token|secret|passwd|password|pwd|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9_+/=.-]{8,}|AKIA[0-9A-Z]{16}\b",
@@ -43,20 +59,29 @@ KINDS = {
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
     # not a telephone number that begins with 00 and a country code
     "card": r"(?<![\w.-])(?!00[1-9](?:[ ./()-]{0,2}\d){5,12}(?![ -]?\d\d))\d(?:[ -]?\d){12,18}(?![\w-])",
+    # eight groups, or fewer with two colons; the first has 3 or 4 digits, so that times and names of programs are none
+    "ip6": r"(?<![\w:.])(?=[A-Fa-f:]*\d)(?:[0-9A-Fa-f]{3,4}(?::[0-9A-Fa-f]{1,4}){7}|(?=[0-9A-Fa-f:]*::)(?!(?:[0-9A-Fa-f]*:){8})[0-9A-Fa-f]{3,4}(?::[0-9A-Fa-f]{1,4}){0,5}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?)(?![\w:])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     # a North American number, any other with a country code or a leading 0 (8 to 15 digits; not a date), and the older forms
     "phone": r"(?<![\w+])\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\w)"
     r"|(?<![\w+])\+(?=\d(?:[ ./()-]{0,2}\d){7})\d{1,3}(?:[ ./()-]{1,2}\d)?(?:\d|[ ./()-]{1,2}(?=\d\d)\d){4,11}(?!\w)"
     r"|(?<![\w+.,/-])\(?0(?!\d[./-]\d{1,2}[./-](?:\d{4}(?!\d)|\d{2}(?![./-]?\d)))\d(?:\d|[ ./()-]{1,2}(?=\d\d)\d){6,13}(?!\w)"
     r"|(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\w)|(?<![\w+])\+\d{8,15}(?!\w)",
-    "name": rf"{_TITLE}\.? {_NAME}(?: {_NAME})?|(?:{'|'.join(FEMALE_NAMES + MALE_NAMES)}) {_NAME}",
+    "name": rf"{_TITLE}\.? (?:{_GIVEN} {_BEFORE}{_CAPITALS}|{_BEFORE}{_NAME}(?: {_BEFORE}{_NAME})?|{_BEFORE}{_CAPITALS}(?: {_BEFORE}{_CAPITALS})?)"
+    rf"|(?:{'|'.join(CAPITAL_TITLES)})\.? {_BEFORE}{_CAPITALS}(?: {_BEFORE}{_CAPITALS})?|{_GIVEN} {_BEFORE}(?:{_NAME}|{_CAPITALS})",
+}
+#: Kinds that are found also behind a word that announces them: the word, and the pattern.
+ANNOUNCED = {
+    "ssn": (r"(?i:ssn|social security(?: number| no\.?)?)(?: is)?[:#]?[ ]", r"\d{3} \d{2} \d{4}(?![\w-])"),
+    "phone": (r"(?i:telephone|phone|tel|call|fax|mobile|cell)(?: is| me at| us at| at)?[.:]?[ ]", r"\d{3}[ .-]\d{4}(?![\w-])"),
+    "name": (rf"(?iu:{'|'.join(INTRODUCED)}) ", rf"{_NAME}(?: {_BEFORE}{_NAME})?"),
 }
 #: Kinds whose values are told apart without their separators, which stay where they are.
 _GROUPED = ("iban", "card", "ssn", "phone")
 #: Country codes of telephone numbers.
 _COUNTRY = r"(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 #: No entity begins inside a word, so the alternatives are tried at few places.
-ENTITY = r"(?<![\p{L}\p{N}])(?:" + "|".join(f"(?:{p})" for p in KINDS.values()) + ")"
+ENTITY = r"(?<![\p{L}\p{N}])(?:" + "|".join([f"(?:{p})" for p in KINDS.values()] + [rf"(?=[\d\p{{Lu}}])(?<={word})(?:{p})" for word, p in ANNOUNCED.values()]) + ")"
 _SECRET_VALUE = r"[A-Za-z0-9_+/=.-]{8,}$"
 
 
@@ -68,23 +93,46 @@ def entities(text: Column) -> Column:
 def _kind(entity: Column) -> Column:
     out = F.lit("name")
     for kind in reversed([k for k in KINDS if k != "name"]):
-        out = F.when(entity.rlike(f"^(?:{KINDS[kind]})$"), kind).otherwise(out)
+        shapes = f"{KINDS[kind]}|{ANNOUNCED[kind][1]}" if kind in ANNOUNCED else KINDS[kind]
+        out = F.when(entity.rlike(f"^(?:{shapes})$"), kind).otherwise(out)
     return out
 
 
-def parts(entity: Column) -> Column:
-    """What of an entity is replaced on its own: array of (kind, value). Words of names are apart, so they keep their surrogates
-    in other combinations; of a secret it is the value; numbers are without separators, so each format has the same surrogate."""
+def _pieces(name: Column) -> Column:
+    """A name's words, the sides of their hyphens and apostrophes, and what is between, in order."""
+    return F.regexp_extract_all(name, F.lit("[^ '’-]+|[ '’-]"), F.lit(0))
+
+
+def _stays(piece: Column, led: Column, surname: Column) -> Column:
+    """Whether a piece of a name stays: the form of address, particles before a surname, initials, and what is between words."""
+    return led | ~piece.rlike(r"^\p{Lu}\p{L}") | (~surname & F.initcap(piece).isin([x.capitalize() for x in PARTICLES]))
+
+
+def _titled(name: Column) -> Column:
+    """The form of address of a name, in the letters of its list; empty without one."""
+    found = F.regexp_extract(name, rf"^({_TITLE}|{'|'.join(CAPITAL_TITLES)})\.? ", 1)
+    return F.when(found.isin(CAPITAL_TITLES), F.initcap(found)).otherwise(found)
+
+
+def _parts_of_name(name: Column, every: bool) -> Column:
+    """The pieces of a name as (kind, value, piece); of those that stay kind is null, and they are left out unless `every`."""
     script = lambda w: F.when(w.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
-    words = F.split(entity, " ")
-    title = F.regexp_replace(words[0], r"\.$", "")
-    led = title.isin(FEMALE_TITLES + MALE_TITLES + NEUTRAL_TITLES)
+    title, pieces = _titled(name), _pieces(name)
     said = F.when(title.isin(FEMALE_TITLES), "female").when(title.isin(MALE_TITLES), "male").otherwise("neutral")
     gender = lambda w: F.when(w.isin(FEMALE_NAMES), "female").when(w.isin(MALE_NAMES), "male").otherwise(said)
-    named = F.filter(words, lambda w, i: ~led | (i > 0))
-    name = F.transform(named, lambda w, i: F.struct(F.concat_ws("-", script(w), F.when(i == F.size(named) - 1, "surname").otherwise(gender(w))).alias("kind"), w.alias("value")))
+    # what follows the last space is the surname
+    last = F.size(pieces) - F.array_position(F.reverse(pieces), " ")
+    kind = lambda w, i: F.when(~_stays(w, (title != "") & (i == 0), i > last), F.concat_ws("-", script(w), F.when(i > last, "surname").otherwise(gender(F.initcap(w)))))
+    told = F.transform(pieces, lambda w, i: F.struct(kind(w, i).alias("kind"), F.initcap(w).alias("value"), w.alias("piece")))
+    return told if every else F.filter(told, lambda p: p["kind"].isNotNull())
+
+
+def parts(entity: Column) -> Column:
+    """What of an entity is replaced on its own: array of (kind, value). Words of names are apart, so they keep their surrogates
+    in other combinations; of a secret it is the value; numbers are without separators, so each format has the same surrogate."""
+    name = F.transform(_parts_of_name(entity, every=False), lambda p: F.struct(p["kind"].alias("kind"), p["value"].alias("value")))
     kind = _kind(entity)
-    value = F.when(kind == "secret", F.regexp_extract(entity, _SECRET_VALUE, 0)).when(kind == "email", F.lower(entity)).when(kind.isin(*_GROUPED), F.regexp_replace(entity, "[^0-9A-Z+]", "")).otherwise(entity)
+    value = F.when(kind == "secret", F.regexp_extract(entity, _SECRET_VALUE, 0)).when(kind.isin("email", "ip6"), F.lower(entity)).when(kind.isin(*_GROUPED), F.regexp_replace(entity, "[^0-9A-Z+]", "")).otherwise(entity)
     return F.when(kind == "name", name).otherwise(F.array(F.struct(kind.alias("kind"), value.alias("value"))))
 
 
@@ -136,12 +184,17 @@ def drawn(values: DataFrame, key: str) -> DataFrame:
     check = 98 - _mod97(_iban_moved(F.concat(F.substring("plain", 1, 2), F.lit("00"), F.substr(F.col("plain"), F.lit(5)))))
     iban = F.concat(F.substring("plain", 1, 2), F.lpad(check.cast("string"), 2, "0"), F.substr(F.col("plain"), F.lit(5)))
     ip = F.array_join(F.transform(F.array(*map(F.lit, range(4))), lambda i: (byte(i) % 254 + 1).cast("string")), ".")
+    # an IPv6 address keeps its first group and its form; all eight groups are drawn where that left no other
+    group = lambda i: F.lpad(F.lower(F.conv((byte(i * 2) * 256 + byte(i * 2 + 1)).cast("string"), 10, 16)), 4, "0")
+    groups = F.split(value, ":")
+    short = F.array_join(F.transform(groups, lambda g, i: F.when((i == 0) | (g == ""), g).otherwise(group(i))), ":")
+    ip6 = F.when(attempt <= 3, short).otherwise(F.concat_ws(":", groups[0], *[group(F.lit(i)) for i in range(1, 8)]))
     cyrillic = kind.startswith("cyrillic")
     part = lambda k: F.when(cyrillic, F.element_at(F.array(*map(F.lit, SYLLABLES["cyrillic"])), byte(F.lit(k)) % 16 + 1)).otherwise(F.element_at(F.array(*map(F.lit, SYLLABLES["latin"])), byte(F.lit(k)) % 16 + 1))
     ends = F.create_map(*[x for script, by in ENDINGS.items() for what, chosen in by.items() for x in (F.lit(f"{script}-{what}"), F.array(*map(F.lit, chosen)))])
     more = F.when(attempt + byte(F.lit(2)) % 2 > 0, part(3)).otherwise("")
     name = F.initcap(F.concat(part(0), part(1), more, F.when(attempt > 1, part(5)).otherwise(""), F.element_at(F.element_at(ends, kind), byte(F.lit(4)) % 4 + 1)))
-    new = F.when(kind == "ip", ip).when(F.col("valid"), fixed).when(F.col("iban"), iban).when(kind.rlike("^(latin|cyrillic)-"), name).otherwise(F.col("plain"))
+    new = F.when(kind == "ip", ip).when(kind == "ip6", ip6).when(F.col("valid"), fixed).when(F.col("iban"), iban).when(kind.rlike("^(latin|cyrillic)-"), name).otherwise(F.col("plain"))
     return rows.select("kind", "value", "attempt", new.alias("new"))
 
 
@@ -179,9 +232,10 @@ def _rebuilt(text: Column, found: Column, new: Column) -> Column:
     """The text with each entity's parts replaced; new maps a part's name to its surrogate."""
 
     def one(entity: Column) -> Column:
-        own = F.array_join(F.transform(parts(entity), lambda p: F.element_at(new, _name_of(p))), " ")
-        title = F.when(F.size(F.split(entity, " ")) > F.size(parts(entity)), F.concat(F.split(entity, " ")[0], F.lit(" "))).otherwise("")
-        return F.when(_kind(entity) == "secret", F.concat(F.regexp_replace(entity, _SECRET_VALUE, ""), own)).when(_kind(entity) == "name", F.concat(title, own)).when(_kind(entity).isin(*_GROUPED), _formatted(entity, own)).otherwise(own)
+        own = F.element_at(new, _name_of(parts(entity)[0]))
+        cased = lambda p: F.when(p["piece"] == F.upper(p["piece"]), F.upper(F.element_at(new, _name_of(p)))).otherwise(F.element_at(new, _name_of(p)))
+        name = F.array_join(F.transform(_parts_of_name(entity, every=True), lambda p: F.when(p["kind"].isNull(), p["piece"]).otherwise(cased(p))), "")
+        return F.when(_kind(entity) == "secret", F.concat(F.regexp_replace(entity, _SECRET_VALUE, ""), own)).when(_kind(entity) == "name", name).when(_kind(entity).isin(*_GROUPED), _formatted(entity, own)).otherwise(own)
 
     between = F.split(text, ENTITY, -1)
     return F.concat(F.array_join(F.zip_with(F.slice(between, 1, F.size(found)), F.transform(found, one), lambda a, b: F.concat(a, b)), ""), F.element_at(between, -1))
