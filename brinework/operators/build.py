@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brinework.functions.scalars import weighted
 from brinework.sources.store import written
 
 PROPERTIES = ["bo", "bw", "bg", "rs", "rv", "bw_inj", "bg_inj"]
 VOLUME_COLUMNS = ["oil", "water", "gas", "water_inj", "gas_inj"]
 TERMS = ["oil_res", "water_res", "free_gas_res", "water_inj_res", "gas_inj_res"]
+#: All that pvt_lookup gives as a method, in order.
+METHODS = ["closest", "exact", "extrapolated", "interpolated", "none"]
 LOW_CONFIDENCE = ["extrapolated", "closest", "none"]
 
 
@@ -42,9 +43,12 @@ def volume_context(volumes: DataFrame, factors: DataFrame, patterns: DataFrame,
     """A row for each day, completion and pattern that it is allocated to, with the pressure in force (null if none is yet)."""
     v = clamped_volumes(volumes).withColumnRenamed("prod_date", "vrr_date")
     f = with_end_date(factors, ["id_completion", "id_pattern"], "effect_date", "f_end").withColumnRenamed("effect_date", "factor_effect_date")
-    x = v.join(f, (v["id_completion"] == f["id_completion"]) & in_window(v["vrr_date"], f["factor_effect_date"], f["f_end"])).drop(f["id_completion"])
+    # hash tables of a completion's windows: neither the days nor what they are joined with below are sorted or dealt again
+    x = v.join(f.hint("shuffle_hash"), (v["id_completion"] == f["id_completion"]) & in_window(v["vrr_date"], f["factor_effect_date"], f["f_end"])).drop(f["id_completion"])
+    # stored, so that Spark knows how small it is: a row for each pattern and day
+    held = written(held_values(x, pressures, "id_pattern", "vrr_date", "pressure_date", "pressure"), "pressures")
     x = x.join(patterns.select("id_pattern", "pattern_name"), "id_pattern", "left")
-    x = x.join(held_values(x, pressures, "id_pattern", "vrr_date", "pressure_date", "pressure"), ["id_pattern", "vrr_date"], "left")
+    x = x.join(held, ["id_pattern", "vrr_date"], "left")
     kind = F.when(F.col("oil") + F.col("water") + F.col("gas") > 0, "Production").otherwise("Injection")
     return x.withColumn("amount_type", kind).drop("f_end")
 
@@ -57,20 +61,22 @@ def pvt_windows(pvt: DataFrame) -> DataFrame:
     return tests.select("id_completion", "test_date", "points", F.when(F.lag("test_date").over(by).isNotNull(), F.col("test_date")).alias("from_date"), F.lead("test_date").over(by).alias("to_date"))
 
 
-def pvt_lookup(needs: DataFrame) -> DataFrame:
-    """needs (points sorted by pressure, pressure, any keys) with pvt_method and the properties at the pressure: exact, interpolated
-    between neighbours, extrapolated from the two nearest on one side, closest (one point, or no pressure: the highest point),
-    none. bg is rounded to 5 places."""
-    c, t = F.col, F.col("pressure")
-    x = needs.withColumns({"_lo": F.filter("points", lambda p: p["pressure"] < t), "_up": F.filter("points", lambda p: p["pressure"] > t), "_same": F.filter("points", lambda p: p["pressure"] == t)})
-    n, m, exact = F.size("_lo"), F.size("_up"), F.size("_same") > 0
+def _ends(points: Column, t: Column) -> dict[str, Column]:
+    """What the points (sorted by pressure) give at t: the method, and the points _a and _b between which is interpolated."""
+    lo, up, equal = F.filter(points, lambda p: p["pressure"] < t), F.filter(points, lambda p: p["pressure"] > t), F.filter(points, lambda p: p["pressure"] == t)
+    n, m, exact = F.size(lo), F.size(up), F.size(equal) > 0
     method = (
-        F.when(c("points").isNull() | (F.size("points") == 0), "none").when(t.isNull(), "closest").when(exact, "exact")
+        F.when(points.isNull() | (F.size(points) == 0), "none").when(t.isNull(), "closest").when(exact, "exact")
         .when((n > 0) & (m > 0), "interpolated").when((n > 1) | (m > 1), "extrapolated").otherwise("closest")
     )
-    first = F.when(t.isNull(), F.get("points", F.size("points") - 1)).when(exact, F.get("_same", F.lit(0))).when(n > 0, F.get("_lo", n - 1)).otherwise(F.get("_up", F.lit(0)))
-    second = F.when((n > 0) & (m > 0), F.get("_up", F.lit(0))).when(n > 1, F.get("_lo", n - 2)).when(m > 1, F.get("_up", F.lit(1)))
-    x = x.withColumns({"pvt_method": method, "_a": first, "_b": second}).drop("_lo", "_up", "_same", "points")
+    first = F.when(t.isNull(), F.get(points, F.size(points) - 1)).when(exact, F.get(equal, F.lit(0))).when(n > 0, F.get(lo, n - 1)).otherwise(F.get(up, F.lit(0)))
+    second = F.when((n > 0) & (m > 0), F.get(up, F.lit(0))).when(n > 1, F.get(lo, n - 2)).when(m > 1, F.get(up, F.lit(1)))
+    return {"pvt_method": method, "_a": first, "_b": second}
+
+
+def _between_ends(x: DataFrame) -> DataFrame:
+    """x (pressure, pvt_method, _a, _b) with the properties at the pressure."""
+    c, t = F.col, F.col("pressure")
     alone = c("pvt_method").isin("exact", "closest") | (c("_a.pressure") == c("_b.pressure"))
     share = (t - c("_a.pressure")) / F.nullif(c("_b.pressure") - c("_a.pressure"), F.lit(0.0))
     x = x.withColumn("_t", F.when(~alone, share))
@@ -82,6 +88,29 @@ def pvt_lookup(needs: DataFrame) -> DataFrame:
     return x.withColumns({p: at(p) for p in PROPERTIES}).drop("_a", "_b", "_t")
 
 
+def pvt_lookup(needs: DataFrame) -> DataFrame:
+    """needs (points sorted by pressure, pressure, any keys) with pvt_method and the properties at the pressure: exact, interpolated
+    between neighbours, extrapolated from the two nearest on one side, closest (one point, or no pressure: the highest point),
+    none. bg is rounded to 5 places."""
+    return _between_ends(needs.withColumns(_ends(F.col("points"), F.col("pressure"))).drop("points"))
+
+
+def pvt_stretches(windows: DataFrame) -> DataFrame:
+    """For each window (see pvt_windows) the stretches of pressure on which pvt_lookup takes the same points: each point alone, between two,
+    below and above all, and no pressure; with what it takes there. So a day's look is a join."""
+    q = F.array_sort(F.array_distinct(F.filter(F.transform("points", lambda p: p["pressure"].cast("double")), lambda p: p.isNotNull())))
+    none = F.lit(None).cast("double")
+    row = lambda eq, lo, hi, at, missing=False: F.struct(eq.alias("eq"), lo.alias("lo"), hi.alias("hi"), at.alias("at"), F.lit(missing).alias("missing"))
+    x = windows.withColumn("q", q)
+    n, first, last = F.size("q"), F.get("q", F.lit(0)), F.get("q", F.size("q") - 1)
+    points = F.transform("q", lambda p: row(p, none, none, p))
+    gaps = F.filter(F.transform("q", lambda p, i: row(none, p, F.get("q", i + 1), p / 2 + F.get("q", i + 1) / 2)), lambda s: s["hi"].isNotNull())
+    outer = F.array(row(none, none, first, F.lit(float("-inf"))), row(none, last, none, F.lit(float("inf"))))
+    some = F.when(n > 0, F.concat(points, gaps, outer)).otherwise(F.array(row(none, none, none, F.lit(0.0))))
+    x = x.select(*windows.columns, F.explode(F.concat(some, F.array(row(none, none, none, none, True)))).alias("s"))
+    return x.withColumns(_ends(F.col("points"), F.col("s.at"))).select(*[c for c in windows.columns if c != "points"], "s.eq", "s.lo", "s.hi", "s.missing", "pvt_method", "_a", "_b")
+
+
 def reservoir_terms(gas_multiplier: Column | None = None) -> dict[str, Column]:
     """The five reservoir volumes of a row. A missing factor makes its term 0; free gas is null unless an oil producer has rs and bg."""
     c, zero = F.col, F.lit(0.0)
@@ -104,15 +133,13 @@ def unit_multiplier(uom: Column) -> Column:
 def completion_contrib(volumes: DataFrame, factors: DataFrame, patterns: DataFrame, pressures: DataFrame, pvt: DataFrame) -> DataFrame:
     """The lineage layer: every input, the PVT method, the volume factors and the five terms of each day, completion and pattern."""
     x = volume_context(volumes, factors, patterns, pressures)
-    w = pvt_windows(pvt).withColumnRenamed("id_completion", "w_completion")
+    w = pvt_stretches(pvt_windows(pvt)).withColumnRenamed("id_completion", "w_completion")
     applies = (F.col("from_date").isNull() | (x["vrr_date"] >= F.col("from_date"))) & (F.col("to_date").isNull() | (x["vrr_date"] < F.col("to_date")))
-    x = x.join(w.drop("points"), (x["id_completion"] == w["w_completion"]) & applies, "left").drop("w_completion", "from_date", "to_date")
-    # the lookup runs once for each distinct (completion, test, pressure), far fewer than rows
-    needs = x.select(F.col("id_completion").alias("_c"), F.col("test_date").alias("_d"), "pressure").distinct()
-    points = w.select("w_completion", F.col("test_date").alias("w_date"), "points")
-    needs = needs.join(points, (needs["_c"] == points["w_completion"]) & (needs["_d"] == points["w_date"]), "left").drop("w_completion", "w_date")
-    look = pvt_lookup(needs).withColumnRenamed("pressure", "_p")
-    x = x.join(look, (x["id_completion"] == look["_c"]) & x["test_date"].eqNullSafe(look["_d"]) & x["pressure"].eqNullSafe(look["_p"]))
+    t, inside = x["pressure"], (F.col("lo").isNull() | (x["pressure"] > F.col("lo"))) & (F.col("hi").isNull() | (x["pressure"] < F.col("hi")))
+    applies = applies & F.when(t.isNull(), F.col("missing")).otherwise(~F.col("missing") & ((t == F.col("eq")) | (F.col("eq").isNull() & inside)))
+    # by completion alone, as all rows lie: bringing back looks for each pressure would deal all rows out anew
+    x = x.join(w.hint("shuffle_hash"), (x["id_completion"] == w["w_completion"]) & applies, "left").drop("w_completion", "from_date", "to_date", "eq", "lo", "hi", "missing")
+    x = _between_ends(x.withColumn("pvt_method", F.coalesce("pvt_method", F.lit("none"))))
     mult = unit_multiplier(F.col("uom")) if "uom" in volumes.columns else None
     x = x.select("id_pattern", "pattern_name", "id_completion", "vrr_date", "amount_type", "factor", "factor_effect_date", "pressure", *VOLUME_COLUMNS, "pvt_method", F.col("test_date").alias("pvt_test_date"), *PROPERTIES, *(["uom"] if mult is not None else []))
     return x.withColumns(reservoir_terms(mult))
@@ -122,22 +149,58 @@ def contrib_of(field) -> DataFrame:
     return completion_contrib(field.volumes, field.factors, field.pattern, field.pressures, field.pvt)
 
 
-def pattern_vrr(contrib: DataFrame, grain: str = "monthly") -> DataFrame:
-    """Totals, ratio and volume-weighted factors of each pattern and period. Periods without any production or injection go."""
+_WEIGHTS = {"bo": "oil", "bw": "water", "bg": "gas", "bw_inj": "water_inj", "bg_inj": "gas_inj", "rs": "oil", "rv": "gas"}
+
+
+def _day_sums(contrib: DataFrame) -> DataFrame:
+    """A row for each pattern and day with what both grains are sums of. Names, which no hash table can hold as values, are keys."""
+    parts = {**{c: F.sum(c) for c in VOLUME_COLUMNS + TERMS}, "pressure": F.sum("pressure"), "n_pressure": F.count("pressure")}
+    parts |= {"prod_res": F.sum(F.col("oil_res") + F.col("water_res") + F.coalesce("free_gas_res", F.lit(0.0))), "inj_res": F.sum(F.col("water_inj_res") + F.col("gas_inj_res"))}
+    parts |= {k: F.sum(F.col(k) * F.col(w)) for k, w in _WEIGHTS.items()} | {"any_extrapolated": F.bool_or(F.col("pvt_method").isin(LOW_CONFIDENCE))}
+    return contrib.groupBy("id_pattern", "pattern_name", "vrr_date").agg(*[x.alias(k) for k, x in parts.items()])
+
+
+def _day_completions(contrib: DataFrame) -> DataFrame:
+    """The distinct (id_pattern, id_completion, vrr_date), dealt by the first two, so that months can be counted where the days are."""
+    return contrib.select("id_pattern", "id_completion", "vrr_date").repartition("id_pattern", "id_completion").distinct()
+
+
+def _of_grain(days: DataFrame, completions: DataFrame, grain: str) -> DataFrame:
     period = F.trunc("vrr_date", "MM") if grain == "monthly" else F.col("vrr_date")
-    produced = F.sum(F.col("oil_res") + F.col("water_res") + F.coalesce("free_gas_res", F.lit(0.0)))
-    injected = F.sum(F.col("water_inj_res") + F.col("gas_inj_res"))
-    weights = {"bo": "oil", "bw": "water", "bg": "gas", "bw_inj": "water_inj", "bg_inj": "gas_inj", "rs": "oil", "rv": "gas"}
-    out = contrib.groupBy("id_pattern", period.alias("vrr_date")).agg(
-        F.max("pattern_name").alias("pattern_name"), F.avg("pressure").alias("pressure"),
-        *[F.sum(c).alias(c) for c in VOLUME_COLUMNS + TERMS], produced.alias("prod_res"), injected.alias("inj_res"),
-        *[weighted(F.col(k), F.col(w)).alias(k) for k, w in weights.items()],
-        F.countDistinct("id_completion").alias("n_completions"), F.bool_or(F.col("pvt_method").isin(LOW_CONFIDENCE)).alias("any_extrapolated"),
+    sums = [*VOLUME_COLUMNS, *TERMS, "prod_res", "inj_res", *_WEIGHTS]
+    out = days.groupBy("id_pattern", period.alias("vrr_date")).agg(
+        F.max("pattern_name").alias("pattern_name"), (F.sum("pressure") / F.nullif(F.sum("n_pressure"), F.lit(0))).alias("pressure"), *[F.sum(c).alias(c) for c in sums], F.bool_or("any_extrapolated").alias("any_extrapolated"),
     )
     out = out.where((F.coalesce("oil_res", F.lit(0.0)) + F.coalesce("water_res", F.lit(0.0)) != 0) | (F.col("water_inj") + F.col("gas_inj") > 0))
+    seen = completions.select("id_pattern", "id_completion", period.alias("vrr_date"))
+    seen = (seen.distinct() if grain == "monthly" else seen).groupBy("id_pattern", "vrr_date").agg(F.count("id_completion").alias("n_completions"))
+    out = out.join(seen, out["id_pattern"].eqNullSafe(seen["id_pattern"]) & out["vrr_date"].eqNullSafe(seen["vrr_date"])).drop(seen["id_pattern"], seen["vrr_date"])
     ratio = F.coalesce(F.col("inj_res") / F.nullif(F.col("prod_res"), F.lit(0.0)), F.lit(0.0))
     alias = F.concat(F.col("id_pattern").cast("string"), F.lit("_M" if grain == "monthly" else "_D"))
-    return out.withColumn("vrr", ratio).withColumn("grain", F.lit(grain)).withColumn("id_alias", alias)
+    return out.select(
+        "id_pattern", "vrr_date", "pattern_name", "pressure", *VOLUME_COLUMNS, *TERMS, "prod_res", "inj_res", *[(F.col(k) / F.nullif(F.col(w), F.lit(0.0))).alias(k) for k, w in _WEIGHTS.items()],
+        "n_completions", "any_extrapolated", ratio.alias("vrr"), F.lit(grain).alias("grain"), alias.alias("id_alias"),
+    )
+
+
+def pattern_vrr(contrib: DataFrame, grain: str = "monthly") -> DataFrame:
+    """Totals, ratio and volume-weighted factors of each pattern and period. Periods without any production or injection go."""
+    return _of_grain(_day_sums(contrib), _day_completions(contrib), grain)
+
+
+def both_grains(contrib: DataFrame) -> DataFrame:
+    """pattern_vrr of months and of days, from one pass over the rows: the sums of days are stored in between."""
+    days, seen = written(_day_sums(contrib), "day-sums"), _day_completions(contrib)
+    return _of_grain(days, seen, "monthly").unionByName(_of_grain(days, seen, "daily"))
+
+
+def methods_of(column: str = "pvt_method") -> Column:
+    """Aggregate: the distinct methods of the rows, in order, as array. Of the known ones, as bits, which a hash table can hold."""
+    bit = F.lit(0)
+    for i, m in enumerate(METHODS):
+        bit = F.when(F.col(column) == m, 1 << i).otherwise(bit)
+    bits = F.bit_or(bit)
+    return F.filter(F.array(*[F.when(bits.bitwiseAND(F.lit(1 << i)) != 0, m) for i, m in enumerate(METHODS)]), lambda m: m.isNotNull())
 
 
 class Curated:
@@ -162,7 +225,7 @@ def _put(rows: DataFrame, path: str, run_id: str, by: list[str], months: bool) -
 def _stored_tables(spark, field, path: str, run_id: str, months: bool) -> Curated:
     _put(contrib_of(field), f"{path}/completion_contrib", run_id, [], months)
     contrib = spark.read.parquet(f"{path}/completion_contrib").drop("month")
-    _put(pattern_vrr(contrib, "monthly").unionByName(pattern_vrr(contrib, "daily")), f"{path}/pattern_vrr", run_id, ["grain"], months)
+    _put(both_grains(contrib), f"{path}/pattern_vrr", run_id, ["grain"], months)
     _put(cumulative(spark.read.parquet(f"{path}/pattern_vrr")), f"{path}/pattern_vrr_cumulative", run_id, ["grain"], months)
     return Curated(spark, path)
 
@@ -189,7 +252,7 @@ def rebuilt(field, path: str, days: DataFrame, run_id: str) -> Curated:
     part = completion_contrib(field.volumes.where(touched), field.factors, field.pattern, field.pressures, field.pvt)
     _replace(part, f"{path}/completion_contrib", run_id, [], months)
     contrib = spark.read.parquet(f"{path}/completion_contrib").where(F.col("month").isin(months)).drop("month")
-    _replace(pattern_vrr(contrib, "monthly").unionByName(pattern_vrr(contrib, "daily")), f"{path}/pattern_vrr", run_id, ["grain"], months)
+    _replace(both_grains(contrib), f"{path}/pattern_vrr", run_id, ["grain"], months)
     pattern = spark.read.parquet(f"{path}/pattern_vrr")
     before = spark.read.parquet(f"{path}/pattern_vrr_cumulative").where(F.col("month") < F.lit(months[0]))
     sums = [f"cum_{c}" for c in CUMULATED]

@@ -2,10 +2,14 @@
 
 import io
 from contextlib import redirect_stdout
+from datetime import date
 
 from pyspark.sql import functions as F
 
-from brinework.operators import knowledge, text
+from brinework.operators import build, knowledge, text
+from brinework.sources.field import Field
+
+SF = "/root/testdata/sf0.001"
 
 
 def plan_of(df) -> str:
@@ -24,3 +28,30 @@ def test_documents_are_normalized_once_and_not_for_each_chunk(spark):
     rows = knowledge.ingested(docs, "fixed").collect()
     assert {r.doc_id for r in rows} == {1} and [r.chunk for r in sorted(rows)] == list(range(rows[0].chunks_in_doc))
     assert "".join(r.piece for r in sorted(rows)).replace(" ", "") == "abc" * 300
+
+
+def physical(df) -> str:
+    return plan_of(df).partition("== Physical Plan ==")[2]
+
+
+def test_lineage_rows_are_neither_sorted_nor_dealt_again(spark):
+    x = build.contrib_of(Field(spark, SF))
+    assert "SortMergeJoin" not in physical(x)
+    assert "REPARTITION_BY_NUM" in physical(x) and not [line for line in physical(x).splitlines() if "Exchange hashpartitioning" in line and "vrr_date" in line]
+    # names are strings, which make Spark sort all rows where a sum over them is taken beside a name
+    assert "SortAggregate" not in physical(build._day_sums(x))
+
+
+def test_a_look_by_stretches_is_the_look_itself(spark):
+    kind = "id_completion long, test_date date, pressure double, " + ", ".join(f"{p} double" for p in build.PROPERTIES)
+    points = [[10.0, 20.0, 30.0], [10.0], [10.0, 10.0, 20.0], [None], [None, 5.0], [20.0, 10.0]]
+    rows = [(c, date(2020, 1, 1), p, *[(p or 1.0) * k for k in range(1, 8)]) for c, ps in enumerate(points) for p in ps]
+    pvt = spark.createDataFrame(rows, kind)
+    windows = build.pvt_windows(pvt)
+    asked = spark.createDataFrame([(None,), (5.0,), (10.0,), (12.5,), (20.0,), (25.0,), (30.0,), (31.0,), (float("nan"),), (float("inf"),), (float("-inf"),)], "pressure double")
+    want = build.pvt_lookup(windows.select("id_completion", "points").crossJoin(asked))
+    s, t = build.pvt_stretches(windows).crossJoin(asked), F.col("pressure")
+    inside = (F.col("lo").isNull() | (t > F.col("lo"))) & (F.col("hi").isNull() | (t < F.col("hi")))
+    s = s.where(F.when(t.isNull(), F.col("missing")).otherwise(~F.col("missing") & ((t == F.col("eq")) | (F.col("eq").isNull() & inside))))
+    got = build._between_ends(s).select(*want.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 6 * 11
