@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brinework.operators.build import with_end_date
+from brinework.operators.build import methods_of, with_end_date
 from brinework.operators.rules import with_bands
 
 
@@ -58,7 +58,7 @@ def completions(contrib: DataFrame) -> DataFrame:
     """Each completion of a pattern month: volumes, terms, the role it played and its shares."""
     free = F.coalesce("free_gas_res", F.lit(0.0))
     x = contrib.groupBy("id_pattern", F.trunc("vrr_date", "MM").alias("vrr_date"), "id_completion").agg(
-        F.count("*").alias("n_days"), F.avg("factor").alias("factor"), F.array_join(F.array_sort(F.collect_set("pvt_method")), ",").alias("pvt_methods"),
+        F.count("*").alias("n_days"), F.avg("factor").alias("factor"), F.array_join(methods_of(), ",").alias("pvt_methods"),
         F.min("pressure").alias("min_pressure"), F.max("pressure").alias("max_pressure"),
         F.sum(F.col("oil_res") + F.col("water_res") + free).alias("prod_res"), F.sum(F.col("water_inj_res") + F.col("gas_inj_res")).alias("inj_res"),
     )
@@ -90,7 +90,7 @@ def lineage_rows(contrib: DataFrame) -> DataFrame:
     """What each completion gave to a pattern month: days, pressures, fluid property methods, mean factor, volumes and reservoir terms."""
     sums = [F.sum(F.coalesce(c, F.lit(0.0))).alias(c) for c in (*_VOLUMES, *_TERMS)]
     return contrib.groupBy("id_pattern", F.trunc("vrr_date", "MM").alias("vrr_date"), "id_completion").agg(
-        F.count("*").alias("n_days"), F.min("pressure").alias("min_pressure"), F.max("pressure").alias("max_pressure"), F.array_join(F.array_sort(F.collect_set("pvt_method")), ",").alias("pvt_methods"), F.avg("factor").alias("factor"), *sums,
+        F.count("*").alias("n_days"), F.min("pressure").alias("min_pressure"), F.max("pressure").alias("max_pressure"), F.array_join(methods_of(), ",").alias("pvt_methods"), F.avg("factor").alias("factor"), *sums,
     )
 
 
