@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brinework.functions.scalars import log_mean, same
-from brinework.operators.build import LOW_CONFIDENCE
+from brinework.operators.build import LOW_CONFIDENCE, methods_of
 
 INJECTION, PRODUCTION = ["water_inj_res", "gas_inj_res"], ["oil_res", "water_res", "free_gas_res"]
 #: The default band, drift and target tolerance, recommendation limits, learning, audit tolerances.
@@ -131,9 +131,11 @@ def input_state(contrib: DataFrame, volumes: DataFrame, factors: DataFrame) -> D
     """What the audit looks at, for each pattern and month. Completions without any allocation and allocations above one are
     counted in the whole field and charged to every pattern; allocation dates do not matter for silent completions."""
     month = F.trunc("vrr_date", "MM")
-    periods = contrib.groupBy("id_pattern", month.alias("period")).agg(
-        F.max("pattern_name").alias("pattern_name"), F.count("*").alias("n_rows"), F.array_sort(F.collect_set("pvt_method")).alias("pvt_methods"),
-        F.count_if(F.col("pressure").isNull()).alias("n_missing_pressure"), F.min("factor_effect_date").alias("oldest"),
+    # names are keys first, as no hash table can hold them as values
+    periods = contrib.groupBy("id_pattern", "pattern_name", month.alias("period")).agg(F.count("*").alias("n_rows"), methods_of().alias("pvt_methods"), F.count_if(F.col("pressure").isNull()).alias("n_missing_pressure"), F.min("factor_effect_date").alias("oldest"))
+    periods = periods.groupBy("id_pattern", "period").agg(
+        F.max("pattern_name").alias("pattern_name"), F.sum("n_rows").alias("n_rows"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("pvt_methods")))).alias("pvt_methods"),
+        F.sum("n_missing_pressure").alias("n_missing_pressure"), F.min("oldest").alias("oldest"),
     )
     orphans = volumes.join(factors.select("id_completion").distinct(), "id_completion", "left_anti").agg(F.count("*").alias("n_missing_factor"))
     over = factors.groupBy("id_completion", "effect_date").agg(F.sum("factor").alias("f")).where("f > 1.0001").agg(F.count("*").alias("n_allocation_over_one"))
