@@ -6,7 +6,8 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from brinework.operators import build, knowledge, text
+from brinework.operators import build, knowledge, rules, text, tools
+from brinework.plans import registry
 from brinework.sources.field import Field
 
 SF = "/root/testdata/sf0.001"
@@ -55,3 +56,33 @@ def test_a_look_by_stretches_is_the_look_itself(spark):
     s = s.where(F.when(t.isNull(), F.col("missing")).otherwise(~F.col("missing") & ((t == F.col("eq")) | (F.col("eq").isNull() & inside))))
     got = build._between_ends(s).select(*want.columns)
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 6 * 11
+
+
+def test_methods_of_rows_are_gathered_without_sorting_the_rows(spark):
+    x = spark.createDataFrame([(1, 1, date(2020, 1, 1), m) for m in ("none", "exact", "none", "closest")], "id_pattern int, id_completion int, vrr_date date, pvt_method string")
+    got = x.groupBy("id_pattern").agg(build.methods_of().alias("m"))
+    assert got.first().m == ["closest", "exact", "none"]
+    assert "ObjectHashAggregate" not in physical(got) and "SortAggregate" not in physical(got)
+    contrib = build.contrib_of(Field(spark, SF))
+    for made in (tools.completions(contrib), tools.lineage_rows(contrib)):
+        assert "collect_set" not in physical(made)
+    state = rules.input_state(contrib, Field(spark, SF).volumes, Field(spark, SF).factors)
+    assert "collect_set" not in physical(state)
+
+
+def test_verdicts_and_drafts_are_computed_once_for_all_writes(spark, monkeypatch):
+    made = []
+    kept = registry.written
+    monkeypatch.setattr(registry, "written", lambda df, name: made.append(name) or kept(df, name))
+    registry.QUERIES["j03_stored_audit"](spark, SF)
+    registry.QUERIES["t17_submitted_drafts"](spark, SF)
+    assert made == ["verdicts", "drafts"]
+
+
+def test_recursive_chunks_reach_python_a_hundred_documents_at_a_time(spark):
+    docs = spark.createDataFrame([(i, "One sentence of a text. " * 40) for i in range(300)] + [(300, None), (301, "")], "doc_id long, text string")
+    chunks = text.chunked(docs, "recursive")
+    assert "ArrowEvalPython" not in physical(chunks)
+    want = text.recursive_pieces("One sentence of a text. " * 40)
+    got = chunks.collect()
+    assert {r.doc_id for r in got} == set(range(300)) and [r.piece for r in sorted(got) if r.doc_id == 7] == want
