@@ -139,7 +139,7 @@ def _isotonic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[np.ndarray,
 
 def document_statistics(docs: DataFrame) -> DataFrame:
     """(doc_id, stats) of docs (doc_id, text), written."""
-    return common.written(docs.select("doc_id", "text").mapInArrow(_stats(), "doc_id long, stats array<double>"), "statistics")
+    return common.written(docs.select("doc_id", "text").mapInArrow(common.trimmed(_stats()), "doc_id long, stats array<double>"), "statistics")
 
 
 def held_out(doc_id) -> F.Column:
@@ -158,12 +158,12 @@ def fit(stats: DataFrame, labels: DataFrame) -> QualityModel:
     for r in sums:
         model.mean[r["k"]], model.scale[r["k"]] = r["m"], max(r["s"], 1e-6)
     total = np.zeros((D + 1, D + 2))
-    parts = rows.mapInArrow(_normal_equations(model), "i int, j int, value double")
+    parts = rows.mapInArrow(common.trimmed(_normal_equations(model)), "i int, j int, value double")
     for r in parts.groupBy("i", "j").agg(F.sum("value").alias("value")).collect():
         total[r["i"], r["j"]] = r["value"]
     n = total[D, D]
     model.weights = np.linalg.solve(total[:, : D + 1] + RIDGE * n * np.diag([*[1.0 / D] * D, 0.0]), total[:, D + 1])
-    raw = rows.mapInArrow(_raw(model), "raw double, y int")
+    raw = rows.mapInArrow(common.trimmed(_raw(model)), "raw double, y int")
     bins = F.floor((F.least(F.greatest("raw", F.lit(-0.5)), F.lit(1.5)) + 0.5) * (BINS / 2)).cast("int")
     held = raw.groupBy(bins.alias("bin")).agg(F.avg("raw").alias("x"), F.avg("y").alias("y"), F.count("*").alias("n")).orderBy("bin").collect()
     x, y, c = (np.array([float(r[k]) for r in held]) for k in ("x", "y", "n"))
@@ -179,7 +179,7 @@ def scored(stats: DataFrame, model: QualityModel) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(_matrix(batch.column(1))))], schema=schema)
 
-    return stats.mapInArrow(run, "doc_id long, score double")
+    return stats.mapInArrow(common.trimmed(run), "doc_id long, score double")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
@@ -200,4 +200,4 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
             keep = model.score(statistics(common.as_bytes(batch.column(at)))) >= threshold
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.trimmed(run), docs.schema)

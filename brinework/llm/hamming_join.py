@@ -297,7 +297,7 @@ def _class_sets(needed: DataFrame, classes: DataFrame, docs: DataFrame, shingle:
     """(cls, items): the full sets of the needed classes, from the texts of their first documents."""
     first = classes.join(needed, "cls", "left_semi").select("cls", F.col("first").alias("row_key"))
     texts = docs.join(first.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(first["row_key"])).select("cls", "text")
-    sets = texts.mapInArrow(_sets(shingle), "cls binary, items binary")
+    sets = texts.mapInArrow(common.trimmed(_sets(shingle)), "cls binary, items binary")
     return common.written(sets.dropDuplicates(["cls"]), "near-sets")
 
 
@@ -307,7 +307,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: i
     sets = _class_sets(needed, classes, docs, shingle)
     x = pairs.join(sets.select(F.col("cls").alias("b"), F.col("items").alias("ib")), "b")
     x = x.join(sets.select(F.col("cls").alias("a"), F.col("items").alias("ia")), "a").select("a", "b", "ia", "ib")
-    return x.mapInArrow(_confirm(percent), "u binary, v binary").distinct()
+    return x.mapInArrow(common.trimmed(_confirm(percent)), "u binary, v binary").distinct()
 
 
 def _leaders(members: DataFrame) -> DataFrame:
@@ -359,13 +359,13 @@ def marked_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: i
     several texts. root is null for texts without shingles."""
     docs = docs.select("doc_id", "text")
     spark = docs.sparkSession
-    sketch = common.written(docs.select("doc_id", "text", mark(F.col("text")).alias("mark")).mapInArrow(_sketch(shingle, k), "doc_id long, mark long, n long, cls binary, sig binary"), "near-sketch")
+    sketch = common.written(docs.select("doc_id", "text", mark(F.col("text")).alias("mark")).mapInArrow(common.trimmed(_sketch(shingle, k)), "doc_id long, mark long, n long, cls binary, sig binary"), "near-sketch")
     classes = sketch.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first"), F.min("n").alias("n"), F.first("sig").alias("sig"))
     classes = common.written(classes, "near-classes")
 
     keyed = "key long, cls binary"
-    alone = classes.select("cls", "sig").mapInArrow(_keys(k, chunks, radius, False), keyed)
-    inside = classes.select("cls", "sig").mapInArrow(_keys(k, chunks, radius, True), keyed)
+    alone = classes.select("cls", "sig").mapInArrow(common.trimmed(_keys(k, chunks, radius, False)), keyed)
+    inside = classes.select("cls", "sig").mapInArrow(common.trimmed(_keys(k, chunks, radius, True)), keyed)
     shared = alone.withColumn("c", F.count("*").over(Window.partitionBy("key"))).where("c > 1").select("key", "cls")
     members = common.written(shared.union(inside).distinct(), "near-members")
 
@@ -374,7 +374,7 @@ def marked_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: i
 
     def within(pairs: DataFrame) -> DataFrame:
         x = pairs.join(side.toDF("b", "nb", "sigb"), "b").join(side.toDF("a", "na", "siga"), "a")
-        return x.select("a", "b", "na", "nb", "siga", "sigb").mapInArrow(_near(radius, percent), "a binary, b binary")
+        return x.select("a", "b", "na", "nb", "siga", "sigb").mapInArrow(common.trimmed(_near(radius, percent)), "a binary, b binary")
 
     tested = common.written(within(common.written(pairs, "near-candidates")), "near-pairs")
     links = common.written(_confirmed(tested, classes, docs, shingle, percent), "near-links")

@@ -289,7 +289,7 @@ def sampled_pieces(docs: DataFrame, path: str, seed: int = 0, temperature: float
 
     import pyarrow.compute  # noqa: F401
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(common.trimmed(run), schema)
 
 
 def decoded_pieces(rows: DataFrame, path: str) -> DataFrame:
@@ -321,4 +321,4 @@ def sampled_digest(docs: DataFrame, path: str, seed: int = 0, temperature: float
                 crc = [zlib.crc32(x.astype("<i4").tobytes()) for x in own]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, len(texts)), pa.array([len(x) for x in own], pa.int64()), pa.array(crc, pa.int64()), pa.array(same)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_pieces long, pieces_crc32 long, lossless boolean")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(common.trimmed(run), "doc_id long, n_pieces long, pieces_crc32 long, lossless boolean")

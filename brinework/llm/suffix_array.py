@@ -170,7 +170,7 @@ def _scan(items: Items):
                 part = batch.slice(first, last - first)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(bounds), pa.int64()), pa.array(hit, pa.int64()), pa.array(found, pa.list_(MATCH))], schema=schema)
 
-    return run
+    return common.trimmed(run)
 
 
 _ROWS = "doc_id long, key long, n_words long, n_hit long, matches array<struct<item_id: string, item_start: long, doc_start: long, n_words: long>>"
